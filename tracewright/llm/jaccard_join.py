@@ -4,11 +4,15 @@
    ties are broken by one order of all shingles (those frequent in a sample last). A set that differs from another by
    at most the threshold misses so few shingles that the first n - ceil(t n) + 1 hold a common one: this is the window in
    which a set is replicated. The least node at a shingle is its pivot document, and the regions of one pivot are merged.
-2. In a region of more than LEAF sets the exact distance to the pivot is taken. Sets within half the radius are its core:
+2. Classes of shingles (by leading bits of their hashes) are further pivots, in the metric of symmetric differences: a set's
+   distances to all of them are known from its counts per class, a sketch of a byte for about four shingles. By the triangle
+   inequality the counts of linked sets differ by little, so a region keeps only sets that have such a partner in it; the
+   sets themselves move only then.
+3. In a region of more than LEAF sets the exact distance to the pivot is taken. Sets within half the radius are its core:
    by the triangle inequality they are all linked, and are counted without being compared. The others are cut into shells
    as wide as the radius; a set is replicated into the shell below its own, as no link spans more. Shells that are still
    too large are cut again around a pivot of their own, and what is left over is dealt into pairs of blocks.
-3. Leaves compare their sets exactly. A pair that meets in several regions counts in that of its least common pivot.
+4. Leaves compare their sets exactly. A pair that meets in several regions counts in that of its least common pivot.
 
 Tasks return links per set and a spanning star per leaf, never pairs.
 """
@@ -54,22 +58,118 @@ def _node(s: np.ndarray) -> int:
     return int(mix(mix(mix(whole[:1]) ^ whole[1:2]) ^ whole[2:]).view(np.int64)[0])
 
 
+def _counts(s: np.ndarray) -> bytes:
+    """Shingles of a set in each of a power of two of classes, about four in a class; 255 stands for more."""
+    bits = max(2, int(len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _partners(size: np.ndarray, sketch: list[bytes], barred: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may have a linked one among the others: barred pairs aside, their class counts differ by no more than the
+    symmetric difference of linked sets of their sizes. Classes are merged where one of two has half as many."""
+    out = np.zeros(len(size), bool)
+    width = np.array([len(x) for x in sketch])
+    for w in np.unique(width):
+        a, b = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        at = np.concatenate([a, b])
+        if len(at) < 2:
+            continue
+        x = np.array([np.frombuffer(sketch[i], np.uint8) for i in a], np.int16)
+        if len(b):
+            y = np.array([np.frombuffer(sketch[i], np.uint8) for i in b], np.int16)
+            x = np.concatenate([x, y.reshape(len(b), w, 2).sum(2, dtype=np.int16)])
+        for i in range(len(a)):
+            apart = np.abs(x[i + 1 :] - x[i]).sum(1, dtype=np.int64)
+            near = apart * (100 + percent) <= (size[at[i + 1 :]] + size[at[i]]) * (100 - percent)
+            near &= ~barred[at[i], at[i + 1 :]]
+            if near.any():
+                out[at[i]] = True
+                out[at[i + 1 :][near]] = True
+    return out
+
+
+def _kept(percent: int):
+    """Of rows (pivot, cell, side, node, core, n, sketch) sorted by cell: pivot and node of those that have a partner."""
+    schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64())])
+
+    def run(batches):
+        out: list[tuple] = []
+        total = 0
+        for held in _groups(batches):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            if rows.num_rows < 2:
+                continue
+            get = lambda c: rows.column(c).chunk(0)  # noqa: B023, E731
+            side, core, node = (get(c).to_numpy() for c in ("side", "core", "node"))
+            barred = (core[:, None] == core[None, :]) & (core != 0)[:, None]
+            if side.any():
+                barred |= side[:, None] == side[None, :]
+            keep = _partners(get("n").to_numpy(), get("sketch").to_pylist(), barred, percent)
+            if keep.any():
+                out.append((np.full(int(keep.sum()), rows.column("pivot")[0].as_py(), np.int64), node[keep]))
+                total += len(out[-1][1])
+            if total > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+                out, total = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+
+    return run
+
+
+def _nearby(percent: int):
+    """Rows (pivot, node, n, sketch, n and sketch of the pivot): whether the row and its pivot may be linked."""
+
+    def run(batches):
+        for batch in batches:
+            p, v, n, s, m, t = (c.to_pylist() for c in batch.columns)
+            near = [bool(_partners(np.array([a, b]), [x, y], np.zeros((2, 2), bool), percent)[0]) for a, x, b, y in zip(n, s, m, t, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([a if k else 0 for a, k in zip(p, near, strict=True)], pa.int64())], names=["pivot", "node", "n", "sketch", "core"])
+
+    return run
+
+
+def _filtered(member: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The memberships whose set may have a linked one in the region. In a large region, sets that may be linked with the
+    pivot are kept at once, and never compared with each other here."""
+    columns = ["pivot", "cell", "side", "node", "core", "n", "sketch"]
+    start = {"cell": F.lit(0).cast("long"), "side": F.lit(0)}
+    large = staged(member.groupBy("pivot").count().filter(F.col("count") > LEAF).select("pivot"), "large")
+    if not large.count():
+        rows = member.join(sketches, "node").withColumns(start | {"core": F.lit(0).cast("long")}).select(*columns)
+        near = None
+    else:
+        rows = member.join(large, "pivot", "left_anti").join(sketches, "node").withColumns(start | {"core": F.lit(0).cast("long")}).select(*columns)
+        far = member.join(large, "pivot").join(sketches, "node").join(sketches.withColumnsRenamed({"node": "pivot", "n": "m", "sketch": "t"}), "pivot").select("pivot", "node", "n", "sketch", "m", "t")
+        far = staged(far.mapInArrow(_nearby(percent), "pivot long, node long, n long, sketch binary, core long"), "near").withColumns(start)
+        rows = rows.unionByName(_blocks(far.select(*columns), _sizes(far), columns))
+        near = far.filter("core <> 0").select("pivot", "node")
+    kept = rows.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell").mapInArrow(_kept(percent), "pivot long, node long")
+    return (kept.unionByName(near) if near is not None else kept).distinct()
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    core = F.col("core") == F.col("pivot")
+    return rows.groupBy("pivot", "cell").agg(F.count_if(core).alias("core_rows"), F.count_if(~core).alias("rest_rows"))
+
+
 def _sketch(n: int, percent: int, frequent):
     def run(batches):
         seen = set()
         last = frequent.value
         for batch in batches:
-            size, node, prefix = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
+            size, node, prefix, sketch = np.zeros(batch.num_rows, np.int64), *([None] * batch.num_rows for _ in range(3))
             for row, s in shingle_sets(batch.column(1), n):
                 if size_ := len(s):
                     size[row], node[row] = size_, _node(s)
                     if node[row] not in seen:
                         seen.add(node[row])
+                        sketch[row] = _counts(s)
                         if len(last):
                             late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                             s = np.concatenate([s[~late], s[late]])
                         prefix[row] = s[: size_ + (-percent * size_ // 100) + 1].view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "node", "prefix", "sketch"])
 
     return run
 
@@ -172,29 +272,31 @@ def _leaf(rows: pa.Table, percent: int) -> dict | None:
     return {"node": node[at], "links": links.astype(np.int64), "root": root}
 
 
+def _groups(batches):
+    """Runs of rows of one cell; they may go over several batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        p, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = np.flatnonzero((np.diff(p) != 0) | (np.diff(c) != 0)) + 1
+        edges = [0, *cut.tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (int(p[a]), int(c[a])):
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
 def _leaves(percent: int):
-    """Over rows sorted by leaf: a leaf may go over several batches."""
+    """Links and stars of all leaves, over rows sorted by leaf."""
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
-    def groups(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cut = np.flatnonzero((np.diff(p) != 0) | (np.diff(c) != 0)) + 1
-            edges = [0, *cut.tolist(), batch.num_rows]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (int(p[a]), int(c[a])):
-                    yield held
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield held
-
     def run(batches):
         out: list[dict] = []
-        for held in groups(batches):
+        for held in _groups(batches):
             if (found := _leaf(pa.Table.from_batches(held), percent)) is not None:
                 out.append(found)
             if len(out) >= 2000:
@@ -218,7 +320,7 @@ def _shells(rows: DataFrame, eps: float, level: int) -> DataFrame:
     return rows.withColumns({"cell": F.xxhash64("cell", "__to.s"), "shell": F.col("__to.s"), "window": F.col("window").bitwiseOR(F.col("__to.w"))}).drop("__to", "distance")
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of cells that are still too large, dealt to pairs of blocks; two blocks of core sets never meet."""
     is_core = F.col("core") == F.col("pivot")
     n_core, n_rest = (F.ceil(F.col(c) / LEAF).cast("int") for c in ("core_rows", "rest_rows"))
@@ -226,7 +328,7 @@ def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     up_to = lambda n, start: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i + start)).otherwise(F.array().cast("array<int>"))
     other = F.concat(F.when(is_core, F.array().cast("array<int>")).otherwise(up_to(n_core, 0)), up_to(n_rest, 1_000_000))
     rows = rows.join(sizes, ["pivot", "cell"]).withColumn("__own", own).withColumn("__other", F.explode(other))
-    return rows.withColumns({"cell": F.xxhash64("cell", F.least("__own", "__other"), F.greatest("__own", "__other")), "side": F.when(F.col("__own") == F.col("__other"), 0).when(F.col("__own") < F.col("__other"), 1).otherwise(2)}).select(*_ROW)
+    return rows.withColumns({"cell": F.xxhash64("cell", F.least("__own", "__other"), F.greatest("__own", "__other")), "side": F.when(F.col("__own") == F.col("__other"), 0).when(F.col("__own") < F.col("__other"), 1).otherwise(2)}).select(*columns)
 
 
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 75) -> DataFrame:
@@ -250,11 +352,14 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     often = few.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST).toArrow()
     frequent = sc.broadcast(np.sort(np.asarray(often.column("s")).astype(np.int64).view(np.uint64)))
 
-    sig = staged(docs.mapInArrow(_sketch(n, percent, frequent), f"doc_id {kind}, n_shingles long, node long, prefix array<long>"), "sketch")
+    sig = staged(docs.mapInArrow(_sketch(n, percent, frequent), f"doc_id {kind}, n_shingles long, node long, prefix array<long>, sketch binary"), "sketch")
     at = sig.filter("prefix is not null").select("node", F.explode("prefix").alias("shingle")).repartition("shingle")
     leaders = at.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("__top")).filter(F.col("pivot") != F.col("__top")).drop("__top")
     member = staged(at.join(leaders, "shingle").select("pivot", "node").distinct(), "member")
 
+    sketches = sig.filter("sketch is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    member = staged(_filtered(member, staged(sketches, "sketches"), percent), "kept")
+
     classes = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     needed = staged(member.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")).join(classes, "node").select("rep", "node", "weight", "pivots"), "needed")
     ids = staged(needed.select("rep"), "ids").distinct()
@@ -305,9 +410,9 @@ def _smaller(shells: DataFrame, sets: DataFrame, eps: float) -> DataFrame:
         again = shells.join(q, key).select(*_ROW, F.col("shingles").alias("own"), "at").mapInArrow(_distance, _ROW_TYPES + ", distance double")
         done = done.unionByName(_shells(again, eps, 1).select(*_ROW, "shell"))
         done = staged(done, "shells")
-    of = staged(done.groupBy(*key).agg(F.count_if(F.col("core") == F.col("pivot")).alias("core_rows"), F.count_if(F.col("core") != F.col("pivot")).alias("rest_rows")).filter(F.col("core_rows") + F.col("rest_rows") > LEAF), "over")
+    of = staged(_sizes(done).filter(F.col("core_rows") + F.col("rest_rows") > LEAF), "over")
     rest = done.join(of.select(*key), key, "left_anti").select(*_ROW)
-    return rest.unionByName(_blocks(done.select(*_ROW), of))
+    return rest.unionByName(_blocks(done.select(*_ROW), of, _ROW))
 
 
 def distinct_groups(docs: DataFrame, **options) -> DataFrame:
