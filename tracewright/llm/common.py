@@ -55,7 +55,7 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], comput
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for batch in batches:
+        for batch in slices(batches, 8 << 20):
             if batch.num_rows:
                 f = f or compute()
                 new = f(batch, batch.column(batch.schema.get_field_index(text)))
@@ -73,6 +73,14 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data else np.zeros(0, np.uint8)), off - off[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about so many bytes, so that a worker holds little more than that besides what Spark hands it."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(size, batch.nbytes))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def shards(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most limit bytes, or of one longer row."""
     i, n = 0, len(off) - 1

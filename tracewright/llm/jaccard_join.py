@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, staged
+from .common import join_small, slices, staged
 from .components import components
 from .words import SPACED, grams, mix, word_shards
 
 #: Sets that one leaf compares with each other.
-LEAF = 384
+LEAF = 256
 #: One document in SAMPLE is looked at for frequent shingles; those in at least FREQUENT of them are put last, MOST at most.
 SAMPLE, FREQUENT, MOST = 32, 4, 1 << 17
-_COLUMNS = 8192
+_COLUMNS = 4096
 
 
 def shingle_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -157,7 +157,7 @@ def _sketch(n: int, percent: int, frequent):
     def run(batches):
         seen = set()
         last = frequent.value
-        for batch in batches:
+        for batch in slices(batches):
             size, node, prefix, sketch = np.zeros(batch.num_rows, np.int64), *([None] * batch.num_rows for _ in range(3))
             for row, s in shingle_sets(batch.column(1), n):
                 if size_ := len(s):
@@ -178,7 +178,7 @@ def _sets(n: int):
     """Of (rep, node, ..., text): the rows whose text has that node's set, which replaces the text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             node, found, at = batch.column(1).to_pylist(), [], []
             for row, s in shingle_sets(batch.column(batch.num_columns - 1), n):
                 if len(s) and _node(s) == node[row]:
@@ -197,7 +197,7 @@ def _lists(col: pa.Array) -> list[np.ndarray]:
 
 def _distance(batches):
     """Distance of the last two columns' sets, which stand for it."""
-    for batch in batches:
+    for batch in slices(batches):
         x, y = _lists(batch.column(batch.num_columns - 2)), _lists(batch.column(batch.num_columns - 1))
         common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y, strict=True)]
         d = [1 - c / (len(a) + len(b) - c) for a, b, c in zip(x, y, common, strict=True)]
@@ -345,7 +345,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sampled(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(s.view(np.int64) for _, s in shingle_sets(batch.column(0), n))]))], names=["s"])
 
     few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "s long")
