@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, packing
+from . import backoff_lm, chat, decontaminate, fingerprint, jaccard_join, language_id, license_scan, packing, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +16,47 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256)).drop("edited")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(manifest, folder)
+    key = lambda c: F.nullif(F.col(c), F.lit("")).cast("long")
+    return records.select(key("page_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to_key").alias("refers_to"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", packing.words(F.col("text")).alias("n_words"))
     return packing.pack(docs, F.col("n_words")).drop("n_words")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(language_id.teaching(docs))
@@ -33,8 +64,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_benchmark_decontamination, op7_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_benchmark_decontamination, op4_license_scan, op5_document_fingerprints, op6_warc, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
 ORACLE_SQL = {
+    "op2_chat_formatting": r"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (SELECT conv_id, list(role || chr(1) || text ORDER BY turn, role, text) AS s,
+                 string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM turns GROUP BY conv_id),
+heads AS (SELECT DISTINCT array_to_string(s[1:k], chr(2)) AS p FROM (SELECT s, unnest(range(1, len(s))) AS k FROM whole)),
+one AS (SELECT array_to_string(s, chr(2)) AS p, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY 1)
+SELECT o.conv_id, CAST(0 AS BIGINT) AS part, CAST(len(w.s) AS BIGINT) AS n_turns, CAST(o.n_copies AS BIGINT) AS n_copies, w.rendered
+FROM one AS o JOIN whole AS w USING (conv_id) WHERE o.p NOT IN (SELECT p FROM heads)
+""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest, CASE WHEN m.top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m.top <> p.page_id THEN m.top END AS refers_to
+FROM p LEFT JOIN m ON m.d = p.d AND p.n >= 1000
+""",
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g
