@@ -31,7 +31,7 @@ from .components import components
 from .words import SPACED, grams, mix, word_shards
 
 #: Sets that one leaf compares with each other.
-LEAF = 256
+LEAF = 1000
 #: One document in SAMPLE is looked at for frequent shingles; those in at least FREQUENT of them are put last, MOST at most.
 SAMPLE, FREQUENT, MOST = 32, 4, 1 << 17
 _COLUMNS = 4096
