@@ -1,0 +1,436 @@
+"""Registered queries of the ledger jobs over the given tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids, redact, text
+from ..functions.rules import DEFAULT
+from ..operators import fidelity, ingest, provenance, quality, reads, routing, search
+from .views import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+AS_OF = 1_706_000_000
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+#: query_id, agent_id, namespaces, query, groups of words (AND) and words that must not occur, for the SQL twin.
+REQUESTS = [
+    (1, "agent1", ["en"], "the of", ["the", "of"], []),
+    (2, "agent2", ["fr"], "la de", ["la", "de"], []),
+    (3, "agent3", ["de", "en"], "und in", ["und", "in"], []),
+    (4, "agent4", ["es"], "", [], []),
+    (5, "agent5", ["en"], "the -by", ["the"], ["by"]),
+    (6, "agent1", ["en"], "with that", ["with", "that"], []),
+]
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([r[:4] for r in REQUESTS], "query_id int, agent_id string, namespaces array<string>, query string")
+
+
+def _config(spark: SparkSession) -> DataFrame:
+    rows = [("*", "*", 720.0, 10, 200, False), ("agent2", "*", 240.0, 5, 40, True), ("*", "de", 100.0, 7, 60, True)]
+    return spark.createDataFrame(rows, "agent_id string, namespace string, recency_half_life_h double, max_results int, preview_chars int, include_proposed boolean")
+
+
+_VALUES = ", ".join(f"({q}, '{a}', {n!r}, '{t}', {w or '[]::VARCHAR[]'}, {x or '[]::VARCHAR[]'})" for q, a, n, t, w, x in REQUESTS)
+_SETTINGS = """CASE WHEN agent_id = 'agent2' THEN 240.0 WHEN namespaces[1] = 'de' THEN 100.0 ELSE 720.0 END AS half_life,
+       CASE WHEN agent_id = 'agent2' THEN 5 WHEN namespaces[1] = 'de' THEN 7 ELSE 10 END AS take,
+       CASE WHEN agent_id = 'agent2' THEN 40 WHEN namespaces[1] = 'de' THEN 60 ELSE 200 END AS preview_chars,
+       agent_id = 'agent2' OR namespaces[1] = 'de' AS include_proposed"""
+_SEARCH = f"""
+WITH requests AS (SELECT *, {_SETTINGS} FROM (VALUES {_VALUES}) AS r(query_id, agent_id, namespaces, query, want, bar)),
+seen AS (SELECT r.query_id, r.want, r.bar, r.take, r.half_life, m.uuid, m.created_at, m.content
+         FROM requests AS r JOIN {{memories}} AS m ON list_contains(r.namespaces, m.namespace)
+         WHERE (m.visibility = 'shared' AND (m.status = 'approved' OR (r.include_proposed AND m.status = 'proposed')))
+            OR (m.visibility = 'private' AND m.status = 'approved' AND m.agent_id = r.agent_id)),
+words AS (SELECT *, regexp_extract_all(lower(content), '{text.WORD}') AS w FROM seen WHERE len(want) > 0),
+fts AS (SELECT query_id, uuid, created_at, take, CAST(len([x for x in w if list_contains(want, x)]) AS DOUBLE) AS score FROM words
+        WHERE list_has_all(w, want) AND NOT list_has_any(w, bar)),
+lanes AS (SELECT query_id, uuid, created_at, take, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, uuid) AS rank FROM fts
+          UNION ALL SELECT query_id, uuid, created_at, take, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, uuid) FROM seen),
+fused AS (SELECT query_id, uuid, created_at, take, sum(1.0 / (60 + rank)) AS s FROM lanes WHERE rank <= 5 * take GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, created_at DESC, uuid) AS place FROM fused)
+SELECT p.query_id, CAST(p.place AS INT) AS place, p.uuid, round(p.s, 12) AS fused_score, substring(m.content, 1, r.preview_chars) AS preview, m.status, m.source_id
+FROM placed AS p JOIN {{memories}} AS m USING (uuid) JOIN requests AS r USING (query_id) WHERE p.place <= p.take"""
+
+
+@query(_SEARCH)
+def i12_search(spark, sf):
+    found = search.search(_requests(spark), view(spark, sf, "memories"), _config(spark), AS_OF, rank="frequency")
+    return found.select("query_id", "place", "uuid", F.round("fused_score", 12).alias("fused_score"), "preview", "status", "source_id")
+
+
+@query()
+def i8_search_by_cover_density(spark, sf):
+    found = search.search(_requests(spark), view(spark, sf, "memories"), _config(spark), AS_OF)
+    return found.select("query_id", "place", "uuid", F.round("fused_score", 12).alias("fused_score"))
+
+
+@query(f"""
+WITH requests AS (SELECT *, {_SETTINGS} FROM (VALUES {_VALUES}) AS r(query_id, agent_id, namespaces, query, want, bar)),
+seen AS (SELECT r.query_id, r.take, r.half_life, m.uuid, m.created_at,
+                row_number() OVER (PARTITION BY r.query_id ORDER BY m.created_at DESC, m.uuid) AS rank
+         FROM requests AS r JOIN {{memories}} AS m ON list_contains(r.namespaces, m.namespace)
+         WHERE (m.visibility = 'shared' AND (m.status = 'approved' OR (r.include_proposed AND m.status = 'proposed')))
+            OR (m.visibility = 'private' AND m.status = 'approved' AND m.agent_id = r.agent_id))
+SELECT query_id, uuid, CAST(rank AS INT) AS rank, round(exp(-ln(2) * (({AS_OF}.0 - created_at) / 3600.0) / half_life), 9) AS score FROM seen WHERE rank <= 5 * take""")
+def i10_recency_lane(spark, sf):
+    asked = search.effective_config(_requests(spark), _config(spark)).withColumn("lane_rows", F.col("max_results") * 5)
+    lane = search.recency_lane(asked, view(spark, sf, "memories"), AS_OF)
+    return lane.select("query_id", "uuid", "rank", F.round("score", 9).alias("score"))
+
+
+@query(f"""SELECT namespace, w AS lexeme, count(*) AS n_memories, CAST(sum(n) AS BIGINT) AS n_places FROM
+(SELECT namespace, uuid, w, count(*) AS n FROM (SELECT namespace, uuid, unnest(regexp_extract_all(lower(coalesce(content, '')), '{text.WORD}')) AS w FROM {{memories}}) GROUP BY ALL) GROUP BY ALL""")
+def i5_index_statistics(spark, sf):
+    index = search.build_index(view(spark, sf, "memories"))
+    return index.groupBy("namespace", "lexeme").agg(F.count("*").alias("n_memories"), F.sum(F.size("positions")).alias("n_places"))
+
+
+@query("""SELECT m.uuid, m.namespace, m.status, s.uuid AS superseded_by FROM {memories} AS m
+LEFT JOIN (SELECT supersedes, arg_max(uuid, created_at) AS uuid FROM {memories} WHERE supersedes IS NOT NULL GROUP BY 1) AS s ON s.supersedes = m.uuid
+WHERE m.uuid % 50 = 0 AND m.namespace IN ('en', 'fr') AND (m.visibility = 'shared' OR m.agent_id = concat('agent', CAST(m.uuid % 3 AS STRING)))""")
+def i14_lookup(spark, sf):
+    memories = view(spark, sf, "memories")
+    asked = memories.filter("uuid % 50 = 0").select(F.col("uuid").alias("request_id"), F.concat(F.lit("agent"), (F.col("uuid") % 3).cast("string")).alias("agent_id"), F.array(F.lit("en"), F.lit("fr")).alias("namespaces"), "uuid")
+    found, _ = search.lookup(asked, memories)
+    return found.select("uuid", "namespace", "status", "superseded_by")
+
+
+@query("""SELECT t.session_id, t.trace_uuid, 'memory' AS kind, m.uuid AS item, m.source_id AS source FROM {traces} AS t JOIN {memories} AS m ON m.uuid = t.ref WHERE t.event_type = 'memory_consumed'
+UNION ALL SELECT t.session_id, t.trace_uuid, 'trace', s.trace_uuid, s.event_type FROM {traces} AS t JOIN {traces} AS s ON s.trace_uuid = t.ref WHERE t.event_type = 'trace_consumed'""")
+def j1_consumed(spark, sf):
+    return provenance.consumed(_with_refs(spark, sf), view(spark, sf, "memories")).select("session_id", "trace_uuid", "kind", "item", "source")
+
+
+def _with_refs(spark, sf):
+    return view(spark, sf, "traces").withColumn("refs", F.when(F.col("ref").isNotNull(), F.array("ref")).otherwise(F.array().cast("array<bigint>")))
+
+
+@query("""WITH RECURSIVE chain AS (SELECT uuid AS root, 0 AS depth, uuid FROM {memories} UNION ALL
+SELECT c.root, c.depth + 1, m.supersedes FROM chain AS c JOIN {memories} AS m ON m.uuid = c.uuid WHERE m.supersedes IS NOT NULL)
+SELECT c.root, CAST(c.depth AS INT) AS depth, c.uuid, m.version, m.status, m.source_id FROM chain AS c JOIN {memories} AS m ON m.uuid = c.uuid""")
+def j2_why(spark, sf):
+    memories = view(spark, sf, "memories")
+    return provenance.why(memories, memories.select("uuid")).select("root", "depth", "uuid", "version", "status", "source_id")
+
+
+@query("SELECT source_id, count(*) AS n, min(uuid) AS first_uuid, max(version) AS newest FROM {memories} WHERE source_id IN ('src0', 'src3', 'src7') GROUP BY 1")
+def j3_derived_from(spark, sf):
+    sources = spark.createDataFrame([("src0",), ("src3",), ("src7",)], "source_id string")
+    return provenance.derived_from(view(spark, sf, "memories"), sources).groupBy("source_id").agg(F.count("*").alias("n"), F.min("uuid").alias("first_uuid"), F.max("version").alias("newest"))
+
+
+_CLAIMS = ("the and that", "la de que", "und die nichtda")
+
+
+@query(f"""
+WITH claims AS (SELECT DISTINCT t.session_id, c.claim FROM {{traces}} AS t, (VALUES {', '.join(f"('{c}')" for c in _CLAIMS)}) AS c(claim)),
+words AS (SELECT m.uuid, regexp_extract_all(lower(coalesce(content, '')), '{text.WORD}') AS w FROM {{memories}} AS m),
+read AS (SELECT DISTINCT session_id, ref FROM {{traces}} WHERE event_type = 'memory_consumed'),
+hits AS (SELECT DISTINCT c.session_id, c.claim FROM claims AS c JOIN read AS r USING (session_id) JOIN words AS w ON w.uuid = r.ref WHERE list_has_all(w.w, string_split(c.claim, ' ')))
+SELECT c.session_id, c.claim, h.claim IS NOT NULL AS supported FROM claims AS c LEFT JOIN hits AS h ON h.session_id = c.session_id AND h.claim = c.claim""")
+def j4_claim_in_consumed(spark, sf):
+    traces = _with_refs(spark, sf)
+    claims = traces.select("session_id").distinct().withColumn("claim", F.explode(F.array(*map(F.lit, _CLAIMS))))
+    return provenance.claim_in_consumed(traces, view(spark, sf, "memories"), claims)
+
+
+@query("""SELECT a.uuid AS a, b.uuid AS b, CASE WHEN a.created_at >= b.created_at THEN a.uuid ELSE b.uuid END AS newer,
+coalesce(a.supersedes = b.uuid OR b.supersedes = a.uuid, false) AS supersession, a.status AS status_a, b.status AS status_b
+FROM {memories} AS a JOIN {memories} AS b ON b.uuid = a.uuid + 1""")
+def j5_adjudicate(spark, sf):
+    memories = view(spark, sf, "memories")
+    pairs = memories.select(F.col("uuid").alias("a"), (F.col("uuid") + 1).alias("b"))
+    return provenance.adjudicate(memories, pairs).select("a", "b", "newer", "supersession", "status_a", "status_b")
+
+
+@query("SELECT namespace, uuid, CAST(row_number() OVER (PARTITION BY namespace ORDER BY created_at, uuid) AS INT) AS place FROM {memories} WHERE visibility = 'shared' AND status = 'proposed'")
+def j7_pending(spark, sf):
+    return provenance.pending(view(spark, sf, "memories")).select("namespace", "uuid", "place")
+
+
+@query("SELECT namespace, sha256(content) AS content_hash, count(*) AS n, min(uuid) AS first_uuid FROM {memories} GROUP BY 1, 2 HAVING count(*) > 1")
+def j20_duplicate_content(spark, sf):
+    return provenance.duplicate_content(view(spark, sf, "memories"))
+
+
+@query("SELECT 'memories' AS \"table\", CAST(uuid AS VARCHAR) AS key, 'unknown type' AS rule FROM (SELECT uuid, replace(type, 'runbook', 'recipe') AS type FROM {memories}) WHERE type NOT IN ('decision','fact','preference','task','adr','runbook','note','constraint','open_question','warning')")
+def k1_check_enums(spark, sf):
+    changed = view(spark, sf, "memories").withColumn("type", F.replace("type", F.lit("runbook"), F.lit("recipe")))
+    return quality.check_enums(changed, "memories", "uuid", {"type": "type", "visibility": "visibility", "status": "status", "tier": "tier"})
+
+
+@query("""SELECT 'memories' AS "table", concat(namespace, '|', source_id) AS key, 'repeated namespace+source_id' AS rule FROM {memories} GROUP BY namespace, source_id HAVING count(*) > 1
+UNION ALL SELECT 'traces', CAST(t.trace_uuid AS VARCHAR), 'dangling ref' FROM {traces} AS t WHERE t.event_type = 'memory_consumed' AND t.ref NOT IN (SELECT uuid FROM {memories} WHERE status = 'approved')""")
+def k2_check_keys(spark, sf):
+    memories = view(spark, sf, "memories")
+    reads_ = view(spark, sf, "traces").filter("event_type = 'memory_consumed'")
+    return quality.check_unique(memories, "memories", ["namespace", "source_id"]).unionByName(quality.check_foreign(reads_, "traces", "trace_uuid", "ref", memories.filter("status = 'approved'"), "uuid"))
+
+
+@query("SELECT 'memories' AS \"table\", CAST(uuid AS VARCHAR) AS key, 'content hash' AS rule FROM {memories} WHERE uuid % 7 = 3")
+def k4_check_content_hash(spark, sf):
+    stored = view(spark, sf, "memories").withColumn("content_hash", F.when(F.col("uuid") % 7 == 3, "0").otherwise(F.sha2("content", 256)))
+    return quality.check_content_hash(stored, "memories", "uuid")
+
+
+@query("SELECT 'memories' AS \"table\", CAST(uuid AS VARCHAR) AS key, 'changed or lost' AS rule FROM {memories} WHERE uuid % 11 = 2 OR (uuid % 13 = 4 AND status <> 'approved')")
+def k6_check_append_only(spark, sf):
+    old = view(spark, sf, "memories").select("uuid", "status", "version")
+    new = old.filter("uuid % 11 <> 2").withColumn("status", F.when(F.col("uuid") % 13 == 4, "approved").otherwise(F.col("status")))
+    return quality.check_append_only(old, new, "memories", "uuid")
+
+
+def _rule(rule_id: str) -> str:
+    return next(r.pattern for r in DEFAULT.rules if r.id == rule_id).replace("'", "''")
+
+
+_TEXT_RULES = [r for r in DEFAULT.rules if r.matcher == "regex"]
+_MATCHED = " UNION ALL ".join(f"SELECT doc_id, '{r.id}' AS rule_id, len(regexp_extract_all(text, '{_rule(r.id)}')) AS n FROM documents" for r in _TEXT_RULES)
+
+
+@query(f"SELECT rule_id, CAST(sum(n) AS BIGINT) AS n_matches, count(*) AS n_documents FROM ({_MATCHED}) WHERE n > 0 GROUP BY rule_id")
+def c1_rule_matches(spark, sf):
+    spans = view(spark, sf, "documents").select("doc_id", F.explode(redact.rule_matches(F.coalesce("text", F.lit("")))).alias("s"))
+    return spans.groupBy(F.col("s.rule_id").alias("rule_id")).agg(F.count("*").alias("n_matches"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{_rule('sensitive-assignment')}', '[REDACTED:sensitive-assignment]', 'g') AS redacted FROM documents")
+def c6_redact_text(spark, sf):
+    only = DEFAULT._replace(rules=tuple(r for r in DEFAULT.rules if r.id == "sensitive-assignment"))
+    return redact.redact_text(view(spark, sf, "documents"), "text", only, decode=False).select("doc_id", "redacted")
+
+
+@query()
+def c4_redact_with_decoding(spark, sf):
+    return redact.redact_text(view(spark, sf, "documents"), "text").select("doc_id", "redacted", F.col("scan.status").alias("status"), F.array_join("scan.rule_ids", ",").alias("rule_ids"), F.col("scan.redaction_count").alias("redaction_count"))
+
+
+@query(f"SELECT source, 'sensitive-assignment' AS rule_id, count(*) AS n FROM documents WHERE regexp_matches(text, '{_rule('sensitive-assignment')}') GROUP BY source")
+def c15_redaction_report(spark, sf):
+    return redact.redaction_report(redact.redact_text(view(spark, sf, "documents"), "text", decode=False), ["source"])
+
+
+@query(f"SELECT d.doc_id, NOT ({' OR '.join(f'''regexp_matches(text, '{_rule(r.id)}')''' for r in _TEXT_RULES)}) AS accepted FROM documents AS d")
+def c12_reject_unsafe(spark, sf):
+    ok, bad = redact.reject_unsafe(view(spark, sf, "documents").select("doc_id", "text"), ["text"])
+    return ok.select("doc_id", F.lit(True).alias("accepted")).unionByName(bad.select("doc_id", F.lit(False).alias("accepted")))
+
+
+@query("""SELECT event_id, chr(123) || '"k":"' || CASE WHEN event_id % 3 = 0 THEN '[OMITTED:sensitive_field_scalar]' ELSE (props::JSON->>'k') END || '"' || chr(125) AS redacted FROM events""")
+def c8_redact_fields(spark, sf):
+    rows = view(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit('"k"'), F.lit('"api_key"'))).otherwise(F.col("props")).alias("props"))
+    return redact.redact_fields(rows, "props").select("event_id", F.replace("redacted", F.lit('"api_key"'), F.lit('"k"')).alias("redacted"))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS \"table\", CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS rule FROM {memories} WHERE false")
+def k7_check_no_secret(spark, sf):
+    stored = redact.redact_text(view(spark, sf, "memories"), "content", decode=False).select("uuid", "redacted")
+    return quality.check_no_secret(stored, "memories", "uuid", ["redacted"])
+
+
+_POLICY = {
+    "allowed": ["*/7*", "fr/82?"],
+    "overrides": [("blog.tiontion.example.com/en/853", "team/blog"), ("ththin.example.com/en/671", "team/special")],
+    "directories": [("/en", "area/en"), ("/en/4", "area/en4"), ("/es", "area/es"), ("/fr", "area/fr")],
+}
+
+
+def _policies(spark: SparkSession) -> DataFrame:
+    rows = [("b", 1, [], [], []), ("b", 2, _POLICY["allowed"], _POLICY["overrides"], _POLICY["directories"])]
+    kind = "binding string, policy_version long, allowed_repository_patterns array<string>, remote_overrides array<struct<remote:string,target:string>>, directory_routes array<struct<directory:string,target:string>>"
+    return routing.latest_policy(spark.createDataFrame(rows, kind))
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "evidence")
+    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1), "/", "/")
+    remote = F.struct(F.when(F.col("stream") % 2 == 0, "origin").otherwise("fork").alias("name"), F.col("url"))
+    return rows.select("stream", F.lit("b").alias("binding"), F.when(F.col("stream") % 3 > 0, path).alias("working_directory"), F.array(remote).alias("remotes"), (F.col("stream") % 10 == 9).alias("dirty"))
+
+
+_REMOTE = """
+parts AS (SELECT page_id AS stream, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS path FROM pages),
+segments AS (SELECT *, [x for x in string_split(path, '/') if x <> ''] AS s FROM parts),
+remotes AS (SELECT stream, path, CASE WHEN len(s) >= 2 THEN lower(host || '/' || s[-2] || '/' || regexp_replace(s[-1], '(?i)\\.git$', '')) END AS remote FROM segments)"""
+
+
+@query(f"WITH {_REMOTE.strip()} SELECT stream, remote FROM remotes".replace("\\\\", "\\"))
+def f1_normalize_remote(spark, sf):
+    return view(spark, sf, "evidence").select("stream", routing.normalize_remote(F.col("url")).alias("remote"))
+
+
+_OVERRIDES = ", ".join(f"('{r}', '{t}')" for r, t in _POLICY["overrides"])
+_DIRECTORIES = ", ".join(f"('{r}', '{t}')" for r, t in _POLICY["directories"])
+
+
+@query(f"""WITH {_REMOTE.strip()},
+clean AS (SELECT *, regexp_extract(remote, '([^/]+/[^/]+)$', 1) AS repo, regexp_replace(path, '(.)/$', '\\1') AS d FROM remotes WHERE stream % 10 <> 9),
+r0 AS (SELECT c.stream, o.t FROM clean AS c JOIN (VALUES {_OVERRIDES}) AS o(r, t) ON o.r = c.remote),
+r1 AS (SELECT stream, 'repo/' || repo AS t FROM clean WHERE stream % 2 = 0 AND regexp_matches(repo, '^[^/]*/7[^/]*$')),
+r2 AS (SELECT c.stream, arg_max(o.t, length(o.r)) AS t FROM clean AS c JOIN (VALUES {_DIRECTORIES}) AS o(r, t) ON c.d = o.r OR starts_with(c.d, o.r || '/') WHERE c.stream % 3 > 0 GROUP BY 1)
+SELECT p.page_id AS stream, coalesce(r0.t, r1.t, r2.t, 'capture/unscoped') AS namespace,
+       CASE WHEN r0.t IS NOT NULL THEN 'override' WHEN r1.t IS NOT NULL THEN 'origin' WHEN r2.t IS NOT NULL THEN 'directory' ELSE 'fallback' END AS basis
+FROM pages AS p LEFT JOIN r0 ON r0.stream = p.page_id LEFT JOIN r1 ON r1.stream = p.page_id LEFT JOIN r2 ON r2.stream = p.page_id""".replace("\\\\", "\\"))
+def f5_resolve_route(spark, sf):
+    return routing.resolve_route(_evidence(spark, sf), _policies(spark))
+
+
+@query("""WITH f AS (SELECT stream, arg_min(namespace, source_position * 1000 + ingest % 1000) AS ns FROM (SELECT conv_id AS stream, turn AS source_position, conv_id * 100 + turn AS ingest, 'repo/' || role AS namespace FROM conversations) GROUP BY 1)
+SELECT stream, CASE WHEN stream % 4 = 0 THEN 'held' ELSE ns END AS namespace, CASE WHEN stream % 4 = 0 THEN 'established' ELSE 'origin' END AS basis FROM f""")
+def f6_first_route_wins(spark, sf):
+    routes = view(spark, sf, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("source_position"), (F.col("conv_id") * 100 + F.col("turn")).alias("ingest"), F.concat(F.lit("repo/"), "role").alias("namespace"), F.lit("origin").alias("basis"))
+    streams = routes.select("stream").distinct().withColumn("namespace", F.when(F.col("stream") % 4 == 0, "held"))
+    return routing.first_route_wins(routes, streams)
+
+
+@query("SELECT DISTINCT 'repo/' || role AS name FROM conversations WHERE role <> 'user'")
+def f9_ensure_namespaces(spark, sf):
+    routes = view(spark, sf, "conversations").select(F.concat(F.lit("repo/"), "role").alias("namespace"))
+    return routing.ensure_namespaces(routes, spark.createDataFrame([("repo/user",)], "name string"))
+
+
+def _signed(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("native_id", "locator").withColumn("content_signature", F.sha2(F.coalesce("payload", F.lit("")), 256))
+
+
+@query("""WITH held AS (SELECT stream, max(source_position) FILTER (WHERE source_position = n) AS c FROM
+(SELECT stream, source_position, row_number() OVER (PARTITION BY stream ORDER BY source_position) - 1 AS n FROM {observations}) GROUP BY 1)
+SELECT stream, coalesce(c, -1) AS checkpoint FROM held""")
+def e5_contiguous_checkpoint(spark, sf):
+    return ingest.contiguous_checkpoint(view(spark, sf, "observations"))
+
+
+@query("""
+WITH held AS (SELECT stream, source_position, native_id, sha256(coalesce(payload, '')) AS sig FROM {observations}),
+marks AS (SELECT stream, coalesce(max(source_position) FILTER (WHERE source_position = n), -1) AS c FROM
+          (SELECT stream, source_position, row_number() OVER (PARTITION BY stream ORDER BY source_position) - 1 AS n FROM held) GROUP BY 1),
+judged AS (SELECT b.stream, b.source_position, b.native_id, coalesce(k.c, -1) AS c,
+                  CASE WHEN h.sig = sha256(coalesce(b.payload, '')) THEN 'already_accepted' WHEN h.sig IS NOT NULL THEN 'accepted_source_conflict' WHEN p.stream IS NOT NULL THEN 'accepted_source_conflict' END AS j
+           FROM {batch} AS b LEFT JOIN held AS h ON h.stream = b.stream AND h.native_id = b.native_id
+           LEFT JOIN held AS p ON p.stream = b.stream AND p.source_position = b.source_position LEFT JOIN marks AS k ON k.stream = b.stream)
+SELECT stream, source_position, native_id AS locator,
+       coalesce(j, CASE WHEN source_position = c + row_number() OVER (PARTITION BY stream, j IS NULL ORDER BY source_position) THEN 'new' ELSE 'blocked_by_earlier_gap' END) AS status FROM judged""")
+def e4_import_receipts(spark, sf):
+    found = ingest.import_receipts(_signed(view(spark, sf, "batch")), _signed(view(spark, sf, "observations")))
+    return found.select("stream", "source_position", "locator", "status")
+
+
+@query("SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS source_position FROM events")
+def e6_backfill_positions(spark, sf):
+    return ingest.backfill_positions(view(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", "source_position")
+
+
+@query("""WITH h AS (SELECT doc_id, sha256('memory' || chr(31) || CAST(doc_id AS VARCHAR) || chr(31) || source) AS h FROM documents)
+SELECT doc_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-8' || substring(h, 14, 3) || '-' || substring('89ab', CAST((instr('0123456789abcdef', substring(h, 17, 1)) - 1) % 4 AS INT) + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS id FROM h""")
+def e2_deterministic_id(spark, sf):
+    return view(spark, sf, "documents").select("doc_id", ids.deterministic_id("memory", F.col("doc_id"), F.col("source")).alias("id"))
+
+
+@query()
+def e1_content_signature(spark, sf):
+    pads = ids.hmac_pads(spark, {f"b{k}": f"key {k}".encode() for k in range(5)})
+    rows = view(spark, sf, "conversations").withColumn("binding", F.concat(F.lit("b"), F.col("conv_id") % 5))
+    return ids.content_signature(rows, pads, "binding", "conv_id", "role", "text").select("conv_id", "turn", "content_signature")
+
+
+@query("""SELECT stream, min(source_position) AS first_changed_position FROM (SELECT conv_id AS stream, turn AS source_position FROM conversations WHERE (conv_id + turn) % 17 = 3 AND text IS NOT NULL UNION ALL SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 23 = 7) GROUP BY 1""")
+def e11_prefix_evidence(spark, sf):
+    hashed = lambda df: df.select("stream", "source_position", F.sha2(F.coalesce("payload", F.lit("")), 256).alias("record_sha256"))
+    old = view(spark, sf, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("source_position"), F.col("text").alias("payload"))
+    return ingest.prefix_evidence(hashed(old), hashed(view(spark, sf, "batch").filter("(stream + source_position) % 23 <> 7")))
+
+
+@query("SELECT stream, source_position, actor, CAST(row_number() OVER (PARTITION BY stream ORDER BY source_position) AS INT) AS ordinal FROM {observations}")
+def g2_replay_stream(spark, sf):
+    return reads.replay_stream(view(spark, sf, "observations"), order=("source_position",)).select("stream", "source_position", "actor", "ordinal")
+
+
+@query("SELECT session_id, trace_uuid, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, trace_uuid) AS INT) AS ordinal FROM {traces}")
+def g3_replay_session(spark, sf):
+    return reads.replay_session(view(spark, sf, "traces")).select("session_id", "trace_uuid", "ordinal")
+
+
+def _graph(spark, sf):
+    streams = view(spark, sf, "conversations").select(F.col("conv_id").alias("stream")).distinct()
+    name = F.when(F.col("stream") % 10 == 8, F.col("stream") - 1).otherwise(F.col("stream")).cast("string")  # two streams claim one id
+    streams = streams.select("stream", F.lit("b").alias("binding"), name.alias("external_session_id"), F.lit(None).cast("string").alias("child_id"), F.concat(F.lit("ns"), F.col("stream") % 5).alias("namespace"))
+    edges = view(spark, sf, "edges").select(F.col("source").alias("stream"), F.col("relationship").alias("relationship_type"), F.when(F.col("source") % 4 == 0, F.col("target")).alias("target_stream"), F.col("target").cast("string").alias("native_id"))
+    return edges, streams
+
+
+_GRAPH = """streams AS (SELECT DISTINCT conv_id AS stream, CASE WHEN conv_id % 10 = 8 THEN conv_id - 1 ELSE conv_id END AS native, conv_id % 5 AS ns FROM conversations),
+claims AS (SELECT native, count(*) AS n, min(stream) AS stream, min(ns) AS ns FROM streams GROUP BY 1),
+edges2 AS (SELECT e.source, e.relationship, e.target, CASE WHEN e.source % 4 = 0 THEN s.stream WHEN c.n = 1 THEN c.stream END AS t, CASE WHEN e.source % 4 = 0 THEN s.ns WHEN c.n = 1 THEN c.ns END AS ns,
+           CASE WHEN e.source % 4 = 0 THEN s.stream IS NULL ELSE c.n IS NULL END AS lost
+           FROM {edges} AS e LEFT JOIN streams AS s ON s.stream = e.target LEFT JOIN claims AS c ON c.native = e.target)"""
+
+
+@query(f"""WITH {_GRAPH}, o AS (SELECT source AS session, 'outgoing' AS direction, CASE WHEN coalesce(ns < 3, false) THEN 'available' ELSE 'unavailable' END AS availability, relationship, CAST(target AS VARCHAR) AS native_id, CASE WHEN ns < 3 THEN t END AS related FROM edges2)
+SELECT session, direction, availability, relationship, native_id, CAST(related AS VARCHAR) AS related FROM o
+UNION ALL SELECT o.related, 'incoming', o.availability, o.relationship, o.native_id, CAST(o.session AS VARCHAR) FROM o JOIN streams AS s ON s.stream = o.session WHERE o.availability = 'available' AND s.ns < 3""")
+def g6_session_edges(spark, sf):
+    edges, streams = _graph(spark, sf)
+    allowed = ["ns0", "ns1", "ns2"]
+    found = reads.outgoing_edges(edges, streams, allowed).unionByName(reads.incoming_edges(edges, streams, allowed))
+    return found.withColumn("related", F.col("related").cast("string"))
+
+
+@query(f"WITH {_GRAPH} SELECT source AS stream, relationship AS relationship_type, CASE WHEN source % 4 = 0 THEN CAST(target AS VARCHAR) END AS target_stream, CAST(target AS VARCHAR) AS native_id FROM edges2 WHERE lost")
+def g7_dangling_edges(spark, sf):
+    return reads.dangling_edges(*_graph(spark, sf)).withColumn("target_stream", F.col("target_stream").cast("string"))
+
+
+@query("""SELECT c.conv_id AS stream, CAST(c.turn AS VARCHAR) AS call_id, c.role AS tool, CASE WHEN r.turn IS NULL THEN 'incomplete' ELSE 'succeeded' END AS outcome FROM conversations AS c
+LEFT JOIN conversations AS r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant' WHERE c.role = 'user'""")
+def g8_pair_tool_calls(spark, sf):
+    turns = view(spark, sf, "conversations")
+    calls = turns.filter("role = 'user'").select(F.col("conv_id").alias("stream"), F.col("turn").cast("string").alias("call_id"), F.col("role").alias("tool"))
+    results = turns.filter("role = 'assistant'").select(F.col("conv_id").alias("stream"), (F.col("turn") - 1).cast("string").alias("call_id"), F.lit("succeeded").alias("outcome"))
+    return reads.pair_tool_calls(calls, results)
+
+
+_BANDS = ((1000, "small"), (3000, "middle"), (10_000, "large"))
+
+
+def _outcomes(spark, sf):
+    docs = fidelity.omit_over_limit(view(spark, sf, "documents"), "text", 4000)
+    docs = fidelity.classify_fidelity(docs.withColumn("harness", fidelity.harness_norm(F.when(F.col("doc_id") % 3 == 0, "Codex CLI").when(F.col("doc_id") % 3 == 1, "claude-code").otherwise("x"))))
+    return docs.withColumn("size_band", fidelity.size_band(F.coalesce("original_bytes", F.octet_length("text").cast("long")), _BANDS))
+
+
+@query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude_code' ELSE 'other' END AS harness, CASE WHEN strlen(text) > 4000 THEN 'fidelity_omission' ELSE 'captured' END AS class,
+CASE WHEN strlen(text) > 4000 THEN 'transport_limit' ELSE 'complete' END AS reason,
+CASE WHEN text IS NULL THEN 'unknown' WHEN strlen(text) <= 1000 THEN 'small' WHEN strlen(text) <= 3000 THEN 'middle' WHEN strlen(text) <= 10000 THEN 'large' ELSE 'over_limit' END AS size_band, count(*) AS count FROM documents GROUP BY ALL""")
+def d6_summarize_outcomes(spark, sf):
+    rows = _outcomes(spark, sf)
+    halves = [fidelity.summarize_outcomes(rows.filter(f"doc_id % 2 = {k}")) for k in (0, 1)]
+    return fidelity.merge_outcomes(*halves)
+
+
+@query("""SELECT source, 'healthy' AS health, CASE WHEN bool_or(strlen(text) > 4000) THEN 'degraded' ELSE 'complete' END AS fidelity FROM documents GROUP BY 1""")
+def d8_health_fidelity(spark, sf):
+    return fidelity.health_fidelity(_outcomes(spark, sf), ("source",))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN NULL ELSE text END AS text, CASE WHEN strlen(text) > 4000 THEN CAST(strlen(text) AS BIGINT) ELSE 0 END AS original_bytes FROM documents")
+def d2_omit_over_limit(spark, sf):
+    return fidelity.omit_over_limit(view(spark, sf, "documents"), "text", 4000).select("doc_id", "text", F.coalesce("omission.original_bytes", F.lit(0)).alias("original_bytes"))
