@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, redact, text
 from ..functions.rules import DEFAULT
-from ..operators import fidelity, ingest, provenance, quality, reads, routing, search
+from ..operators import fidelity, ingest, lifecycle, normalize, provenance, quality, reads, routing, search
+from ..sources import transcripts
+from ..streaming import imports
 from .views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -434,3 +436,70 @@ def d8_health_fidelity(spark, sf):
 @query("SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN NULL ELSE text END AS text, CASE WHEN strlen(text) > 4000 THEN CAST(strlen(text) AS BIGINT) ELSE 0 END AS original_bytes FROM documents")
 def d2_omit_over_limit(spark, sf):
     return fidelity.omit_over_limit(view(spark, sf, "documents"), "text", 4000).select("doc_id", "text", F.coalesce("omission.original_bytes", F.lit(0)).alias("original_bytes"))
+
+
+def _records(spark, sf):
+    """Conversations as transcript records: messages, a tool call and its result, a broken line and a session's head."""
+    turns = view(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
+    message = F.concat(F.lit('{"timestamp":"2024-01-01T00:00:00Z","type":"response_item","cli_version":"1.0","payload":{"type":"message","role":'), quoted("role"), F.lit(',"content":[{"type":"input_text","text":'), quoted("text"), F.lit('},"more"]}}'))
+    call = F.concat(F.lit('{"type":"response_item","payload":{"type":"function_call","call_id":"c'), F.col("turn").cast("string"), F.lit('","name":"find","arguments":"{\\"q\\":1}"}}'))
+    result = F.concat(F.lit('{"type":"response_item","payload":{"type":"function_call_output","call_id":"c'), (F.col("turn") - 1).cast("string"), F.lit('","output":"x","status":"completed"}}'))
+    value = F.when(F.col("turn") % 5 == 3, call).when(F.col("turn") % 5 == 4, result).when((F.col("conv_id") + F.col("turn")) % 19 == 0, "not json").otherwise(message)
+    return turns.select(F.col("conv_id").alias("stream"), F.col("turn").alias("source_position"), value.alias("value"))
+
+
+_KIND = "CASE WHEN turn % 5 = 3 THEN 'call' WHEN turn % 5 = 4 THEN 'result' WHEN (conv_id + turn) % 19 = 0 THEN 'broken' ELSE 'message' END"
+
+
+@query(f"""WITH r AS (SELECT conv_id AS stream, turn AS source_position, role, coalesce(text, '') AS text, {_KIND} AS k FROM conversations)
+SELECT stream, source_position, 'content/0:message' AS part_key, 'message' AS kind, CASE WHEN role IN ('user', 'assistant', 'system', 'developer', 'tool') THEN role ELSE 'unknown' END AS actor, text FROM r WHERE k = 'message'
+UNION ALL SELECT stream, source_position, 'content/1:message', 'message', CASE WHEN role IN ('user', 'assistant', 'system', 'developer', 'tool') THEN role ELSE 'unknown' END, 'more' FROM r WHERE k = 'message'
+UNION ALL SELECT stream, source_position, 'tool_call:c' || source_position, 'tool_call', 'unknown', NULL FROM r WHERE k = 'call'
+UNION ALL SELECT stream, source_position, 'tool_result:c' || (source_position - 1), 'tool_result', 'unknown', NULL FROM r WHERE k = 'result'
+UNION ALL SELECT stream, source_position, 'malformed', 'opaque', 'unknown', NULL FROM r WHERE k = 'broken'""")
+def b5_normalize_events(spark, sf):
+    events = normalize.normalize(_records(spark, sf)).events
+    return events.select("stream", "source_position", "part_key", "kind", "actor", F.get_json_object("payload", "$.text").alias("text"))
+
+
+@query(f"SELECT conv_id AS stream, 'result_for' AS relationship_type, 'c' || (turn - 1) AS target_native_id, count(*) AS n FROM conversations WHERE {_KIND} = 'result' GROUP BY ALL")
+def b8_result_edges(spark, sf):
+    return normalize.normalize(_records(spark, sf)).relationships.groupBy("stream", "relationship_type", "target_native_id").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_KIND} <> 'broken' AS structured, count(*) AS n FROM conversations GROUP BY 1")
+def a6_classify_record(spark, sf):
+    return _records(spark, sf).groupBy((transcripts.classify_record(F.col("value")) == "structured").alias("structured")).agg(F.count("*").alias("n"))
+
+
+def _reviewed(spark, sf):
+    m = view(spark, sf, "memories")
+    return m.select(F.col("uuid").cast("string").alias("uuid"), "namespace", "visibility", "status", F.col("supersedes").cast("string").alias("supersedes"), "source_type", "source_id", "version")
+
+
+@query("""WITH c AS (SELECT uuid, visibility = 'shared' AND status = 'proposed' AS ok, uuid % 3 AS a, supersedes FROM {memories} WHERE uuid % 3 < 2),
+gone AS (SELECT DISTINCT supersedes AS uuid FROM c WHERE ok AND a = 0 AND supersedes IS NOT NULL)
+SELECT CAST(m.uuid AS VARCHAR) AS uuid, CASE WHEN g.uuid IS NOT NULL THEN 'superseded' WHEN c.ok AND c.a = 0 THEN 'approved' WHEN c.ok THEN 'rejected' ELSE m.status END AS status
+FROM {memories} AS m LEFT JOIN c USING (uuid) LEFT JOIN gone AS g USING (uuid)""")
+def j10_apply_reviews(spark, sf):
+    memories = _reviewed(spark, sf)
+    k = F.col("uuid").cast("long") % 3
+    commands = memories.filter(k < 2).select(F.lit(1).alias("seq"), "uuid", F.when(k == 0, "approve").otherwise("reject").alias("action"), F.lit("ann").alias("actor"), F.lit("why").alias("reason"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
+    return lifecycle.apply_reviews(commands, memories)[0].select("uuid", "status")
+
+
+@query("""SELECT CAST(uuid AS VARCHAR) AS uuid, CASE WHEN status = 'approved' AND uuid % 2 = 0 THEN 'retired' ELSE status END AS status FROM {memories}""")
+def j12_apply_retirements(spark, sf):
+    memories = _reviewed(spark, sf)
+    commands = memories.select(F.lit(1).alias("seq"), "uuid", F.lit("retire").alias("action"), F.lit("ann").alias("actor"), F.when(F.col("uuid").cast("long") % 2 == 0, "old").alias("reason"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
+    return lifecycle.apply_reviews(commands, memories)[0].select("uuid", "status")
+
+
+@query("""SELECT conv_id AS stream, turn AS source_position, role AS title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) WHERE n = turn""")
+def h1_stream_import(spark, sf):
+    """Two arrivals of the conversations, odd turns first: what waited for a gap is accepted once it is closed."""
+    rows = view(spark, sf, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("source_position"), F.concat(F.lit("n"), "turn").alias("locator"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_signature"), F.col("role").alias("payload"), F.col("turn").alias("ingest"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    ledger = imports.run_import(spark, [rows.filter("source_position % 2 = 1"), rows.filter("source_position % 2 = 0"), rows.limit(0)], folder)
+    return ledger.select("stream", "source_position", F.col("payload").alias("title"))
