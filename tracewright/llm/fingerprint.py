@@ -69,6 +69,7 @@ def parse(symbols: np.ndarray, off: np.ndarray, level: int) -> tuple[np.ndarray,
     small = label.astype(np.int8)
     cut = np.zeros(n, bool)
     cut[1:-1] = (small[1:-1] > small[:-2]) & (small[1:-1] >= small[2:])
+    cut[off[1:][off[1:] > off[:-1]] - 1] = False  # a text's last symbol has no next one
     starts = np.flatnonzero(_starts(cut, off))
     ends = np.append(starts[1:], n)
     power, inverse = _up_to(n)
