@@ -29,6 +29,7 @@ SHARE, HEAVY = 2e-5, 1 << 16
 #: Bytes of text in a block, and words that a bucket is meant to hold.
 BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 2_000_000
 _M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+_codecs: list = []
 _U1, _U2 = (np.uint64(pow(m, -1, 1 << 64)) for m in (_M1, _M2))
 
 
@@ -42,19 +43,25 @@ def unmix(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(x: np.ndarray, sorted_: bool = False) -> bytes:
-    """Numbers as their differences (if sorted), byte by byte, compressed."""
+    """Numbers as their differences (if sorted), byte by byte, compressed if there are many."""
     import zstandard
 
     x = np.diff(x, prepend=x.dtype.type(0)) if sorted_ else x
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+    if len(raw) < 256:
+        return b"\0" + raw
+    if not _codecs:
+        _codecs.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return b"\1" + _codecs[0].compress(raw)
 
 
 def _unpack(data: bytes, kind, sorted_: bool = False) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(kind).itemsize
-    x = np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
+    if not _codecs:
+        _codecs.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    raw = np.frombuffer(_codecs[1].decompress(data[1:]) if data[:1] == b"\1" else data[1:], np.uint8)
+    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
     return np.cumsum(x, dtype=kind) if sorted_ else x
 
 
@@ -71,13 +78,26 @@ class Counts:
     pair_count: np.ndarray
     bits: int
 
+    def __post_init__(self):
+        self.word_bits, self.pair_bits = _bits(self.words), _bits(self.pairs)
 
-def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """Which leading 20 bits occur."""
+    out = np.zeros(1 << 20, bool)
+    out[keys >> np.uint64(44)] = True
+    return out
+
+
+def _place(keys: np.ndarray, bits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where wanted hashes stand among sorted keys; -1 if absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    out = np.full(len(wanted), -1, np.int64)
+    if len(keys):
+        may = np.flatnonzero(bits[wanted >> np.uint64(44)])
+        x = wanted[may]
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        out[may] = np.where(keys[at] == x, at, -1)
+    return out
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -104,11 +124,12 @@ def _candidates(batches):
     for _, _, hashes, off in _blocks(batches):
         v, w, _ = _couples(hashes, off)
         least = max(2, int(SHARE * len(hashes)))
-        keys, n = np.unique(_pair(v, w), return_counts=True)
+        pair = _pair(v, w)
+        keys, n = np.unique(pair, return_counts=True)
         often = n >= least
         known = keys[often]
-        hit = np.flatnonzero(_place(known, _pair(v, w)) >= 0)
-        firsts = np.unique(_pair(v[hit], w[hit]), return_index=True)[1] if len(hit) else np.zeros(0, np.int64)
+        hit = np.flatnonzero(_place(known, _bits(known), pair) >= 0)
+        firsts = np.unique(pair[hit], return_index=True)[1]
         words, m = np.unique(hashes, return_counts=True)
         many = m >= least
         rows = [(0, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([len(hashes)])), (1, words[many], words[many], m[many]), (2, v[hit][firsts], w[hit][firsts], n[often])]
@@ -118,13 +139,14 @@ def _candidates(batches):
 
 def _exact(words: np.ndarray, pairs: np.ndarray):
     def run(batches):
+        bits = [_bits(words), _bits(words), _bits(pairs)]
         for _, _, hashes, off in _blocks(batches):
             v, w, _ = _couples(hashes, off)
             for kind, keys, values in ((0, words, hashes), (1, words, v), (2, pairs, _pair(v, w))):
-                at = _place(keys, values)
-                n = np.bincount(at[at >= 0], minlength=len(keys))
-                hit = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), kind, np.int32)), pa.array(hit), pa.array(n[hit].astype(np.int64))], names=["kind", "at", "n"])
+                seen, n = np.unique(values, return_counts=True)
+                at = _place(keys, bits[kind], seen)
+                hit = at >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(hit.sum()), kind, np.int32)), pa.array(at[hit]), pa.array(n[hit].astype(np.int64))], names=["kind", "at", "n"])
 
     return run
 
@@ -168,16 +190,16 @@ def _batches(rows: list[tuple]):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 256], strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _entries(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First rows and lengths of runs of equal keys in an order."""
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+def _entries(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each key and document, in order of the key, and how often they come together."""
+    both = _pair(key, doc.astype(np.uint64))
+    order = np.argsort(both)
+    new = np.ones(len(order), bool)
+    new[1:] = both[order[1:]] != both[order[:-1]]
     first = np.flatnonzero(new)
-    return order[first], np.diff(np.append(first, len(order)))
+    at, n = order[first], np.diff(np.append(first, len(order)))
+    sort = np.argsort(key[at])
+    return at[sort], n[sort]
 
 
 def _explode_pairs(held):
@@ -188,24 +210,23 @@ def _explode_pairs(held):
         for block, _, hashes, off in _blocks(batches):
             v, w, doc = _couples(hashes, off)
             pair, value, rows = _pair(v, w), np.zeros(len(off) - 1), []
-            order = np.lexsort((doc, pair))
-            at, n = _entries(order, pair, doc)
+            at, n = _entries(pair, doc)
             v, w, doc, pair = v[at], w[at], doc[at], pair[at]
-            known = _place(c.pairs, pair)
+            known = _place(c.pairs, c.pair_bits, pair)
             ours = known >= 0
             if ours.any():
                 others = c.pair_count[known[ours]] - n[ours]
-                iv, iw = _place(c.words, v[ours]), _place(c.words, w[ours])
+                iv, iw = _place(c.words, c.word_bits, v[ours]), _place(c.words, c.word_bits, w[ours])
                 gain = np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(c.as_context[iv]) - _fallback(c, c.count[iw]), 0.0)
                 value += np.bincount(doc[ours], gain * n[ours], minlength=len(value))
             rows.append(_sums(block, value))
             v, w, doc, pair, n = v[~ours], w[~ours], doc[~ours], pair[~ours], n[~ours]
-            context = _place(c.words, v)
+            context = _place(c.words, c.word_bits, v)
             often = context >= 0
             i = np.flatnonzero(often)  # in order of their hash
             rows += _travel(block, _OFTEN, c.bits, pair[i], context[i].astype(np.uint32), doc[i], n[i])
             i = np.flatnonzero(~often)
-            i = i[np.lexsort((w[i], v[i]))]
+            i = i[np.argsort(v[i])]
             rows += _travel(block, _RARE, c.bits, v[i], w[i], doc[i], n[i])
             yield from _batches(rows)
 
@@ -220,10 +241,9 @@ def _explode_words(held):
         for block, _, hashes, off in _blocks(batches):
             size = np.diff(off)
             doc = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((doc, hashes))
-            at, n = _entries(order, hashes, doc)
+            at, n = _entries(hashes, doc)
             w, doc = hashes[at], doc[at]
-            known = _place(c.words, w)
+            known = _place(c.words, c.word_bits, w)
             ours = known >= 0
             value = np.bincount(doc[ours], n[ours] * _fallback(c, c.count[known[ours]]), minlength=len(size)) - np.where(size > 0, np.log(ALPHA), 0.0)
             yield from _batches([_sums(block, value), *_travel(block, _WORD, c.bits, w[~ours], np.zeros(int((~ours).sum()), np.uint8), doc[~ours], n[~ours])])
@@ -260,6 +280,17 @@ def _gather(rows: list[tuple], kind, b_kind) -> tuple[np.ndarray, ...]:
     return join(a, np.uint64), join(b, b_kind), block, join(doc, np.uint32).astype(np.int64), join(n, np.uint32).astype(np.int64)
 
 
+def _gather_seen(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    parts = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for r in rows:
+        if r[2] == _SEEN:
+            where = _unpack(r[5], np.uint64)
+            blocks = _unpack(r[4], np.uint64, True).astype(np.int64)
+            for part, x in zip(parts, (_unpack(r[3], np.uint64, True), blocks[where >> np.uint64(32)], (where & np.uint64(0xFFFFFFFF)).astype(np.int64), _unpack(r[6], np.uint32).astype(np.int64)), strict=True):
+                part.append(x)
+    return tuple(map(np.concatenate, parts))
+
+
 def _runs(block: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of equal numbers in a sorted array."""
     edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
@@ -302,15 +333,19 @@ def _count_pairs(held):
             w, block, doc, n, others, context = (np.concatenate(x) for x in zip(*parts, strict=True))
             seen = others > 0
             w, block, doc, n, others, context = (x[seen] for x in (w, block, doc, n, others, context))
-            known = _place(c.words, w)
+            known = _place(c.words, c.word_bits, w)
             gain = n * (np.log(others) - np.log(context) - np.where(known >= 0, _fallback(c, c.count[known] if len(c.words) else n), 0.0))
             out = _by_block(block, doc, gain)
             rare = known < 0
             w, block, doc, n = w[rare], block[rare], doc[rare], n[rare]
-            order = np.lexsort((w, block))
+            order = np.argsort(w)
             w, block, doc, n = (x[order] for x in (w, block, doc, n))
-            for i, j in _runs(block):
-                out += _travel(int(block[i]), _SEEN, c.bits, w[i:j], np.zeros(j - i, np.uint8), doc[i:j], n[i:j])
+            edges = np.searchsorted(w >> np.uint64(64 - c.bits), np.arange((1 << c.bits) + 1, dtype=np.uint64))
+            for k in np.flatnonzero(np.diff(edges)):  # of all blocks together
+                i, j = edges[k], edges[k + 1]
+                blocks, number = np.unique(block[i:j], return_inverse=True)
+                where = (number.astype(np.uint64) << np.uint64(32)) | doc[i:j].astype(np.uint64)
+                out.append((int(k), -1, _SEEN, _pack(w[i:j], True), _pack(blocks.astype(np.uint64), True), _pack(where), _pack(n[i:j].astype(np.uint32))))
             yield from _batches(out)
 
         yield from _bucketed(batches, bucket)
@@ -326,11 +361,11 @@ def _count_words(held):
 
         def bucket(rows):
             w, _, block, doc, n = _gather(rows, _WORD, np.uint8)
-            x, _, x_block, x_doc, x_n = _gather(rows, _SEEN, np.uint8)
+            x, x_block, x_doc, x_n = _gather_seen(rows)
             if len(w):
                 keys, inverse = np.unique(w, return_inverse=True)
                 total = np.bincount(inverse, n, minlength=len(keys))
-                value = np.concatenate([n, -x_n]) * _fallback(c, np.concatenate([total[inverse], total[_place(keys, x)]]))
+                value = np.concatenate([n, -x_n]) * _fallback(c, np.concatenate([total[inverse], total[np.searchsorted(keys, x)]]))
                 yield from _batches(_by_block(np.concatenate([block, x_block]), np.concatenate([doc, x_doc]), value))
 
         yield from _bucketed(batches, bucket)
