@@ -76,7 +76,7 @@ def _decoded(run: Column, kind: str) -> list[Column]:
         return [latin(F.unhex(even(run))), latin(F.unhex(even(F.substring(run, F.lit(2), F.char_length(run)))))]
     if kind == "percent":
         return [latin(F.unhex(F.replace(run, F.lit("%"), F.lit(""))))]
-    plain = F.translate(F.rtrim(F.lit("="), run), "-_", "+/")
+    plain = F.translate(F.rtrim(run, F.lit("=")), "-_", "+/")
     whole = F.substring(plain, F.lit(1), (F.char_length(plain) - F.when(F.char_length(plain) % 4 == 1, 1).otherwise(0)).cast("int"))
     return [latin(F.unbase64(F.rpad(whole, (F.ceil(F.char_length(whole) / 4) * 4).cast("int"), "=")))]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,8 +107,6 @@ def _stripped(value, found: list):
 def strip_binary(df: DataFrame, column: str) -> DataFrame:
     """df whose JSON has lost the bytes of its binary parts, each replaced by an exact account of them; `stripped_bytes` lists
     their sizes. Only rows that can hold a binary part are parsed; others, and texts that aren't JSON, pass as they are."""
-    import pandas as pd
-
     may = F.col(column).contains("binary_content") & F.col(column).contains("byte_payload")
 
     @F.pandas_udf("struct<text:string,sizes:array<long>>")

@@ -31,7 +31,7 @@ def locate_records(lines: DataFrame) -> DataFrame:
     rows = rows.withColumns({"byte_offset": F.col("__b") + F.coalesce(F.sum("__bytes").over(within), F.lit(0)), "source_position": F.col("__r") + F.coalesce(F.sum("__record").over(within), F.lit(0))})
     ended = F.col("byte_offset") + F.col("__bytes") <= F.col("file_size")
     rows = rows.filter("__record = 1").withColumn("is_terminated", ended)
-    whole = F.when(F.col("is_terminated"), F.concat(F.encode("value", "UTF-8"), F.encode(F.lit("\n"), "UTF-8"))).otherwise(F.encode("value", "UTF-8"))
+    whole = F.when(F.col("is_terminated"), F.concat(F.col("value").cast("binary"), F.lit(b"\n"))).otherwise(F.col("value").cast("binary"))
     return rows.select("file", "source_position", "byte_offset", (F.col("__bytes") - F.when(F.col("is_terminated"), 0).otherwise(1)).alias("byte_length"), F.sha2(whole, 256).alias("record_sha256"), "value", "is_terminated")
 
 
