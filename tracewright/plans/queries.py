@@ -106,14 +106,14 @@ def i5_index_statistics(spark, sf):
     return index.groupBy("namespace", "lexeme").agg(F.count("*").alias("n_memories"), F.sum(F.size("positions")).alias("n_places"))
 
 
-@query("""SELECT m.uuid, m.namespace, m.status, s.uuid AS superseded_by FROM {memories} AS m
+@query("""SELECT m.uuid, m.namespace, m.status, CAST(s.uuid AS VARCHAR) AS superseded_by FROM {memories} AS m
 LEFT JOIN (SELECT supersedes, arg_max(uuid, created_at) AS uuid FROM {memories} WHERE supersedes IS NOT NULL GROUP BY 1) AS s ON s.supersedes = m.uuid
-WHERE m.uuid % 50 = 0 AND m.namespace IN ('en', 'fr') AND (m.visibility = 'shared' OR m.agent_id = concat('agent', CAST(m.uuid % 3 AS STRING)))""")
+WHERE m.namespace IN ('en', 'fr') AND (m.visibility = 'shared' OR m.agent_id = concat('agent', CAST(m.uuid % 3 AS STRING)))""")
 def i14_lookup(spark, sf):
     memories = view(spark, sf, "memories")
-    asked = memories.filter("uuid % 50 = 0").select(F.col("uuid").alias("request_id"), F.concat(F.lit("agent"), (F.col("uuid") % 3).cast("string")).alias("agent_id"), F.array(F.lit("en"), F.lit("fr")).alias("namespaces"), "uuid")
+    asked = memories.select(F.col("uuid").alias("request_id"), F.concat(F.lit("agent"), (F.col("uuid") % 3).cast("string")).alias("agent_id"), F.array(F.lit("en"), F.lit("fr")).alias("namespaces"), "uuid")
     found, _ = search.lookup(asked, memories)
-    return found.select("uuid", "namespace", "status", "superseded_by")
+    return found.select("uuid", "namespace", "status", F.col("superseded_by").cast("string").alias("superseded_by"))
 
 
 @query("""SELECT t.session_id, t.trace_uuid, 'memory' AS kind, m.uuid AS item, m.source_id AS source FROM {traces} AS t JOIN {memories} AS m ON m.uuid = t.ref WHERE t.event_type = 'memory_consumed'
