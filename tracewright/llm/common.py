@@ -61,7 +61,7 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], comput
                 new = f(batch, batch.column(batch.schema.get_field_index(text)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(new[x.name] for x in fields)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +73,22 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data else np.zeros(0, np.uint8)), off - off[0]
 
 
+def tidied(run: Callable) -> Callable:
+    """run, after which a worker that waits for its next task gives the memory of its last one back."""
+
+    def inner(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return inner
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to about so many bytes, so that a worker holds little more than that besides what Spark hands it."""
     for batch in batches:

@@ -156,7 +156,7 @@ def _match(col: pa.Array, w: Windows, earlier: pa.Array | None) -> dict[str, pa.
     n_words, found = np.zeros(len(col), np.int64), [[] for _ in range(len(col))]
     if earlier is not None:
         found = [list(x or []) for x in earlier.to_pylist()]
-    for i, j, hashes, off in word_shards(col, ALNUM, 2 << 20):
+    for i, j, hashes, off in word_shards(col, ALNUM, 1 << 20):
         n_words[i:j] = np.diff(off)
         window, place = search(w.codes(hashes), off, w)
         if len(window):

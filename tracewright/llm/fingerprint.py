@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, staged
+from .common import join_small, staged, tidied
 from .words import mix
 
 #: Levels whose phrases count, and hashes that a fingerprint holds (8 hex digits each).
@@ -181,4 +181,4 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()], strict=True)], names=names)
 
     types = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_successors(docs, text, doc_id).mapInArrow(run, types)
+    return with_successors(docs, text, doc_id).mapInArrow(tidied(run), types)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, slices, staged
+from .common import join_small, slices, staged, tidied
 from .components import components
 from .words import SPACED, grams, mix, word_shards
 
@@ -39,7 +39,7 @@ _COLUMNS = 4096
 
 def shingle_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted different hashes of its runs of n words); a text of fewer words is one run, without words none."""
-    for i, j, hashes, off in word_shards(col, SPACED):
+    for i, j, hashes, off in word_shards(col, SPACED, 1 << 19):
         every = grams(hashes, n)
         for d in range(j - i):
             a, b = off[d], off[d + 1]
@@ -141,10 +141,10 @@ def _filtered(member: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     else:
         rows = member.join(large, "pivot", "left_anti").join(sketches, "node").withColumns(start | {"core": F.lit(0).cast("long")}).select(*columns)
         far = member.join(large, "pivot").join(sketches, "node").join(sketches.withColumnsRenamed({"node": "pivot", "n": "m", "sketch": "t"}), "pivot").select("pivot", "node", "n", "sketch", "m", "t")
-        far = staged(far.mapInArrow(_nearby(percent), "pivot long, node long, n long, sketch binary, core long"), "near").withColumns(start)
+        far = staged(far.mapInArrow(tidied(_nearby(percent)), "pivot long, node long, n long, sketch binary, core long"), "near").withColumns(start)
         rows = rows.unionByName(_blocks(far.select(*columns), _sizes(far), columns))
         near = far.filter("core <> 0").select("pivot", "node")
-    kept = rows.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell").mapInArrow(_kept(percent), "pivot long, node long")
+    kept = rows.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell").mapInArrow(tidied(_kept(percent)), "pivot long, node long")
     return (kept.unionByName(near) if near is not None else kept).distinct()
 
 
@@ -348,11 +348,11 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(s.view(np.int64) for _, s in shingle_sets(batch.column(0), n))]))], names=["s"])
 
-    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "s long")
+    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(tidied(sampled), "s long")
     often = few.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST).toArrow()
     frequent = sc.broadcast(np.sort(np.asarray(often.column("s")).astype(np.int64).view(np.uint64)))
 
-    sig = staged(docs.mapInArrow(_sketch(n, percent, frequent), f"doc_id {kind}, n_shingles long, node long, prefix array<long>, sketch binary"), "sketch")
+    sig = staged(docs.mapInArrow(tidied(_sketch(n, percent, frequent)), f"doc_id {kind}, n_shingles long, node long, prefix array<long>, sketch binary"), "sketch")
     at = sig.filter("prefix is not null").select("node", F.explode("prefix").alias("shingle")).repartition("shingle")
     leaders = at.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("__top")).filter(F.col("pivot") != F.col("__top")).drop("__top")
     member = staged(at.join(leaders, "shingle").select("pivot", "node").distinct(), "member")
@@ -364,7 +364,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     needed = staged(member.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")).join(classes, "node").select("rep", "node", "weight", "pivots"), "needed")
     ids = staged(needed.select("rep"), "ids").distinct()
     few_docs = docs.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = staged(needed.join(few_docs, F.col("rep").eqNullSafe(F.col("doc_id"))).select("rep", "node", "weight", "pivots", "text").mapInArrow(_sets(n), "node long, weight long, pivots array<long>, shingles array<long>"), "sets")
+    sets = staged(needed.join(few_docs, F.col("rep").eqNullSafe(F.col("doc_id"))).select("rep", "node", "weight", "pivots", "text").mapInArrow(tidied(_sets(n)), "node long, weight long, pivots array<long>, shingles array<long>"), "sets")
 
     counts = member.groupBy("pivot").count()
     large = staged(counts.filter(F.col("count") > LEAF).select("pivot"), "large")
@@ -374,7 +374,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     if any_large:
         shingles = sets.select("node", "shingles")
         far = member.join(large, "pivot").join(shingles, "node").join(shingles.withColumnsRenamed({"node": "pivot", "shingles": "at"}), "pivot")
-        far = staged(far.select("pivot", "node", "shingles", "at").mapInArrow(_distance, "pivot long, node long, distance double"), "distance")
+        far = staged(far.select("pivot", "node", "shingles", "at").mapInArrow(tidied(_distance), "pivot long, node long, distance double"), "distance")
         core = far.filter(F.col("distance") <= eps / 2 * (1 - 1e-9)).groupBy("node").agg(F.min("pivot").alias("core"))
         sets = staged(sets.join(core, "node", "left").withColumn("core", F.coalesce("core", F.lit(0).cast("long"))), "cored")
         leaves = small.join(sets, "node").withColumns(start).select(*_ROW)
@@ -385,7 +385,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
         extra = extra.join(mass, "root").select("node", (F.col("mass") - F.col("weight")).alias("links"), "root")
     else:
         leaves = small.join(sets, "node").withColumns(start | {"core": F.lit(0).cast("long")}).select(*_ROW)
-    found = leaves.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell").mapInArrow(_leaves(percent), "node long, links long, root long")
+    found = leaves.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell").mapInArrow(tidied(_leaves(percent)), "node long, links long, root long")
     found = staged(found.unionByName(extra) if extra is not None else found, "links")
 
     group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -407,7 +407,7 @@ def _smaller(shells: DataFrame, sets: DataFrame, eps: float) -> DataFrame:
     done = shells.join(outer.select(*key), key, "left_anti")
     if outer.count():
         q = outer.join(sets.select(F.col("node").alias("q"), F.col("shingles").alias("at")), "q").select(*key, "at")
-        again = shells.join(q, key).select(*_ROW, F.col("shingles").alias("own"), "at").mapInArrow(_distance, _ROW_TYPES + ", distance double")
+        again = shells.join(q, key).select(*_ROW, F.col("shingles").alias("own"), "at").mapInArrow(tidied(_distance), _ROW_TYPES + ", distance double")
         done = done.unionByName(_shells(again, eps, 1).select(*_ROW, "shell"))
         done = staged(done, "shells")
     of = staged(_sizes(done).filter(F.col("core_rows") + F.col("rest_rows") > LEAF), "over")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, staged, without
+from .common import append_columns, staged, tidied, without
 
 CHUNK, OVERLAP, WIDEN = 32_768, 512, 8
 _SPACE = "▁"
@@ -73,7 +73,7 @@ def _chunked(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         begin = F.greatest(start - 1, F.lit(0))
         end = start + chunk
         rows = rows.select("key", F.col("chunk").cast("long").alias("chunk"), begin.alias("from"), start.alias("nominal"), end.alias("end"), F.col("length").cast("long").alias("length"), F.substring(F.col("text"), (begin + 1).cast("int"), (end + overlap - begin).cast("int")).alias("text"))
-        spans = rows.repartition("key", "chunk").mapInArrow(_spans(path, overlap), "key long, chunk long, start long, end long, n long")
+        spans = rows.repartition("key", "chunk").mapInArrow(tidied(_spans(path, overlap)), "key long, chunk long, start long, end long, n long")
         whole = (F.count("*") == F.count("n")) & (F.sum(F.col("end") - F.col("start")) == F.max("end"))
         found = staged(spans.groupBy("key").agg(F.when(whole, F.sum("n")).alias("n_tokens")), "spliced")
         good = found.filter("n_tokens is not null")
