@@ -266,7 +266,8 @@ def normalize(records: DataFrame, dialect: str = "items") -> Normalized:
             "events": events,
         }
     )
-    flat = rows.select("stream", "source_position", "observation_uuid", "occurred_at", F.explode("events").alias("e"))
-    flat = flat.select("stream", "source_position", "observation_uuid", "occurred_at", "e.*").withColumn("trace_uuid", deterministic_id("event", F.col("observation_uuid"), F.col("part_key")))
+    # every record has an event; the outer form keeps the optimizer from testing the large expression for emptiness first
+    flat = rows.select("stream", "source_position", "observation_uuid", "occurred_at", F.inline_outer("events"))
+    flat = flat.withColumn("trace_uuid", deterministic_id("event", F.col("observation_uuid"), F.col("part_key")))
     edges = flat.select("stream", F.col("trace_uuid").alias("source_trace_uuid"), F.explode("edges").alias("r")).select("stream", "source_trace_uuid", F.col("r.type").alias("relationship_type"), F.col("r.native_id").alias("target_native_id"), F.col("r.kind").alias("target_kind"))
     return Normalized(rows.select("observation_uuid", "stream", "source_position", "record_type", "harness_version", "model", "provider", "source_timestamp"), flat.drop("edges"), edges)
