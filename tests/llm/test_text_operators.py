@@ -225,3 +225,17 @@ def test_hash_is_sha256_of_joined_items(spark):
 
     row = queries.op3_benchmark_decontamination(spark, SF).filter("n_items = 0").first()
     assert row.items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_license_scan_equals_its_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from tracewright.llm import queries
+
+    texts = [*EDGE[:-1], "The MIT License. GNU General Public License, Apache  License", "cc by cc by sa", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "gnu lesser general public license", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "this program is free software you can redistribute it under terms of gnu general public license"]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = con.sql(queries.ORACLE_SQL["op4_license_scan"] + " ORDER BY doc_id")
+    got = license_scan.scan(frame(spark, texts).select("doc_id", "text")).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in want.columns) for r in got] == want.fetchall()

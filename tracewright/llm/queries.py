@@ -111,3 +111,29 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS B
 FROM words AS w LEFT JOIN covered AS c USING (doc_id) LEFT JOIN named AS m USING (doc_id)
 """
 }
+
+
+def _license_sql() -> str:
+    """The scan over exploded words: matches of a template's words are gathered by the place where it would begin."""
+    rows = []
+    for k, t in enumerate(license_scan.TEMPLATES):
+        own = t.words.split()
+        must = {i + j for p in t.mandatory for i in range(len(own)) if own[i : i + len(p.split())] == p.split() for j in range(len(p.split()))}
+        rows += [f"({k}, '{t.label}', {t.base}, {len(must) == len(own)}, {i}, '{w}', {i in must})" for i, w in enumerate(own)]
+    return rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+place AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM words),
+template AS (SELECT * FROM (VALUES {', '.join(rows)}) AS t(tid, label, base, whole, pos, word, must)),
+idf AS (SELECT v.word, ln((SELECT count(*) + 1 FROM documents) / (count(DISTINCT p.doc_id) + 1)) AS x FROM (SELECT DISTINCT word FROM template) AS v LEFT JOIN place AS p USING (word) GROUP BY 1),
+total AS (SELECT tid, any_value(label) AS label, any_value(base) AS base, any_value(whole) AS whole, sum(x) AS x, count_if(must) AS n FROM template JOIN idf USING (word) GROUP BY tid),
+met AS (SELECT p.doc_id, t.tid, p.i - t.pos AS spot, sum(x) AS x, count_if(t.must) AS n FROM place AS p JOIN template AS t USING (word) JOIN idf USING (word) GROUP BY ALL),
+found AS (SELECT m.doc_id, t.label, t.base, m.spot, CASE WHEN t.whole THEN 1.0 ELSE least(round(m.x / t.x, 9), 1.0) END AS share FROM met AS m JOIN total AS t USING (tid) WHERE m.spot >= 0 AND m.n = t.n AND (t.whole OR m.x / t.x >= 0.75)),
+each AS (SELECT doc_id, count_if(base) AS n, min(spot) FILTER (WHERE base) AS a, max(spot) FILTER (WHERE base) AS b, max(share) AS score,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(e.n, 0) AS BIGINT) AS n_base, CAST(e.a AS BIGINT) AS first_word, CAST(e.b AS BIGINT) AS last_word,
+       coalesce(e.base_labels, '') AS base_labels, coalesce(e.labels, '') AS labels, CAST(coalesce(e.score, 0.0) AS DOUBLE) AS score
+FROM words AS w LEFT JOIN each AS e USING (doc_id)
+"""
+
+
+ORACLE_SQL["op4_license_scan"] = _license_sql()
