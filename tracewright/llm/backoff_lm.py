@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
 from .words import ALNUM, mix, word_shards
 
 ALPHA = 0.4
@@ -153,7 +154,7 @@ def _exact(words: np.ndarray, pairs: np.ndarray):
 
 def count(docs: DataFrame) -> Counts:
     """The broadcast counts of (id, text): two scans, of which at most HEAVY words and pairs reach the driver."""
-    found = docs.mapInArrow(_candidates, "kind int, v long, w long, n long").groupBy("kind", "v", "w").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(tidied(_candidates), "kind int, v long, w long, n long").groupBy("kind", "v", "w").agg(F.sum("n").alias("n"))
     total = found.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
     top = lambda kind: found.filter(F.col("kind") == kind).orderBy(F.desc("n"), "v", "w").limit(HEAVY // (2 if kind == 1 else 8)).select("v", "w").toArrow()
     one, two = top(1), top(2)
@@ -161,7 +162,7 @@ def count(docs: DataFrame) -> Counts:
     words = np.unique(np.concatenate([as_hash(one, "v"), as_hash(two, "v"), as_hash(two, "w")]))
     pairs = np.unique(_pair(as_hash(two, "v"), as_hash(two, "w")))
     sums = [np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)]
-    exact = docs.mapInArrow(_exact(words, pairs), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    exact = docs.mapInArrow(tidied(_exact(words, pairs)), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
     kind, at, n = (np.asarray(exact.column(c)) for c in ("kind", "at", "n"))
     for k in range(3):
         sums[k][at[kind == k]] = n[kind == k]
@@ -409,9 +410,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         for block, ids, _, off in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(np.arange(len(ids), dtype=np.int64)), ids, pa.array(np.diff(off).astype(np.int64))], names=["block", "doc", "doc_id", "n_words"])
 
-    deal = lambda df: df.repartition(parts, F.when(F.col("kind") == _SUM, F.pmod("block", F.lit(parts)).cast("int")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    pairs = deal(docs.mapInArrow(_explode_pairs(held), _TRAVEL)).mapInArrow(_count_pairs(held), _TRAVEL)
-    words = deal(docs.mapInArrow(_explode_words(held), _TRAVEL).unionByName(pairs)).mapInArrow(_count_words(held), _TRAVEL)
-    sums = words.select("block", "b", "doc").repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "block long, doc long, value double")
-    every = docs.mapInArrow(listed, f"block long, doc long, doc_id {kind}, n_words long")
+    deal = lambda df: df.repartition(parts, F.when(F.col("kind") == _SUM, F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
+    pairs = deal(docs.mapInArrow(tidied(_explode_pairs(held)), _TRAVEL)).mapInArrow(tidied(_count_pairs(held)), _TRAVEL)
+    words = deal(docs.mapInArrow(tidied(_explode_words(held)), _TRAVEL).unionByName(pairs)).mapInArrow(tidied(_count_words(held)), _TRAVEL)
+    sums = words.select("block", "b", "doc").repartition("block").sortWithinPartitions("block").mapInArrow(tidied(_totals), "block long, doc long, value double")
+    every = docs.mapInArrow(tidied(listed), f"block long, doc long, doc_id {kind}, n_words long")
     return every.join(sums, ["block", "doc"], "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("value") / F.col("n_words")).alias("score"))
