@@ -35,6 +35,8 @@ LEAF = 1000
 #: One document in SAMPLE is looked at for frequent shingles; those in at least FREQUENT of them are put last, MOST at most.
 SAMPLE, FREQUENT, MOST = 32, 4, 1 << 17
 _COLUMNS = 4096
+#: Sets whose names and pivots are broadcast to where the texts are; more are joined by a shuffle.
+WANTED_ROWS = 200_000
 
 
 def shingle_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,8 +90,20 @@ def _partners(size: np.ndarray, sketch: list[bytes], barred: np.ndarray, percent
     return out
 
 
+def _met_before(pivots: list[np.ndarray], pivot: int) -> np.ndarray | None:
+    """Which pairs of sets share a pivot below this one, where they count; None if no set has one."""
+    lower = [p[p < pivot] for p in pivots]
+    if not any(map(len, lower)):
+        return None
+    every, code = np.unique(np.concatenate(lower), return_inverse=True)
+    x = np.zeros((len(pivots), len(every)), np.float32)
+    x[np.repeat(np.arange(len(pivots)), [len(p) for p in lower]), code] = 1
+    return (x @ x.T) > 0
+
+
 def _kept(percent: int):
-    """Of rows (pivot, cell, side, node, core, n, sketch) sorted by cell: pivot and node of those that have a partner."""
+    """Of rows (pivot, cell, side, node, core, n, sketch, pivots) sorted by cell: pivot and node of those that have a partner
+    which they meet in no region before."""
     schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
@@ -104,6 +118,8 @@ def _kept(percent: int):
             barred = (core[:, None] == core[None, :]) & (core != 0)[:, None]
             if side.any():
                 barred |= side[:, None] == side[None, :]
+            if (before := _met_before(_lists(get("pivots")), rows.column("pivot")[0].as_py())) is not None:
+                barred |= before
             keep = _partners(get("n").to_numpy(), get("sketch").to_pylist(), barred, percent)
             if keep.any():
                 out.append((np.full(int(keep.sum()), rows.column("pivot")[0].as_py(), np.int64), node[keep]))
@@ -118,13 +134,13 @@ def _kept(percent: int):
 
 
 def _nearby(percent: int):
-    """Rows (pivot, node, n, sketch, n and sketch of the pivot): whether the row and its pivot may be linked."""
+    """Rows (pivot, node, n, sketch, pivots, n and sketch of the pivot): whether the row and its pivot may be linked."""
 
     def run(batches):
         for batch in batches:
-            p, v, n, s, m, t = (c.to_pylist() for c in batch.columns)
+            p, n, s, m, t = (batch.column(k).to_pylist() for k in (0, 2, 3, 5, 6))
             near = [bool(_partners(np.array([a, b]), [x, y], np.zeros((2, 2), bool), percent)[0]) for a, x, b, y in zip(n, s, m, t, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([a if k else 0 for a, k in zip(p, near, strict=True)], pa.int64())], names=["pivot", "node", "n", "sketch", "core"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([a if k else 0 for a, k in zip(p, near, strict=True)], pa.int64())], names=["pivot", "node", "n", "sketch", "pivots", "core"])
 
     return run
 
@@ -132,7 +148,8 @@ def _nearby(percent: int):
 def _filtered(member: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The memberships whose set may have a linked one in the region. In a large region, sets that may be linked with the
     pivot are kept at once, and never compared with each other here."""
-    columns = ["pivot", "cell", "side", "node", "core", "n", "sketch"]
+    columns = ["pivot", "cell", "side", "node", "core", "n", "sketch", "pivots"]
+    sketches = sketches.join(member.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")), "node")
     start = {"cell": F.lit(0).cast("long"), "side": F.lit(0)}
     large = staged(member.groupBy("pivot").count().filter(F.col("count") > LEAF).select("pivot"), "large")
     if not large.count():
@@ -140,8 +157,8 @@ def _filtered(member: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
         near = None
     else:
         rows = member.join(large, "pivot", "left_anti").join(sketches, "node").withColumns(start | {"core": F.lit(0).cast("long")}).select(*columns)
-        far = member.join(large, "pivot").join(sketches, "node").join(sketches.withColumnsRenamed({"node": "pivot", "n": "m", "sketch": "t"}), "pivot").select("pivot", "node", "n", "sketch", "m", "t")
-        far = staged(far.mapInArrow(tidied(_nearby(percent)), "pivot long, node long, n long, sketch binary, core long"), "near").withColumns(start)
+        far = member.join(large, "pivot").join(sketches, "node").join(sketches.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("t")), "pivot").select("pivot", "node", "n", "sketch", "pivots", "m", "t")
+        far = staged(far.mapInArrow(tidied(_nearby(percent)), "pivot long, node long, n long, sketch binary, pivots array<long>, core long"), "near").withColumns(start)
         rows = rows.unionByName(_blocks(far.select(*columns), _sizes(far), columns))
         near = far.filter("core <> 0").select("pivot", "node")
     kept = rows.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell").mapInArrow(tidied(_kept(percent)), "pivot long, node long")
@@ -250,13 +267,8 @@ def _leaf(rows: pa.Table, percent: int) -> dict | None:
         link &= side[:, None] != side[None, :]
     if not link.any():
         return None
-    mine = _lists(get("pivots"))
-    lower = [p[p < pivot[0]] for p in mine]
-    if any(map(len, lower)):
-        every, code = np.unique(np.concatenate(lower), return_inverse=True)
-        y = np.zeros((k, len(every)), np.float32)
-        y[np.repeat(np.arange(k), [len(p) for p in lower]), code] = 1
-        link &= (y @ y.T) == 0
+    if (before := _met_before(_lists(get("pivots")), int(pivot[0]))) is not None:
+        link &= ~before
     at = np.flatnonzero(link.any(1))
     if not len(at):
         return None
@@ -362,9 +374,9 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
 
     classes = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     needed = staged(member.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")).join(classes, "node").select("rep", "node", "weight", "pivots"), "needed")
-    ids = staged(needed.select("rep"), "ids").distinct()
-    few_docs = docs.join(F.broadcast(ids) if ids.count() <= 1_000_000 else ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = staged(needed.join(few_docs, F.col("rep").eqNullSafe(F.col("doc_id"))).select("rep", "node", "weight", "pivots", "text").mapInArrow(tidied(_sets(n)), "node long, weight long, pivots array<long>, shingles array<long>"), "sets")
+    wanted = F.broadcast(needed) if needed.count() <= WANTED_ROWS else needed
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("rep", "node", "weight", "pivots", "text")
+    sets = staged(texts.mapInArrow(tidied(_sets(n)), "node long, weight long, pivots array<long>, shingles array<long>"), "sets")
 
     counts = member.groupBy("pivot").count()
     large = staged(counts.filter(F.col("count") > LEAF).select("pivot"), "large")
