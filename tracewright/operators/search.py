@@ -57,9 +57,12 @@ def visible(memories: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select(*requests.columns, "uuid", "created_at")
 
 
-def build_index(memories: DataFrame, config: str = "simple") -> DataFrame:
-    """namespace, lexeme, uuid, positions: an inverted index, made from the memories alone."""
+def build_index(memories: DataFrame, config: str = "simple", terms: DataFrame | None = None) -> DataFrame:
+    """namespace, lexeme, uuid, positions: an inverted index, made from the memories alone; of the lexemes of terms only, if
+    they are given (a batch of queries against memories that have no index yet)."""
     rows = tokenize(memories, "content", config, ("namespace", "uuid"))
+    if terms is not None:
+        rows = rows.join(F.broadcast(terms.select("lexeme").distinct()), "lexeme", "left_semi")
     return rows.groupBy("namespace", "lexeme", "uuid").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -171,7 +174,8 @@ def search(requests: DataFrame, memories: DataFrame, config: DataFrame, as_of: f
     else:
         by = dict.fromkeys(LANES, asked)
     if index is None:
-        index = build_index(memories, text_config)
+        named = F.broadcast(asked.select(F.explode("namespaces").alias("namespace")).distinct())
+        index = build_index(memories.join(named, "namespace", "left_semi"), text_config, parse_websearch(asked.select("query_id", "query"), text_config))
     fused = rrf_fuse({"fts": fts_lane(by["fts"], memories, index, text_config, rank), "recency": recency_lane(by["recency"], memories, as_of)})
     fused = fused.join(F.broadcast(asked.select("query_id", "take", "preview_chars")), "query_id").join(memories.select("uuid", "created_at"), "uuid")
     order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), F.desc("created_at"), "uuid")
