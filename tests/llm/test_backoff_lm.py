@@ -55,3 +55,48 @@ def test_empty_table_and_inverse(spark):
     assert backoff_lm.score(spark.createDataFrame([], SCHEMA)).collect() == []
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
     assert (backoff_lm.unmix(mix(x)) == x).all()
+
+
+def brute_any(rows, order):
+    """By the definition, word for word."""
+    docs = [words(t) for _, t in rows]
+    total = sum(map(len, docs))
+    every, own, context = Counter(), [], Counter()
+    for d in docs:
+        mine = Counter(tuple(d[i : i + k]) for k in range(1, order + 1) for i in range(len(d) - k + 1))
+        own.append(mine)
+        every += mine
+        context += Counter(tuple(d[i : i + k]) for k in range(1, order) for i in range(len(d) - k))
+
+    def s(i, g):
+        if len(g) == 1:
+            return every[g] / total
+        others = every[g] - own[i][g]
+        return others / context[g[:-1]] if others else 0.4 * s(i, g[1:])
+
+    logs = [[math.log(s(i, tuple(d[max(0, p - order + 1) : p + 1]))) for p in range(len(d))] for i, d in enumerate(docs)]
+    return [(name, len(x), sum(x) / len(x) if x else None) for (name, _), x in zip(rows, logs)]
+
+
+@pytest.mark.parametrize("order, heavy, block", [(3, 1 << 16, 8 << 20), (3, 200, 300), (3, 0, 300), (4, 100, 300), (1, 8, 300)])
+def test_longer_n_grams_equal_brute_force(spark, monkeypatch, order, heavy, block):
+    monkeypatch.setattr(backoff_lm, "HEAVY", heavy)
+    monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", block)
+    given = rows(order)
+    given += [(100 + k, " ".join((given[k % 60][1] + " x " + given[7 * k % 60][1]).split()[k % 4 :])) for k in range(30)]
+    df = spark.createDataFrame([(*r, "x") for r in given], SCHEMA).coalesce(3)
+    key = lambda t: (t[0], t[1], round(t[2], 9) if t[2] is not None else None)
+    got = sorted((key(tuple(r)) for r in backoff_lm.score(df, order=order).collect()), key=str)
+    assert got == sorted(map(key, brute_any(given, order)), key=str)
+    if order > 2:
+        assert got != sorted(map(key, brute_any(given, 2)), key=str)
+
+
+def test_query_counts_trigrams(spark):
+    from tracewright.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = {i: x for i, _, x in brute_any(given, 3)}
+    for r in queries.op8_lm_scoring(spark, folder).collect():
+        assert (r.score is None) == (want[r.doc_id] is None) and (r.score is None or abs(r.score - want[r.doc_id]) < 1e-9)

@@ -47,7 +47,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf_dir, "documents"))
+    return backoff_lm.score(table(spark, sf_dir, "documents"), order=backoff_lm.ORDER)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
