@@ -26,12 +26,12 @@ def consumed(traces: DataFrame, memories: DataFrame, sessions: DataFrame | None
     return m.unionByName(t)
 
 
-def why(memories: DataFrame, roots: DataFrame, max_depth: int = 1024, traces: DataFrame | None = None) -> DataFrame:
+def why(memories: DataFrame, roots: DataFrame, traces: DataFrame | None = None) -> DataFrame:
     """root, depth, uuid, version, status, source_id (and source_event, given traces) of each memory on the chain of
     predecessors of each root (uuid).
 
     Chains are walked for all roots together by pointer doubling: after round r every row knows its 2^r-th predecessor, so
-    a chain of length n takes log2(n) joins. A memory that a chain meets twice ends it.
+    a chain of length n takes log2(n) joins, however long it is. A memory that a chain meets twice ends it.
     """
     spark = memories.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
@@ -42,17 +42,17 @@ def why(memories: DataFrame, roots: DataFrame, max_depth: int = 1024, traces: Da
         return spark.read.schema(df.schema).parquet(path)
 
     start = roots.select("uuid").distinct()
-    jump = kept(memories.filter("supersedes is not null").select(F.col("uuid").alias("at"), F.col("supersedes").alias("to")))
+    jump = kept(memories.filter("supersedes is not null").select(F.col("uuid").alias("at"), F.col("supersedes").alias("to")).distinct())
     known = memories.select("uuid")
     reach = kept(start.join(known, "uuid").select(F.col("uuid").alias("root"), F.lit(0).alias("depth"), "uuid"))
     step = 1
-    while step <= max_depth:
+    while True:
         more = reach.join(jump, F.col("uuid") == F.col("at")).select("root", (F.col("depth") + step).alias("depth"), F.col("to").alias("uuid")).join(known, "uuid")
         grown = kept(reach.unionByName(more).groupBy("root", "uuid").agg(F.min("depth").alias("depth")).select("root", "depth", "uuid"))
         if grown.count() == reach.count():
             break
         reach = grown
-        jump = kept(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.at")).select(F.col("a.at"), F.col("b.to")))
+        jump = kept(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.at")).select(F.col("a.at"), F.col("b.to")).distinct())
         step *= 2
     rows = reach.join(memories.select("uuid", "version", "status", "source_type", "source_id"), "uuid")
     if traces is None:
