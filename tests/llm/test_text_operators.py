@@ -154,6 +154,27 @@ def test_packing_is_optimal_and_whole(spark, monkeypatch):
     assert packing.pack(df.limit(0), F.col("n")).collect() == []
 
 
+def test_packing_is_optimal_for_many_long_lengths(spark):
+    r = random.Random(3)
+    lengths = [100_000 + 16 * k for k in range(32) for _ in range(r.randrange(1, 5))] + [r.randrange(2048, 30_000) for _ in range(30)] + [5, 7]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    for buckets in (4, 9):
+        got = packing.pack(df, F.col("n"), buckets=buckets).collect()
+        assert len(got) == len(lengths)
+        assert sum(x.padding for x in got) == brute_padding(lengths, buckets)
+
+
+def test_packing_boundaries_are_optimal():
+    r = random.Random(4)
+    for n in (1, 2, 3, 8, 30):
+        for buckets in (1, 2, 5, 40):
+            lengths = [r.choice([r.randrange(5), r.randrange(10**6)]) for _ in range(n)]
+            values, count = np.unique(lengths, return_counts=True)
+            ends = packing.boundaries(values, count, buckets)
+            assert len(ends) <= buckets
+            assert sum(min(e for e in ends if e >= x) - x for x in lengths) == brute_padding(lengths, buckets)
+
+
 def test_packing_words(spark):
     got = frame(spark, EDGE).select(packing.words(F.col("text")).alias("n")).collect()
     assert [x.n for x in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in EDGE]

@@ -10,8 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lengths up to this are told apart; longer ones by LOG_STEPS steps an octave, which bounds the histogram.
-EXACT, LOG_STEPS = 2048, 128
 #: About so many documents of a bucket are numbered in one group.
 GROUP_ROWS = 200_000
 
@@ -21,39 +19,36 @@ def words(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _step(length):
-    """The least step of the histogram's grid that is at least length."""
-    octave = F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)))) - F.lit(int(np.log2(LOG_STEPS))), F.lit(0)).cast("int")
-    unit = F.expr("1L").cast("long") * F.pow(F.lit(2.0), octave).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / unit).cast("long") * unit)
-
-
 def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
     """Upper ends of at most so many buckets with the least sum of (end - length), exactly; ties take the least index.
 
     cost(i, j) = length[j] * (documents from i to j), less a term that no choice changes. It meets the quadrangle
-    inequality, so each layer is solved by divide and conquer over its monotone cuts.
+    inequality, so each layer is solved by divide and conquer over its monotone cuts, all ranges of a depth at once.
     """
     n = len(length)
     if not n:
         return []
-    before = np.concatenate([[0], np.cumsum(count)]).astype(np.float64)
-    size = length.astype(np.float64)
+    before = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+    size = length.astype(np.int64)
     best = size * before[1:]
     cuts = []
     for _ in range(1, min(buckets, n)):
-        new, cut = np.full(n, np.inf), np.zeros(n, np.int64)
-        todo = [(0, n - 1, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        new, cut = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lo, hi, a, b = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(a, min(j, b) + 1)
-            value = np.where(i > 0, best[np.maximum(i - 1, 0)], 0.0) + size[j] * (before[j + 1] - before[i])
-            k = int(value.argmin())
-            new[j], cut[j] = value[k], i[k]
-            todo += [(lo, j - 1, a, int(i[k])), (j + 1, hi, int(i[k]), b)]
+            width = np.minimum(j, b) - a + 1
+            start = np.cumsum(width) - width
+            at = np.repeat(np.arange(len(j)), width)
+            i = np.arange(len(at)) - (start - a)[at]
+            value = np.where(i > 0, best[np.maximum(i - 1, 0)], 0) + size[j][at] * (before[j + 1][at] - before[i])
+            new[j] = np.minimum.reduceat(value, start)
+            least = np.flatnonzero(value == new[j][at])
+            k = i[least[np.searchsorted(at[least], np.arange(len(j)))]]
+            cut[j] = k
+            lo, hi, a, b = (np.concatenate(x) for x in ((lo, j + 1), (j - 1, hi), (a, k), (k, b)))
+            some = lo <= hi
+            lo, hi, a, b = lo[some], hi[some], a[some], b[some]
         best = new
         cuts.append(cut)
     ends, j = [], n - 1
@@ -76,9 +71,10 @@ def pack(docs: DataFrame, length, buckets: int = 16, budget: int = 16_384, order
     """
     new = ["pack_length", "bucket", "bucket_length", "batch", "slot", "padding"]
     rows = docs.drop(*[c for c in docs.columns if c.lower() in new]).withColumn("pack_length", F.greatest(F.coalesce(length, F.lit(0)).cast("long"), F.lit(0).cast("long")))
-    found = rows.groupBy(_step(F.col("pack_length")).alias("step")).agg(F.count("*").alias("n"), F.max("pack_length").alias("top")).orderBy("step").collect()
-    ends = boundaries(np.array([r["top"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64), buckets) or [0]
-    groups = max(1, -(-sum(r["n"] for r in found) // GROUP_ROWS))
+    found = rows.groupBy("pack_length").agg(F.count("*").alias("n")).toArrow().sort_by("pack_length")
+    counts = found.column("n").to_numpy()
+    ends = boundaries(found.column("pack_length").to_numpy(), counts, buckets) or [0]
+    groups = max(1, -(-int(counts.sum()) // GROUP_ROWS))
     bucket = F.lit(len(ends) - 1)
     for k in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("pack_length") <= ends[k], F.lit(k)).otherwise(bucket)
