@@ -212,6 +212,27 @@ def test_language_id_held_out_accuracy(spark):
     assert language_id.identify(frame(spark, ["text"]), language_id.fit(docs.limit(0))).first().lang_pred == "und"
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    r = random.Random(8)
+    names, rows = [f"l{k:03}" for k in range(140)], []
+    for k, name in enumerate(names):
+        letters = [chr(0x4E00 + 40 * k + x) for x in range(12)]
+        vocabulary = ["".join(r.choice(letters) for _ in range(r.randint(2, 5))) for _ in range(8)]
+        rows += [(len(rows) + x, " ".join(r.choice(vocabulary) for _ in range(20)), name) for x in range(2 if k % 7 == 3 else 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    models = language_id.fit(docs)
+    assert models.languages == names
+    got = language_id.identify(docs, models).orderBy("doc_id").collect()
+    assert [x.lang_pred for x in got] == [x.lang for x in got]
+    assert not any(x.rejected for x in got)
+    monkeypatch.setattr(language_id, "SLICE", 1000)
+    whole = language_id.fit(docs)
+    a, b = (m.cross_entropies([t for _, t, _ in rows[:50]])[0] for m in (models, whole))
+    assert len(models.parts) > len(whole.parts) == 1
+    assert np.allclose(a, b, atol=1e-4)
+    assert abs(models.limit - whole.limit) < 1e-4
+
+
 def test_language_model_sums_to_one():
     grams = ["   a", "  ab", " ab ", "   b", "  ba", " ba ", "   a"]
     lang = np.array([0, 0, 0, 0, 0, 0, 1])

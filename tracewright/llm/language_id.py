@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
 Counts of character 4-grams come from Spark; the smoothed models, made from a sample of bounded size, are sorted arrays of
-n-gram hashes with one column of log-probabilities per language, so that one bisection serves all languages. A text gets
+n-gram hashes with one column of log-probabilities per language, so that one bisection serves SLICE languages. A text gets
 the language of least cross-entropy per character; texts above a calibrated cross-entropy are rejected.
 """
 
@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, shards, slices, tidied
+from .common import append_columns, shards, slices, staged, tidied
 from .words import mix
 
 ORDER = 4
 #: Texts per language that a model is fitted on, drawn by a hash of their id; this bounds the driver's share.
 SAMPLE_DOCS = 400
-#: Languages with the most labelled texts that are learned.
-MAX_LANGUAGES = 128
+#: Languages whose models share arrays. Every language is learned; more languages make more arrays, not wider ones.
+SLICE = 8
 #: A text is rejected if its cross-entropy exceeds that of nearly all (REJECT_QUANTILE) sampled texts by this many nats.
 REJECT_QUANTILE, REJECT_MARGIN = 0.995, 1.0
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
@@ -97,12 +97,13 @@ class Model:
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     contexts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     unknown: np.ndarray
-    limit: float = float("inf")
 
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character for each text and language, and each text's number of letters."""
         chars, begin, letters = folded(texts)
-        h = _hashes(chars)
+        return self.of(chars, begin, _hashes(chars)), letters
+
+    def of(self, chars: np.ndarray, begin: np.ndarray, h: list[np.ndarray]) -> np.ndarray:
         real = np.ones(len(chars), bool)
         for k in range(ORDER - 1):
             real[begin[:-1] + k] = False
@@ -125,16 +126,35 @@ class Model:
                 total[at] += self.unknown
         n = np.maximum(begin[1:] - begin[:-1] - (ORDER - 1), 1)
         sums = np.add.reduceat(total, begin[:-1], axis=0, dtype=np.float64) if len(chars) else np.zeros((0, len(self.languages)))
-        return -sums / n[:, None], letters
+        return -sums / n[:, None]
+
+
+@dataclasses.dataclass
+class Models:
+    """The models of all languages, SLICE of them in each part, and the cross-entropy above which a text is rejected."""
+
+    parts: list[Model]
+    limit: float = float("inf")
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for part in self.parts for x in part.languages]
+
+    def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """As Model has it, for all languages."""
+        chars, begin, letters = folded(texts)
+        h = _hashes(chars)
+        return np.concatenate([part.of(chars, begin, h) for part in self.parts], axis=1), letters
 
 
 def _index(keys: np.ndarray) -> np.ndarray:
     return np.searchsorted(keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.int64)
 
 
-def smooth(languages: list[str], lang: np.ndarray, grams: list[str], count: np.ndarray) -> Model:
+def smooth(languages: list[str], lang: np.ndarray, grams: list[str], count: np.ndarray, alphabet: int | None = None) -> Model:
     """Interpolated Kneser-Ney models from counts of (language, ORDER characters). Shorter n-grams count the different
-    characters seen before them; the discount of each order and language is n1 / (n1 + 2 n2)."""
+    characters seen before them; the discount of each order and language is n1 / (n1 + 2 n2). alphabet: how many characters
+    there are, where these languages are not all."""
     n_lang = len(languages)
     chars = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, ORDER)
     probs: dict[int, tuple] = {}
@@ -145,7 +165,7 @@ def smooth(languages: list[str], lang: np.ndarray, grams: list[str], count: np.n
         rows, n = np.unique(np.column_stack([up_lang.astype(np.uint64), up[:, 1:]]), axis=0, return_counts=True)
         levels[k] = (rows[:, 1:], rows[:, 0].astype(np.int64), n.astype(np.float64))
     hashed = lambda c: _hash_rows(c)
-    alphabet = len(np.unique(levels[1][0]))
+    alphabet = alphabet or len(np.unique(levels[1][0]))
     base = np.log(1.0 / (alphabet + 1))
     left1 = np.zeros(n_lang)
     for k in range(1, ORDER + 1):
@@ -182,17 +202,16 @@ def _hash_rows(c: np.ndarray) -> np.ndarray:
     return h
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model of the languages in docs, from at most about sample_docs whole texts of each, drawn by a hash of their id.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Models:
+    """Models of all languages in docs, from at most about sample_docs whole texts of each, drawn by a hash of their id.
 
-    Rows with a null text or language teach nothing. Without any teaching row the model knows no language.
+    Rows with a null text or language teach nothing. Without any teaching row the models know no language.
     """
     spark = docs.sparkSession
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return Model([], {}, {}, np.zeros(0, np.float32))
+    sizes = labelled.groupBy("lang").count().collect()
+    if not sizes:
+        return Models([])
     share = spark.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
     sample = labelled.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text")
@@ -210,18 +229,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                 joined = np.ascontiguousarray(rows).tobytes().decode("utf-32-le", "surrogatepass")
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array([joined[i : i + ORDER] for i in range(0, len(joined), ORDER)], pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(tidied(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    if not counts.num_rows:
-        return Model([], {}, {}, np.zeros(0, np.float32))
-    names = counts.column("lang").to_pylist()
-    languages = sorted(set(names))
-    number = {x: i for i, x in enumerate(languages)}
-    model = smooth(languages, np.array([number[x] for x in names], np.int64), counts.column("gram").to_pylist(), counts.column("n").to_numpy())
-    least = identify(sample, model, "text").filter("cross_entropy is not null").agg(F.percentile_approx("cross_entropy", REJECT_QUANTILE, 10_000)).first()[0]
-    return dataclasses.replace(model, limit=(least if least is not None else float("inf")) + REJECT_MARGIN)
-
-
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    counts = staged(sample.mapInArrow(tidied(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not languages:
+        return Models([])
+    alphabet = counts.agg(F.countDistinct(F.substring("gram", ORDER, 1))).first()[0]
+    parts = []
+    for i in range(0, len(languages), SLICE):
+        some = languages[i : i + SLICE]
+        number = {x: k for k, x in enumerate(some)}
+        rows = counts.filter(F.col("lang").isin(some)).toArrow()
+        parts.append(smooth(some, np.array([number[x] for x in rows.column("lang").to_pylist()], np.int64), rows.column("gram").to_pylist(), rows.column("n").to_numpy(), alphabet))
+    models = Models(parts)
+    least = identify(sample, models, "text").filter("cross_entropy is not null").agg(F.percentile_approx("cross_entropy", REJECT_QUANTILE, 10_000)).first()[0]
+    return dataclasses.replace(models, limit=(least if least is not None else float("inf")) + REJECT_MARGIN)
+
+
+def identify(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1: the best language's share of exp(-cross-entropy)), cross_entropy (nats per
     character under the best language) and rejected.
 
@@ -232,14 +256,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def compute():
         m = held.value
+        languages = m.languages
 
         def f(batch, col):
             n = len(col)
             best, score, least = np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf)
             texts = col.to_pylist()
             sizes = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).astype(np.int64)
-            if m.languages:
-                for i, j in shards(sizes, max(1 << 14, (1 << 20) // len(m.languages))):
+            if languages:
+                for i, j in shards(sizes, max(1 << 14, (1 << 20) // min(len(languages), SLICE))):
                     ce, letters = m.cross_entropies(texts[i:j])
                     best[i:j] = ce.argmin(1)
                     low = ce.min(1)
@@ -247,7 +272,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     least[i:j] = np.where(letters > 0, low, np.inf)
             none = np.isinf(least)
             return {
-                "lang_pred": pa.array(["und" if x else m.languages[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)], pa.string()),
+                "lang_pred": pa.array(["und" if x else languages[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)], pa.string()),
                 "score": pa.array(score),
                 "cross_entropy": pa.array(np.where(none, 0, least), mask=none),
                 "rejected": pa.array(none | (least > m.limit)),
