@@ -43,7 +43,7 @@ def test_warc_without_pages(spark):
     assert warc.read_archives(manifest, folder).collect() == []
 
 
-def test_chat_equals_brute_force(spark, monkeypatch):
+def test_chat_equals_brute_force(spark):
     r = random.Random(4)
     talks = {}
     for c in range(60):
@@ -60,15 +60,30 @@ def test_chat_equals_brute_force(spark, monkeypatch):
             continue
         same = [d for d, u in plain.items() if u == t]
         want[min(same)] = (len(t), len(same), "".join(f"<|{a}|>\n{b}<|end|>\n" for a, b in t))
-    for part in (1024, 4):
-        monkeypatch.setattr(chat, "PART", part)
-        got = {}
-        for x in chat.render(df).orderBy("conv_id", "part").collect():
-            got[x.conv_id] = (x.n_turns, x.n_copies, got.get(x.conv_id, (0, 0, ""))[2] + x.rendered)
-        assert got == want
+    got = {x.conv_id: (x.n_turns, x.n_copies, x.rendered) for x in chat.render(df).collect()}
+    assert got == want
     assert chat.render(df.limit(0)).collect() == []
 
 
+def test_chat_of_long_and_tied_conversations_equals_its_sql(spark):
+    """A conversation of 1,500 turns, several turns of one number, numbers that are null, repeated rows."""
+    import duckdb
+    import pandas as pd
+
+    from tracewright.llm import queries
+
+    rows = [(1, k, "user" if k % 2 else "assistant", f"said {k}") for k in range(1500)] + [(2, k, "user" if k % 2 else "assistant", f"said {k}") for k in range(700)]
+    rows += [(3, 5, "user", "b"), (3, 5, "user", "a"), (3, 5, "assistant", "z"), (3, 5, "user", "a"), (3, 9, "user", "é")]
+    rows += [(4, 0, "assistant", "z"), (4, 1, "user", "a"), (4, 2, "user", "b")]  # the first turns of 3
+    rows += [(5, None, "user", "y"), (5, None, "user", "x"), (5, 0, "user", "w"), (6, 7, "user", "x"), (6, 8, "user", "y"), (None, 1, "user", "lost")]
+    want = duckdb.connect()
+    want.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = want.sql(queries.ORACLE_SQL["op2_chat_formatting"] + " ORDER BY conv_id")
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id").collect()
+    assert [tuple(r[c] for c in want.columns) for r in got] == want.fetchall()
+    assert [r.conv_id for r in got] == [1, 3, 5]
+
+
 def test_pipeline_equals_its_stages_done_plainly(spark):
     from test_jaccard_join import brute
     from test_text_operators import brute_hits, words

@@ -68,11 +68,11 @@ QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting,
 ORACLE_SQL = {
     "op2_chat_formatting": r"""
 WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-whole AS (SELECT conv_id, list(role || chr(1) || text ORDER BY turn, role, text) AS s,
-                 string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM turns GROUP BY conv_id),
+whole AS (SELECT conv_id, list(role || chr(1) || text ORDER BY turn NULLS FIRST, role, text) AS s,
+                 string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered FROM turns GROUP BY conv_id),
 heads AS (SELECT DISTINCT array_to_string(s[1:k], chr(2)) AS p FROM (SELECT s, unnest(range(1, len(s))) AS k FROM whole)),
 one AS (SELECT array_to_string(s, chr(2)) AS p, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY 1)
-SELECT o.conv_id, CAST(0 AS BIGINT) AS part, CAST(len(w.s) AS BIGINT) AS n_turns, CAST(o.n_copies AS BIGINT) AS n_copies, w.rendered
+SELECT o.conv_id, CAST(len(w.s) AS BIGINT) AS n_turns, CAST(o.n_copies AS BIGINT) AS n_copies, w.rendered
 FROM one AS o JOIN whole AS w USING (conv_id) WHERE o.p NOT IN (SELECT p FROM heads)
 """,
     "op6_warc": """
