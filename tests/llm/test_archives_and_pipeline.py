@@ -23,6 +23,9 @@ def test_warc_round_trip(spark, monkeypatch, size):
     df = spark.createDataFrame(pages, "page_id long, url string, html string, record_type string").repartition(3)
     folder, manifest = warc.write_archives(df)
     got = warc.read_archives(manifest, folder).collect()
+    reader = warc.read_archives(manifest, folder)
+    assert reader.rdd.getNumPartitions() == min(manifest.count(), 2 * spark.sparkContext.defaultParallelism)
+    assert {x.url for x in got if x.page_key in ("0", "1")} == {"http://x.example/0%0A%20ü", "http://x.example/1%0A%20ü"}
     assert len(got) == len(pages) == manifest.agg(F.sum("n_records")).first()[0]
     payload = lambda h: (h or "").encode()
     last = {}
@@ -38,6 +41,17 @@ def test_warc_round_trip(spark, monkeypatch, size):
         assert data[:4] == b"\x5d\x2a\x4d\x18" and len(list(warc.read_archive(io.BytesIO(data)))) == x.n_records
 
 
+def test_warc_folder_lies_where_spark_looks(spark, monkeypatch):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert warc._located(spark, "/a/b") == "file:///a/b" and warc._located(spark, "s3a://x/y") == "s3a://x/y"
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://name:8020/")
+    try:
+        assert warc._located(spark, "/a/b") == "hdfs://name:8020/a/b"
+    finally:
+        conf.set("fs.defaultFS", old)
+
+
 def test_warc_without_pages(spark):
     folder, manifest = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_archives(manifest, folder).collect() == []

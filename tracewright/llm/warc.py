@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import base64
 import struct
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, staged
@@ -22,6 +23,8 @@ from .common import shared_dir, staged
 #: Bytes of payloads in an archive; of records that a dictionary is trained on, and of the dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 16 << 20, 2 << 20, 64 << 10
 LEVEL = 6
+#: Stored bytes that a reading task is meant to take; there are at least READERS tasks for each core, if there are archives.
+READ_BYTES, READERS = 64 << 20, 2
 #: Fixed values of the format: the skippable frame's magic number, and the profile of a record that repeats a payload.
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,7 +43,7 @@ def record(key: str, url: str | None, payload: bytes, sha1: bytes, refers_to: st
         ("WARC-Type", "revisit" if refers_to is not None else "response"),
         ("WARC-Record-ID", _urn(key)),
         ("WARC-Date", _DATE),
-        ("WARC-Target-URI", "".join(c for c in url or "about:blank" if c.isprintable() and c != " ")),
+        ("WARC-Target-URI", "".join(c if c.isprintable() and c != " " else urllib.parse.quote(c) for c in url or "about:blank")),
         ("WARC-Payload-Digest", f"sha1:{base64.b32encode(sha1).decode()}"),
         ("X-Page-ID", key),
         *([("WARC-Profile", PROFILE), ("WARC-Refers-To", _urn(refers_to)), ("X-Refers-To-Page-ID", refers_to)] if refers_to is not None else []),
@@ -100,10 +103,20 @@ def read_archive(stream) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
+def _located(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme that Spark reads it by: a bare name lies on its default file system."""
+    if urllib.parse.urlparse(folder).scheme:
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return default.rstrip("/") + "/" + folder.lstrip("/") if not default.startswith("file:") else f"file://{folder}"
+
+
 def _store(folder: str):
+    """The file system of a located folder, and the folder's name in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    uri = "file://" + folder[5:] if folder.startswith("file:") and "://" not in folder else folder
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
 
 
 def _writer(folder: str):
@@ -167,7 +180,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     import uuid as _uuid
 
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{_uuid.uuid4().hex}"
+    folder = _located(spark, folder or f"{shared_dir(spark)}/warc-{_uuid.uuid4().hex}")
     store, root = _store(folder)
     store.create_dir(root)
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
@@ -183,5 +196,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """page_key, url, record_type, payload_bytes, payload_digest (hex SHA-1 of the full payload), refers_to_key and payload
-    (null for a revisit) of every record, an archive at a time. An empty manifest gives no rows."""
-    return manifest.select("archive").repartition("archive").mapInArrow(_reader(folder), "page_key string, url string, record_type string, payload_bytes long, payload_digest string, refers_to_key string, payload binary")
+    (null for a revisit) of every record. Archives are dealt evenly to as many tasks as their stored bytes ask for. An empty
+    manifest gives no rows."""
+    spark = manifest.sparkSession
+    n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("stored_bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(READERS * spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))))
+    each = manifest.select("archive").repartition(tasks)
+    return each.mapInArrow(_reader(_located(spark, folder)), "page_key string, url string, record_type string, payload_bytes long, payload_digest string, refers_to_key string, payload binary")
