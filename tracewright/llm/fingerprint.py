@@ -21,8 +21,9 @@ from .words import mix
 
 #: Levels whose phrases count, and hashes that a fingerprint holds (8 hex digits each).
 LEVELS, SIZE = (2, 3), 64
-#: Rows that are sorted together for a text and its successor.
-GROUP_ROWS, COARSE = 20_000, 256
+#: Bytes of texts that are sorted together, each text before its successor; above MOST groups they grow instead. Groups are
+#: cut by percentiles of the ids, COARSE of all rows and then as many as are needed within each of these.
+GROUP_BYTES, MOST, COARSE = 8 << 20, 50_000, 256
 _BASE = 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -129,29 +130,31 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[li
         yield out
 
 
+def _cuts(n: int) -> list[float]:
+    return [k / n for k in range(1, n)]
+
+
 def with_successors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """bucket, last, id and text, sorted so that each row's successor in ascending id follows it within its bucket, which a
     stand-in (last = 1) with the first text of the next bucket ends; the last bucket's has the first text of all.
 
-    Buckets of about GROUP_ROWS rows come from percentiles of the ids and, beyond COARSE of them, from even steps between
-    these. Null ids come first; rows of one id follow each other in order of their texts.
+    Buckets hold about equally many rows: percentiles of the ids cut the table, and percentiles within each part cut it
+    again. Each bucket is a partition. Null ids come first; rows of one id stay together, in order of their texts.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = rows.count()
-    wanted = max(1, -(-n // GROUP_ROWS))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = max(1, min(-(-size // GROUP_BYTES), MOST))
     coarse = min(wanted, COARSE)
-    cuts = [k / coarse for k in range(1, coarse)]
-    bounds = sorted(set(rows.agg(F.percentile_approx("id", cuts, 100_000)).first()[0] or [])) if cuts else []
-    fine = -(-wanted // COARSE)
+    fine = -(-wanted // coarse)
     key = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    bucket = F.lit(0).cast("long")
-    if bounds:
-        ends = F.array(*map(F.lit, bounds)).cast("array<long>")
-        place = F.size(F.filter(ends, lambda b: b <= key))
-        low, high = F.get(ends, place - 1), F.get(ends, place)
-        part = F.floor((key.cast("double") - low) / (high - low) * fine)
-        bucket = place.cast("long") * fine + F.least(F.coalesce(part, F.lit(0)), F.lit(fine - 1)).cast("long")
-    rows = rows.withColumn("bucket", bucket)
+    place = lambda ends: F.size(F.filter(ends, lambda b: b <= key)).cast("long")
+    rows = rows.withColumn("bucket", F.lit(0).cast("long"))
+    if coarse > 1:
+        bounds = sorted(set(rows.agg(F.percentile_approx(key, _cuts(coarse), 100_000)).first()[0] or []))
+        rows = rows.withColumn("bucket", place(F.array(*map(F.lit, bounds)).cast("array<long>")))
+    if fine > 1:
+        within = staged(rows.groupBy("bucket").agg(F.percentile_approx(key, _cuts(fine), 10_000).alias("ends")), "bounds")
+        rows = rows.join(F.broadcast(within), "bucket").withColumn("bucket", F.col("bucket") * fine + place(F.array_distinct("ends"))).drop("ends")  # at most COARSE + 1 rows
     firsts = staged(rows.groupBy("bucket").agg(F.min(key).alias("key")), "firsts")
     order = Window.orderBy("bucket")  # a row per bucket
     start = F.first("key").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -159,7 +162,10 @@ def with_successors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = join_small(rows.select(key.alias("key"), "text"), after, "key").groupBy("bucket").agg(F.min("text").alias("text"))
     ends_ = texts.select("bucket", F.lit(1).alias("last"), F.lit(None).cast("long").alias("id"), "text")
     every = rows.select("bucket", F.lit(0).alias("last"), "id", "text").unionByName(ends_)
-    return every.repartition("bucket").sortWithinPartitions("bucket", "last", F.col("id").asc_nulls_first(), "text")
+    numbers = staged(firsts.select("bucket", (F.row_number().over(order) - 1).alias("part")), "parts")
+    parts = max(1, numbers.count())
+    every = every.join(F.broadcast(numbers), "bucket")  # at most MOST + COARSE rows
+    return every.repartitionById(parts, "part").select("bucket", "last", "id", "text").sortWithinPartitions("bucket", "last", F.col("id").asc_nulls_first(), "text")
 
 
 def fingerprint_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
