@@ -97,7 +97,7 @@ def test_license_scan_base_and_templates(spark):
     assert license_scan.scan(frame(spark, [])).collect() == []
 
 
-def test_fingerprint_edits(spark):
+def test_fingerprint_edits(spark, monkeypatch):
     r = random.Random(5)
     make = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))
     texts = [make(300) for _ in range(12)] + EDGE + [make(3)]
@@ -106,8 +106,9 @@ def test_fingerprint_edits(spark):
     shifted = fingerprint.fingerprints([texts[0], "some words before " + texts[0]])
     assert fingerprint.likeness(*shifted) > 0.7
     ids = [3 * k for k in range(len(texts))]
-    for rows in (20_000, 4):
-        fingerprint.GROUP_ROWS = rows
+    for size, coarse in ((8 << 20, 256), (4000, 256), (900, 3)):
+        monkeypatch.setattr(fingerprint, "GROUP_BYTES", size)
+        monkeypatch.setattr(fingerprint, "COARSE", coarse)
         got = {x.doc_id: x for x in fingerprint.fingerprint_edits(frame(spark, texts, ids).repartition(3)).collect()}
         assert len(got) == len(texts)
         for k, t in enumerate(plain):
@@ -116,11 +117,68 @@ def test_fingerprint_edits(spark):
             assert got[3 * k].edited == t[: n - n // 4] + plain[(k + 1) % len(plain)][: n // 4]
             if k < 11:
                 assert got[3 * k].near_edited > 0.35 > 0.2 > got[3 * k].near_next
-    fingerprint.GROUP_ROWS = 20_000
     assert fingerprint.fingerprint_edits(frame(spark, [])).collect() == []
     assert fingerprint.fingerprint_edits(frame(spark, ["same", "same"], [1, 1])).count() == 2
 
 
+def plain_mix(x):
+    m = (1 << 64) - 1
+    x = ((x ^ x >> 31) * 0xBF58476D1CE4E5B9) & m
+    x = ((x ^ x >> 29) * 0x94D049BB133111EB) & m
+    return x ^ x >> 32
+
+
+def plain_fingerprint(text):
+    """Symbol by symbol, as the method says."""
+    m, held = (1 << 64) - 1, set()
+    symbols = [ord(c) for c in text]
+    for level in (1, 2, 3):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        runs = [plain_mix(x ^ (n << 48) & m) if n > 1 else x for x, n in runs]
+        label = runs
+        for _ in range(4):
+            new = [0] * len(label)
+            for i in range(1, len(label)):
+                apart = label[i] ^ label[i - 1]
+                low = (apart & -apart).bit_length() - 1 if apart else 0
+                new[i] = 2 * low + (label[i] >> low & 1)
+            label = new
+        starts = [i for i in range(len(runs)) if i == 0 or i < len(runs) - 1 and label[i - 1] < label[i] >= label[i + 1]]
+        symbols = []
+        for a, b in zip(starts, [*starts[1:], len(runs)]):
+            symbols.append(plain_mix(sum(plain_mix((x + level) & m) * pow(0xC2B2AE3D27D4EB4F, k, 1 << 64) for k, x in enumerate(runs[a:b])) & m))
+        if level > 1:
+            held |= {plain_mix(x ^ level) >> 32 for x in symbols}
+    return "".join(f"{x:08x}" for x in sorted(held)[:64])
+
+
+def test_fingerprints_equal_a_plain_parser():
+    r = random.Random(11)
+    texts = ["".join(r.choice(alphabet) for _ in range(n)) for alphabet in ("ab", "abc é😀", "".join(map(chr, range(97, 123)))) for n in (1, 2, 3, 7, 50, 900)]
+    texts += ["a" * 500, "ab" * 300, "", "x" * 300 + "y", "".join(r.choice("abcdefgh ") for _ in range(60_000))]
+    assert fingerprint.fingerprints(texts) == [plain_fingerprint(t) for t in texts]
+
+
+def test_fingerprint_edits_of_a_very_long_text_and_clustered_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(fingerprint, "COARSE", 4)
+    r = random.Random(12)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in [400] * 300 + [400_000]]
+    ids = [*range(299), 10**15, 10**15 + 1]
+    got = {x.doc_id: x for x in fingerprint.fingerprint_edits(frame(spark, texts, ids)).collect()}
+    for k, i in enumerate(ids):
+        n = len(texts[k])
+        assert got[i].edited == texts[k][: n - n // 4] + texts[(k + 1) % len(ids)][: n // 4]
+        assert got[i].fingerprint == fingerprint.fingerprints([texts[k]])[0]
+    sizes = [len(x) for x in fingerprint.with_successors(frame(spark, texts, ids)).select("id").rdd.glom().collect()]
+    assert max(sizes) < 60
+
+
 def brute_padding(lengths, buckets):
     values = sorted(set(lengths))
     best = {(0, 0): 0}
@@ -281,3 +339,25 @@ def test_license_scan_equals_its_sql(spark):
     want = con.sql(queries.ORACLE_SQL["op4_license_scan"] + " ORDER BY doc_id")
     got = license_scan.scan(frame(spark, texts).select("doc_id", "text")).orderBy("doc_id").collect()
     assert [tuple(r[c] for c in want.columns) for r in got] == want.fetchall()
+
+
+def test_license_without_its_rarest_words_is_found(spark):
+    """Everything but the mandatory phrase of a notice may be what other files lack, as long as enough of its IDF stands."""
+    import duckdb
+    import pandas as pd
+
+    from tracewright.llm import queries
+
+    notice = next(t for t in license_scan.TEMPLATES if t.label == "bsd" and "modification" in t.words)
+    own = notice.words.split()
+    common = [w for w in own if w not in ("modification", "permitted", "conditions", "met")]
+    texts = [" ".join(own[:k]) for k in range(2, 15)] * 8 + [" ".join(reversed(common))] * 4
+    changed = ["changed" if w in ("modification", "permitted", "conditions", "met") else w for w in own]
+    texts += ["some words " + " ".join(changed) + " and more", " ".join(own)]
+    texts += [" ".join(x if r.random() > 0.1 else "other" for x in t.words.split()) for r in [random.Random(9)] for t in license_scan.TEMPLATES for _ in range(3)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = con.sql(queries.ORACLE_SQL["op4_license_scan"] + " ORDER BY doc_id")
+    got = license_scan.scan(frame(spark, texts).select("doc_id", "text")).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in want.columns) for r in got] == want.fetchall()
+    assert sum(x.labels != "" for x in got[-64:]) > 20
