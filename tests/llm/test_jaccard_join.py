@@ -72,10 +72,37 @@ def test_frequent_shingles_and_repeated_rows(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_repeated_rows_of_large_regions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LEAF", 7)
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(30):
+        copy = list(base)
+        copy[r.randrange(60)] = "x"
+        rows.append((i, " ".join(copy)))
+    rows += [rows[3], rows[5], rows[5]]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_names_that_clash(spark, monkeypatch):
+    """With names of 4 bits every set shares its name with many others."""
+    monkeypatch.setattr(jaccard_join, "NAME_BITS", 4)
+    rows = texts(17)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_stage_keeps_a_row_of_each_group(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text of words"), (2, "A B c d e f"), (None, "a b c d e f"), (4, "alone here"), (4, "alone here"), (6, None), (6, None), (None, "no id one two"), (None, "no id one two")]
+    kept = jaccard_join.distinct_groups(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3)).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted([(1, "a b c d e f"), (1, "quite another text of words"), (4, "alone here"), (6, None), (6, None), (None, "no id one two")], key=key)
+
+
 def test_empty_table_and_stage(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert jaccard_join.similar(none).collect() == []
     rows = [(5, "a b c d e f"), (3, "A b c d e f"), (7, "other words"), (None, "a b c d e f"), (9, None)]
     kept = jaccard_join.distinct_groups(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA))
     assert kept.columns == ["doc_id", "text", "component_id"]
-    assert {r.doc_id for r in kept.collect()} == {3, 7, 9, None}
+    assert {r.doc_id for r in kept.collect()} == {3, 7, 9}

@@ -33,9 +33,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast only if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join_small(big: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """big joined with a staged table that is broadcast only if it has at most BROADCAST_ROWS rows."""
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    return big.join(small(other), on, how)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

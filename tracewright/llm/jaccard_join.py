@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, slices, staged, tidied
+from .common import join_small, slices, small, staged, tidied
 from .components import components
 from .words import SPACED, grams, mix, word_shards
 
@@ -35,6 +35,8 @@ LEAF = 1000
 #: One document in SAMPLE is looked at for frequent shingles; those in at least FREQUENT of them are put last, MOST at most.
 SAMPLE, FREQUENT, MOST = 32, 4, 1 << 17
 _COLUMNS = 4096
+#: Bits of the hash that names a set; sets that share a name are told apart by another hash of 64 bits.
+NAME_BITS = 64
 #: Sets whose names and pivots are broadcast to where the texts are; more are joined by a shuffle.
 WANTED_ROWS = 200_000
 
@@ -53,11 +55,13 @@ def shingle_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + d, np.zeros(0, np.uint64)
 
 
-def _node(s: np.ndarray) -> int:
-    """A hash of a set."""
+def _node(s: np.ndarray, bits: int) -> tuple[int, int]:
+    """Two hashes of a set: the name it goes by (of so many bits), and the one that tells sets of one name apart."""
     h = mix(s)
-    whole = np.array([h.sum(), np.bitwise_xor.reduce(h), len(s)], np.uint64)
-    return int(mix(mix(mix(whole[:1]) ^ whole[1:2]) ^ whole[2:]).view(np.int64)[0])
+    whole = np.array([h.sum(), np.bitwise_xor.reduce(h), (h * h).sum(), len(s)], np.uint64)
+    name = mix(mix(mix(whole[:1]) ^ whole[1:2]) ^ whole[3:]) >> np.uint64(64 - bits)
+    other = mix(mix(mix(whole[2:3]) + whole[1:2]) ^ whole[3:])
+    return int(name.view(np.int64)[0]), int(other.view(np.int64)[0])
 
 
 def _counts(s: np.ndarray) -> bytes:
@@ -90,15 +94,32 @@ def _partners(size: np.ndarray, sketch: list[bytes], barred: np.ndarray, percent
     return out
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, a band of members at a time."""
+    k = len(sets)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[code]
+    owner, code = owner[keep], column[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((k, k), np.float32)
+    for a in range(0, int(code[-1]) + 1 if len(code) else 0, _COLUMNS):
+        i, j = np.searchsorted(code, [a, a + _COLUMNS])
+        x = np.zeros((k, _COLUMNS if j < len(code) else int(code[-1]) + 1 - a), np.float32)
+        x[owner[i:j], code[i:j] - a] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
 def _met_before(pivots: list[np.ndarray], pivot: int) -> np.ndarray | None:
     """Which pairs of sets share a pivot below this one, where they count; None if no set has one."""
     lower = [p[p < pivot] for p in pivots]
     if not any(map(len, lower)):
         return None
-    every, code = np.unique(np.concatenate(lower), return_inverse=True)
-    x = np.zeros((len(pivots), len(every)), np.float32)
-    x[np.repeat(np.arange(len(pivots)), [len(p) for p in lower]), code] = 1
-    return (x @ x.T) > 0
+    return _common(lower) > 0
 
 
 def _kept(percent: int):
@@ -170,35 +191,44 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pivot", "cell").agg(F.count_if(core).alias("core_rows"), F.count_if(~core).alias("rest_rows"))
 
 
-def _sketch(n: int, percent: int, frequent):
+def _sketch(n: int, percent: int, frequent, bits: int):
     def run(batches):
         seen = set()
         last = frequent.value
         for batch in slices(batches):
-            size, node, prefix, sketch = np.zeros(batch.num_rows, np.int64), *([None] * batch.num_rows for _ in range(3))
-            for row, s in shingle_sets(batch.column(1), n):
+            size, node, other, prefix, sketch = np.zeros(batch.num_rows, np.int64), *([None] * batch.num_rows for _ in range(4))
+            for row, s in shingle_sets(batch.column(2), n):
                 if size_ := len(s):
-                    size[row], node[row] = size_, _node(s)
-                    if node[row] not in seen:
-                        seen.add(node[row])
+                    size[row], (node[row], other[row]) = size_, (names := _node(s, bits))
+                    if names not in seen:
+                        seen.add(names)
                         sketch[row] = _counts(s)
                         if len(last):
                             late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                             s = np.concatenate([s[~late], s[late]])
                         prefix[row] = s[: size_ + (-percent * size_ // 100) + 1].view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "node", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "said", "n_shingles", "node", "other", "prefix", "sketch"])
 
     return run
 
 
-def _sets(n: int):
+def _told_apart(sig: DataFrame) -> DataFrame:
+    """sig, where sets of different content that share a name go by their other hash. So sets are told apart by 128 bits."""
+    both = sig.filter("node is not null").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y"))
+    clash = staged(both.filter("x <> y").select("node", F.lit(True).alias("clash")), "clash")
+    if clash.isEmpty():
+        return sig
+    return staged(join_small(sig, clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.col("other")).otherwise(F.col("node"))).drop("clash"), "sketch")
+
+
+def _sets(n: int, bits: int):
     """Of (rep, node, ..., text): the rows whose text has that node's set, which replaces the text."""
 
     def run(batches):
         for batch in slices(batches):
             node, found, at = batch.column(1).to_pylist(), [], []
             for row, s in shingle_sets(batch.column(batch.num_columns - 1), n):
-                if len(s) and _node(s) == node[row]:
+                if len(s) and node[row] in _node(s, bits):
                     at.append(row)
                     found.append(s.view(np.int64))
             rows = batch.take(pa.array(at, pa.int64()))
@@ -221,26 +251,6 @@ def _distance(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(d, pa.float64())], names=[*batch.schema.names[:-2], "distance"])
 
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, a band of shingles at a time."""
-    k = len(sets)
-    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(k), [len(s) for s in sets])
-    shared = times > 1
-    column = np.cumsum(shared) - 1
-    keep = shared[code]
-    owner, code = owner[keep], column[code[keep]]
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    out = np.zeros((k, k), np.float32)
-    for a in range(0, int(code[-1]) + 1 if len(code) else 0, _COLUMNS):
-        i, j = np.searchsorted(code, [a, a + _COLUMNS])
-        x = np.zeros((k, _COLUMNS if j < len(code) else int(code[-1]) + 1 - a), np.float32)
-        x[owner[i:j], code[i:j] - a] = 1
-        out += x @ x.T
-    return out.astype(np.int64)
-
-
 def _leaf(rows: pa.Table, percent: int) -> dict | None:
     """Links of the sets of one leaf, and the least set that each is joined to within it."""
     node = rows.column("node").to_numpy()
@@ -258,7 +268,7 @@ def _leaf(rows: pa.Table, percent: int) -> dict | None:
     sets = _lists(get("shingles"))
     size = np.array([len(s) for s in sets])
     window, core, side, weight, pivot = (get(c).to_numpy() for c in ("window", "core", "side", "weight", "pivot"))
-    common = _intersections(sets)
+    common = _common(sets)
     link = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     np.fill_diagonal(link, False)
     link &= (window[:, None] & window[None, :]) == 0
@@ -343,17 +353,11 @@ def _blocks(rows: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({"cell": F.xxhash64("cell", F.least("__own", "__other"), F.greatest("__own", "__other")), "side": F.when(F.col("__own") == F.col("__other"), 0).when(F.col("__own") < F.col("__other"), 1).otherwise(2)}).select(*columns)
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links, its own included) and n_links of every row.
-
-    Two documents link if 100 * shared >= percent * all of their different word n-grams. A text of fewer than n words is
-    one shingle; null texts and texts without words have none and link with nothing. Rows with equal sets link with each
-    other. A null doc_id takes part but names no component; repeated rows are each reported. Columns of docs other than
-    these two play no part. Any group size is exact: nothing is capped.
-    """
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, text): doc_id, said (hash of the text), n_shingles and node of every row, node being its set's name (null
+    for none); and node, root (of its component), component_id and n_links of every set."""
     eps = 1 - percent / 100
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sampled(batches):
@@ -364,7 +368,9 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     often = few.groupBy("s").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "s").limit(MOST).toArrow()
     frequent = sc.broadcast(np.sort(np.asarray(often.column("s")).astype(np.int64).view(np.uint64)))
 
-    sig = staged(docs.mapInArrow(tidied(_sketch(n, percent, frequent)), f"doc_id {kind}, n_shingles long, node long, prefix array<long>, sketch binary"), "sketch")
+    said = docs.select("doc_id", F.xxhash64("text").alias("said"), "text")
+    sig = said.mapInArrow(tidied(_sketch(n, percent, frequent, NAME_BITS)), f"doc_id {kind}, said long, n_shingles long, node long, other long, prefix array<long>, sketch binary")
+    sig = _told_apart(staged(sig, "sketch"))
     at = sig.filter("prefix is not null").select("node", F.explode("prefix").alias("shingle")).repartition("shingle")
     leaders = at.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("__top")).filter(F.col("pivot") != F.col("__top")).drop("__top")
     member = staged(at.join(leaders, "shingle").select("pivot", "node").distinct(), "member")
@@ -374,9 +380,11 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
 
     classes = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     needed = staged(member.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")).join(classes, "node").select("rep", "node", "weight", "pivots"), "needed")
-    wanted = F.broadcast(needed) if needed.count() <= WANTED_ROWS else needed
+    wanted = F.broadcast(needed) if (n_needed := needed.count()) <= WANTED_ROWS else needed
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("rep", "node", "weight", "pivots", "text")
-    sets = staged(texts.mapInArrow(tidied(_sets(n)), "node long, weight long, pivots array<long>, shingles array<long>"), "sets")
+    sets = staged(texts.mapInArrow(tidied(_sets(n, NAME_BITS)), "node long, weight long, pivots array<long>, shingles array<long>"), "sets")
+    if sets.count() > n_needed:  # rows that repeat an id and its text
+        sets = staged(sets.dropDuplicates(["node"]), "sets")
 
     counts = member.groupBy("pivot").count()
     large = staged(counts.filter(F.col("count") > LEAF).select("pivot"), "large")
@@ -404,9 +412,20 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    result = named.join(least, "root").join(links, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    result = staged(result, "classes")
-    out = sig.select("doc_id", "n_shingles", "node").join(result, "node", "left")
+    result = named.join(least, "root").join(links, "node", "left").select("node", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return sig.select("doc_id", "said", "n_shingles", "node"), staged(result, "classes")
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links, its own included) and n_links of every row.
+
+    Two documents link if 100 * shared >= percent * all of their different word n-grams. A text of fewer than n words is
+    one shingle; null texts and texts without words have none and link with nothing. Rows with equal sets link with each
+    other. A null doc_id takes part but names no component; repeated rows are each reported. Columns of docs other than
+    these two play no part. Any group size is exact: nothing is capped.
+    """
+    rows, result = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n, percent)
+    out = rows.join(result, "node", "left")
     alone = F.col("node").isNull()
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
@@ -427,8 +446,19 @@ def _smaller(shells: DataFrame, sets: DataFrame, eps: float) -> DataFrame:
     return rest.unionByName(_blocks(done.select(*_ROW), of, _ROW))
 
 
-def distinct_groups(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group of linked ones: the one whose doc_id is least (rows with a null doc_id stay)."""
-    name = options.get("doc_id", "doc_id")
-    gone = staged(similar(docs, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
-    return join_small(docs, gone, name, "left_anti")
+def distinct_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one row of each group of linked ones: that of the least doc_id, null ids last, and of the rows with that id
+    the one whose text has the least hash; of rows that repeat both, any one. Rows without words all stay."""
+    rows, result = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n, percent)
+    rows = rows.filter("node is not null").groupBy("node", "doc_id", "said").agg(F.count("*").alias("times"))
+    rows = staged(rows.join(result.select("node", "root"), "node").select("root", "doc_id", "said", "times"), "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("said").alias("c"))
+    least = rows.groupBy("root").agg(F.min(first).alias("first"))
+    gone = staged(rows.join(least, "root").filter(first != F.col("first")).select(F.col("doc_id").alias("__id"), F.col("said").alias("__said")), "gone")
+    again = staged(rows.join(least, "root").filter((first == F.col("first")) & (F.col("times") > 1)).select(F.col("doc_id").alias("__id"), F.col("said").alias("__said")), "again")
+    key = [F.col(doc_id).eqNullSafe(F.col("__id")), F.xxhash64(text) == F.col("__said")]
+    kept = docs.join(small(gone), key, "left_anti")
+    if again.isEmpty():
+        return kept
+    one = kept.join(small(again), key, "left_semi").withColumn("__said", F.xxhash64(text)).dropDuplicates([doc_id, "__said"]).drop("__said")
+    return kept.join(small(again), key, "left_anti").unionByName(one)
