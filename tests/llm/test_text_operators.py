@@ -74,10 +74,22 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block):
             assert words(doc)[m.doc_word : m.doc_word + m.n_words] == words(dict((str(a), b) for a, b in items)[m.item_id])[m.item_word : m.item_word + m.n_words]
     none = decontaminate.find_matches(frame(spark, docs), bench.limit(0)).agg(F.sum("n_hit")).first()[0]
     assert none == 0
-    kept = decontaminate.decontaminate(frame(spark, docs).drop("matches", "n_words"), bench)
+    kept = decontaminate.decontaminate(frame(spark, docs), bench)
+    assert kept.columns == frame(spark, []).columns and {(r.n_words, r.matches) for r in kept.collect()} == {("old", "old")}
     assert {r.doc_id for r in kept.collect()} == {k for k, d in enumerate(docs) if not (brute_hits(d, items)[1] and 20 * brute_hits(d, items)[1] >= len(words(d)))}
 
 
+def test_decontamination_of_repetitive_texts(spark):
+    items = [(1, "la " * 1000), (2, "la " * 1000 + "di"), (3, "la " * 12 + "da la"), (4, "la la")]
+    docs = ["la " * 20_000, "la " * 20_000 + "di", "la da " * 50, "da " * 30 + "la la " + "da " * 10]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_matches(frame(spark, docs), bench).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r["items"]) for r in got] == [(20_000, 20_000, ["1", "2", "4"]), (20_001, 20_001, ["1", "2", "4"]), (100, 0, []), (42, 2, ["4"])]
+    few = ["la " * 40, "la " * 40 + "di la", "x la la da la"]
+    for r, d in zip(decontaminate.find_matches(frame(spark, few), bench).orderBy("doc_id").collect(), few):
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(d, items)
+
+
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 

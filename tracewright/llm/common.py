@@ -49,6 +49,13 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in new])
 
 
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, list]:
+    """df, where columns that an operator is about to replace go by other names, and the columns that give df back."""
+    new = {x.lower() for x in names}
+    kept = {c: f"__kept_{c}" for c in df.columns if c.lower() in new}
+    return df.withColumnsRenamed(kept), [F.col(kept.get(c, c)).alias(c) for c in df.columns]
+
+
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], compute: Callable[[], Callable[[pa.RecordBatch, pa.Array], dict]]) -> DataFrame:
     """df with columns made from its text, batch by batch and without a shuffle.
 

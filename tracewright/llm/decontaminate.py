@@ -1,8 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each task builds a suffix array over a shard of a few MB of its documents' words, and every test suffix is searched in it
-by bisection; the documents never move. Only suffixes that begin like some test window (its first words, at most four) are
-put into the array: no other can match one. Matches at consecutive places are merged into the longest verbatim matches.
+by bisection, by its first `width` words; the documents never move. Only suffixes that begin like some test window (its
+first words, at most four) are put into the array: no other can match one. An occurrence is an interval of the array, and
+each document word lies in at most one interval of each window length, so repetitive texts cost no more than others.
+Matches at consecutive places are merged into the longest verbatim matches.
 """
 
 from __future__ import annotations
@@ -13,37 +15,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, aside, staged
 from .words import ALNUM, mix, word_shards
 
-#: Words of test items that one pass over the documents holds; more items mean more passes.
+#: Words of test items that one pass over the documents holds; more items mean more passes, written to the shared folder.
 BLOCK_WORDS = 2_000_000
+#: Pairs of a document and an item's window that are expanded together.
+PAIRS = 1 << 20
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.IntegerType()), T.StructField("doc_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", MATCH)]
+#: Begin and end of a document's hit words, one pair after the other; only passes of their own need it.
+SPANS = T.StructField("__spans", T.ArrayType(T.IntegerType()))
 _ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
 
 
 class Windows:
-    """Windows of a block of test items, sorted for bisection."""
+    """The different windows of a block of test items, sorted for bisection, and where each first stands in each item."""
 
     def __init__(self, ids: list[str], texts: list[str], width: int):
         self.width, self.ids = width, ids
-        parts = [(i + d, h[o[d] : o[d + 1]]) for i, j, h, o in word_shards(pa.array(texts, pa.string()), ALNUM) for d in range(j - i)]
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in parts)]))
-        rows, item, at, size = [], [], [], []
-        for i, h in parts:
-            code = np.searchsorted(self.vocabulary, h).astype(np.uint32) + 1
-            for s in range(max(1, len(h) - width + 1) if len(h) else 0):
-                row = code[s : s + width]
-                rows.append(np.pad(row, (0, width - len(row))))
-                item.append(i)
-                at.append(s)
-                size.append(len(row))
-        codes = np.array(rows, np.uint32).reshape(-1, width)
-        self.keys, self.size = _keys(codes), np.array(size, np.int64)
-        upper = codes.copy()
-        upper[np.arange(width) >= self.size[:, None]] = 0xFFFFFFFF
-        self.upper, self.item, self.at = _keys(upper), np.array(item, np.int64), np.array(at, np.int64)
+        found = [(h, np.diff(o)) for _, _, h, o in word_shards(pa.array(texts, pa.string()), ALNUM)]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)])
+        length = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+        self.vocabulary, code = np.unique(hashes, return_inverse=True)
+        padded = np.concatenate([code.astype(np.uint32) + 1, np.zeros(width, np.uint32)])
+        n = np.where(length > 0, np.maximum(1, length - width + 1), 0)
+        item = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        size = np.minimum(length[item], width)
+        place = (np.cumsum(length) - length)[item] + at
+        columns = np.arange(width)
+        codes = np.where(columns < size[:, None], padded[place[:, None] + columns], 0).astype(np.uint32)
+        self.keys, first, which = np.unique(_keys(codes), return_index=True, return_inverse=True)
+        codes, self.size = codes[first], size[first]
+        self.short = np.flatnonzero(self.size < width)
+        upper = codes[self.short]
+        upper[columns >= self.size[self.short][:, None]] = 0xFFFFFFFF
+        self.upper = _keys(upper)
+        order = np.lexsort((at, item, which))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(which[order]) != 0) | (np.diff(item[order]) != 0)
+        order = order[new]
+        self.item, self.at = item[order].astype(np.int32), at[order].astype(np.int32)
+        self.holds = np.searchsorted(which[order], np.arange(len(self.keys) + 1))
         self.starts = {p: np.unique(_start(codes[:, :p])[np.minimum(self.size, 4) == p]) for p in (1, 2, 3, 4)}
         self.maybe = _bits(self.vocabulary)
 
@@ -94,11 +108,12 @@ def suffix_array(codes: np.ndarray, off: np.ndarray, w: Windows) -> tuple[np.nda
 
 
 def search(codes: np.ndarray, off: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word place) of every occurrence of every window in a shard."""
+    """(window, word place) of every occurrence of every different window in a shard."""
     if not len(w.keys) or not codes.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys, at = suffix_array(codes, off, w)
-    low, high = np.searchsorted(keys, w.keys, "left"), np.searchsorted(keys, w.upper, "right")
+    low, high = np.searchsorted(keys, w.keys, "left"), np.searchsorted(keys, w.keys, "right")
+    high[w.short] = np.searchsorted(keys, w.upper, "right")
     n = np.maximum(high - low, 0)
     window = np.repeat(np.arange(len(n)), n)
     return window, at[np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
@@ -116,13 +131,26 @@ def _longest(doc: np.ndarray, item: np.ndarray, item_word: np.ndarray, word: np.
     return [doc[first], item[first], item_word[first], word[first], word[end] + size[end] - word[first]]
 
 
-def _covered(matches: list[dict]) -> int:
-    """Words inside any match."""
-    total, reach = 0, 0
-    for a, n in sorted((m["doc_word"], m["n_words"]) for m in matches):
-        total += max(0, a + n - max(a, reach))
-        reach = max(reach, a + n)
-    return total
+def _met(w: Windows, off: np.ndarray, window: np.ndarray, place: np.ndarray):
+    """(document, item, the item's word, the document's word, length) of windows and the items that hold them, a slice of
+    documents at a time; a window that repeats within a text or an item stands at its first place."""
+    doc = np.searchsorted(off, place, "right") - 1
+    order = np.lexsort((place, window, doc))
+    doc, window, place = doc[order], window[order], place[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(window) != 0)
+    doc, window, place = doc[new], window[new], place[new]
+    n = w.holds[window + 1] - w.holds[window]
+    total = np.cumsum(n)
+    i = 0
+    while i < len(doc):
+        j = int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right"))
+        j = int(np.searchsorted(doc, doc[min(max(j, i + 1), len(doc)) - 1], "right"))  # whole documents
+        m = n[i:j]
+        row = np.repeat(np.arange(i, j), m)
+        held = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(w.holds[window[i:j]], m)
+        yield doc[row], w.item[held].astype(np.int64), w.at[held].astype(np.int64), place[row] - off[doc[row]], w.size[window[row]]
+        i = j
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 13, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -131,43 +159,71 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", widt
 
     Words are runs of a-z, 0-9 and all non-ASCII characters after lower-casing A-Z. A window is `width` consecutive words
     of an item; a shorter item is one window; an item without words has none. A null or empty text has no words and no
-    hits. Repeated documents and items are each treated alone; without items nothing is hit. Columns of docs with these
-    four names are replaced, all others pass. Items reach the tasks in blocks of BLOCK_WORDS words, one pass each.
+    hits. Repeated documents and items are each treated alone; without items nothing is hit. n_hit and items know every
+    occurrence; matches join each window's first place in the document to its first place in the item. Columns of docs with
+    these four names are replaced, all others pass. Items are dealt by hash to blocks of about BLOCK_WORDS words, which reach
+    the driver and the tasks one after the other, a pass over the documents each.
     """
     sc = docs.sparkSession.sparkContext
-    out, block, size, passes = docs, ([], []), 0, 0
-
-    def one_pass(df: DataFrame, rows: tuple[list[str], list[str]], more: bool) -> DataFrame:
-        held = sc.broadcast(Windows(rows[0], rows[1], width))
-        if more:
-            df = df.withColumnRenamed("matches", "__earlier")
-        return append_columns(df, text, FIELDS, lambda: lambda batch, col: _match(col, held.value, batch.column("__earlier") if more else None)).drop("__earlier")
-
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).toLocalIterator():
-        block[0].append(row.i or "")
-        block[1].append(row.t)
-        size += len(row.t) // 2 + 1
-        if size >= BLOCK_WORDS:
-            out, block, size, passes = one_pass(out, block, passes > 0), ([], []), 0, passes + 1
-    return one_pass(out, block, passes > 0) if block[0] or not passes else out
-
-
-def _match(col: pa.Array, w: Windows, earlier: pa.Array | None) -> dict[str, pa.Array]:
-    n_words, found = np.zeros(len(col), np.int64), [[] for _ in range(len(col))]
-    if earlier is not None:
-        found = [list(x or []) for x in earlier.to_pylist()]
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    n_words = items.agg(F.sum(F.regexp_count(F.col("t"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    blocks = max(1, -(-n_words // BLOCK_WORDS))
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    fields = [*FIELDS, SPANS]
+    for k in range(blocks):
+        rows = items.filter(block == k).toArrow()
+        held = sc.broadcast(Windows(rows.column("i").to_pylist(), rows.column("t").to_pylist(), width))
+        docs = docs.withColumnsRenamed({f.name: f"__was_{f.name}" for f in fields}) if k else docs
+        earlier = [f"__was_{f.name}" for f in fields] if k else []
+
+        def compute(held=held, earlier=earlier):
+            return lambda batch, col: _match(col, held.value, [batch.column(c).to_pylist() for c in earlier])
+
+        docs = append_columns(docs, text, fields, compute).drop(*earlier)
+        if k + 1 < blocks:
+            docs = staged(docs, "pass")
+            held.unpersist()
+    return docs.drop(SPANS.name)
+
+
+def _match(col: pa.Array, w: Windows, earlier: list[list]) -> dict[str, pa.Array]:
+    n_words, n_hit = np.zeros(len(col), np.int64), np.zeros(len(col), np.int64)
+    items, matches, spans = ([[] for _ in range(len(col))] for _ in range(3))
     for i, j, hashes, off in word_shards(col, ALNUM, 1 << 20):
         n_words[i:j] = np.diff(off)
         window, place = search(w.codes(hashes), off, w)
-        if len(window):
-            doc = np.searchsorted(off, place, "right") - 1
-            for d, item, iw, dw, n in zip(*(x.tolist() for x in _longest(doc, w.item[window], w.at[window], place - off[doc], w.size[window])), strict=True):
-                found[i + d].append({"item_id": w.ids[item], "item_word": iw, "doc_word": dw, "n_words": n})
+        inside = np.zeros(off[-1] + 1, np.int64)
+        np.add.at(inside, place, 1)
+        np.add.at(inside, place + w.size[window], -1)
+        for d, before in enumerate(earlier[-1][i:j] if earlier else []):
+            for a, b in zip(before[::2], before[1::2], strict=True):
+                inside[off[d] + a] += 1
+                inside[off[d] + b] -= 1
+        hit = np.cumsum(inside)[:-1] > 0
+        n_hit[i:j] = np.diff(np.concatenate([[0], np.cumsum(hit)])[off])
+        if hit.any():
+            owner = np.repeat(np.arange(j - i), np.diff(off))
+            edge = np.ones(len(hit), bool)
+            edge[1:] = (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(edge)
+            last = np.append(first[1:], len(hit))
+            for a, b in zip(first[hit[first]].tolist(), last[hit[first]].tolist(), strict=True):
+                d = int(owner[a])
+                spans[i + d] += [a - int(off[d]), b - int(off[d])]
+        for met in _met(w, off, window, place):
+            for d, item, iw, dw, n in zip(*(x.tolist() for x in _longest(*met)), strict=True):
+                matches[i + d].append({"item_id": w.ids[item], "item_word": iw, "doc_word": dw, "n_words": n})
+    for d, found in enumerate(matches):
+        items[d] = {m["item_id"] for m in found}
+        if earlier:
+            items[d].update(earlier[2][d])
+            found.extend(earlier[3][d])
     return {
         "n_words": pa.array(n_words),
-        "n_hit": pa.array([_covered(x) for x in found], pa.int64()),
-        "items": pa.array([sorted({m["item_id"] for m in x}) for x in found], pa.list_(pa.string())),
-        "matches": pa.array(found, _ARROW),
+        "n_hit": pa.array(n_hit),
+        "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        "matches": pa.array(matches, _ARROW),
+        SPANS.name: pa.array(spans, pa.list_(pa.int32())),
     }
 
 
@@ -177,7 +233,7 @@ def contaminated(n_hit, n_words):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with the columns they had (save any named like those of find_matches)."""
-    found = find_matches(docs, benchmark, **options)
-    return found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).drop(*[f.name for f in FIELDS])
-
+    """The documents that are not contaminated, with all the columns they had."""
+    rows, back = aside(docs, [f.name for f in FIELDS])
+    found = find_matches(rows, benchmark, **options)
+    return found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select(*back)
