@@ -300,7 +300,71 @@ def test_language_id_learns_every_language(spark, monkeypatch):
     a, b = (m.cross_entropies([t for _, t, _ in rows[:50]])[0] for m in (models, whole))
     assert len(models.parts) > len(whole.parts) == 1
     assert np.allclose(a, b, atol=1e-4)
-    assert abs(models.limit - whole.limit) < 1e-4
+    assert np.allclose(models.limits, whole.limits, atol=1e-4)
+
+
+def plain_letters(text):
+    out, spaced = "", True
+    for c in text or "":
+        if c.isalpha():
+            out, spaced = out + (c.lower() if len(c.lower()) == 1 else c), False
+        elif not spaced:
+            out, spaced = out + " ", True
+    return "   " + out
+
+
+def plain_kneser_ney(texts):
+    """The probability of a character after others, from dictionaries."""
+    from collections import Counter
+
+    four = Counter(t[i - 3 : i + 1] for t in map(plain_letters, texts) for i in range(3, len(t)))
+    n = {4: four}
+    for k in (3, 2, 1):
+        n[k] = Counter(g[1:] for g in n[k + 1])
+    mass, kinds, discount = {}, {}, {}
+    for k in n:
+        mass[k], kinds[k] = Counter(), Counter()
+        for g, x in n[k].items():
+            mass[k][g[:-1]] += x
+            kinds[k][g[:-1]] += 1
+        once, twice = (sum(x == y for x in n[k].values()) for y in (1, 2))
+        discount[k] = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+
+    def p(g, alphabet):
+        k = len(g)
+        if not k:
+            return 1 / (alphabet + 1)
+        if not mass[k][g[:-1]]:
+            return p(g[1:], alphabet)
+        d, m = discount[k], mass[k][g[:-1]]
+        return max(n[k][g] - d, 0) / m + d * kinds[k][g[:-1]] / m * p(g[1:], alphabet) if n[k][g] else d * kinds[k][g[:-1]] / m * p(g[1:], alphabet)
+
+    return p, {g[-1] for g in four}
+
+
+def test_language_id_equals_plain_kneser_ney(spark):
+    r = random.Random(21)
+    letters = {"aa": "abcde ", "bb": "abxyz ", "cc": "éàbcd ", "dd": "abxyz "}
+    taught = {x: ["".join(r.choice(y) for _ in range(r.randrange(5, 200))) for _ in range(15)] for x, y in letters.items()}
+    taught["dd"] = taught["bb"]  # a tie, which the first language wins
+    rows = [(k, t, x) for k, (x, t) in enumerate((x, t) for x, ts in taught.items() for t in ts)]
+    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "abc", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample_docs=10**6)
+    assert model.languages == sorted(letters)
+    asked = ["".join(r.choice("abcdexyzéà  Q!") for _ in range(r.randrange(1, 80))) for _ in range(40)] + ["ababab", "xyz", "ÉÀ", "q", "x" * 3000]
+    plain = {x: plain_kneser_ney(ts) for x, ts in taught.items()}
+    alphabet = len(set().union(*(c for _, c in plain.values())))
+    got = language_id.identify(spark.createDataFrame([(k, t, "old") for k, t in enumerate(asked)], "doc_id long, text string, lang_pred string").coalesce(1), model).orderBy("doc_id").collect()
+    for x, t in zip(got, asked):
+        if not any(c.isalpha() for c in t):
+            assert x.lang_pred == "und"
+            continue
+        seen = plain_letters(t)
+        ce = {name: -sum(np.log(p(seen[i - 3 : i + 1], alphabet)) for i in range(3, len(seen))) / (len(seen) - 3) for name, (p, _) in plain.items()}
+        least = min(ce.values())
+        assert abs(x.cross_entropy - least) < 1e-4
+        assert ce[x.lang_pred] < least + 1e-4 and x.lang_pred != "dd"
+        assert abs(x.score - 1 / sum(np.exp(least - y) for y in ce.values())) < 1e-3
 
 
 def test_language_model_sums_to_one():

@@ -23,8 +23,9 @@ ORDER = 4
 SAMPLE_DOCS = 400
 #: Languages whose models share arrays. Every language is learned; more languages make more arrays, not wider ones.
 SLICE = 8
-#: A text is rejected if its cross-entropy exceeds that of nearly all (REJECT_QUANTILE) sampled texts by this many nats.
-REJECT_QUANTILE, REJECT_MARGIN = 0.995, 1.0
+#: A text is rejected if its cross-entropy exceeds that of nearly all (REJECT_QUANTILE) of its language's calibration texts
+#: by this many nats. These are drawn like the sample, a quarter as many, from texts that the model has not seen.
+REJECT_QUANTILE, REJECT_MARGIN, CALIBRATION = 0.995, 1.0, 0.25
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 _SALT = 0x9FB21C651E98DF25
 _tables: list[np.ndarray] = []
@@ -131,10 +132,11 @@ class Model:
 
 @dataclasses.dataclass
 class Models:
-    """The models of all languages, SLICE of them in each part, and the cross-entropy above which a text is rejected."""
+    """The models of all languages, SLICE of them in each part, and by language the cross-entropy above which a text is
+    rejected."""
 
     parts: list[Model]
-    limit: float = float("inf")
+    limits: np.ndarray = dataclasses.field(default_factory=lambda: np.zeros(0))
 
     @property
     def languages(self) -> list[str]:
@@ -205,7 +207,9 @@ def _hash_rows(c: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Models:
     """Models of all languages in docs, from at most about sample_docs whole texts of each, drawn by a hash of their id.
 
-    Rows with a null text or language teach nothing. Without any teaching row the models know no language.
+    Rows with a null text or language teach nothing. Without any teaching row the models know no language. A language of
+    too few texts to spare any is calibrated on those it was learned from, and one of which none was told right by the
+    largest limit of the others.
     """
     spark = docs.sparkSession
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
@@ -214,7 +218,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         return Models([])
     share = spark.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
-    sample = labelled.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text")
+    drawn = labelled.join(F.broadcast(share), "lang").withColumn("draw", draw)
+    sample = drawn.filter("draw < share").select("lang", "text")
+    spare = F.col("share") * (1 + CALIBRATION) <= 1
+    unseen = drawn.filter(F.when(spare, F.col("draw") >= 1 - F.col("share") * CALIBRATION).otherwise(F.col("draw") < F.col("share"))).select("lang", "text")
 
     def count(batches):
         for batch in slices(batches):
@@ -240,9 +247,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         number = {x: k for k, x in enumerate(some)}
         rows = counts.filter(F.col("lang").isin(some)).toArrow()
         parts.append(smooth(some, np.array([number[x] for x in rows.column("lang").to_pylist()], np.int64), rows.column("gram").to_pylist(), rows.column("n").to_numpy(), alphabet))
-    models = Models(parts)
-    least = identify(sample, models, "text").filter("cross_entropy is not null").agg(F.percentile_approx("cross_entropy", REJECT_QUANTILE, 10_000)).first()[0]
-    return dataclasses.replace(models, limit=(least if least is not None else float("inf")) + REJECT_MARGIN)
+    models = Models(parts, np.full(len(languages), np.inf))
+    right = identify(unseen, models, "text").filter("lang_pred = lang")
+    found = {r["lang"]: r["ce"] for r in right.groupBy("lang").agg(F.percentile_approx("cross_entropy", REJECT_QUANTILE, 10_000).alias("ce")).collect()}
+    most = max(found.values(), default=float("inf"))
+    return dataclasses.replace(models, limits=np.array([found.get(x, most) + REJECT_MARGIN for x in languages]))
 
 
 def identify(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:
@@ -275,7 +284,7 @@ def identify(docs: DataFrame, model: Models, text: str = "text") -> DataFrame:
                 "lang_pred": pa.array(["und" if x else languages[b] for x, b in zip(none.tolist(), best.tolist(), strict=True)], pa.string()),
                 "score": pa.array(score),
                 "cross_entropy": pa.array(np.where(none, 0, least), mask=none),
-                "rejected": pa.array(none | (least > m.limit)),
+                "rejected": pa.array(none | (least > m.limits[best] if languages else none)),
             }
 
         return f
