@@ -267,6 +267,36 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.count_tokens(frame(spark, []), path).collect() == []
 
 
+def test_token_counts_of_a_model_that_normalises(spark, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert token_counts.provable(path)
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(path, "rb").read())
+    model.normalizer_spec.remove_extra_whitespaces = True
+    other = tmp_path / "other.model"
+    other.write_bytes(model.SerializeToString())
+    assert not token_counts.provable(str(other))
+    p = sentencepiece.SentencePieceProcessor(model_file=str(other))
+    texts = ["a   b " * 500, "  x  ", None, "", "word " * 3000]
+    got = token_counts.count_tokens(frame(spark, texts), str(other), chunk=100, overlap=5).orderBy("doc_id").collect()
+    assert [x.n_tokens for x in got] == [len(p.encode(t or "")) for t in texts]
+
+
+def test_token_counts_of_a_very_long_text(spark, monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    r = random.Random(4)
+    text = " ".join(r.choice(["the", "Wörter", "x→y", "fingerprint", "\n", "aaaa" * 20]) for _ in range(200_000))
+    got = token_counts.count_tokens(frame(spark, [text, "short"]), path).orderBy("doc_id").collect()
+    assert got[0].n_tokens == len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))
+
+
 def test_language_id_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(language_id.teaching(docs), sample_docs=40)

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from .common import append_columns, staged, tidied, without
 
 CHUNK, OVERLAP, WIDEN = 32_768, 512, 8
+#: Characters of chunks that a task hands on together.
+HANDED = 2 << 20
 _SPACE = "▁"
 _loaded: dict[str, tuple] = {}
 
@@ -31,6 +33,18 @@ def _model(path: str):
     return _loaded[path]
 
 
+def provable(path: str) -> bool:
+    """Whether the stability proof holds: a BPE model that takes the text as it is, but for a space before it."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(_model(path)[0].serialized_model_proto())
+    norm, kind = model.normalizer_spec, model.trainer_spec
+    return kind.model_type == kind.BPE and not kind.treat_whitespace_as_suffix and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and norm.escape_whitespaces
+
+
 def _cut(text: str, at: int, overlap: int, pairs: set[str], begins: set[int]) -> int | None:
     """The first stable place from at on (or the text's end) where a token begins."""
     for i in range(at, min(at + overlap, len(text))):
@@ -62,17 +76,33 @@ def _spans(path: str, overlap: int):
     return run
 
 
+def _slices(chunk: int, overlap: int):
+    """Chunk rows of rows (key, text), each text cut in one pass over it."""
+    names = ["key", "chunk", "from", "nominal", "end", "length", "text"]
+
+    def run(batches):
+        out, held = [], 0
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, start in enumerate(range(0, max(len(text), 1), chunk)):
+                    begin = max(start - 1, 0)
+                    out.append((key, k, begin, start, start + chunk, len(text), text[begin : start + chunk + overlap]))
+                    held += len(out[-1][-1])
+                    if held >= HANDED:
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:6]), pa.array([x[6] for x in out], pa.string())], names=names)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:6]), pa.array([x[6] for x in out], pa.string())], names=names)
+
+    return run
+
+
 def _chunked(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """key, n_tokens of texts (key, text), in as many rounds as alignments ask for."""
     done = None
     todo = staged(long.distinct(), "huge")
     while True:
-        n = F.char_length("text")
-        rows = todo.withColumn("length", n).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / chunk).cast("int") - 1, F.lit(0)))))
-        start = F.col("chunk").cast("long") * chunk
-        begin = F.greatest(start - 1, F.lit(0))
-        end = start + chunk
-        rows = rows.select("key", F.col("chunk").cast("long").alias("chunk"), begin.alias("from"), start.alias("nominal"), end.alias("end"), F.col("length").cast("long").alias("length"), F.substring(F.col("text"), (begin + 1).cast("int"), (end + overlap - begin).cast("int")).alias("text"))
+        rows = todo.mapInArrow(tidied(_slices(chunk, overlap)), "key long, chunk long, from long, nominal long, end long, length long, text string")
         spans = rows.repartition("key", "chunk").mapInArrow(tidied(_spans(path, overlap)), "key long, chunk long, start long, end long, n long")
         whole = (F.count("*") == F.count("n")) & (F.sum(F.col("end") - F.col("start")) == F.max("end"))
         found = staged(spans.groupBy("key").agg(F.when(whole, F.sum("n")).alias("n_tokens")), "spliced")
@@ -89,13 +119,13 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", limit: in
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), as the library counts each whole text: no begin,
     end or added special tokens, special strings as ordinary text, nothing cut off.
 
-    For BPE models without text normalisation (the stability proof is about the text itself). Null and empty texts have no
-    tokens; repeated rows are each counted; columns with these names are replaced. Texts of at most `chunk` characters are
-    encoded where they are; only longer ones are shuffled, as chunks.
+    Null and empty texts have no tokens; repeated rows are each counted; columns with these names are replaced. Texts of at
+    most `chunk` characters are encoded where they are; only longer ones are shuffled, as chunks. Under a model that changes
+    texts before it cuts them, or that isn't BPE, the stability proof doesn't hold and all texts are encoded whole.
     """
     names = ["n_bytes", "n_tokens", "over_limit"]
     docs = without(docs, names)
-    huge = F.char_length(text) > chunk
+    huge = F.char_length(text) > chunk if provable(model_file) else F.lit(False)
 
     def whole():
         p, _ = _model(model_file)
@@ -103,6 +133,8 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", limit: in
 
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     short = append_columns(docs.filter(~F.coalesce(huge, F.lit(False))).withColumn("n_bytes", size), text, [T.StructField("n_tokens", T.LongType())], whole)
+    if not provable(model_file):
+        return short.withColumn("over_limit", F.col("n_tokens") > limit)
     long = docs.filter(huge).withColumn("n_bytes", size).withColumn("__key", F.xxhash64(F.col(text)))
     counts = _chunked(long.select(F.col("__key").alias("key"), F.col(text).alias("text")), model_file, chunk, overlap)
     long = long.join(counts.withColumnRenamed("key", "__key"), "__key").select(*docs.columns, "n_bytes", "n_tokens")
