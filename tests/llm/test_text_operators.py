@@ -234,6 +234,18 @@ def test_packing_is_optimal_for_many_long_lengths(spark):
         assert sum(x.padding for x in got) == brute_padding(lengths, buckets)
 
 
+def test_packing_of_ties_null_ids_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 5)
+    rows = [(7, 3)] * 6 + [(7, 4)] * 5 + [(None, k % 4) for k in range(40)] + [(8, 3_000_000), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, n long")
+    seen = []
+    for parts in (1, 5):
+        got = packing.pack(df.repartition(parts), F.col("n"), buckets=3, budget=12).collect()
+        assert len(got) == len(rows) and len({(x.bucket, x.batch, x.slot) for x in got}) == len(rows)
+        seen.append(sorted(((x.doc_id, x.pack_length, x.bucket, x.batch, x.slot) for x in got), key=str))
+    assert seen[0] == seen[1]
+
+
 def test_packing_boundaries_are_optimal():
     r = random.Random(4)
     for n in (1, 2, 3, 8, 30):

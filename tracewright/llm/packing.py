@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: About so many documents of a bucket are numbered in one group.
 GROUP_ROWS = 200_000
 
@@ -19,6 +21,11 @@ def words(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and n_words of every row, written once: packing goes over the lengths three times, not over the texts."""
+    return staged(docs.select(F.col(doc_id), words(F.col(text)).alias("n_words")), "lengths")
+
+
 def boundaries(length: np.ndarray, count: np.ndarray, buckets: int) -> list[int]:
     """Upper ends of at most so many buckets with the least sum of (end - length), exactly; ties take the least index.
 
@@ -66,8 +73,9 @@ def pack(docs: DataFrame, length, buckets: int = 16, budget: int = 16_384, order
 
     length is a Column of tokens of a document, null as 0. Every row is placed once, repeated ones too; a document longer
     than the budget is a batch of its own; documents without tokens are packed with the shortest. Within a bucket, rows are
-    numbered in groups of about GROUP_ROWS rows by a hash of `order`, and each group's numbers follow those of the groups
-    before, so that only a bucket's last batch is left unfilled. Columns of docs with these names are replaced.
+    numbered in groups of about GROUP_ROWS rows by a hash of `order` and length, in order of these two, and each group's
+    numbers follow those of the groups before, so that only a bucket's last batch is left unfilled. Rows that tie in both
+    are alike to the packing. Columns of docs with these names are replaced.
     """
     new = ["pack_length", "bucket", "bucket_length", "batch", "slot", "padding"]
     rows = docs.drop(*[c for c in docs.columns if c.lower() in new]).withColumn("pack_length", F.greatest(F.coalesce(length, F.lit(0)).cast("long"), F.lit(0).cast("long")))
@@ -79,11 +87,11 @@ def pack(docs: DataFrame, length, buckets: int = 16, budget: int = 16_384, order
     for k in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("pack_length") <= ends[k], F.lit(k)).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket).withColumn("bucket_length", F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("bucket") + 1))
-    rows = rows.withColumn("__group", F.pmod(F.xxhash64(F.col(order)), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("__group", F.pmod(F.xxhash64(F.col(order), "pack_length"), F.lit(groups)).cast("int"))
     sizes = rows.groupBy("bucket", "__group").count()
     first = F.coalesce(F.sum("count").over(Window.partitionBy("bucket").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("bucket", "__group", first.alias("__first"))
-    place = F.col("__first") + F.row_number().over(Window.partitionBy("bucket", "__group").orderBy(F.col(order).asc_nulls_first())) - 1
+    place = F.col("__first") + F.row_number().over(Window.partitionBy("bucket", "__group").orderBy(F.col(order).asc_nulls_first(), "pack_length")) - 1
     each = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_length"), F.lit(1))), F.lit(1)).cast("long")
     return (
         rows.join(sizes, ["bucket", "__group"])

@@ -42,8 +42,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.words(F.col("text")).alias("n_words"))
-    return packing.pack(docs, F.col("n_words")).drop("n_words")
+    return packing.pack(packing.measured(table(spark, sf_dir, "documents")), F.col("n_words")).drop("n_words")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
