@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 
 from tracewright import on_workers
 from tracewright.llm import decontaminate, jaccard_join, language_id, packing
-from tracewright.llm.common import shared_dir
+from tracewright.llm.common import aside, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language models don't reject. They learn from this stage's own input."""
+    """Documents that the language models don't reject. They learn from this stage's own input. Null, empty and letterless
+    texts are in no language and go. All columns of docs come back as they were."""
     on_workers(spark)
-    found = language_id.identify(docs, language_id.fit(language_id.teaching(docs)))
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    rows, back = aside(docs, [f.name for f in language_id.FIELDS])
+    found = language_id.identify(rows, language_id.fit(language_id.teaching(docs)))
+    return found.filter(~F.col("rejected")).select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of documents linked by a Jaccard similarity of 0.75 on five words."""
+    """The document of least doc_id of each group of documents linked by a Jaccard similarity of 0.75 on five words; of
+    repeated rows one. Documents without words all stay."""
     on_workers(spark)
     return jaccard_join.distinct_groups(docs)
 
@@ -37,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document goes: its bucket, batch and slot."""
-    return packing.pack(docs.select("doc_id", packing.words(F.col("text")).alias("n_words")), F.col("n_words")).drop("n_words")
+    return packing.pack(packing.measured(docs), F.col("n_words")).drop("n_words")
 
 
 STAGES = [("language_id", identify_language), ("ngram_jaccard_join", drop_near_copies), ("benchmark_decontamination", drop_contaminated), ("packing", pack_lengths)]
