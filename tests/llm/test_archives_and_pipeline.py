@@ -117,3 +117,24 @@ def test_pipeline_equals_its_stages_done_plainly(spark):
     lengths = {x.doc_id: x.pack_length for x in out}
     assert lengths == {i: len(re.findall(r"[^\x20\x09-\x0D]+", text[i])) for i in left}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "packing"]
+
+
+STAGE = "doc_id long, text string, lang string, score string, rejected string, n_words string, items string, matches string"
+
+
+def test_stages_keep_clashing_columns_and_take_odd_rows(spark):
+    """Columns that have the names of an operator's, rows without ids, repeated rows, texts that are null, empty or long."""
+    said = "the quick brown fox jumps over the lazy dog and runs away from the loud hounds"
+    rows = [(k, f"{said} {k} times or more on day {k * 7}", "en") for k in range(40)] + [(None, said + " at night", "en"), (None, said + " at night", "en"), (3, None, "en"), (4, "", None), (5, said, "en"), (5, said, "en"), (50, "hound " * 20_000, "en")]
+    docs = spark.createDataFrame([(*r, "s", "r", "w", "i", "m") for r in rows], STAGE)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {(x.score, x.rejected, x.n_words, x["items"], x.matches) for x in out.collect()} == {("s", "r", "w", "i", "m")}, name
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    kept = corpus_pipeline.identify_language(spark, docs, SF).collect()
+    assert not any(not x.text for x in kept)
+    once = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sum(x.text == said for x in once) <= 1 and sum(x.doc_id is None for x in once) <= 1
+    packed = corpus_pipeline.pack_lengths(spark, docs, SF).collect()
+    assert len(packed) == len(rows) and corpus_pipeline.pack_lengths(spark, docs.limit(0), SF).collect() == []
