@@ -3,7 +3,7 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.functions import redact
+from tracewright.functions import redact, redact_json
 from tracewright.functions.rules import DEFAULT, validated
 from tracewright.operators import fidelity
 
@@ -54,6 +54,45 @@ def test_encoded_secrets(spark):
     assert rows[5].scan.status == "clean" and rows[6].redacted is None
 
 
+def test_budgets_fail_closed(spark):
+    """A text with too many matches, runs or decoded bytes isn't given out; a run that is too long is counted."""
+    from tracewright.functions.scan import Budgets
+
+    many = "password=abc; " * 30
+    run = base64.b64encode(f"xx ghp_{A36} y".encode()).decode()
+    texts = [many, f"{run} {run} {run}", run, run + "Q" * 100, "fine"]
+    for budgets, failed in ((Budgets(matches=20), {0}), (Budgets(runs=2), {1}), (Budgets(decoded_bytes=100), {1, 3}), (Budgets(), set())):
+        rows = redacted(spark, texts, budgets=budgets)
+        assert {k for k, r in enumerate(rows) if r.scan.status == "failed"} == failed, budgets
+        assert all((r.redacted is None) == (k in failed) for k, r in enumerate(rows))
+    row = redacted(spark, texts, budgets=Budgets(run_length=100))[3]
+    assert row.skipped_runs == 1 and row.redacted == texts[3] and row.scan.status == "clean"
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    _, bad = redact.reject_unsafe(df, ["content"], budgets=Budgets(runs=2))
+    assert {r.id: r.rule_id for r in bad.collect()} == {0: "sensitive-assignment", 1: "scan_budget_exhausted", 2: "github-token", 3: "github-token"}
+    failed = redact_json.redact_json(spark.createDataFrame([('{"a": "' + many + '"}',)], "p string"), "p", budgets=Budgets(matches=20)).first()
+    assert failed.redacted is None and failed.scan.rule_ids == ["failure:scan_budget_exhausted"]
+
+
+def test_arrow_and_column_scans_agree(spark):
+    """The linear-time gate lets nothing through that the rules match, whatever white space or letter case."""
+    texts = [t for t, _ in POSITIVE] + [t.upper() for t, _ in POSITIVE] + [t.replace(" ", "\t").replace(":", "\x0b:\f") for t, _ in POSITIVE] + NEGATIVE + ["é" + t + "é" for t, _ in POSITIVE] + [" ".join(t for t, _ in POSITIVE)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    spans = df.select("id", redact.merge_spans(redact.rule_matches(F.col("text"))).alias("s"))
+    want = {r.id: [tuple(x) for x in r.s] for r in spans.collect()}
+    got = {r.id: [tuple(x) for x in r["__found_0"].spans] if r["__found_0"] else [] for r in redact.scanned(df, ["text"], decode=False).collect()}
+    assert got == want
+
+
+def test_decoded_text_is_split_at_control_characters(spark):
+    blob = b"\x00\x01" + f"ghp_{A36}".encode() + b"\x02\xff"
+    torn = f"ghp_{A36[:20]}".encode() + b"\x00" + A36[20:].encode()
+    df = spark.createDataFrame([(base64.b64encode(blob).decode(),), (base64.b64encode(torn).decode(),), (blob.hex(),)], "t string")
+    rows = redact.decode_pass(df, "t").collect()
+    assert [[s.rule_id for s in r.encoded] for r in rows] == [["github-token"], [], ["github-token"]]
+    assert (rows[0].encoded[0].start, rows[0].encoded[0].end) == (0, len(rows[0].t))
+
+
 def test_overlaps_marks_literals_and_limits(spark):
     rules = validated("v", [r._asdict() for r in DEFAULT.rules], ["my literal value", "literal value"])
     assert rules.version == "v+literals:2"
@@ -94,12 +133,12 @@ def test_json_fields_and_binaries(spark):
     got = [(r.p, r.stripped_bytes) for r in fidelity.strip_binary(spark.createDataFrame(rows, "p string"), "p").collect()]
     assert len(got) == 5 and sum(len(s) for _, s in got) == 1
     text = next(t for t, s in got if s)
-    assert '"capture_fidelity_omission_2":{"reason":"binary_content","original_bytes":3,"category":"image"}' in text and "byte_payload" not in text
+    assert '"capture_fidelity_omission_2":{"reason":"unsupported_binary_content","original_bytes":3,"category":"image"}' in text and "byte_payload" not in text
 
 
 def test_outcome_checks(spark):
-    df = spark.createDataFrame([("codex", "captured", "complete", "unknown", 1), ("codex", "captured", "binary_content", "unknown", 1), ("x", "captured", "complete", "huge", 0)], "harness string, class string, reason string, size_band string, count long")
+    df = spark.createDataFrame([("codex", "captured", "complete", "unknown", 1), ("codex", "captured", "unsupported_binary_content", "unknown", 1), ("x", "captured", "complete", "huge", 0)], "harness string, class string, reason string, size_band string, count long")
     assert sorted(r.rule for r in fidelity.closed_vocab_check(df).collect()) == ["count", "harness", "reason", "size_band"]
     assert fidelity.health_fidelity(df.limit(0)).first().health == "healthy"
     sizes = spark.createDataFrame([(None,), (-1,), (1 << 20,), ((1 << 20) + 1,), ((128 << 20) + 1,)], "n long")
-    assert [r[0] for r in sizes.select(fidelity.size_band(F.col("n"))).collect()] == ["unknown", "unknown", "le_1_mib", "le_64_mib", "over_limit"]
+    assert [r[0] for r in sizes.select(fidelity.size_band(F.col("n"))).collect()] == ["unknown", "unknown", "up_to_1_mib", "over_1_mib_through_64_mib", "over_128_mib"]

@@ -39,7 +39,7 @@ def hmac_sha256(message: Column, ipad: Column, opad: Column) -> Column:
 def content_signature(df: DataFrame, pads: DataFrame, binding: str, *content: str, name: str = "content_signature") -> DataFrame:
     """df signed with its binding's key over its identity and content, its position left out; null without a key."""
     message = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content))
-    joined = df.join(F.broadcast(pads.withColumnRenamed("binding", "__b")), F.col(binding) == F.col("__b"), "left")
+    joined = df.join(pads.withColumnRenamed("binding", "__b"), F.col(binding) == F.col("__b"), "left")
     return joined.withColumn(name, hmac_sha256(message, F.col("ipad"), F.col("opad"))).drop("__b", "ipad", "opad")
 
 
@@ -47,7 +47,7 @@ def version_compatible_signatures(df: DataFrame, versions: DataFrame, pads: Data
     """df with `signatures`: its content signed under its own adapter version and under each listed prior one.
 
     versions: (version, prior_versions array<string>), a small table of the adapter's history."""
-    known = F.broadcast(versions.withColumnsRenamed({"version": "__v", "prior_versions": "__prior"}))
+    known = versions.withColumnsRenamed({"version": "__v", "prior_versions": "__prior"})
     rows = df.join(known, F.col(version) == F.col("__v"), "left").join(F.broadcast(pads.withColumnRenamed("binding", "__b")), F.col(binding) == F.col("__b"), "left")
     message = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content))
     every = F.concat(F.array(F.col(version)), F.coalesce("__prior", F.array().cast("array<string>")))

@@ -1,24 +1,27 @@
 """Secrets in text: where they are, which rule names them, and the text without them.
 
-Spans are exact and come from built-in functions alone. regexp_replace puts private-use marks around each match, splitting
-at the marks gives the lengths between, and a fold adds them up. Marks that a text has itself are first turned into another
-character of the same length, so that places stay right.
+Columns of spans come from built-in functions alone: regexp_replace puts private-use marks around each match, splitting at
+the marks gives the lengths between, and a fold adds them up. Marks that a text has itself are first turned into another
+character of the same length, so that places stay right. Whole tables (redact_text, decode_pass, reject_unsafe) are scanned
+as Arrow columns (scan.py), which passes over clean texts far faster than any pattern of the JVM.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rules import DEFAULT, LITERAL_ID, LITERAL_PRIORITY, Rule, RuleSet
+from .scan import Budgets, Exhausted, Scanner, without_spans
 
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ufffd"
 SPAN = "struct<rule_id:string,category:string,priority:int,start:int,end:int>"
-#: Runs that may hold an encoded secret: base64 in either alphabet, hex, percent escapes; longer ones are not decoded.
-ENCODED = {"base64": r"[A-Za-z0-9+/_-]{16,}={0,2}", "hex": r"[0-9A-Fa-f]{16,}", "percent": r"(?:%[0-9A-Fa-f]{2}){4,}"}
-MAX_RUN = 65_536
 
 
 def _empty() -> Column:
@@ -68,41 +71,55 @@ def literal_matches(text: Column, rules: RuleSet) -> Column:
     return F.when(hit, _as_spans(places(text, pattern), LITERAL_ID, "configured_credential", LITERAL_PRIORITY)).otherwise(_empty())
 
 
-def _decoded(run: Column, kind: str) -> list[Column]:
-    """The one-level decodings of a run as Latin-1 text; odd hex is tried at both alignments."""
-    latin = lambda b: F.decode(b, "ISO-8859-1")
-    even = lambda s: F.substring(s, F.lit(1), (F.char_length(s) - F.char_length(s) % 2).cast("int"))
-    if kind == "hex":
-        return [latin(F.unhex(even(run))), latin(F.unhex(even(F.substring(run, F.lit(2), F.char_length(run)))))]
-    if kind == "percent":
-        return [latin(F.unhex(F.replace(run, F.lit("%"), F.lit(""))))]
-    plain = F.translate(F.rtrim(run, F.lit("=")), "-_", "+/")
-    whole = F.substring(plain, F.lit(1), (F.char_length(plain) - F.when(F.char_length(plain) % 4 == 1, 1).otherwise(0)).cast("int"))
-    return [latin(F.unbase64(F.rpad(whole, (F.ceil(F.char_length(whole) / 4) * 4).cast("int"), "=")))]
-
-
-def decode_pass(text: Column, rules: RuleSet = DEFAULT) -> Column:
-    """Spans of encoded runs whose decoded text, one level deep, holds a match; named by its rule of highest priority."""
-    out = []
-    for kind, pattern in ENCODED.items():
-        runs = F.when(text.rlike(pattern), places(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-
-        def named(s: Column, kind: str) -> Column:
-            run = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-            hit = F.lit(None).cast("struct<rule_id:string,category:string,priority:int>")
-            known = [(LITERAL_ID, "configured_credential", LITERAL_PRIORITY, "|".join(map(re.escape, rules.literals)))] if rules.literals else []
-            known += [(r.id, r.category, r.priority, r.pattern) for r in rules.text_rules()]
-            for rule_id, category, priority, p in reversed(known):
-                found = F.lit(False)
-                for d in _decoded(run, kind):
-                    found |= d.rlike(p)
-                hit = F.when(found, F.struct(F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), F.lit(priority).alias("priority"))).otherwise(hit)
-            return F.when(s["end"] - s["start"] <= MAX_RUN, hit)
-
-        found = F.transform(runs, lambda s: F.struct(named(s, kind).alias("hit"), s["start"].alias("start"), s["end"].alias("end")))
-        spans = F.transform(F.filter(found, lambda x: x["hit"].isNotNull()), lambda x: F.struct(x["hit"]["rule_id"].alias("rule_id"), x["hit"]["category"].alias("category"), x["hit"]["priority"].alias("priority"), x["start"].alias("start"), x["end"].alias("end")))
-        out.append(spans)
-    return F.concat(*out)
+_SPANS = pa.list_(pa.struct([("rule_id", pa.string()), ("category", pa.string()), ("priority", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+_FOUND = pa.struct([("redacted", pa.string()), ("spans", _SPANS), ("omission", pa.string()), ("failure", pa.string()), ("skipped_runs", pa.int32())])
+FOUND = f"struct<redacted:string,spans:array<{SPAN}>,omission:string,failure:string,skipped_runs:int>"
+
+
+def _scan(col: pa.Array, s: Scanner, only_encoded: bool) -> pa.Array:
+    """What is found in a column of texts: null for a text in which nothing is, and nothing was skipped."""
+    plain, runs = s.may(col)
+    if only_encoded:
+        plain = np.zeros(len(col), bool)
+    over = pc.fill_null(pc.greater(pc.binary_length(col), s.budgets.leaf_bytes), False).to_numpy(zero_copy_only=False)
+    found: list[dict | None] = [None] * len(col)
+    for k in np.flatnonzero(over).tolist():
+        found[k] = {"redacted": "[OMITTED:leaf_exceeds_limit]", "spans": [], "omission": "leaf_exceeds_limit", "failure": None, "skipped_runs": 0}
+    for k in np.flatnonzero((plain | runs) & ~over).tolist():
+        text = col[k].as_py()
+        try:
+            spans, skipped = s.spans(text, bool(plain[k]), bool(runs[k]))
+        except Exhausted:
+            found[k] = {"redacted": None, "spans": [], "omission": None, "failure": "scan_budget_exhausted", "skipped_runs": 0}
+            continue
+        if spans or skipped:
+            rows = [{"rule_id": i, "category": c, "priority": -p, "start": a, "end": b} for a, b, p, _, i, c in spans]
+            found[k] = {"redacted": without_spans(text, spans), "spans": rows, "omission": None, "failure": None, "skipped_runs": skipped}
+    return pa.array(found, _FOUND)
+
+
+def scanned(df: DataFrame, columns: list[str], rules: RuleSet = DEFAULT, decode: bool = True, budgets: Budgets = Budgets(), only_encoded: bool = False) -> DataFrame:
+    """df with `__found_<k>` for its k-th column of texts: struct<redacted, merged spans, omission, failure, skipped_runs>, or
+    null where nothing is found. Nothing is shuffled."""
+    names = [f"__found_{k}" for k in range(len(columns))]
+    at = [df.columns.index(c) for c in columns]
+    kind = T._parse_datatype_string(FOUND)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, kind) for n in names)])
+    fields = schema.names
+
+    def run(batches):
+        s = Scanner(rules, decode, budgets)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(_scan(batch.column(k), s, only_encoded) for k in at)], names=fields)
+
+    return df.mapInArrow(run, schema)
+
+
+def decode_pass(df: DataFrame, text: str, rules: RuleSet = DEFAULT, budgets: Budgets = Budgets()) -> DataFrame:
+    """df with `encoded`: spans of encoded runs whose decoded text, one level deep and split at control characters, holds a
+    match; named by its rule of highest priority. Runs over budgets.run_length are not decoded."""
+    found = scanned(df, [text], rules, True, budgets, True)
+    return found.withColumn("encoded", F.coalesce("__found_0.spans", _empty())).drop("__found_0")
 
 
 def merge_spans(spans: Column) -> Column:
@@ -137,35 +154,34 @@ def scan_receipt(spans: Column, omissions: Column | None = None) -> Column:
     return F.struct(status.alias("status"), ids.alias("rule_ids"), F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["category"]))).alias("categories"), F.size(spans).alias("redaction_count"))
 
 
-def redact_text(df: DataFrame, text: str, rules: RuleSet = DEFAULT, decode: bool = True, leaf_limit: int = 64 << 20) -> DataFrame:
-    """df with `redacted` and `scan` (see scan_receipt). A text of more than leaf_limit bytes becomes an omission marker; a
-    null text stays null and is clean. Texts that no literal or run can concern pass without any matcher being run."""
-    t = F.col(text)
-    spans = rule_matches(t, rules)
-    spans = F.concat(spans, decode_pass(t, rules)) if decode else spans
-    over = F.coalesce(F.octet_length(t) > leaf_limit, F.lit(False))
-    df = df.withColumn("__spans", merge_spans(F.when(over | t.isNull(), _empty()).otherwise(spans)))
-    omissions = F.when(over, F.array(F.lit("leaf_exceeds_limit")))
-    return df.withColumns({"redacted": F.when(over, F.lit("[OMITTED:leaf_exceeds_limit]")).otherwise(cut(t, F.col("__spans"))), "scan": scan_receipt(F.col("__spans"), omissions)}).drop("__spans")
+def redact_text(df: DataFrame, text: str, rules: RuleSet = DEFAULT, decode: bool = True, leaf_limit: int = 64 << 20, budgets: Budgets = Budgets()) -> DataFrame:
+    """df with `redacted`, `scan` (see scan_receipt) and `skipped_runs` (encoded runs too long to be decoded).
 
-
-def reject_unsafe(df: DataFrame, columns: list[str], rules: RuleSet = DEFAULT, limit: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with rule_id and path): a row with any match is rejected by its rule of highest priority, one that
-    can't be inspected in whole by `required_inspection_incomplete`."""
-    found = F.concat(*(_tagged(c, rules) for c in columns))
-    over = F.lit(False)
-    for c in columns:
-        over |= F.coalesce(F.octet_length(F.col(c)) > limit, F.lit(False))
-    first = F.try_element_at(F.array_sort(found), F.lit(1))
-    df = df.withColumn("__first", F.when(~over, first)).withColumn("__over", over)
-    accepted = df.filter(~F.col("__over") & F.col("__first").isNull()).drop("__first", "__over")
-    rejected = df.filter(F.col("__over") | F.col("__first").isNotNull())
-    return accepted, rejected.withColumns({"rule_id": F.when(F.col("__over"), "required_inspection_incomplete").otherwise(F.col("__first.rule_id")), "path": F.when(~F.col("__over"), F.col("__first.path"))}).drop("__first", "__over")
+    A text of more than leaf_limit bytes becomes an omission marker. A text that passes a budget of matches, runs or decoded
+    bytes fails closed: redacted is null, the status `failed` and the rule id `failure:scan_budget_exhausted`. A null text
+    stays null and is clean. Columns of df with these names are replaced.
+    """
+    df = df.drop(*[c for c in df.columns if c.lower() in ("redacted", "scan", "skipped_runs") and c != text])
+    found = scanned(df, [text], rules, decode, budgets._replace(leaf_bytes=leaf_limit))
+    f = F.col("__found_0")
+    receipt = scan_receipt(F.coalesce(f["spans"], _empty()), F.when(f["omission"].isNotNull(), F.array(f["omission"])))
+    failed = F.struct(F.lit("failed").alias("status"), F.array(F.concat(F.lit("failure:"), f["failure"])).alias("rule_ids"), F.array().cast("array<string>").alias("categories"), F.lit(0).alias("redaction_count"))
+    return found.withColumns({"redacted": F.when(f.isNull(), F.col(text)).otherwise(f["redacted"]), "scan": F.when(f["failure"].isNotNull(), failed).otherwise(receipt), "skipped_runs": F.coalesce(f["skipped_runs"], F.lit(0))}).drop("__found_0")
 
 
-def _tagged(column: str, rules: RuleSet) -> Column:
-    t = F.coalesce(F.col(column), F.lit(""))
-    return F.transform(F.concat(rule_matches(t, rules), decode_pass(t, rules)), lambda s: F.struct((-s["priority"]).alias("p"), (s["start"] - s["end"]).alias("l"), s["rule_id"].alias("rule_id"), F.lit(column).alias("path")))
+def reject_unsafe(df: DataFrame, columns: list[str], rules: RuleSet = DEFAULT, limit: int = 64 << 20, budgets: Budgets = Budgets()) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with rule_id and path): a row with any match is rejected by its rule of highest priority, one that
+    passes a budget by `scan_budget_exhausted` and one that can't be inspected in whole by `required_inspection_incomplete`."""
+    found = scanned(df, columns, rules, True, budgets._replace(leaf_bytes=limit))
+    each = [F.col(f"__found_{k}") for k in range(len(columns))]
+    some = lambda name: F.coalesce(*(x[name] for x in each))
+    tag = lambda c: lambda s: F.struct((-s["priority"]).alias("p"), (s["start"] - s["end"]).alias("l"), s["rule_id"].alias("rule_id"), F.lit(c).alias("path"))
+    tagged = F.concat(*(F.transform(F.coalesce(x["spans"], _empty()), tag(c)) for x, c in zip(each, columns, strict=True)))
+    found = found.withColumn("__first", F.try_element_at(F.array_sort(tagged), F.lit(1)))
+    why = F.when(some("omission").isNotNull(), "required_inspection_incomplete").otherwise(F.coalesce(some("failure"), F.col("__first.rule_id")))
+    path = F.when(some("omission").isNull() & some("failure").isNull(), F.col("__first.path"))
+    found = found.withColumns({"rule_id": why, "path": path})
+    return found.filter("rule_id is null").select(*df.columns), found.filter("rule_id is not null").select(*df.columns, "rule_id", "path")
 
 
 def blocked_write_notes(rejected: DataFrame, agent: str = "agent_id", session: str = "session_id", namespace: str = "namespace", ts: str = "ts") -> DataFrame:
@@ -174,8 +190,9 @@ def blocked_write_notes(rejected: DataFrame, agent: str = "agent_id", session: s
     return rejected.select(F.col(session).alias("session_id"), F.col(agent).alias("agent_id"), F.col(namespace).alias("namespace"), F.lit("note").alias("event_type"), content.alias("content"), F.array().cast("array<string>").alias("refs"), F.col(ts).alias("ts"))
 
 
-def scan_budgets(spans: Column, candidates: Column, matches: int = 10_000, runs: int = 65_536) -> Column:
-    """`scan_budget_exhausted` for a row with more matches or encoded runs than allowed, else null; such rows aren't stored."""
+def scan_budgets(spans: Column, candidates: Column, matches: int = Budgets().matches, runs: int = Budgets().runs) -> Column:
+    """`scan_budget_exhausted` for a row with more matches or encoded runs than allowed, else null: the bounds that
+    redact_text, redact_json and reject_unsafe keep, for spans found otherwise."""
     return F.when((F.size(spans) > matches) | (F.size(candidates) > runs), "scan_budget_exhausted")
 
 

@@ -5,8 +5,6 @@ Only rows that a literal of a rule, a sensitive name or an encoded run can conce
 
 from __future__ import annotations
 
-import base64
-import binascii
 import json
 import re
 
@@ -14,8 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .redact import ENCODED, MAX_RUN, prefilter
-from .rules import DEFAULT, LITERAL_ID, LITERAL_PRIORITY, RuleSet
+from .redact import prefilter
+from .rules import DEFAULT, RuleSet
+from .scan import ENCODED, Budgets, Exhausted, Scanner, without_spans
 
 LEAF_LIMIT = 64 << 20
 
@@ -25,53 +24,28 @@ class _Pairs(list):
 
 
 class _Scan:
-    def __init__(self, rules: RuleSet):
-        self.text = [(r.id, r.category, r.priority, re.compile(r.pattern)) for r in rules.text_rules()]
-        if rules.literals:
-            self.text.insert(0, (LITERAL_ID, "configured_credential", LITERAL_PRIORITY, re.compile("|".join(map(re.escape, rules.literals)))))
+    """One document's scan; its budget of matches holds for the whole document."""
+
+    def __init__(self, rules: RuleSet, scanner: Scanner):
+        self.scanner = scanner
         self.fields = [(r.id, r.category, r.priority, re.compile(r.pattern)) for r in rules.field_rules()]
-        self.runs = [(kind, re.compile(p)) for kind, p in ENCODED.items()]
         self.found: list[tuple[str, str]] = []
         self.omitted: list[str] = []
 
-    def _decoded(self, kind: str, run: str) -> list[str]:
-        try:
-            if kind == "base64":
-                plain = run.rstrip("=").translate(str.maketrans("-_", "+/"))
-                plain = plain[: len(plain) - (len(plain) % 4 == 1)]
-                return [base64.b64decode(plain + "=" * (-len(plain) % 4)).decode("latin-1")]
-            text = run.replace("%", "")
-            return [bytes.fromhex(t[: len(t) // 2 * 2]).decode("latin-1") for t in ([text, text[1:]] if kind == "hex" else [text])]
-        except (ValueError, binascii.Error):
-            return []
-
     def spans(self, text: str) -> list[tuple]:
         """Merged spans: (start, end, -priority, -length, rule, category)."""
-        out = [(m.start(), m.end(), -p, m.start() - m.end(), i, c) for i, c, p, rx in self.text for m in rx.finditer(text)]
-        for kind, rx in self.runs:
-            for m in rx.finditer(text):
-                if m.end() - m.start() <= MAX_RUN:
-                    hit = next(((i, c, p) for i, c, p, r in self.text if any(r.search(d) for d in self._decoded(kind, m.group()))), None)
-                    if hit:
-                        out.append((m.start(), m.end(), -hit[2], m.start() - m.end(), hit[0], hit[1]))
-        merged: list[tuple] = []
-        for s in sorted(out):
-            if merged and s[0] < merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]), *min(merged[-1][2:], s[2:]))
-            else:
-                merged.append(s)
-        return merged
+        spans = self.scanner.spans(text)[0]
+        if len(spans) + len(self.found) > self.scanner.budgets.matches:
+            raise Exhausted
+        return spans
 
     def string(self, text: str) -> str:
         if len(text.encode("utf-8", "surrogatepass")) > LEAF_LIMIT:
             self.omitted.append("leaf_exceeds_limit")
             return "[OMITTED:leaf_exceeds_limit]"
-        out, at = [], 0
-        for start, end, _, _, rule, category in self.spans(text):
-            out += [text[at:start], f"[REDACTED:{rule}]"]
-            at = end
-            self.found.append((rule, category))
-        return "".join([*out, text[at:]])
+        spans = self.spans(text)
+        self.found += [(rule, category) for *_, rule, category in spans]
+        return without_spans(text, spans)
 
     def value(self, v, name: str | None = None):
         field = next(((i, c, p) for i, c, p, rx in self.fields if name is not None and rx.search(name)), None)
@@ -102,13 +76,14 @@ def _dump(v) -> str:
     return "[" + ",".join(map(_dump, v)) + "]" if isinstance(v, list) else json.dumps(v, ensure_ascii=False)
 
 
-def redact_json(df: DataFrame, column: str, rules: RuleSet = DEFAULT) -> DataFrame:
+def redact_json(df: DataFrame, column: str, rules: RuleSet = DEFAULT, budgets: Budgets = Budgets()) -> DataFrame:
     """df with `redacted` and `scan` (as of redact_text) for a column of JSON texts of any depth.
 
     Strings are redacted as text. Under a sensitive name a string is redacted as a whole, unless a rule of higher priority
     names it; numbers and truth values, objects and arrays are omitted, null stays. Arrays pass their name on. Names are
     redacted too: if that makes two of an object's names equal, the object is omitted. Text that isn't JSON is redacted as
-    text; null stays null. Numbers keep their value, not their spelling.
+    text; null stays null. Numbers keep their value, not their spelling. A document that passes a budget fails as in
+    redact_text.
     """
     may = F.lit(False)
     for r in rules.rules:
@@ -122,13 +97,18 @@ def redact_json(df: DataFrame, column: str, rules: RuleSet = DEFAULT) -> DataFra
     @F.pandas_udf("struct<redacted:string,scan:struct<status:string,rule_ids:array<string>,categories:array<string>,redaction_count:int>>")
     def scan(texts: pd.Series) -> pd.DataFrame:
         out = []
+        scanner = Scanner(rules, True, budgets)
         for t in texts:
-            s = _Scan(rules)
+            s = _Scan(rules, scanner)
             try:
-                new = _dump(s.value(json.loads(t, object_pairs_hook=_Pairs)))
-            except (ValueError, RecursionError):
-                s = _Scan(rules)
-                new = s.string(t)
+                try:
+                    new = _dump(s.value(json.loads(t, object_pairs_hook=_Pairs)))
+                except (ValueError, RecursionError):
+                    s = _Scan(rules, scanner)
+                    new = s.string(t)
+            except Exhausted:
+                out.append((None, {"status": "failed", "rule_ids": ["failure:scan_budget_exhausted"], "categories": [], "redaction_count": 0}))
+                continue
             ids = sorted({i for i, _ in s.found} | {f"omission:{o}" for o in s.omitted})
             out.append((new if ids else t, {"status": "omitted" if s.omitted else "redacted" if s.found else "clean", "rule_ids": ids, "categories": sorted({c for _, c in s.found}), "redaction_count": len(s.found)}))
         return pd.DataFrame(out, columns=["redacted", "scan"])

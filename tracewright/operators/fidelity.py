@@ -11,19 +11,33 @@ from pyspark.sql import functions as F
 MIB = 1 << 20
 #: Bounds, bands, and the reasons that belong to each class of outcome.
 TRANSPORT_LIMIT, CONTENT_LIMIT = 1_000_000, 128 * MIB
-BANDS = ((1 * MIB, "le_1_mib"), (64 * MIB, "le_64_mib"), (128 * MIB, "le_128_mib"))
+BANDS = ((1 * MIB, "up_to_1_mib"), (64 * MIB, "over_1_mib_through_64_mib"), (128 * MIB, "over_64_mib_through_128_mib"))
+OVER_BAND = "over_128_mib"
 BINARY_CATEGORIES = ("attachment", "archive", "executable", "image", "audio")
 REASONS = {
     "captured": ("complete",),
-    "fidelity_omission": ("transport_limit", "content_limit", "binary_content", "undecodable", "leaf_exceeds_limit"),
-    "safety_failure": ("scan_budget_exhausted", "required_inspection_incomplete", "rule_set_invalid"),
+    "fidelity_omission": (
+        "observation_exceeds_transport_limit",
+        "observation_exceeds_content_limit",
+        "unsupported_binary_content",
+        "json_parse_error",
+        "source_record_uninspectable",
+        "invalid_utf8",
+        "leaf_exceeds_limit",
+        "sensitive_field_scalar",
+        "sensitive_field_subtree",
+        "redacted_name_collision",
+    ),
+    "safety_failure": ("matcher_timeout", "required_inspection_incomplete", "scan_budget_exhausted", "scanner_internal_failure", "scanner_policy_unavailable"),
 }
+OMISSION_FIELDS = ("reason", "originalByteCount", "policyVersion", "sourceIdentity")
+POLICY_ADAPTER = "capture-fidelity-policy"
 HARNESSES = ("codex", "claude_code", "other")
 
 
 def size_band(size: Column, bands=BANDS) -> Column:
     """The band of a number of bytes: unknown (null or negative), at most each limit, or over the last."""
-    out = F.lit("over_limit")
+    out = F.lit(OVER_BAND)
     for limit, name in reversed(bands):
         out = F.when(size <= limit, name).otherwise(out)
     return F.when(size.isNull() | (size < 0), "unknown").otherwise(out)
@@ -62,7 +76,7 @@ def closed_vocab_check(summary: DataFrame) -> DataFrame:
     no = lambda c: ~F.coalesce(c, F.lit(False))
     faults = F.array(
         F.when(no(F.col("harness").isin(*HARNESSES)), "harness"),
-        F.when(no(F.col("size_band").isin("unknown", "over_limit", *(b for _, b in BANDS))), "size_band"),
+        F.when(no(F.col("size_band").isin("unknown", OVER_BAND, *(b for _, b in BANDS))), "size_band"),
         F.when(no(F.col("class").isin(*REASONS)), "class").when(no(known), "reason"),
         F.when(no(F.col("count") > 0), "count"),
     )
@@ -74,7 +88,7 @@ def omit_over_limit(df: DataFrame, payload: str, limit: int = TRANSPORT_LIMIT) -
     limit in UTF-8; a limit can only tighten the bound on content."""
     size = F.octet_length(F.col(payload)).cast("long")
     bound = min(limit, CONTENT_LIMIT)
-    reason = F.when(size > CONTENT_LIMIT, "content_limit").otherwise("transport_limit")
+    reason = F.when(size > CONTENT_LIMIT, "observation_exceeds_content_limit").otherwise("observation_exceeds_transport_limit")
     over = F.coalesce(size > bound, F.lit(False))
     return df.withColumns({"omission": F.when(over, F.struct(reason.alias("reason"), size.alias("original_bytes"))), payload: F.when(~over, F.col(payload))})
 
@@ -85,6 +99,35 @@ def classify_fidelity(df: DataFrame) -> DataFrame:
     return df.withColumns({"class": F.when(kept, "captured").otherwise("fidelity_omission"), "reason": F.when(kept, "complete").otherwise(F.col("omission.reason")), "original_bytes": F.col("omission.original_bytes")})
 
 
+def stored_omission(payload: Column, adapter: Column, adapter_version: Column, version: str) -> Column:
+    """struct<reason, original_bytes> of a stored payload (JSON) that is an omission of this policy's own, else null.
+
+    It is one only if the policy's adapter of this version stored it, and its `omission` has exactly the known fields: a
+    reason about a size, a whole positive number of bytes, this version, and an object that names the source. A source's
+    own text of that shape, or one with more or fewer fields, is no omission.
+    """
+    v = F.try_parse_json(payload)
+    o = F.try_variant_get(v, "$.omission", "variant")
+    kind = lambda path: F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, f"$.omission{path}", "variant")), "^[A-Z]+", 0)
+    names = F.map_keys(F.from_json(F.to_json(o), "map<string,string>"))
+    reason = F.try_variant_get(v, "$.omission.reason", "string")
+    size = F.try_variant_get(v, "$.omission.originalByteCount", "long")
+    known = (
+        (adapter == POLICY_ADAPTER)
+        & (adapter_version == version)
+        & (kind("") == "OBJECT")
+        & (F.array_sort(names) == F.array(*map(F.lit, sorted(OMISSION_FIELDS))))
+        & (kind(".reason") == "STRING")
+        & reason.isin("observation_exceeds_transport_limit", "observation_exceeds_content_limit")
+        & (kind(".originalByteCount") == "BIGINT")
+        & (size > 0)
+        & (kind(".policyVersion") == "STRING")
+        & (F.try_variant_get(v, "$.omission.policyVersion", "string") == version)
+        & (kind(".sourceIdentity") == "OBJECT")
+    )
+    return F.when(known, F.struct(reason.alias("reason"), size.alias("original_bytes")))
+
+
 def _stripped(value, found: list):
     if isinstance(value, list):
         return [_stripped(v, found) for v in value]
@@ -99,7 +142,7 @@ def _stripped(value, found: list):
     while name in out:
         n += 1
         name = f"capture_fidelity_omission_{n}"
-    out[name] = {"reason": "binary_content", "original_bytes": len(data), "category": value["category"]}
+    out[name] = {"reason": "unsupported_binary_content", "original_bytes": len(data), "category": value["category"]}
     found.append(len(data))
     return out
 

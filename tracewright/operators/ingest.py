@@ -67,7 +67,7 @@ def import_receipts(batch: DataFrame, observations: DataFrame) -> DataFrame:
 def validate_observations(df: DataFrame, harness_of: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, violations of (observation_uuid, rule)). df has contract_version, binding, harness, source_position and
     events array<struct<part_key, relationships array<struct<type, native_id>>>>; harness_of is (binding, expected)."""
-    rows = df.join(F.broadcast(harness_of), "binding", "left")
+    rows = df.join(harness_of, "binding", "left")
     keys = F.transform("events", lambda e: e["part_key"])
     edges = F.flatten(F.transform("events", lambda e: F.coalesce(e["relationships"], F.array().cast("array<struct<type:string,native_id:string>>"))))
     blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
@@ -87,7 +87,7 @@ def validate_observations(df: DataFrame, harness_of: DataFrame) -> tuple[DataFra
 def attach_binding(records: DataFrame, bindings: DataFrame, policies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records with their active binding's agent, harness and newest policy version, rejects with a reason)."""
     newest = policies.groupBy("binding").agg(F.max("policy_version").alias("policy_version"))
-    rows = records.join(F.broadcast(bindings.join(newest, "binding", "left")), "binding", "left")
+    rows = records.join(bindings.join(newest, "binding", "left"), "binding", "left")
     reason = F.when(F.col("active").isNull(), "unknown_binding").when(~F.col("active"), "inactive_binding")
     rows = rows.withColumn("reason", reason)
     return rows.filter("reason is null").drop("reason", "active"), rows.filter("reason is not null").select(*records.columns, "reason")

@@ -69,10 +69,14 @@ def derived_from(memories: DataFrame, sources: DataFrame) -> DataFrame:
 def claim_in_consumed(traces: DataFrame, memories: DataFrame, claims: DataFrame) -> DataFrame:
     """session_id, claim and supported: whether anything that the session read holds all of the claim's words."""
     asked = claims.select("session_id", "claim").distinct().withColumn("__words", F.array_distinct(lexemes(F.col("claim"))))
+    wanted = asked.select("session_id", "claim", F.size("__words").alias("n"), F.explode("__words").alias("word"))
     read = consumed(traces, memories, asked).select("session_id", "kind", "item").distinct()
-    texts = read.filter("kind = 'memory'").join(memories.select(F.col("uuid").alias("item"), "content"), "item").select("session_id", "content")
-    texts = texts.unionByName(read.filter("kind = 'trace'").join(traces.select(F.col("trace_uuid").alias("item"), "content"), "item").select("session_id", "content"))
-    hits = texts.join(F.broadcast(asked), "session_id").filter((F.size("__words") > 0) & (F.size(F.array_except("__words", lexemes(F.col("content")))) == 0))
+    texts = memories.select(F.lit("memory").alias("kind"), F.col("uuid").alias("item"), "content").unionByName(traces.select(F.lit("trace").alias("kind"), F.col("trace_uuid").alias("item"), "content"))
+    texts = texts.join(read.select("kind", "item").distinct(), ["kind", "item"], "left_semi")
+    # each text that any session read is cut into words once, and only words that some claim has go on
+    held = texts.select("kind", "item", F.explode(F.array_distinct(lexemes(F.col("content")))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    met = read.join(held, ["kind", "item"]).join(wanted, ["session_id", "word"])
+    hits = met.groupBy("session_id", "claim", "n", "kind", "item").count().filter("count = n")
     found = hits.select("session_id", "claim").distinct().withColumn("__yes", F.lit(True))
     return asked.drop("__words").join(found, ["session_id", "claim"], "left").select("session_id", "claim", F.coalesce("__yes", F.lit(False)).alias("supported"))
 

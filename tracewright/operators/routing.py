@@ -35,7 +35,7 @@ def override_route(evidence: DataFrame, policies: DataFrame) -> DataFrame:
     remotes = evidence.select("stream", "binding", F.posexplode("remotes").alias("place", "r"))
     remotes = remotes.select("stream", "binding", (F.col("r.name") != "origin").alias("other"), "place", normalize_remote(F.col("r.url")).alias("remote"))
     rules = policies.select("binding", F.posexplode("remote_overrides").alias("rule", "o")).select("binding", "rule", F.lower("o.remote").alias("remote"), F.col("o.target").alias("namespace"))
-    hits = remotes.join(F.broadcast(rules), ["binding", "remote"])
+    hits = remotes.join(rules, ["binding", "remote"])
     return hits.groupBy("stream").agg(F.min_by("namespace", F.struct("other", "place", "rule")).alias("namespace")).withColumn("basis", F.lit("override"))
 
 
@@ -51,7 +51,7 @@ def origin_route(evidence: DataFrame, policies: DataFrame) -> DataFrame:
     rows = evidence.select("stream", "binding", normalize_remote(F.try_element_at(origin, F.lit(1))["url"]).alias("remote")).filter("remote is not null")
     rows = rows.withColumn("repo", F.substring_index("remote", "/", -2))
     allowed = policies.select("binding", F.explode("allowed_repository_patterns").alias("p")).select("binding", glob_regex(F.lower(F.trim("p"))).alias("pattern"))
-    hits = rows.join(F.broadcast(allowed), "binding").filter(F.expr("repo rlike pattern"))
+    hits = rows.join(allowed, "binding").filter(F.expr("repo rlike pattern"))
     return hits.select("stream", F.concat(F.lit("repo/"), "repo").alias("namespace"), F.lit("origin").alias("basis")).distinct()
 
 
@@ -63,7 +63,7 @@ def directory_route(evidence: DataFrame, policies: DataFrame) -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     rows = rows.select("stream", "binding", F.explode(F.transform(prefixes, lambda p: F.when(p == "", "/").otherwise(p))).alias("directory"))
     routes = policies.select("binding", F.explode("directory_routes").alias("r")).select("binding", normalize_directory(F.col("r.directory")).alias("directory"), F.col("r.target").alias("namespace"))
-    hits = rows.join(F.broadcast(routes), ["binding", "directory"])
+    hits = rows.join(routes, ["binding", "directory"])
     return hits.groupBy("stream").agg(F.min_by("namespace", F.struct((-F.char_length("directory")).alias("l"), "directory", "namespace")).alias("namespace")).withColumn("basis", F.lit("directory"))
 
 

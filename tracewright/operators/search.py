@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ RRF_K = 60
 
 def authorize(requests: DataFrame, grants: DataFrame, default: str = "default") -> tuple[DataFrame, DataFrame]:
     """(allowed, forbidden with the namespaces at fault): grants is (agent_id, namespaces); `default` is open to all."""
-    held = requests.join(F.broadcast(grants.withColumnRenamed("namespaces", "__granted")), "agent_id", "left")
+    held = requests.join(grants.withColumnRenamed("namespaces", "__granted"), "agent_id", "left")
     wrong = F.array_except("namespaces", F.array_append(F.coalesce("__granted", F.array().cast("array<string>")), F.lit(default)))
     held = held.withColumn("forbidden", wrong).drop("__granted")
     return held.filter(F.size("forbidden") == 0).drop("forbidden"), held.filter(F.size("forbidden") > 0)
@@ -32,7 +31,7 @@ def authorize(requests: DataFrame, grants: DataFrame, default: str = "default")
 def effective_config(requests: DataFrame, config: DataFrame) -> DataFrame:
     """requests with the most specific row of config (agent and namespace, agent, namespace, any; `*` is any) for their agent
     and their first namespace, or the defaults."""
-    rows = F.broadcast(config.withColumnsRenamed({"agent_id": "__a", "namespace": "__n", **{c: f"__{c}" for c in DEFAULTS}}).drop("lanes"))
+    rows = config.withColumnsRenamed({"agent_id": "__a", "namespace": "__n", **{c: f"__{c}" for c in DEFAULTS}}).drop("lanes")
     first = F.get("namespaces", F.lit(0))
     fits = (F.col("__a").isin("*") | (F.col("__a") == F.col("agent_id"))) & (F.col("__n").isin("*") | (F.col("__n") == first))
     specific = F.when(F.col("__a") == "*", 2).otherwise(0) + F.when(F.col("__n") == "*", 1).otherwise(0)
@@ -53,7 +52,7 @@ def visible(memories: DataFrame, requests: DataFrame) -> DataFrame:
     asked = requests.withColumn("__n", F.explode("namespaces"))
     types = F.col("types") if "types" in requests.columns else F.lit(None).cast("array<string>")
     asked = asked.withColumn("__types", types)
-    rows = slim.join(F.broadcast(asked), "__n").filter(_seen("", F.col("agent_id"), F.col("include_proposed")) & (F.coalesce(F.size("__types"), F.lit(0)).isin(0, -1) | F.array_contains("__types", F.col("__t"))))
+    rows = slim.join(asked, "__n").filter(_seen("", F.col("agent_id"), F.col("include_proposed")) & (F.coalesce(F.size("__types"), F.lit(0)).isin(0, -1) | F.array_contains("__types", F.col("__t"))))
     return rows.select(*requests.columns, "uuid", "created_at")
 
 
@@ -62,7 +61,7 @@ def build_index(memories: DataFrame, config: str = "simple", terms: DataFrame |
     they are given (a batch of queries against memories that have no index yet)."""
     rows = tokenize(memories, "content", config, ("namespace", "uuid"))
     if terms is not None:
-        rows = rows.join(F.broadcast(terms.select("lexeme").distinct()), "lexeme", "left_semi")
+        rows = rows.join(terms.select("lexeme").distinct(), "lexeme", "left_semi")
     return rows.groupBy("namespace", "lexeme", "uuid").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -86,7 +85,7 @@ def parse_websearch(queries: DataFrame, config: str = "simple") -> DataFrame:
 def fts_match(terms: DataFrame, index: DataFrame) -> DataFrame:
     """query_id, namespace, uuid, frequency (occurrences of wanted alternatives) and places (array of (pos, grp)) of the
     documents that satisfy each query; a query of negations alone matches nothing."""
-    hits = index.join(F.broadcast(terms), "lexeme").withColumn("pos", F.explode("positions"))
+    hits = index.join(terms, "lexeme").withColumn("pos", F.explode("positions"))
     alts = hits.groupBy("query_id", "namespace", "uuid", "grp", "alt", "negated", "phrase_len", (F.col("pos") - F.col("phrase_pos")).alias("at")).agg(F.countDistinct("phrase_pos").alias("n")).filter("n = phrase_len")
     found = alts.groupBy("query_id", "namespace", "uuid").agg(
         F.count_if("negated").alias("__bad"),
@@ -95,7 +94,7 @@ def fts_match(terms: DataFrame, index: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(~F.col("negated"), F.struct(F.col("at").alias("pos"), "grp")))).alias("places"),
     )
     wanted = terms.filter("not negated").groupBy("query_id").agg(F.countDistinct("grp").alias("__wanted"))
-    return found.join(F.broadcast(wanted), "query_id").filter("__bad = 0 and __groups = __wanted").select("query_id", "namespace", "uuid", "frequency", "places")
+    return found.join(wanted, "query_id").filter("__bad = 0 and __groups = __wanted").select("query_id", "namespace", "uuid", "frequency", "places")
 
 
 def fts_rank(matches: DataFrame, rank: str = "density") -> DataFrame:
@@ -104,27 +103,27 @@ def fts_rank(matches: DataFrame, rank: str = "density") -> DataFrame:
     if rank == "frequency":
         return matches.withColumn("score", F.col("frequency").cast("double"))
 
-    @F.pandas_udf("double")
-    def density(places: pd.Series) -> pd.Series:
-        def covers(found) -> float:
-            groups, last, total, used = len({p["grp"] for p in found}), {}, 0.0, -1
-            for i, p in enumerate(found):
-                last[p["grp"]] = i
-                if len(last) == groups and (first := min(last.values())) > used:
-                    total += 0.1 / (1 + max(0, p["pos"] - found[first]["pos"] - (i - first)))
-                    used = first
-            return total
+    # a fold over the sorted places: `last` has each group's newest place and its number
+    kind = "struct<last:map<long,struct<i:int,pos:int>>,total:double,used:int,i:int>"
+    start = F.struct(F.create_map().cast("map<long,struct<i:int,pos:int>>").alias("last"), F.lit(0.0).alias("total"), F.lit(-1).alias("used"), F.lit(0).alias("i")).cast(kind)
+    groups = F.size(F.array_distinct(F.transform("places", lambda p: p["grp"])))
 
-        return places.map(covers)
+    def step(a: Column, p: Column) -> Column:
+        here = F.create_map(p["grp"].cast("long"), F.struct(a["i"].alias("i"), p["pos"].cast("int").alias("pos")))
+        last = F.map_concat(F.map_filter(a["last"], lambda k, _: k != p["grp"]), here)
+        first = F.array_min(F.map_values(last))
+        covers = (F.size(last) == groups) & (first["i"] > a["used"])
+        gain = F.lit(0.1) / (1 + F.greatest(F.lit(0), p["pos"] - first["pos"] - (a["i"] - first["i"])))
+        return F.struct(last.alias("last"), (a["total"] + F.when(covers, gain).otherwise(0.0)).alias("total"), F.when(covers, first["i"]).otherwise(a["used"]).alias("used"), (a["i"] + 1).alias("i")).cast(kind)
 
-    return matches.withColumn("score", density("places"))
+    return matches.withColumn("score", F.aggregate("places", start, step, lambda a: a["total"]))
 
 
 def fts_lane(requests: DataFrame, memories: DataFrame, index: DataFrame, config: str = "simple", rank: str = "density") -> DataFrame:
     """query_id, uuid, rank, score of the best `lane_rows` memories that each request may see and that satisfy its query."""
     asked = requests.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
     scored = fts_rank(fts_match(parse_websearch(asked.select("query_id", "query"), config), index), rank).select("query_id", "uuid", "score")
-    return _top(scored.join(visible(memories, asked.select("query_id", "agent_id", "namespaces", *(["types"] if "types" in asked.columns else []), "include_proposed", "lane_rows")), ["query_id", "uuid"]))
+    return _top(scored.join(visible(memories, asked.select("query_id", "agent_id", "namespaces", *(["types"] if "types" in asked.columns else []), "include_proposed", "lane_rows")), ["query_id", "uuid"]), asked)
 
 
 def recency(created: Column, as_of: float, half_life_h: Column) -> Column:
@@ -139,14 +138,17 @@ def recency_lane(requests: DataFrame, memories: DataFrame, as_of: float) -> Data
     scopes = requests.groupBy(*scope).agg(F.max("lane_rows").alias("lane_rows"))
     scopes = scopes.withColumn("query_id", F.xxhash64(*scope))
     seen = visible(memories, scopes).withColumn("score", F.col("created_at").cast("double"))
-    ranked = _top(seen).join(memories.select("uuid", "created_at"), "uuid").withColumnRenamed("query_id", "__scope").drop("score")
-    rows = F.broadcast(requests.withColumn("__scope", F.xxhash64(*scope))).join(ranked, "__scope").filter(F.col("rank") <= F.col("lane_rows"))
+    ranked = _top(seen, scopes).join(memories.select("uuid", "created_at"), "uuid").withColumnRenamed("query_id", "__scope").drop("score")
+    rows = requests.withColumn("__scope", F.xxhash64(*scope)).join(ranked, "__scope").filter(F.col("rank") <= F.col("lane_rows"))
     return rows.select("query_id", "uuid", "rank", recency(F.col("created_at"), as_of, F.col("recency_half_life_h").cast("double")).alias("score"))
 
 
-def _top(scored: DataFrame) -> DataFrame:
+def _top(scored: DataFrame, requests: DataFrame) -> DataFrame:
+    """The best lane_rows of each request. The largest of these is a literal bound, by which tasks cut their own rows before
+    any are shuffled."""
+    most = requests.agg(F.max("lane_rows")).first()[0] or 0
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), "uuid")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("lane_rows")).select("query_id", "uuid", "rank", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= int(most)).filter(F.col("rank") <= F.col("lane_rows")).select("query_id", "uuid", "rank", "score")
 
 
 def rrf_fuse(lanes: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
@@ -174,10 +176,10 @@ def search(requests: DataFrame, memories: DataFrame, config: DataFrame, as_of: f
     else:
         by = dict.fromkeys(LANES, asked)
     if index is None:
-        named = F.broadcast(asked.select(F.explode("namespaces").alias("namespace")).distinct())
+        named = asked.select(F.explode("namespaces").alias("namespace")).distinct()
         index = build_index(memories.join(named, "namespace", "left_semi"), text_config, parse_websearch(asked.select("query_id", "query"), text_config))
     fused = rrf_fuse({"fts": fts_lane(by["fts"], memories, index, text_config, rank), "recency": recency_lane(by["recency"], memories, as_of)})
-    fused = fused.join(F.broadcast(asked.select("query_id", "take", "preview_chars")), "query_id").join(memories.select("uuid", "created_at"), "uuid")
+    fused = fused.join(asked.select("query_id", "take", "preview_chars"), "query_id").join(memories.select("uuid", "created_at"), "uuid")
     order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), F.desc("created_at"), "uuid")
     cut = fused.withColumn("place", F.row_number().over(order)).filter("place <= take").drop("created_at", "take")
     full = cut.join(memories, "uuid")

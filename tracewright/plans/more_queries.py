@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redact, redact_json, text
 from ..functions.rules import DEFAULT
+from ..functions.scan import ENCODED
 from ..operators import fidelity, ingest, lifecycle, normalize, quality, reads, routing, search
 from ..streaming import imports
 from .queries import _GRAPH, _POLICY, _REMOTE, _SETTINGS, _VALUES, _config, _evidence, _graph, _outcomes, _policies, _requests, _rule, _signed, query
@@ -95,18 +96,18 @@ def c13_blocked_write_notes(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '[A-Za-z0-9+/_-]{16,}={0,2}')) > 3 THEN 'scan_budget_exhausted' END AS failure FROM documents".replace("{16,}", "{16,}"))
 def c14_scan_budgets(spark, sf):
-    runs = redact.places(F.col("text"), redact.ENCODED["base64"])
+    runs = redact.places(F.col("text"), ENCODED["base64"])
     return view(spark, sf, "documents").select("doc_id", redact.scan_budgets(F.array(), runs, runs=3).alias("failure"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN 'fidelity_omission' ELSE 'captured' END AS class, CASE WHEN strlen(text) > 4000 THEN 'transport_limit' ELSE 'complete' END AS reason FROM documents")
+@query("SELECT doc_id, CASE WHEN strlen(text) > 4000 THEN 'fidelity_omission' ELSE 'captured' END AS class, CASE WHEN strlen(text) > 4000 THEN 'observation_exceeds_transport_limit' ELSE 'complete' END AS reason FROM documents")
 def d3_classify_fidelity(spark, sf):
     return _outcomes(spark, sf).select("doc_id", "class", "reason")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'unknown' WHEN n_chars <= 500 THEN 'le_1_mib' WHEN n_chars <= 2000 THEN 'le_64_mib' WHEN n_chars <= 5000 THEN 'le_128_mib' ELSE 'over_limit' END AS band FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars IS NULL THEN 'unknown' WHEN n_chars <= 500 THEN 'up_to_1_mib' WHEN n_chars <= 2000 THEN 'over_1_mib_through_64_mib' WHEN n_chars <= 5000 THEN 'over_64_mib_through_128_mib' ELSE 'over_128_mib' END AS band FROM documents")
 def d4_size_band(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", fidelity.size_band(F.col("n_chars"), ((500, "le_1_mib"), (2000, "le_64_mib"), (5000, "le_128_mib"))).alias("band"))
+    return view(spark, sf, "documents").select("doc_id", fidelity.size_band(F.col("n_chars"), ((500, "up_to_1_mib"), (2000, "over_1_mib_through_64_mib"), (5000, "over_64_mib_through_128_mib"))).alias("band"))
 
 
 @query("SELECT doc_id % 3 AS k, CASE doc_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude_code' ELSE 'other' END AS harness, count(*) AS n FROM documents GROUP BY 1, 2")

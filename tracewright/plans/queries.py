@@ -52,7 +52,7 @@ def _config(spark: SparkSession) -> DataFrame:
 
 
 _VALUES = ", ".join(f"({q}, '{a}', {n!r}, '{t}', {w or '[]::VARCHAR[]'}, {x or '[]::VARCHAR[]'})" for q, a, n, t, w, x in REQUESTS)
-_SETTINGS = """CASE WHEN agent_id = 'agent2' THEN 240.0 WHEN namespaces[1] = 'de' THEN 100.0 ELSE 720.0 END AS half_life,
+_SETTINGS = """CAST(CASE WHEN agent_id = 'agent2' THEN 240.0 WHEN namespaces[1] = 'de' THEN 100.0 ELSE 720.0 END AS DOUBLE) AS half_life,
        CASE WHEN agent_id = 'agent2' THEN 5 WHEN namespaces[1] = 'de' THEN 7 ELSE 10 END AS take,
        CASE WHEN agent_id = 'agent2' THEN 40 WHEN namespaces[1] = 'de' THEN 60 ELSE 200 END AS preview_chars,
        agent_id = 'agent2' OR namespaces[1] = 'de' AS include_proposed"""
@@ -420,8 +420,8 @@ def _outcomes(spark, sf):
 
 
 @query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude_code' ELSE 'other' END AS harness, CASE WHEN strlen(text) > 4000 THEN 'fidelity_omission' ELSE 'captured' END AS class,
-CASE WHEN strlen(text) > 4000 THEN 'transport_limit' ELSE 'complete' END AS reason,
-CASE WHEN text IS NULL THEN 'unknown' WHEN strlen(text) <= 1000 THEN 'small' WHEN strlen(text) <= 3000 THEN 'middle' WHEN strlen(text) <= 10000 THEN 'large' ELSE 'over_limit' END AS size_band, count(*) AS count FROM documents GROUP BY ALL""")
+CASE WHEN strlen(text) > 4000 THEN 'observation_exceeds_transport_limit' ELSE 'complete' END AS reason,
+CASE WHEN text IS NULL THEN 'unknown' WHEN strlen(text) <= 1000 THEN 'small' WHEN strlen(text) <= 3000 THEN 'middle' WHEN strlen(text) <= 10000 THEN 'large' ELSE 'over_128_mib' END AS size_band, count(*) AS count FROM documents GROUP BY ALL""")
 def d6_summarize_outcomes(spark, sf):
     rows = _outcomes(spark, sf)
     halves = [fidelity.summarize_outcomes(rows.filter(f"doc_id % 2 = {k}")) for k in (0, 1)]

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.rules import RuleSet, validated
 
 
 def read_ledger(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A ledger's rows; a ledger that isn't there yet is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    """A ledger's rows; a ledger that isn't there yet is empty. Any other fault (no permission, a broken file) is raised."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_ledger(df: DataFrame, path: str, keys: list[str], partition_by: str | None = "namespace") -> None:
@@ -32,8 +32,31 @@ def export_envelopes(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
 
 
-def load_rules(rows: list[dict], version: str, literals_path: str | None = None) -> RuleSet:
-    """A validated rule set; literals are lines of a file on the driver, blank lines and those that begin with # aside."""
+def read_rules(path: str) -> tuple[list[dict], str]:
+    """The rule rows and version of a YAML or JSON file on the driver: `version` and `rules`, a mapping each."""
+    text = Path(path).read_text()
+    if path.endswith(".json"):
+        held = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("rules in YAML need the package yaml; give them as JSON") from e
+        try:
+            held = yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ValueError(f"the rule file can't be read: {e}") from None
+    if not isinstance(held, dict) or not isinstance(held.get("rules"), list) or not all(isinstance(r, dict) for r in held["rules"]):
+        raise ValueError("a rule file needs a version and a list of rules")
+    return held["rules"], str(held.get("version") or "")
+
+
+def load_rules(rows: list[dict] | str, version: str | None = None, literals_path: str | None = None) -> RuleSet:
+    """A validated rule set of rows, or of a rule file; literals are lines of a file on the driver, blank lines and those that
+    begin with # aside. Whatever is wrong raises ValueError, so that no job runs with fewer rules."""
+    if isinstance(rows, str):
+        rows, found = read_rules(rows)
+        version = version or found
     literals = []
     if literals_path:
         literals = [x.strip() for x in Path(literals_path).read_text().splitlines() if x.strip() and not x.lstrip().startswith("#")]

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import urllib.parse
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """file, split, seq, value, file_size of every line of every *.jsonl below path; seq orders the lines of a split."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(path)
+def _lines(reader, path: str, glob: str) -> DataFrame:
+    lines = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value", F.col("_metadata.file_size").alias("file_size"))
 
 
+def read_transcripts(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """file, split, seq, value, file_size of every line of every file below path; seq orders the lines of a split."""
+    return _lines(spark.read, path, glob)
+
+
 def _bare(value: Column) -> Column:
     return F.regexp_replace(value, "\r$", "")
 
@@ -69,13 +78,62 @@ def duplicate_transcripts(identities: DataFrame) -> DataFrame:
     return identities.groupBy("external_session_id", "child_id").agg(F.sort_array(F.collect_list("file")).alias("files")).filter(F.size("files") > 1)
 
 
-def stream_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a directory of finished JSONL files as they arrive (growing files: incremental_file_tail)."""
-    return spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(path)
+def stream_transcripts(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """The columns of read_transcripts for finished files as they arrive: each micro-batch holds whole files, so that
+    locate_records and what follows it can be applied in foreachBatch (growing files: incremental_file_tail)."""
+    return _lines(spark.readStream, path, glob)
 
 
-def incremental_file_tail(spark: SparkSession, path: str, checkpoints: DataFrame) -> DataFrame:
-    """Terminal records after each file's verified_length (checkpoints: file, verified_length), located."""
-    known = checkpoints.select("file", "verified_length")
-    rows = terminality(locate_records(read_transcripts(spark, path))).join(known, "file", "left")
-    return rows.filter(F.col("is_terminal") & (F.col("byte_offset") >= F.coalesce("verified_length", F.lit(0)))).drop("verified_length")
+def incremental_file_tail(spark: SparkSession, path: str, checkpoints: DataFrame, glob: str = "*.jsonl") -> DataFrame:
+    """Terminal records after each file's verified_length, as locate_records gives them.
+
+    checkpoints: file, verified_length and, if positions are to go on from there, verified_records. Files are listed without
+    being read; one that hasn't grown is not opened, and one that has is read from its verified length on.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.col("path").alias("file"), F.col("length").alias("file_size"))
+    count = F.col("verified_records") if "verified_records" in checkpoints.columns else F.lit(0)
+    known = checkpoints.select("file", "verified_length", count.cast("long").alias("verified_records"))
+    grown = listed.join(known, "file", "left").select("file", "file_size", F.coalesce("verified_length", F.lit(0)).cast("long").alias("begin"), F.coalesce("verified_records", F.lit(0)).alias("n"))
+    grown = grown.filter("file_size > begin").repartition("file")
+    types = "file string, source_position long, byte_offset long, byte_length long, record_sha256 string, value binary, is_terminated boolean"
+    rows = grown.mapInArrow(_tails, types).withColumn("value", F.col("value").cast("string"))
+    return terminality(rows).filter("is_terminal")
+
+
+def _tails(batches):
+    """Records of files (file, file_size, begin, n) from byte `begin` on, in batches of a few MB."""
+    from pyarrow import fs
+
+    names = ["file", "source_position", "byte_offset", "byte_length", "record_sha256", "value", "is_terminated"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    for batch in batches:
+        for file, size, begin, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            store, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", urllib.parse.unquote(file)))
+            rows, held, at, left = [], 0, begin, size - begin
+            with store.open_input_file(place) as f:
+                f.seek(begin)
+                rest = b""
+                while left or rest:
+                    data = f.read(min(left, 1 << 20)) if left else b""
+                    left -= len(data)
+                    whole = rest + data
+                    lines = whole.split(b"\n")
+                    rest = lines.pop()
+                    ended = [True] * len(lines)
+                    if not left and rest:
+                        lines.append(rest)
+                        ended.append(False)
+                        rest = b""
+                    for line, done in zip(lines, ended, strict=True):
+                        length = len(line) + done
+                        if line.removesuffix(b"\r"):
+                            rows.append((file, n, at, length, hashlib.sha256(line + b"\n" * done).hexdigest(), line, done))
+                            n += 1
+                            held += length
+                        at += length
+                    if held >= 4 << 20:
+                        yield pack(rows)
+                        rows, held = [], 0
+            if rows:
+                yield pack(rows)

@@ -42,9 +42,16 @@ def stream_import(records: DataFrame, ledger: str, work: str, **trigger) -> Stre
     return records.writeStream.foreachBatch(run).option("checkpointLocation", f"{work}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def dedup_stream(records: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """Records of a stream that a (static) ledger hasn't; stateless, so that it can run for ever."""
-    return records.join(ledger.select(*keys), keys, "left_anti")
+def dedup_stream(records: DataFrame, ledger: DataFrame, keys: list[str], event_time: str | None = None, within: str = "1 day") -> DataFrame:
+    """Records of a stream that a (static) ledger hasn't, each key once.
+
+    With the name of a time column, keys are remembered for `within` behind the watermark, so that the state stays bounded;
+    without one, all keys of the stream are.
+    """
+    new = records.join(ledger.select(*keys).distinct(), keys, "left_anti")
+    if event_time is None:
+        return new.dropDuplicates(keys)
+    return new.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
 
 
 def stream_redact(stream: DataFrame, text: str, rules: RuleSet = DEFAULT) -> DataFrame:
@@ -62,6 +69,6 @@ def run_import(spark: SparkSession, batches: list[DataFrame], work: str) -> Data
     source, ledger = f"{work}/source-{uuid.uuid4().hex}", f"{work}/ledger-{uuid.uuid4().hex}"
     place = f"{work}/work-{uuid.uuid4().hex}"
     for batch in batches:
-        batch.coalesce(1).write.mode("append").parquet(source)
+        batch.write.mode("append").parquet(source)
         stream_import(spark.readStream.schema(RECORD).parquet(source), ledger, place).awaitTermination()
     return read_ledger(spark, ledger, RECORD)
