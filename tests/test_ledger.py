@@ -206,3 +206,66 @@ def test_append_only_ledger(spark, tmp_path):
     asked = spark.createDataFrame([(1,), (5,)], "session long")
     got = reads.navigate_sessions(edges, streams, asked, ["n"]).orderBy("session").collect()
     assert [(r.session, r.availability, r.error) for r in got] == [(1, "unavailable", None), (5, None, "not_permitted")]
+
+
+def test_reviews_of_a_chain_are_folded_in_their_order(spark):
+    """What an approval supersedes can't be retired or approved afterwards."""
+    mem = "uuid string, namespace string, visibility string, status string, source_type string, source_id string, supersedes string"
+    rows = [("A", "approved", None), ("B", "proposed", "A"), ("C", "proposed", "A"), ("D", "proposed", "C"), ("E", "proposed", None), ("F", "proposed", "gone")]
+    memories = spark.createDataFrame([(u, "n", "shared", s, "trace", "x", p) for u, s, p in rows], mem)
+    acts = [("approve", "B"), ("retire", "A"), ("approve", "D"), ("approve", "C"), ("retire", "B"), ("approve", "F"), ("reject", "E"), ("approve", "Z")]
+    commands = spark.createDataFrame([(k, u, a, "ann", "why", None) for k, (a, u) in enumerate(acts)], "seq int, uuid string, action string, actor string, reason string, ts timestamp")
+    new, traces, errors = lifecycle.apply_reviews(commands, memories)
+    assert {r.uuid: r.status for r in new.collect()} == {"A": "superseded", "B": "retired", "C": "superseded", "D": "approved", "E": "rejected", "F": "approved"}
+    assert {(r.seq, r.error) for r in errors.collect()} == {(1, "wrong_status"), (3, "wrong_status"), (7, "unknown_memory")}
+    assert sorted(r.event_type for r in traces.collect()) == ["approval", "approval", "approval", "rejection", "retirement"]
+
+
+def test_places_of_large_groups(spark):
+    from tracewright.functions.numbering import numbered
+
+    r = random.Random(1)
+    rows = [(g, r.randrange(50) if r.random() < 0.9 else None, k) for k, g in enumerate([0] * 400 + [1] * 3)]
+    df = spark.createDataFrame(rows, "g int, x int, k int")
+    got = {x.k: x.place for x in numbered(df, ["g"], F.col("x").cast("double"), ["k"]).collect()}
+    for g in (0, 1):
+        mine = sorted((row for row in rows if row[0] == g), key=lambda row: (-1 if row[1] is None else row[1], row[2]))
+        assert [got[k] for _, _, k in mine] == list(range(1, len(mine) + 1))
+
+
+def test_tails_continue_where_they_were(spark, tmp_path):
+    file = tmp_path / "a.jsonl"
+    file.write_bytes(b'{"a":1}\n\n{"b":2}\r\n')
+    first = transcripts.incremental_file_tail(spark, str(tmp_path), spark.createDataFrame([], "file string, verified_length long, verified_records long")).orderBy("byte_offset").collect()
+    whole = transcripts.locate_records(transcripts.read_transcripts(spark, str(tmp_path))).orderBy("byte_offset").collect()
+    assert [(r.source_position, r.byte_offset, r.byte_length, r.record_sha256, r.value) for r in first] == [(r.source_position, r.byte_offset, r.byte_length, r.record_sha256, r.value) for r in whole]
+    done = spark.createDataFrame([(first[0].file, file.stat().st_size, 2)], "file string, verified_length long, verified_records long")
+    assert transcripts.incremental_file_tail(spark, str(tmp_path), done).count() == 0
+    with file.open("ab") as f:
+        f.write(b'{"c":3}\n{"unfinished":')
+    more = transcripts.incremental_file_tail(spark, str(tmp_path), done).collect()
+    assert [(r.source_position, r.value) for r in more] == [(2, '{"c":3}')]
+
+
+def test_copies_in_one_micro_batch_pass_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c")], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    held = spark.createDataFrame([(2,)], "k int")
+    stream = imports.dedup_stream(spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in")), held, ["k"])
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3]
+
+
+def test_rule_files(spark, tmp_path):
+    import pytest
+
+    good = 'version: "v1"\nrules:\n  - {id: a, category: provider_token, priority: 5, prefilter: "tok,key", matcher: regex, pattern: "tok-[a-z]+"}\n'
+    (tmp_path / "r.yaml").write_text(good)
+    (tmp_path / "l.txt").write_text("# values\n\n  a long literal  \n")
+    rules = ledger.load_rules(str(tmp_path / "r.yaml"), None, str(tmp_path / "l.txt"))
+    assert rules.version == "v1+literals:1" and rules.rules[0].prefilter == ("tok", "key") and rules.literals == ("a long literal",)
+    (tmp_path / "r.json").write_text(json.dumps({"version": "v2", "rules": [rules.rules[0]._asdict()]}))
+    assert ledger.load_rules(str(tmp_path / "r.json")).version == "v2"
+    for bad in ("", "rules: 5\nversion: v", "version: v\nrules:\n - 3", "rules: [", good.replace("regex", "glob"), good.replace('version: "v1"\n', "")):
+        (tmp_path / "b.yaml").write_text(bad)
+        with pytest.raises(ValueError):
+            ledger.load_rules(str(tmp_path / "b.yaml"))

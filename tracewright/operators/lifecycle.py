@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import redact
 from ..functions.ids import deterministic_id
+from ..functions.numbering import numbered
 from ..functions.rules import DEFAULT, RuleSet
+from ..functions.staging import staged
 
 MEMORY = "uuid string, namespace string, type string, visibility string, status string, tier string, content string, content_hash string, source_type string, source_id string, agent_id string, session_id string, version int, supersedes string, created_at timestamp"
 TRACE = "trace_uuid string, session_id string, agent_id string, namespace string, event_type string, content string, refs array<string>, ts timestamp"
@@ -45,34 +47,61 @@ def save_notes(batch: DataFrame, memories: DataFrame, rules: RuleSet = DEFAULT)
     return _write(batch, memories, rules, "private", "approved", "memory_written")
 
 
+def chain_roots(memories: DataFrame, asked: DataFrame) -> DataFrame:
+    """uuid and root of the memories whose tree of predecessors holds any of the asked uuids.
+
+    Pointers to the predecessor are doubled until all have reached the first one, in log2 of the longest chain's length
+    rounds, each a written table. A loop of predecessors, which no tree has, is left after 64 rounds.
+    """
+    known = memories.select(F.col("uuid").alias("__known"))
+    own = memories.select("uuid", "supersedes").join(known, F.col("supersedes") == F.col("__known"), "left")
+    now = staged(own.select("uuid", F.coalesce("__known", "uuid").alias("root")), "roots")
+    for _ in range(64):
+        far = now.select(F.col("uuid").alias("__u"), F.col("root").alias("__r"))
+        then = staged(now.join(far, F.col("root") == F.col("__u")).select("uuid", F.col("__r").alias("root")), "roots")
+        moved = then.join(now.withColumnRenamed("root", "__was"), "uuid").filter("root <> __was").isEmpty()
+        now = then
+        if moved:
+            break
+    return now.join(now.join(asked.select("uuid").distinct(), "uuid", "left_semi").select("root").distinct(), "root", "left_semi")
+
+
 def apply_reviews(commands: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memories, traces, errors) after commands (seq, uuid, action, actor, reason, ts) in their order.
 
     approve and reject take a shared proposal, reject a reason; approving one supersedes its predecessor, whatever that was.
     retire takes an approved memory, with reason and actor. A command that doesn't fit is an error and changes nothing.
+    Memories that supersede each other are folded together, as an approval changes what later commands on its predecessor
+    meet; a memory and its revisions have to fit a row.
     """
-    order = F.array_sort(F.collect_list(F.struct("seq", "action", "actor", "reason", "ts")))
-    logs = commands.groupBy("uuid").agg(order.alias("__log"))
-    rows = memories.join(logs, "uuid", "left")
-    state = "struct<status:string,done:array<struct<seq:bigint,action:string,actor:string,reason:string,ts:timestamp,error:string>>>"
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    kind = memories.schema["uuid"].dataType.simpleString()
+    roots = staged(chain_roots(memories, commands), "touched")
+    of = memories.select("uuid", "status", "visibility", "supersedes").join(roots, "uuid")
+    info = F.struct("status", "visibility", "supersedes")
+    held = of.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("uuid", info.alias("m")))).alias("members"))
+    asked = commands.select(F.col("seq").cast("long").alias("seq"), "uuid", "action", "actor", "reason", F.col("ts").cast("timestamp").alias("ts"))
+    logs = asked.join(roots, "uuid").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "uuid", "action", "actor", "reason", "ts"))).alias("log"))
+    entry = f"struct<seq:bigint,uuid:{kind},action:string,actor:string,reason:string,ts:timestamp,error:string>"
+    state = f"struct<now:map<{kind},string>,done:array<{entry}>>"
 
     def step(a: Column, c: Column) -> Column:
-        review = c["action"].isin("approve", "reject")
-        fits = F.when(review, (a["status"] == "proposed") & (F.col("visibility") == "shared")).otherwise((c["action"] == "retire") & (a["status"] == "approved"))
+        status, m = a["now"][c["uuid"]], F.col("members")[c["uuid"]]
+        fits = F.when(c["action"].isin("approve", "reject"), (status == "proposed") & (m["visibility"] == "shared")).otherwise((c["action"] == "retire") & (status == "approved"))
         error = F.when(~F.coalesce(fits, F.lit(False)), "wrong_status").when((c["action"] != "approve") & blank(c["reason"]), "reason_required").when(blank(c["actor"]), "actor_required")
-        after = F.when(error.isNotNull(), a["status"]).when(c["action"] == "approve", "approved").when(c["action"] == "reject", "rejected").otherwise("retired")
-        entry = F.struct(c["seq"].cast("long").alias("seq"), c["action"].alias("action"), c["actor"].alias("actor"), c["reason"].alias("reason"), c["ts"].cast("timestamp").alias("ts"), error.alias("error"))
-        return F.struct(after.alias("status"), F.array_append(a["done"], entry).alias("done"))
-
-    start = F.struct(F.col("status"), F.array().cast("array<struct<seq:bigint,action:string,actor:string,reason:string,ts:timestamp,error:string>>").alias("done")).cast(state)
-    rows = rows.withColumn("__s", F.aggregate(F.coalesce("__log", F.array().cast(rows.schema["__log"].dataType)), start, step))
-    done = rows.select("uuid", "namespace", "supersedes", "source_type", "source_id", F.explode("__s.done").alias("d")).select("uuid", "namespace", "supersedes", "source_type", "source_id", "d.*")
-    good = done.filter("error is null")
-    gone = good.filter("action = 'approve' and supersedes is not null").select(F.col("supersedes").alias("uuid"), F.lit(True).alias("__gone")).distinct()
-    missing = commands.join(memories.select("uuid"), "uuid", "left_anti").select("seq", "uuid", "action", F.lit("unknown_memory").alias("error"))
+        after = F.when(c["action"] == "approve", "approved").when(c["action"] == "reject", "rejected").otherwise("retired")
+        changed = F.transform_values(a["now"], lambda k, v: F.when(k == c["uuid"], after).when((c["action"] == "approve") & (k == m["supersedes"]), "superseded").otherwise(v))
+        done = F.struct(*(c[n].alias(n) for n in ("seq", "uuid", "action", "actor", "reason", "ts")), error.alias("error"))
+        return F.struct(F.when(error.isNotNull(), a["now"]).otherwise(changed).alias("now"), F.array_append(a["done"], done).alias("done")).cast(state)
+
+    start = F.struct(F.transform_values("members", lambda _, m: m["status"]).alias("now"), F.array().cast(f"array<{entry}>").alias("done")).cast(state)
+    folded = staged(held.join(logs, "root").select(F.aggregate("log", start, step).alias("s")), "folded")
+    done = folded.select(F.explode("s.done").alias("d")).select("d.*")
+    good = done.filter("error is null").join(memories.select("uuid", "namespace", "source_type", "source_id"), "uuid")
+    missing = asked.join(memories.select("uuid"), "uuid", "left_anti").select("seq", "uuid", "action", F.lit("unknown_memory").alias("error"))
     errors = done.filter("error is not null").select("seq", "uuid", "action", "error").unionByName(missing)
-    new = rows.join(gone, "uuid", "left").withColumn("status", F.when(F.col("__gone"), "superseded").otherwise(F.col("__s.status"))).select(*memories.columns)
+    now = folded.select(F.explode("s.now").alias("uuid", "__status"))
+    new = memories.join(now, "uuid", "left").withColumn("status", F.coalesce("__status", "status")).select(*memories.columns)
     return new, review_traces(good), errors
 
 
@@ -116,12 +145,10 @@ def log_traces(batch: DataFrame, default: str = "default", rules: RuleSet = DEFA
 
 def list_workstreams(workstreams: DataFrame, namespace: str, status: str = "open") -> DataFrame:
     """Open or checked-out workstreams of a namespace with `place`, newest first."""
-    from pyspark.sql import Window
-
     if status not in ("open", "checked_out"):
         raise ValueError("only open and checked_out workstreams are listed")
     rows = workstreams.filter((F.col("namespace") == namespace) & (F.col("status") == status))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("namespace").orderBy(F.desc("updated_at"), "uuid")))
+    return numbered(rows, ["namespace"], -F.col("updated_at").cast("double"), ["uuid"])
 
 
 def handoff_rows(batch: DataFrame, rules: RuleSet = DEFAULT) -> DataFrame:

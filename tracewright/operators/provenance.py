@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+from ..functions.staging import staged
 from ..functions.text import lexemes
 from .search import superseders
 
@@ -33,14 +33,7 @@ def why(memories: DataFrame, roots: DataFrame, traces: DataFrame | None = None)
     Chains are walked for all roots together by pointer doubling: after round r every row knows its 2^r-th predecessor, so
     a chain of length n takes log2(n) joins, however long it is. A memory that a chain meets twice ends it.
     """
-    spark = memories.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{folder}/why-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    kept = lambda df: staged(df, "why")
     start = roots.select("uuid").distinct()
     jump = kept(memories.filter("supersedes is not null").select(F.col("uuid").alias("at"), F.col("supersedes").alias("to")).distinct())
     known = memories.select("uuid")
@@ -104,11 +97,9 @@ def show(memories: DataFrame, ids: DataFrame) -> DataFrame:
 
 def pending(memories: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
     """Shared proposals, oldest first by `place` within their namespace."""
-    from pyspark.sql import Window
-
     rows = memories.filter("visibility = 'shared' and status = 'proposed'")
     rows = rows.filter(F.col("namespace").isin(namespaces)) if namespaces else rows
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("namespace").orderBy("created_at", "uuid")))
+    return numbered(rows, ["namespace"], F.col("created_at").cast("double"), ["uuid"])
 
 
 def duplicate_content(memories: DataFrame) -> DataFrame:
