@@ -70,14 +70,15 @@ def tool_outcome(v: Column) -> Column:
     return F.coalesce(F.when(given.isin(*OUTCOMES), given), by_status, F.when(success, "succeeded").when(~success, "failed"), F.lit("unknown"))
 
 
-def flatten_text(v: Column, depth: int = 2) -> Column:
-    """Text of a string, of an array joined by newlines, of {text} or {content}; what lies deeper than `depth` is its JSON."""
-    if not depth:
-        return F.when(shape(v) == "STRING", get(v, "$")).otherwise(F.coalesce(string_at(v, "$.text"), string_at(v, "$.content"), F.to_json(v)))
+def flatten_text(v: Column, depth: int = 4) -> Column:
+    """Text of a string, of an array joined by newlines, of {text} or {content}, one in the other; what lies deeper than
+    `depth` of these is its JSON."""
     kind = shape(v)
+    if not depth:
+        return F.when(kind == "STRING", get(v, "$")).otherwise(F.coalesce(string_at(v, "$.text"), string_at(v, "$.content"), F.to_json(v)))
     content = get(v, "$.content", "variant")
     inner = F.coalesce(string_at(v, "$.text"), F.when(content.isNotNull(), flatten_text(content, depth - 1)), F.to_json(v))
-    parts = F.transform(get(v, "$", "array<variant>"), lambda x: flatten_text(x, 0))
+    parts = F.transform(get(v, "$", "array<variant>"), lambda x: flatten_text(x, depth - 1))
     return F.when(kind == "STRING", get(v, "$")).when(kind == "ARRAY", F.array_join(parts, "\n")).when(kind == "OBJECT", inner).otherwise(F.to_json(v))
 
 

@@ -116,7 +116,7 @@ def fts_rank(matches: DataFrame, rank: str = "density") -> DataFrame:
         gain = F.lit(0.1) / (1 + F.greatest(F.lit(0), p["pos"] - first["pos"] - (a["i"] - first["i"])))
         return F.struct(last.alias("last"), (a["total"] + F.when(covers, gain).otherwise(0.0)).alias("total"), F.when(covers, first["i"]).otherwise(a["used"]).alias("used"), (a["i"] + 1).alias("i")).cast(kind)
 
-    return matches.withColumn("score", F.aggregate("places", start, step, lambda a: a["total"]))
+    return matches.withColumn("score", F.round(F.aggregate("places", start, step, lambda a: a["total"]), 9))
 
 
 def fts_lane(requests: DataFrame, memories: DataFrame, index: DataFrame, config: str = "simple", rank: str = "density") -> DataFrame:

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 def _lines(reader, path: str, glob: str) -> DataFrame:
     lines = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value", F.col("_metadata.file_size").alias("file_size"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value", F.col("_metadata.file_size").alias("file_size"))
 
 
 def read_transcripts(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """file, split, seq, value, file_size of every line of every file below path; seq orders the lines of a split."""
-    return _lines(spark.read, path, glob)
+    return _lines(spark.read, path, glob).withColumn("seq", F.monotonically_increasing_id())
 
 
 def _bare(value: Column) -> Column:
@@ -28,9 +28,10 @@ def _bare(value: Column) -> Column:
 def locate_records(lines: DataFrame) -> DataFrame:
     """file, source_position, byte_offset, byte_length (separator included), record_sha256, value, is_terminated.
 
-    Empty lines take up bytes but no position. Offsets are summed in two steps, over the splits of a file and within a
+    lines: as read_transcripts gives them, or a batch of stream_transcripts. Empty lines take up bytes but no position. Offsets are summed in two steps, over the splits of a file and within a
     split, so that no window holds a whole file.
     """
+    lines = lines if "seq" in lines.columns else lines.withColumn("seq", F.monotonically_increasing_id())
     rows = lines.withColumns({"__bytes": (F.octet_length("value") + 1).cast("long"), "__record": (_bare(F.col("value")) != "").cast("long")})
     totals = rows.groupBy("file", "split").agg(F.sum("__bytes").alias("b"), F.sum("__record").alias("r"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,7 +80,7 @@ def duplicate_transcripts(identities: DataFrame) -> DataFrame:
 
 
 def stream_transcripts(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """The columns of read_transcripts for finished files as they arrive: each micro-batch holds whole files, so that
+    """file, split, value and file_size of finished files as they arrive: each micro-batch holds whole files, so that
     locate_records and what follows it can be applied in foreachBatch (growing files: incremental_file_tail)."""
     return _lines(spark.readStream, path, glob)
 
