@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from ..functions.text import STOP_WORDS, lexemes, preview, stem, tokenize
 
 #: What holds without a configuration row, and the constant of reciprocal-rank fusion.
@@ -119,10 +120,12 @@ def fts_rank(matches: DataFrame, rank: str = "density") -> DataFrame:
     return matches.withColumn("score", F.round(F.aggregate("places", start, step, lambda a: a["total"]), 9))
 
 
-def fts_lane(requests: DataFrame, memories: DataFrame, index: DataFrame, config: str = "simple", rank: str = "density") -> DataFrame:
-    """query_id, uuid, rank, score of the best `lane_rows` memories that each request may see and that satisfy its query."""
+def fts_lane(requests: DataFrame, memories: DataFrame, index: DataFrame, config: str = "simple", rank: str = "density", terms: DataFrame | None = None) -> DataFrame:
+    """query_id, uuid, rank, score of the best `lane_rows` memories that each request may see and that satisfy its query.
+    terms: what parse_websearch makes of the requests, if that is at hand."""
     asked = requests.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
-    scored = fts_rank(fts_match(parse_websearch(asked.select("query_id", "query"), config), index), rank).select("query_id", "uuid", "score")
+    terms = parse_websearch(asked.select("query_id", "query"), config) if terms is None else terms.join(asked.select("query_id"), "query_id", "left_semi")
+    scored = fts_rank(fts_match(terms, index), rank).select("query_id", "uuid", "score")
     return _top(scored.join(visible(memories, asked.select("query_id", "agent_id", "namespaces", *(["types"] if "types" in asked.columns else []), "include_proposed", "lane_rows")), ["query_id", "uuid"]), asked)
 
 
@@ -168,7 +171,9 @@ def search(requests: DataFrame, memories: DataFrame, config: DataFrame, as_of: f
     """
     asked = effective_config(requests, config)
     limit = F.least(F.coalesce(F.col("max_rows"), F.col("max_results")), F.col("max_results")) if "max_rows" in asked.columns else F.col("max_results")
-    asked = asked.withColumn("take", limit).withColumn("lane_rows", F.col("take") * 5)
+    # written once: every lane joins it, and Spark broadcasts it by its size if that is small
+    asked = staged(asked.withColumn("take", limit).withColumn("lane_rows", F.col("take") * 5), "requests")
+    terms = staged(parse_websearch(asked.select("query_id", "query"), text_config), "terms")
     if "lanes" in asked.columns:
         wanted = F.array_intersect("lanes", F.array(*map(F.lit, LANES)))
         asked = asked.withColumn("lanes", F.when(F.coalesce(F.size(wanted), F.lit(0)) > 0, wanted).otherwise(F.array(*map(F.lit, LANES))))
@@ -177,8 +182,8 @@ def search(requests: DataFrame, memories: DataFrame, config: DataFrame, as_of: f
         by = dict.fromkeys(LANES, asked)
     if index is None:
         named = asked.select(F.explode("namespaces").alias("namespace")).distinct()
-        index = build_index(memories.join(named, "namespace", "left_semi"), text_config, parse_websearch(asked.select("query_id", "query"), text_config))
-    fused = rrf_fuse({"fts": fts_lane(by["fts"], memories, index, text_config, rank), "recency": recency_lane(by["recency"], memories, as_of)})
+        index = build_index(memories.join(named, "namespace", "left_semi"), text_config, terms)
+    fused = rrf_fuse({"fts": fts_lane(by["fts"], memories, index, text_config, rank, terms), "recency": recency_lane(by["recency"], memories, as_of)})
     fused = fused.join(asked.select("query_id", "take", "preview_chars"), "query_id").join(memories.select("uuid", "created_at"), "uuid")
     order = Window.partitionBy("query_id").orderBy(F.desc("fused_score"), F.desc("created_at"), "uuid")
     cut = fused.withColumn("place", F.row_number().over(order)).filter("place <= take").drop("created_at", "take")
