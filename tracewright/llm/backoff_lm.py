@@ -1,497 +1,105 @@
-"""Stupid-backoff scores with relational n-gram counts, every document scored by what the others hold.
+"""Stupid-backoff scores computed relationally, every document scored by what the others hold.
 
 S(w | u .. v) is the count of "u .. v w" in the other documents over the count of "u .. v" as a context; where no other
 document holds "u .. v w", it is ALPHA times S of w after a context one word shorter, and in the end the share of w among all
 words. Contexts have at most order - 1 words, and fewer at a document's begin. A document's score is the mean of ln S over
 its words. Counts cover all documents.
 
-N-grams are exploded with their documents and dealt by hash to the buckets of the count tables, where they are counted and
-scored in one place, so that each n-gram crosses the network once: by their context, words by themselves. An n-gram is known
-by its prefix and suffix, which are one word shorter. Where others hold it, they hold its suffix, whose share is to go: that
-is settled where the suffix is counted, one length after the other. Rows that travel hold a bucket's share of a block of
-documents as sorted, difference-coded arrays. N-grams that are frequent in some block never travel: their exact counts are
-summed first and broadcast, HEAVY of each length at most; which ones these are doesn't change a score.
+N-grams are exploded with their documents and counted by their hash, one table for each length. A table keeps what at least
+two documents hold: nothing else is ever looked up, as a document's own n-grams don't count for it. Each row gets the counts
+of its context and of what it falls back on, by joins of the small tables among themselves, so that one join with the
+exploded n-grams says what each gains over its fallback. Gains are summed per document. Hot n-grams are combined before they
+are shuffled for the counts, and Spark splits their partitions in the join.
 """
 
 from __future__ import annotations
 
-import dataclasses
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied
+from .common import staged, tidied
 from .words import ALNUM, mix, word_shards
 
 ALPHA = 0.4
 #: Words of the longest n-grams that the query counts.
 ORDER = 3
-#: Share of a block's words from which an n-gram is a candidate for the broadcast counts, and how many are kept.
-SHARE, HEAVY = 2e-5, 1 << 16
-#: Bytes of text in a block, and words that a bucket is meant to hold.
-BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 2_000_000
-_M1, _M2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-_codecs: list = []
-_U1, _U2 = (np.uint64(pow(m, -1, 1 << 64)) for m in (_M1, _M2))
-
-
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of mix."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * _U2
-    x ^= (x >> np.uint64(29)) ^ (x >> np.uint64(58))
-    x *= _U1
-    return x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-
-
-def _pack(x: np.ndarray, sorted_: bool = False) -> bytes:
-    """Numbers as their differences (if sorted), byte by byte, compressed if there are many."""
-    import zstandard
-
-    x = np.diff(x, prepend=x.dtype.type(0)) if sorted_ else x
-    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
-    if len(raw) < 256:
-        return b"\0" + raw
-    if not _codecs:
-        _codecs.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
-    return b"\1" + _codecs[0].compress(raw)
-
-
-def _unpack(data: bytes, kind, sorted_: bool = False) -> np.ndarray:
-    import zstandard
-
-    if not _codecs:
-        _codecs.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
-    raw = np.frombuffer(_codecs[1].decompress(data[1:]) if data[:1] == b"\1" else data[1:], np.uint8)
-    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-    return np.cumsum(x, dtype=kind) if sorted_ else x
-
-
-@dataclasses.dataclass
-class Frequent:
-    """Sorted frequent n-grams of one length with their counts, their counts as a context, and where their prefixes and
-    suffixes stand among the frequent ones that are a word shorter."""
-
-    keys: np.ndarray
-    count: np.ndarray
-    as_context: np.ndarray
-    prefix: np.ndarray
-    suffix: np.ndarray
-
-    def __post_init__(self):
-        self.bits = _bits(self.keys)
-
-    def place(self, wanted: np.ndarray) -> np.ndarray:
-        return _place(self.keys, self.bits, wanted)
-
-
-@dataclasses.dataclass
-class Counts:
-    """What is broadcast: number of words, frequent n-grams by their length, and how many bits name a bucket."""
-
-    total: int
-    grams: dict[int, Frequent]
-    bits: int
-
-    def ln(self, k: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """ln S of frequent n-grams of k words, in documents that hold them n times and that are not alone with them."""
-        f = self.grams[k]
-        if k == 1:
-            return np.log(f.count[at]) - np.log(self.total)
-        return np.log(f.count[at] - n) - np.log(self.grams[k - 1].as_context[f.prefix[at]])
-
-
-def _bits(keys: np.ndarray) -> np.ndarray:
-    """Which leading 20 bits occur."""
-    out = np.zeros(1 << 20, bool)
-    out[keys >> np.uint64(44)] = True
-    return out
-
-
-def _place(keys: np.ndarray, bits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where wanted hashes stand among sorted keys; -1 if absent."""
-    out = np.full(len(wanted), -1, np.int64)
-    if len(keys):
-        may = np.flatnonzero(bits[wanted >> np.uint64(44)])
-        x = wanted[may]
-        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        out[may] = np.where(keys[at] == x, at, -1)
-    return out
+#: Bytes of text whose n-grams are exploded together.
+SHARD = 4 << 20
+_GRAMS = "gram long, prefix long, suffix long, row long, n int, m int, last int"
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(w ^ mix(v + np.uint64(1)))
 
 
-def _blocks(batches):
-    """(block's number, ids, words, offsets): numbers are the same whenever the table is scanned."""
-    n = 0
-    for batch in batches:
-        for i, j, hashes, off in word_shards(batch.column(1), ALNUM, BLOCK_BYTES):
-            yield (TaskContext.get().partitionId() << 24) + n, batch.column(0).slice(i, j - i), hashes, off
-            n += 1
-
-
-def _documents(off: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(off) - 1), np.diff(off))
-
-
-def _longer(doc: np.ndarray) -> np.ndarray:
-    """Places of n-grams that another one follows in their document: the two are prefix and suffix of one a word longer."""
-    return np.flatnonzero(doc[1:] == doc[:-1])
-
-
-def _named(words: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams given as rows of words."""
-    level = [words[:, k] for k in range(words.shape[1])]
-    while len(level) > 1:
-        level = [_pair(v, w) for v, w in zip(level[:-1], level[1:], strict=True)]
-    return level[0]
-
-
-def _candidates(order: int):
-    def run(batches):
-        for _, _, hashes, off in _blocks(batches):
-            least = max(2, int(SHARE * len(hashes)))
-            gram, doc, start = hashes, _documents(off), np.arange(len(hashes))
-            rows = [(0, np.zeros((1, 0), np.uint64), np.array([len(hashes)]))]
-            for k in range(1, order + 1):
-                if k > 1:
-                    i = _longer(doc)
-                    gram, doc, start = _pair(gram[i], gram[i + 1]), doc[i], start[i]
-                keys, n = np.unique(gram, return_counts=True)
-                often = n >= least
-                known = keys[often]
-                hit = np.flatnonzero(_place(known, _bits(known), gram) >= 0)
-                first = start[hit[np.unique(gram[hit], return_index=True)[1]]]
-                rows.append((k, hashes[first[:, None] + np.arange(k)], n[often]))
-            for kind, words, n in rows:
-                edges = np.arange(len(n) + 1, dtype=np.int32) * kind
-                listed = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(words.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), listed, pa.array(n.astype(np.int64))], names=["kind", "words", "n"])
-
-    return run
-
-
-def _exact(keys: dict[int, np.ndarray]):
-    def run(batches):
-        bits = {k: _bits(x) for k, x in keys.items()}
-        for _, _, hashes, off in _blocks(batches):
-            gram, doc = hashes, _documents(off)
-            for k in sorted(keys):
-                i = _longer(doc)
-                for kind, values in ((2 * k, gram), (2 * k + 1, gram[i])):
-                    at = _place(keys[k], bits[k], values)
-                    n = np.bincount(at[at >= 0])
-                    seen = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), kind, np.int32)), pa.array(seen), pa.array(n[seen].astype(np.int64))], names=["kind", "at", "n"])
-                gram, doc = _pair(gram[i], gram[i + 1]), doc[i]
-
-    return run
-
-
-def count(docs: DataFrame, order: int) -> Counts:
-    """The broadcast counts of (id, text), of which at most HEAVY n-grams of each length reach the driver."""
-    found = docs.mapInArrow(tidied(_candidates(order)), "kind int, words array<long>, n long").groupBy("kind", "words").agg(F.sum("n").alias("n"))
-    total = found.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
-    words, keys = {}, {}
-    for k in range(order, 0, -1):
-        top = found.filter(F.col("kind") == k).orderBy(F.desc("n"), "words").limit(HEAVY // (2 if k == 1 else 8)).select("words").toArrow().column("words").combine_chunks()
-        rows = [np.asarray(top.flatten()).astype(np.int64).view(np.uint64).reshape(-1, k)]
-        if k < order:  # prefixes and suffixes of frequent ones
-            rows += [words[k + 1][:, :-1], words[k + 1][:, 1:]]
-        rows = np.concatenate(rows)
-        keys[k], first = np.unique(_named(rows), return_index=True)
-        words[k] = rows[first]
-    exact = docs.mapInArrow(tidied(_exact(keys)), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
-    kind, at, n = (np.asarray(exact.column(c)) for c in ("kind", "at", "n"))
-
-    def sums(which: int, size: int) -> np.ndarray:
-        out = np.zeros(size, np.int64)
-        out[at[kind == which]] = n[kind == which]
-        return out
-
-    grams = {}
-    for k in range(1, order + 1):
-        within = lambda x: _place(keys[k - 1], _bits(keys[k - 1]), _named(x)) if k > 1 else np.zeros(0, np.int64)  # noqa: B023, E731
-        grams[k] = Frequent(keys[k], sums(2 * k, len(keys[k])), sums(2 * k + 1, len(keys[k])), within(words[k][:, :-1]), within(words[k][:, 1:]))
-    return Counts(total, grams, max(4, int(total // BUCKET_WORDS).bit_length()))
-
-
-_TRAVEL = "bucket int, block long, kind int, a binary, b binary, doc binary, n binary, m binary, home binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("m", pa.binary()), ("home", pa.binary())])
-#: Kinds of rows: n-grams of a rare context, n-grams of a frequent context, words, suffixes of n-grams that others hold, sums.
-#: n is how often a document holds them; m and home how often it holds their suffix, and which bucket counts that.
-_RARE, _OFTEN, _WORD, _SEEN, _SUM = range(5)
-
+def _distinct(gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each n-gram of a document first stands, how often it does, and which of these each place belongs to."""
+    _, first, which, n = np.unique(_pair(gram, doc.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+    return first, n, which
 
-def _travel(block: int, kind: int, bits: int, a: np.ndarray, b: np.ndarray, *rest: np.ndarray) -> list[tuple]:
-    """Rows of entries sorted by a, one for each bucket; rest: doc, n, and from three words on m and home."""
-    edges = np.searchsorted(a >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    none = (b"",) * (4 - len(rest))
-    return [(k, block, kind, _pack(a[i:j], True), _pack(b[i:j]), *(_pack(x[i:j].astype(np.uint32)) for x in rest), *none) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
 
-
-def _sums(block: int, value: np.ndarray) -> tuple:
-    at = np.flatnonzero(value)
-    return (0, block, _SUM, b"", _pack(value[at]), _pack(at.astype(np.uint32), True), b"", b"", b"")
-
-
-def _batches(rows: list[tuple]):
-    for i in range(0, len(rows), 256):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 256], strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
-
-
-def _entries(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row for each key and document, in order of the key, and how often they come together."""
-    both = _pair(key, doc.astype(np.uint64))
-    order = np.argsort(both)
-    new = np.ones(len(order), bool)
-    new[1:] = both[order[1:]] != both[order[:-1]]
-    first = np.flatnonzero(new)
-    at, n = order[first], np.diff(np.append(first, len(order)))
-    sort = np.argsort(key[at])
-    return at[sort], n[sort]
-
-
-def _explode(held, k: int):
-    """N-grams of k words with their documents; frequent ones are scored at once."""
-
-    def run(batches):
-        c = held.value
-        f, low = c.grams[k], c.grams[k - 1]
-        for block, _, hashes, off in _blocks(batches):
-            gram, doc, before = hashes, _documents(off), None
-            for _ in range(2, k):
-                i = _longer(doc)
-                before = gram[i]
-                gram, doc = _pair(before, gram[i + 1]), doc[i]
-            i = _longer(doc)
-            at, n = _entries(_pair(gram[i], gram[i + 1]), doc[i])
-            i = i[at]
-            v, w, d = gram[i], gram[i + 1], doc[i]
-            g, rest = _pair(v, w), [d, n]
-            m = n
-            if k > 2:
-                _, where, times = np.unique(_pair(gram, doc.astype(np.uint64)), return_inverse=True, return_counts=True)
-                m = times[where[i + 1]]
-                under = before[i + 1]
-                rest += [m, np.where(c.grams[k - 2].place(under) >= 0, w, under) >> np.uint64(64 - c.bits)]
-            known = f.place(g)
-            ours = np.flatnonzero(known >= 0)
-            ours = ours[f.count[known[ours]] > n[ours]]
-            gain = n[ours] * (c.ln(k, known[ours], n[ours]) - np.log(ALPHA) - c.ln(k - 1, f.suffix[known[ours]], m[ours]))
-            rows = [_sums(block, np.bincount(d[ours], gain, minlength=len(off) - 1))]
-            context = low.place(v)
-            i = np.flatnonzero((known < 0) & (context >= 0))  # in order of their hash
-            rows += _travel(block, _OFTEN, c.bits, g[i], context[i].astype(np.uint32), *(x[i] for x in rest))
-            i = np.flatnonzero((known < 0) & (context < 0))
-            i = i[np.argsort(v[i])]
-            rows += _travel(block, _RARE, c.bits, v[i], w[i], *(x[i] for x in rest))
-            yield from _batches(rows)
-
-    return run
-
-
-def _explode_words(held, order: int):
-    """Words with their documents, all as if no other document held longer n-grams; frequent words are scored at once."""
-
-    def run(batches):
-        c = held.value
-        f = c.grams[1]
-        for block, _, hashes, off in _blocks(batches):
-            size = np.diff(off)
-            at, n = _entries(hashes, doc := _documents(off))
-            w, doc = hashes[at], doc[at]
-            known = f.place(w)
-            ours = known >= 0
-            value = np.bincount(doc[ours], n[ours] * c.ln(1, known[ours], n[ours]), minlength=len(size))
-            value = value + np.log(ALPHA) * sum(np.maximum(size - k + 1, 0) for k in range(2, order + 1))
-            yield from _batches([_sums(block, value), *_travel(block, _WORD, c.bits, w[~ours], np.zeros(int((~ours).sum()), np.uint8), doc[~ours], n[~ours])])
-
-    return run
-
-
-def _bucketed(batches, f):
-    """f of the rows of each bucket, over rows sorted by bucket; sums pass."""
-    now, held = None, []
-    for batch in batches:
-        for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if row[2] == _SUM:
-                yield from _batches([row])
-                continue
-            if row[0] != now and held:
-                yield from f(held)
-                held = []
-            now = row[0]
-            held.append(row)
-    if held:
-        yield from f(held)
-
-
-def _gather(rows: list[tuple], kind, b_kind) -> tuple[np.ndarray, ...]:
-    """a, b, block, doc, n, m and home of rows of a kind; m and home are n where rows have none."""
-    rows = [r for r in rows if r[2] == kind]
-    join = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    a, b = (join([_unpack(r[k], t, s) for r in rows], t) for k, t, s in ((3, np.uint64, True), (4, b_kind, False)))
-    doc, n, m, home = (join([_unpack(r[k] or r[6], np.uint32) for r in rows], np.uint32).astype(np.int64) for k in (5, 6, 7, 8))
-    block = np.repeat(np.array([r[1] for r in rows], np.int64), [len(_unpack(r[6], np.uint32)) for r in rows]) if rows else np.zeros(0, np.int64)
-    return a, b, block, doc, n, m, home
-
-
-def _gather_seen(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    parts = [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(4))]
-    for r in rows:
-        if r[2] == _SEEN:
-            where = _unpack(r[5], np.uint64)
-            blocks = _unpack(r[4], np.uint64, True).astype(np.int64)
-            for part, x in zip(parts, (_unpack(r[3], np.uint64, True), blocks[where >> np.uint64(32)], (where & np.uint64(0xFFFFFFFF)).astype(np.int64), _unpack(r[6], np.uint32).astype(np.int64), _unpack(r[7], np.uint32).astype(np.int64)), strict=True):
-                part.append(x)
-    return tuple(map(np.concatenate, parts))
-
-
-def _runs(block: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of equal numbers in a sorted array."""
-    edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
-    return list(zip(edges[:-1], edges[1:], strict=True))
-
-
-def _by_block(block: np.ndarray, doc: np.ndarray, value: np.ndarray) -> list[tuple]:
-    out = []
-    order = np.argsort(block, kind="stable")
-    block, doc, value = block[order], doc[order], value[order]
-    for i, j in _runs(block):
-        out.append(_sums(int(block[i]), np.bincount(doc[i:j], value[i:j])))
-    return out
-
-
-def _count(held, k: int):
-    """Counts and scores a bucket's n-grams of k words; gives sums, and the rare suffixes of those that others hold, whose
-    share is to go."""
-
-    def run(batches):
-        c = held.value
-        low = c.grams[k - 1]
-
-        def bucket(rows):
-            parts, tables = [], []
-            v, w, block, doc, n, m, home = _gather(rows, _RARE, np.uint64)
-            if len(v):
-                order = np.lexsort((w, v))
-                v, w, block, doc, n, m, home = (x[order] for x in (v, w, block, doc, n, m, home))
-                first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
-                count = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(v))))
-                start = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-                context = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(v))))
-                parts.append((w, block, doc, n, m, home, count - n, context))
-                tables.append((_pair(v[first], w[first]), count[first], context[first]))
-            p, at, block, doc, n, m, home = _gather(rows, _OFTEN, np.uint32)
-            if len(p):
-                order = np.lexsort((at, p))
-                p, at, block, doc, n, m, home = (x[order] for x in (p, at, block, doc, n, m, home))
-                first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-                count = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(p))))
-                parts.append((unmix(p) ^ mix(low.keys[at] + np.uint64(1)), block, doc, n, m, home, count - n, low.as_context[at]))
-                tables.append((p[first], count[first], low.as_context[at[first]]))
-            w, block, doc, n, m, home, others, context = (np.concatenate(x) for x in zip(*parts, strict=True))
-            seen = others > 0
-            w, block, doc, n, m, home, others, context = (x[seen] for x in (w, block, doc, n, m, home, others, context))
-            gain = n * (np.log(others) - np.log(context) - np.log(ALPHA))
-            known = low.place(w)
-            often = known >= 0
-            gain[often] -= n[often] * c.ln(k - 1, known[often], m[often])
-            x, x_block, x_doc, x_n, x_m = _gather_seen(rows)
-            if len(x):  # of n-grams a word longer
-                keys, count, ctx = (np.concatenate(t) for t in zip(*tables, strict=True))
-                order = np.argsort(keys)
-                at = order[np.searchsorted(keys, x, sorter=order)]
-                loss = -x_n * (np.log(count[at] - x_m) - np.log(ctx[at]))
-                out = _by_block(np.concatenate([block, x_block]), np.concatenate([doc, x_doc]), np.concatenate([gain, loss]))
-            else:
-                out = _by_block(block, doc, gain)
-            w, block, doc, n, m, home = (x[~often] for x in (w, block, doc, n, m, home))
-            home = home if k > 2 else (w >> np.uint64(64 - c.bits)).astype(np.int64)
-            order = np.lexsort((w, home))
-            w, block, doc, n, m, home = (x[order] for x in (w, block, doc, n, m, home))
-            edges = np.searchsorted(home, np.arange((1 << c.bits) + 1))
-            for b in np.flatnonzero(np.diff(edges)):  # of all blocks together
-                i, j = edges[b], edges[b + 1]
-                blocks, number = np.unique(block[i:j], return_inverse=True)
-                where = (number.astype(np.uint64) << np.uint64(32)) | doc[i:j].astype(np.uint64)
-                out.append((int(b), -1, _SEEN, _pack(w[i:j], True), _pack(blocks.astype(np.uint64), True), _pack(where), _pack(n[i:j].astype(np.uint32)), _pack(m[i:j].astype(np.uint32)), b""))
-            yield from _batches(out)
-
-        yield from _bucketed(batches, bucket)
-
-    return run
-
-
-def _count_words(held):
-    """Counts a bucket's words; gives the sums of their shares, less those of pairs that others hold."""
+def _exploded(k: int):
+    """Of (row, text): the n-grams of k words of each row, with the n-grams one word shorter that begin and end them, how
+    often the row holds it (n) and its end (m), and whether it is the row's last."""
 
     def run(batches):
-        c = held.value
-
-        def bucket(rows):
-            w, _, block, doc, n, _, _ = _gather(rows, _WORD, np.uint8)
-            x, x_block, x_doc, x_n, _ = _gather_seen(rows)
-            if len(w):
-                keys, inverse = np.unique(w, return_inverse=True)
-                total = np.bincount(inverse, n, minlength=len(keys))
-                value = np.concatenate([n, -x_n]) * (np.log(np.concatenate([total[inverse], total[np.searchsorted(keys, x)]])) - np.log(c.total))
-                yield from _batches(_by_block(np.concatenate([block, x_block]), np.concatenate([doc, x_doc]), value))
-
-        yield from _bucketed(batches, bucket)
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            for i, j, gram, off in word_shards(batch.column(1), ALNUM, SHARD):
+                doc = np.repeat(np.arange(j - i), np.diff(off))
+                prefix = suffix = np.zeros(len(gram), np.uint64)
+                shorter = np.zeros(len(gram), np.int64)
+                for t in range(2, k + 1):
+                    if t == k:
+                        _, n, which = _distinct(gram, doc)
+                        shorter = n[which]
+                    at = np.flatnonzero(doc[1:] == doc[:-1])
+                    prefix, suffix, shorter = gram[at], gram[at + 1], shorter[at + 1]
+                    gram, doc = _pair(prefix, suffix), doc[at]
+                if not len(gram):
+                    continue
+                first, n, which = _distinct(gram, doc)
+                last = np.zeros(len(first), np.int32)
+                last[which[np.append(doc[1:] != doc[:-1], True)]] = 1
+                signed = lambda x: pa.array(x[first].view(np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([signed(gram), signed(prefix), signed(suffix), pa.array(rows[i:j][doc[first]]), pa.array(n.astype(np.int32)), pa.array(shorter[first].astype(np.int32)), pa.array(last)], names=["gram", "prefix", "suffix", "row", "n", "m", "last"])
 
     return run
 
 
-def _totals(batches):
-    """Over rows of sums sorted by block: block, doc, value."""
-    def close(block, held):
-        at = np.concatenate([a for a, _ in held]) if held else np.zeros(0, np.int64)
-        value = np.bincount(at, np.concatenate([v for _, v in held])) if len(at) else np.zeros(0)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block, np.int64)), pa.array(np.arange(len(value), dtype=np.int64)), pa.array(value)], names=["block", "doc", "value"])
-
-    now, held = None, []
-    for batch in batches:
-        for block, b, doc in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if block != now and held:
-                yield close(now, held)
-                held = []
-            now = block
-            held.append((_unpack(doc, np.uint32, True).astype(np.int64), _unpack(b, np.float64)))
-    if held:
-        yield close(now, held)
-
-
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = 2) -> DataFrame:
     """doc_id, n_words and score (mean ln S of the document's words; null without words) of every row.
 
-    order is the number of words of the longest n-grams. Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Repeated rows are documents of their own, so
-    each is the other's corpus. docs has to be a table (or a plan that deals the same rows to the same partitions whenever
-    it runs): documents are known by their place in it. Other columns play no part.
+    order is the number of words of the longest n-grams. Words are runs of a-z, 0-9 and non-ASCII characters after
+    lower-casing A-Z. Repeated rows are documents of their own, so each is the other's corpus; null ids are ids. Rows are
+    numbered in a written copy, so that an input that gives its rows in another order when it is read again does no harm.
+    N-grams are known by 64-bit hashes. Other columns play no part.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = spark.sparkContext.broadcast(counts := count(docs, order))
-    parts = 1 << counts.bits
-
-    def listed(batches):
-        for block, ids, _, off in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(np.arange(len(ids), dtype=np.int64)), ids, pa.array(np.diff(off).astype(np.int64))], names=["block", "doc", "doc_id", "n_words"])
-
-    deal = lambda df: df.repartition(parts, F.when(F.col("kind") == _SUM, F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    rows = None
-    for k in range(order, 1, -1):
-        exploded = docs.mapInArrow(tidied(_explode(held, k)), _TRAVEL)
-        rows = deal(exploded.unionByName(rows) if rows else exploded).mapInArrow(tidied(_count(held, k)), _TRAVEL)
-    exploded = docs.mapInArrow(tidied(_explode_words(held, order)), _TRAVEL)
-    words = deal(exploded.unionByName(rows) if rows else exploded).mapInArrow(tidied(_count_words(held)), _TRAVEL)
-    sums = words.select("block", "b", "doc").repartition("block").sortWithinPartitions("block").mapInArrow(tidied(_totals), "block long, doc long, value double")
-    every = docs.mapInArrow(tidied(listed), f"block long, doc long, doc_id {kind}, n_words long")
-    return every.join(sums, ["block", "doc"], "left").select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("value") / F.col("n_words")).alias("score"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = staged(rows, "numbered", compression="zstd")
+    grams = lambda k: rows.select("row", "text").mapInArrow(tidied(_exploded(k)), _GRAMS)
+
+    words = grams(1)
+    table = staged(words.groupBy("gram").agg(F.sum("n").alias("count"), F.sum(F.col("n") - F.col("last")).alias("followed")), "words")
+    total = table.agg(F.sum("count")).first()[0] or 0
+    gains = words.select("gram", "row", "n").join(table.select("gram", "count"), "gram").select("row", "n", (F.col("n") * F.log(F.col("count") / F.lit(total))).alias("gain"))
+    table = table.withColumn("base", F.lit(total))
+    for k in range(2, order + 1):
+        every = grams(k)
+        held = every.groupBy("gram").agg(F.sum("n").alias("count"), F.sum(F.col("n") - F.col("last")).alias("followed"), F.count("*").alias("docs"), F.any_value("prefix").alias("prefix"), F.any_value("suffix").alias("suffix")).filter("docs > 1")
+        held = held.join(table.select(F.col("gram").alias("prefix"), F.col("followed").alias("base")), "prefix")
+        held = held.join(table.select(F.col("gram").alias("suffix"), F.col("count").alias("below"), F.col("base").alias("below_base")), "suffix")
+        table = staged(held.select("gram", "count", "followed", "base", "below", "below_base"), f"grams{k}")
+        known = every.select("gram", "row", "n", "m").join(table.drop("followed"), "gram")
+        # of words, a document's own count in the fallback; of longer n-grams they don't
+        below = F.col("below") - (F.col("m") if k > 2 else F.lit(0))
+        gain = F.log((F.col("count") - F.col("n")) / F.col("base")) - F.lit(math.log(ALPHA)) - F.log(below / F.col("below_base"))
+        gains = gains.unionByName(known.select("row", F.lit(0).alias("n"), (F.col("n") * gain).alias("gain")))
+    sums = gains.groupBy("row").agg(F.sum("n").alias("n_words"), F.sum("gain").alias("gain"))
+    out = rows.select("row", "doc_id").join(sums, "row", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
+    steps = sum((F.greatest(F.col("n_words") - (k - 1), F.lit(0)) for k in range(2, order + 1)), F.lit(0))
+    return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, (F.col("gain") + F.lit(math.log(ALPHA)) * steps) / F.col("n_words")).alias("score"))

@@ -46,7 +46,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf_dir, "documents"), order=backoff_lm.ORDER)
+    return backoff_lm.score(table(spark, sf_dir, "documents"), order=backoff_lm.ORDER).withColumn("score", F.round("score", 9))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,3 +136,18 @@ FROM words AS w LEFT JOIN each AS e USING (doc_id)
 
 
 ORACLE_SQL["op4_license_scan"] = _license_sql()
+ORACLE_SQL["op8_lm_scoring"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT r, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM d),
+g AS (SELECT r, i, n, c, lag(c) OVER s AS b, lag(c, 2) OVER s AS a FROM p WINDOW s AS (PARTITION BY r ORDER BY i)),
+one AS (SELECT c, count(*) AS n, count_if(i < n) AS followed FROM g GROUP BY c),
+two AS (SELECT b, c, count(*) AS n, count_if(i < n) AS followed FROM g WHERE b IS NOT NULL GROUP BY ALL),
+three AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
+own2 AS (SELECT r, b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
+own3 AS (SELECT r, a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
+s AS (SELECT g.r, CASE WHEN three.n > own3.n THEN ln((three.n - own3.n) / x2.followed)
+                       ELSE CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN two.n > own2.n THEN ln((two.n - own2.n) / x1.followed) ELSE CASE WHEN g.b IS NULL THEN 0 ELSE ln(0.4) END + ln(one.n / (SELECT count(*) FROM p)) END END AS v
+      FROM g JOIN one ON one.c = g.c LEFT JOIN two ON two.b = g.b AND two.c = g.c LEFT JOIN own2 ON own2.r = g.r AND own2.b = g.b AND own2.c = g.c LEFT JOIN one AS x1 ON x1.c = g.b
+      LEFT JOIN three ON three.a = g.a AND three.b = g.b AND three.c = g.c LEFT JOIN own3 ON own3.r = g.r AND own3.a = g.a AND own3.b = g.b AND own3.c = g.c LEFT JOIN two AS x2 ON x2.b = g.a AND x2.c = g.b)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, round(avg(v), 9) AS score FROM d LEFT JOIN s USING (r) GROUP BY r, d.doc_id
+"""
