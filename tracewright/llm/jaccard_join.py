@@ -34,7 +34,7 @@ from .words import SPACED, grams, mix, word_shards
 LEAF = 1000
 #: One document in SAMPLE is looked at for frequent shingles; those in at least FREQUENT of them are put last, MOST at most.
 SAMPLE, FREQUENT, MOST = 32, 4, 1 << 17
-_COLUMNS = 4096
+_COLUMNS, _BAND = 2048, 256
 #: Bits of the hash that names a set; sets that share a name are told apart by another hash of 64 bits.
 NAME_BITS = 64
 #: Sets whose names and pivots are broadcast to where the texts are; more are joined by a shuffle.
@@ -95,7 +95,7 @@ def _partners(size: np.ndarray, sketch: list[bytes], barred: np.ndarray, percent
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, a band of members at a time."""
+    """Sizes of the intersections of all pairs of sets (whole numbers below 2**24), a band of members at a time."""
     k = len(sets)
     _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(k), [len(s) for s in sets])
@@ -111,7 +111,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((k, _COLUMNS if j < len(code) else int(code[-1]) + 1 - a), np.float32)
         x[owner[i:j], code[i:j] - a] = 1
         out += x @ x.T
-    return out.astype(np.int64)
+    return out
 
 
 def _met_before(pivots: list[np.ndarray], pivot: int) -> np.ndarray | None:
@@ -269,12 +269,17 @@ def _leaf(rows: pa.Table, percent: int) -> dict | None:
     size = np.array([len(s) for s in sets])
     window, core, side, weight, pivot = (get(c).to_numpy() for c in ("window", "core", "side", "weight", "pivot"))
     common = _common(sets)
-    link = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    link = np.zeros((k, k), bool)
+    for a in range(0, k, _BAND):  # of wide numbers, only a band of rows is held
+        b = slice(a, a + _BAND)
+        shared = common[b].astype(np.int64)
+        link[b] = 100 * shared >= percent * (size[b, None] + size[None, :] - shared)
+        link[b] &= (window[b, None] & window[None, :]) == 0
+        link[b] &= (core[b, None] != core[None, :]) | (core[b] == 0)[:, None]
+        if side.any():
+            link[b] &= side[b, None] != side[None, :]
     np.fill_diagonal(link, False)
-    link &= (window[:, None] & window[None, :]) == 0
-    link &= (core[:, None] != core[None, :]) | (core == 0)[:, None]
-    if side.any():
-        link &= side[:, None] != side[None, :]
+    del common
     if not link.any():
         return None
     if (before := _met_before(_lists(get("pivots")), int(pivot[0]))) is not None:
@@ -283,11 +288,12 @@ def _leaf(rows: pa.Table, percent: int) -> dict | None:
     if not len(at):
         return None
     link = link[np.ix_(at, at)]
-    links = (link * weight[at][None, :]).sum(1)
+    bands = [slice(a, a + _BAND) for a in range(0, len(at), _BAND)]
+    links = np.concatenate([(link[b] * weight[at][None, :]).sum(1) for b in bands])
     near = link | np.eye(len(at), dtype=bool)
     root = node[at].copy()
     while True:
-        new = np.where(near, root[None, :], np.iinfo(np.int64).max).min(1)
+        new = np.concatenate([np.where(near[b], root[None, :], np.iinfo(np.int64).max).min(1) for b in bands])
         if (new == root).all():
             break
         root = new
