@@ -25,7 +25,7 @@ from .common import staged, tidied
 from .words import ALNUM, mix, word_shards
 
 ALPHA = 0.4
-#: Words of the longest n-grams that the query counts.
+#: Words of the longest n-grams that are counted unless the caller says otherwise.
 ORDER = 3
 #: Bytes of text whose n-grams are exploded together.
 SHARD = 4 << 20
@@ -71,7 +71,7 @@ def _exploded(k: int):
     return run
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = 2) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
     """doc_id, n_words and score (mean ln S of the document's words; null without words) of every row.
 
     order is the number of words of the longest n-grams. Words are runs of a-z, 0-9 and non-ASCII characters after
