@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chat, decontaminate, fingerprint, jaccard_join, language_id, license_scan, packing, token_counts, warc
+from . import backoff_lm, chat, decontaminate, fingerprint, jaccard_join, language_id, license_scan, packing, token_counts, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_benchmark_decontamination, op4_license_scan, op5_document_fingerprints, op6_warc, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.points(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_benchmark_decontamination, op4_license_scan, op5_document_fingerprints, op6_warc, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id, op13_embedding_whitening)}
 ORACLE_SQL = {
     "op2_chat_formatting": r"""
 WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
