@@ -19,7 +19,8 @@ Tasks return links per set and a spanning star per leaf, never pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ def shingle_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + d, np.zeros(0, np.uint64)
 
 
-def _node(s: np.ndarray, bits: int) -> tuple[int, int]:
+def node_names(s: np.ndarray, bits: int) -> tuple[int, int]:
     """Two hashes of a set: the name it goes by (of so many bits), and the one that tells sets of one name apart."""
     h = mix(s)
     whole = np.array([h.sum(), np.bitwise_xor.reduce(h), (h * h).sum(), len(s)], np.uint64)
@@ -122,7 +123,11 @@ def _met_before(pivots: list[np.ndarray], pivot: int) -> np.ndarray | None:
     return _common(lower) > 0
 
 
-def _kept(percent: int):
+#: Of sizes, sketches and barred pairs: which sets may have a linked one among the others.
+Partners = Callable[[np.ndarray, list[bytes], np.ndarray], np.ndarray]
+
+
+def _kept(partners: Partners):
     """Of rows (pivot, cell, side, node, core, n, sketch, pivots) sorted by cell: pivot and node of those that have a partner
     which they meet in no region before."""
     schema = pa.schema([("pivot", pa.int64()), ("node", pa.int64())])
@@ -141,7 +146,7 @@ def _kept(percent: int):
                 barred |= side[:, None] == side[None, :]
             if (before := _met_before(_lists(get("pivots")), rows.column("pivot")[0].as_py())) is not None:
                 barred |= before
-            keep = _partners(get("n").to_numpy(), get("sketch").to_pylist(), barred, percent)
+            keep = partners(get("n").to_numpy(), get("sketch").to_pylist(), barred)
             if keep.any():
                 out.append((np.full(int(keep.sum()), rows.column("pivot")[0].as_py(), np.int64), node[keep]))
                 total += len(out[-1][1])
@@ -154,19 +159,19 @@ def _kept(percent: int):
     return run
 
 
-def _nearby(percent: int):
+def _nearby(partners: Partners):
     """Rows (pivot, node, n, sketch, pivots, n and sketch of the pivot): whether the row and its pivot may be linked."""
 
     def run(batches):
         for batch in batches:
             p, n, s, m, t = (batch.column(k).to_pylist() for k in (0, 2, 3, 5, 6))
-            near = [bool(_partners(np.array([a, b]), [x, y], np.zeros((2, 2), bool), percent)[0]) for a, x, b, y in zip(n, s, m, t, strict=True)]
+            near = [bool(partners(np.array([a, b]), [x, y], np.zeros((2, 2), bool))[0]) for a, x, b, y in zip(n, s, m, t, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([a if k else 0 for a, k in zip(p, near, strict=True)], pa.int64())], names=["pivot", "node", "n", "sketch", "pivots", "core"])
 
     return run
 
 
-def _filtered(member: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def filtered(member: DataFrame, sketches: DataFrame, partners: Partners) -> DataFrame:
     """The memberships whose set may have a linked one in the region. In a large region, sets that may be linked with the
     pivot are kept at once, and never compared with each other here."""
     columns = ["pivot", "cell", "side", "node", "core", "n", "sketch", "pivots"]
@@ -179,10 +184,10 @@ def _filtered(member: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     else:
         rows = member.join(large, "pivot", "left_anti").join(sketches, "node").withColumns(start | {"core": F.lit(0).cast("long")}).select(*columns)
         far = member.join(large, "pivot").join(sketches, "node").join(sketches.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("t")), "pivot").select("pivot", "node", "n", "sketch", "pivots", "m", "t")
-        far = staged(far.mapInArrow(tidied(_nearby(percent)), "pivot long, node long, n long, sketch binary, pivots array<long>, core long"), "near").withColumns(start)
+        far = staged(far.mapInArrow(tidied(_nearby(partners)), "pivot long, node long, n long, sketch binary, pivots array<long>, core long"), "near").withColumns(start)
         rows = rows.unionByName(_blocks(far.select(*columns), _sizes(far), columns))
         near = far.filter("core <> 0").select("pivot", "node")
-    kept = rows.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell").mapInArrow(tidied(_kept(percent)), "pivot long, node long")
+    kept = rows.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell").mapInArrow(tidied(_kept(partners)), "pivot long, node long")
     return (kept.unionByName(near) if near is not None else kept).distinct()
 
 
@@ -199,7 +204,7 @@ def _sketch(n: int, percent: int, frequent, bits: int):
             size, node, other, prefix, sketch = np.zeros(batch.num_rows, np.int64), *([None] * batch.num_rows for _ in range(4))
             for row, s in shingle_sets(batch.column(2), n):
                 if size_ := len(s):
-                    size[row], (node[row], other[row]) = size_, (names := _node(s, bits))
+                    size[row], (node[row], other[row]) = size_, (names := node_names(s, bits))
                     if names not in seen:
                         seen.add(names)
                         sketch[row] = _counts(s)
@@ -212,7 +217,7 @@ def _sketch(n: int, percent: int, frequent, bits: int):
     return run
 
 
-def _told_apart(sig: DataFrame) -> DataFrame:
+def told_apart(sig: DataFrame) -> DataFrame:
     """sig, where sets of different content that share a name go by their other hash. So sets are told apart by 128 bits."""
     both = sig.filter("node is not null").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y"))
     clash = staged(both.filter("x <> y").select("node", F.lit(True).alias("clash")), "clash")
@@ -228,7 +233,7 @@ def _sets(n: int, bits: int):
         for batch in slices(batches):
             node, found, at = batch.column(1).to_pylist(), [], []
             for row, s in shingle_sets(batch.column(batch.num_columns - 1), n):
-                if len(s) and node[row] in _node(s, bits):
+                if len(s) and node[row] in node_names(s, bits):
                     at.append(row)
                     found.append(s.view(np.int64))
             rows = batch.take(pa.array(at, pa.int64()))
@@ -362,7 +367,6 @@ def _blocks(rows: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
 def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of (doc_id, text): doc_id, said (hash of the text), n_shingles and node of every row, node being its set's name (null
     for none); and node, root (of its component), component_id and n_links of every set."""
-    eps = 1 - percent / 100
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -376,14 +380,20 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
 
     said = docs.select("doc_id", F.xxhash64("text").alias("said"), "text")
     sig = said.mapInArrow(tidied(_sketch(n, percent, frequent, NAME_BITS)), f"doc_id {kind}, said long, n_shingles long, node long, other long, prefix array<long>, sketch binary")
-    sig = _told_apart(staged(sig, "sketch"))
+    sig = told_apart(staged(sig, "sketch"))
     at = sig.filter("prefix is not null").select("node", F.explode("prefix").alias("shingle")).repartition("shingle")
     leaders = at.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("__top")).filter(F.col("pivot") != F.col("__top")).drop("__top")
     member = staged(at.join(leaders, "shingle").select("pivot", "node").distinct(), "member")
 
     sketches = sig.filter("sketch is not null").groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
-    member = staged(_filtered(member, staged(sketches, "sketches"), percent), "kept")
+    member = staged(filtered(member, staged(sketches, "sketches"), partial(_partners, percent=percent)), "kept")
+    return linked_sets(docs, sig, member, n, percent)
 
+
+def linked_sets(docs: DataFrame, sig: DataFrame, member: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What _classes returns, from sig (doc_id, said, n_shingles, node) and member (pivot, node), the regions in which sets
+    may be linked: they are compared exactly there, large ones around their pivots. A pivot is a set of its own region."""
+    eps = 1 - percent / 100
     classes = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     needed = staged(member.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")).join(classes, "node").select("rep", "node", "weight", "pivots"), "needed")
     wanted = F.broadcast(needed) if (n_needed := needed.count()) <= WANTED_ROWS else needed

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chat, decontaminate, fingerprint, jaccard_join, language_id, license_scan, packing, token_counts, warc, whitening
+from . import backoff_lm, chat, decontaminate, fingerprint, jaccard_join, language_id, license_scan, minhash, packing, token_counts, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.points(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return whitening.whiten(rows, whitening.fit(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_benchmark_decontamination, op4_license_scan, op5_document_fingerprints, op6_warc, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_benchmark_decontamination, op4_license_scan, op5_document_fingerprints, op6_warc, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id, op12_minhash_near_dedup, op13_embedding_whitening)}
 ORACLE_SQL = {
     "op2_chat_formatting": r"""
 WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -141,6 +145,18 @@ FROM words AS w LEFT JOIN each AS e USING (doc_id)
 
 
 ORACLE_SQL["op4_license_scan"] = _license_sql()
+ORACLE_SQL["op12_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 1], ' ') AS g
+             FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles AS x JOIN shingles AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents AS d LEFT JOIN sizes AS s USING (doc_id) LEFT JOIN least AS l ON l.a = d.doc_id
+"""
 ORACLE_SQL["op8_lm_scoring"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT r, unnest(w) AS c, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM d),
