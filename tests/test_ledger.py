@@ -69,12 +69,14 @@ def test_hmac_and_ids(spark):
     keys = {"a": b"short", "b": b"k" * 100}
     df = spark.createDataFrame([("a", "x", "é"), ("b", "x", None), ("c", "x", "y")], "binding string, i string, t string")
     got = {r.binding: r.content_signature for r in ids.content_signature(df, ids.hmac_pads(spark, keys), "binding", "i", "t").collect()}
-    for k, t in (("a", "é"), ("b", "")):
-        assert got[k] == hmac.new(keys[k], f"x\u001f{t}".encode(), hashlib.sha256).hexdigest()
+    for k, t in (("a", "2:é"), ("b", "-")):
+        assert got[k] == hmac.new(keys[k], f"1:x{t}".encode(), hashlib.sha256).hexdigest()
     assert got["c"] is None
     versions = spark.createDataFrame([("2", ["1"])], "version string, prior_versions array<string>")
     many = ids.version_compatible_signatures(df.withColumn("v", F.lit("2")), versions, ids.hmac_pads(spark, keys), "binding", "v", "i", "t").filter("binding = 'a'").first().signatures
-    assert many == [hmac.new(b"short", f"{v}\u001fx\u001fé".encode(), hashlib.sha256).hexdigest() for v in "21"]
+    assert many == [hmac.new(b"short", f"1:{v}1:x2:é".encode(), hashlib.sha256).hexdigest() for v in "21"]
+    pairs = spark.createDataFrame([("a\x1fb", "c"), ("a", "b\x1fc"), ("", None), (None, ""), ("1:a", ""), ("1", "a")], "x string, y string")
+    assert pairs.select(ids.deterministic_id("d", F.col("x"), F.col("y"))).distinct().count() == 6
     one = df.select(ids.deterministic_id("d", F.col("i"))).first()[0]
     assert len(one) == 36 and one[14] == "8" and one[19] in "89ab"
 

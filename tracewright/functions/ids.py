@@ -8,17 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def framed(*parts: Column) -> Column:
+    """The parts as one text from which they can be told again: each behind its length in bytes, `-` for a null one."""
+    texts = [p.cast("string") for p in parts]
+    return F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts))
+
+
 def deterministic_id(domain: str, *parts: Column) -> Column:
-    """A version-8 UUID of a domain and its parts; null parts count as empty, and parts can't run into each other."""
-    text = F.concat_ws("\u001f", F.lit(domain), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
-    h = F.sha2(text, 256)
+    """A version-8 UUID of a domain and its parts; null isn't empty, and parts can't run into each other."""
+    h = F.sha2(framed(F.lit(domain), *parts), 256)
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-8"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
 def session_id(*parts: Column) -> Column:
     """The trace session of a stream that has none yet."""
-    return F.concat(F.lit("capture:v1:"), F.sha2(F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256))
+    return F.concat(F.lit("capture:v1:"), F.sha2(framed(*parts), 256))
 
 
 def hmac_pads(spark: SparkSession, keys: dict[str, bytes]) -> DataFrame:
@@ -38,7 +43,7 @@ def hmac_sha256(message: Column, ipad: Column, opad: Column) -> Column:
 
 def content_signature(df: DataFrame, pads: DataFrame, binding: str, *content: str, name: str = "content_signature") -> DataFrame:
     """df signed with its binding's key over its identity and content, its position left out; null without a key."""
-    message = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content))
+    message = framed(*map(F.col, content))
     joined = df.join(pads.withColumnRenamed("binding", "__b"), F.col(binding) == F.col("__b"), "left")
     return joined.withColumn(name, hmac_sha256(message, F.col("ipad"), F.col("opad"))).drop("__b", "ipad", "opad")
 
@@ -48,8 +53,8 @@ def version_compatible_signatures(df: DataFrame, versions: DataFrame, pads: Data
 
     versions: (version, prior_versions array<string>), a small table of the adapter's history."""
     known = versions.withColumnsRenamed({"version": "__v", "prior_versions": "__prior"})
-    rows = df.join(known, F.col(version) == F.col("__v"), "left").join(F.broadcast(pads.withColumnRenamed("binding", "__b")), F.col(binding) == F.col("__b"), "left")
-    message = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content))
+    rows = df.join(known, F.col(version) == F.col("__v"), "left").join(pads.withColumnRenamed("binding", "__b"), F.col(binding) == F.col("__b"), "left")
+    message = framed(*map(F.col, content))
     every = F.concat(F.array(F.col(version)), F.coalesce("__prior", F.array().cast("array<string>")))
-    signed = F.transform(every, lambda v: hmac_sha256(F.concat_ws("\u001f", v, message), F.col("ipad"), F.col("opad")))
+    signed = F.transform(every, lambda v: hmac_sha256(F.concat(framed(v), message), F.col("ipad"), F.col("opad")))
     return rows.withColumn("signatures", signed).drop("__v", "__prior", "__b", "ipad", "opad")

@@ -169,6 +169,13 @@ def redact_text(df: DataFrame, text: str, rules: RuleSet = DEFAULT, decode: bool
     return found.withColumns({"redacted": F.when(f.isNull(), F.col(text)).otherwise(f["redacted"]), "scan": F.when(f["failure"].isNotNull(), failed).otherwise(receipt), "skipped_runs": F.coalesce(f["skipped_runs"], F.lit(0))}).drop("__found_0")
 
 
+def in_place(df: DataFrame, columns: list[str], rules: RuleSet = DEFAULT, budgets: Budgets = Budgets()) -> DataFrame:
+    """df whose text columns are redacted where they are; a text that passes a budget becomes an omission marker."""
+    found = scanned(df, columns, rules, True, budgets)
+    new = {c: F.when(f.isNull(), F.col(c)).otherwise(F.coalesce(f["redacted"], F.concat(F.lit("[OMITTED:"), f["failure"], F.lit("]")))) for c, f in ((c, F.col(f"__found_{k}")) for k, c in enumerate(columns))}
+    return found.withColumns(new).select(*df.columns)
+
+
 def reject_unsafe(df: DataFrame, columns: list[str], rules: RuleSet = DEFAULT, limit: int = 64 << 20, budgets: Budgets = Budgets()) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with rule_id and path): a row with any match is rejected by its rule of highest priority, one that
     passes a budget by `scan_budget_exhausted` and one that can't be inspected in whole by `required_inspection_incomplete`."""
@@ -199,17 +206,3 @@ def scan_budgets(spans: Column, candidates: Column, matches: int = Budgets().mat
 def redaction_report(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """How many rows each rule concerned, from the scan column of redact_text."""
     return df.select(*by, F.explode("scan.rule_ids").alias("rule_id")).groupBy(*by, "rule_id").agg(F.count("*").alias("n"))
-
-
-def redact_fields(df: DataFrame, props: str, rules: RuleSet = DEFAULT) -> DataFrame:
-    """Flat JSON objects, without Python: values of sensitive names become markers (strings are redacted, numbers and
-    truth values omitted), and other strings are redacted as text. Nested values: redact_json."""
-    names = "|".join(r.pattern.replace("(?i)", "") for r in rules.field_rules())
-    parsed = F.from_json(props, "map<string,string>")
-
-    def value(k: Column, v: Column) -> Column:
-        scalar = v.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$|^(true|false)$")
-        sensitive = k.rlike(f"(?i){names}")
-        return F.when(v.isNull(), v).when(sensitive & scalar, "[OMITTED:sensitive_field_scalar]").when(sensitive, "[REDACTED:sensitive-field-value]").otherwise(cut(v, merge_spans(rule_matches(v, rules))))
-
-    return df.withColumn("redacted", F.to_json(F.transform_values(parsed, value)))

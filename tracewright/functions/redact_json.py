@@ -5,13 +5,13 @@ Only rows that a literal of a rule, a sensitive name or an encoded run can conce
 
 from __future__ import annotations
 
-import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exact_json import Pairs, dumps, loads
 from .redact import prefilter
 from .rules import DEFAULT, RuleSet
 from .scan import ENCODED, Budgets, Exhausted, Scanner, without_spans
@@ -19,10 +19,6 @@ from .scan import ENCODED, Budgets, Exhausted, Scanner, without_spans
 LEAF_LIMIT = 64 << 20
 
 
-class _Pairs(list):
-    """An object's members in order, repeated names included."""
-
-
 class _Scan:
     """One document's scan; its budget of matches holds for the whole document."""
 
@@ -60,20 +56,26 @@ class _Scan:
             return f"[OMITTED:{reason}]"
         if isinstance(v, str):
             return self.string(v)
-        if isinstance(v, _Pairs):
+        if isinstance(v, Pairs):
             names = [(k, self.string(k)) for k, _ in v]
             changed = {b for a, b in names if a != b}
             if any(len({a for a, b in names if b == c}) > 1 for c in changed):
                 self.omitted.append("redacted_name_collision")
                 return "[OMITTED:redacted_name_collision]"
-            return _Pairs((b, self.value(x, a)) for (a, b), (_, x) in zip(names, v, strict=True))
+            return Pairs((b, self.value(x, a)) for (a, b), (_, x) in zip(names, v, strict=True))
         return [self.value(x, name) for x in v] if isinstance(v, list) else v
 
 
-def _dump(v) -> str:
-    if isinstance(v, _Pairs):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(x)}" for k, x in v) + "}"
-    return "[" + ",".join(map(_dump, v)) + "]" if isinstance(v, list) else json.dumps(v, ensure_ascii=False)
+def _may(text: Column, of, rules: RuleSet) -> Column:
+    """Whether any of the given rules, a literal or an encoded run can concern a text."""
+    may = F.lit(False)
+    for r in of:
+        may |= prefilter(text, r)
+    for x in rules.literals:
+        may |= text.contains(x)
+    for p in ENCODED.values():
+        may |= text.rlike(p)
+    return F.coalesce(may, F.lit(False))
 
 
 def redact_json(df: DataFrame, column: str, rules: RuleSet = DEFAULT, budgets: Budgets = Budgets()) -> DataFrame:
@@ -82,17 +84,10 @@ def redact_json(df: DataFrame, column: str, rules: RuleSet = DEFAULT, budgets: B
     Strings are redacted as text. Under a sensitive name a string is redacted as a whole, unless a rule of higher priority
     names it; numbers and truth values, objects and arrays are omitted, null stays. Arrays pass their name on. Names are
     redacted too: if that makes two of an object's names equal, the object is omitted. Text that isn't JSON is redacted as
-    text; null stays null. Numbers keep their value, not their spelling. A document that passes a budget fails as in
+    text; null stays null. Numbers, repeated names and all else stay as they are spelt. A document that passes a budget fails as in
     redact_text.
     """
-    may = F.lit(False)
-    for r in rules.rules:
-        may |= prefilter(F.col(column), r)
-    for x in rules.literals:
-        may |= F.col(column).contains(x)
-    for p in ENCODED.values():
-        may |= F.col(column).rlike(p)
-    may |= F.col(column).contains("\\") | (F.octet_length(column) > LEAF_LIMIT)
+    may = _may(F.col(column), rules.rules, rules) | F.col(column).contains("\\") | (F.octet_length(column) > LEAF_LIMIT)
 
     @F.pandas_udf("struct<redacted:string,scan:struct<status:string,rule_ids:array<string>,categories:array<string>,redaction_count:int>>")
     def scan(texts: pd.Series) -> pd.DataFrame:
@@ -102,7 +97,7 @@ def redact_json(df: DataFrame, column: str, rules: RuleSet = DEFAULT, budgets: B
             s = _Scan(rules, scanner)
             try:
                 try:
-                    new = _dump(s.value(json.loads(t, object_pairs_hook=_Pairs)))
+                    new = dumps(s.value(loads(t)))
                 except (ValueError, RecursionError):
                     s = _Scan(rules, scanner)
                     new = s.string(t)
@@ -118,3 +113,41 @@ def redact_json(df: DataFrame, column: str, rules: RuleSet = DEFAULT, budgets: B
     rest = df.filter(~F.coalesce(may, F.lit(False))).withColumns({"redacted": F.col(column), "scan": clean})
     hit = df.filter(may).withColumn("__s", scan(column)).withColumns({"redacted": F.col("__s.redacted"), "scan": F.col("__s.scan")}).drop("__s")
     return rest.unionByName(hit)
+
+
+def redact_fields(df: DataFrame, props: str, rules: RuleSet = DEFAULT, budgets: Budgets = Budgets()) -> DataFrame:
+    """df with `redacted`, as redact_json gives it, for a column of mostly flat JSON objects.
+
+    Flat objects in which only names are at fault are rewritten by built-in functions: under a sensitive name strings become
+    markers and numbers and truth values are omitted, all else stays as it is spelt. Objects that are nested or repeat a name,
+    texts that aren't JSON, and those whose strings a text rule or an encoded run can concern go through redact_json.
+    """
+    text = F.col(props)
+    found = F.try_parse_json(text)
+    kinds = F.transform_values(F.col("__kinds"), lambda _, v: F.schema_of_variant(v))
+    rows = df.withColumns({"__kinds": F.when(F.schema_of_variant(found).startswith("OBJECT<"), F.expr(f"try_cast(try_parse_json(`{props}`) AS map<string,variant>)")), "__values": F.from_json(text, "map<string,string>")})
+    rows = rows.withColumn("__kinds", kinds)
+    nested = F.exists(F.map_values("__kinds"), lambda k: k.startswith("OBJECT") | k.startswith("ARRAY"))
+    fault = F.exists(F.map_values("__values"), lambda v: _may(v, rules.text_rules(), rules)) | F.exists(F.map_keys("__values"), lambda k: _may(k, [], rules) | F.coalesce(k.rlike("|".join(f"(?:{r.pattern})" for r in rules.text_rules()) or "(?!)"), F.lit(False)))
+    lost = F.exists(F.map_entries("__values"), lambda e: (e["value"].isNull() & (F.element_at("__kinds", e["key"]) != "VOID")) | (e["value"].startswith('"') & (F.element_at("__kinds", e["key"]) != "STRING")))  # numbers that no type holds
+    flat = F.coalesce(~nested & ~fault & ~lost & (F.size("__kinds") == F.size("__values")), F.lit(False)) & ~text.contains("\\") & (F.octet_length(text) <= LEAF_LIMIT)
+    rows = rows.withColumn("__flat", F.coalesce(flat, F.lit(False)))
+    quoted = lambda x: F.substring(F.to_json(F.array(x)), F.lit(2), F.char_length(F.to_json(F.array(x))) - 2)
+
+    def marker(name: Column, kind: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for r in reversed(rules.field_rules()):
+            out = F.when(name.rlike(r.pattern), F.when(kind == "STRING", f"[REDACTED:{r.id}]").when(kind != "VOID", "[OMITTED:sensitive_field_scalar]")).otherwise(out)
+        return out
+
+    def member(name: Column, value: Column) -> Column:
+        kind = F.element_at("__kinds", name)
+        plain = F.when(kind == "STRING", quoted(value)).otherwise(F.coalesce(value, F.lit("null")))
+        mark = marker(name, kind)
+        return F.concat(quoted(name), F.lit(":"), F.when(mark.isNotNull(), quoted(mark)).otherwise(plain))
+
+    hit = F.exists(F.map_entries("__values"), lambda e: marker(e["key"], F.element_at("__kinds", e["key"])).isNotNull())
+    new = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("__values"), lambda e: member(e["key"], e["value"])), ","), F.lit("}"))
+    columns = [c for c in df.columns if c.lower() != "redacted"]
+    rest = rows.filter("__flat").withColumn("redacted", F.when(hit, new).otherwise(text)).select(*columns, "redacted")
+    return rest.unionByName(redact_json(rows.filter("not __flat").select(*columns), props, rules, budgets).select(*columns, "redacted"))

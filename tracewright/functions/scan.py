@@ -126,7 +126,7 @@ class Scanner:
                     if size > self.budgets.decoded_bytes:
                         raise Exhausted
                     for part in _CONTROL.split(whole):
-                        if len(part) > 7 and self.any.search(part):
+                        if self.any.search(part):
                             hit = next((i, c, p) for i, c, p, rx_ in self.known if rx_.search(part))
                             best = min((-hit[2], hit[0], hit[1]), best or (0, "", ""))
                 if best:

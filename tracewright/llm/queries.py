@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, chat, decontaminate, fingerprint, jaccard_join, language_id, license_scan, minhash, packing, token_counts, warc, whitening
+from . import alignment, backoff_lm, chat, decontaminate, fingerprint, jaccard_join, language_id, license_scan, minhash, packing, token_counts, warc, whitening
+from .common import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.with_counts(staged(found.drop("text"), "aligned"))
+
+
 def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,7 +81,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, whitening.fit(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_benchmark_decontamination, op4_license_scan, op5_document_fingerprints, op6_warc, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id, op12_minhash_near_dedup, op13_embedding_whitening)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_benchmark_decontamination, op4_license_scan, op5_document_fingerprints, op6_warc, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id, op11_cross_tokenizer_alignment, op12_minhash_near_dedup, op13_embedding_whitening)}
 ORACLE_SQL = {
     "op2_chat_formatting": r"""
 WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),

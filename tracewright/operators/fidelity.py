@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact_json import Number, Pairs, dumps, loads
+
 MIB = 1 << 20
 #: Bounds, bands, and the reasons that belong to each class of outcome.
 TRANSPORT_LIMIT, CONTENT_LIMIT = 1_000_000, 128 * MIB
@@ -128,23 +130,24 @@ def stored_omission(payload: Column, adapter: Column, adapter_version: Column, v
     return F.when(known, F.struct(reason.alias("reason"), size.alias("original_bytes")))
 
 
+_BYTE = re.compile("25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]")
+
+
 def _stripped(value, found: list):
-    if isinstance(value, list):
-        return [_stripped(v, found) for v in value]
-    if not isinstance(value, dict):
-        return value
-    data = value.get("byte_payload")
-    binary = value.get("type") == "binary_content" and value.get("category") in BINARY_CATEGORIES and isinstance(data, list)
-    if not (binary and all(type(b) is int and 0 <= b <= 255 for b in data)):
-        return {k: _stripped(v, found) for k, v in value.items()}
-    out = {k: _stripped(v, found) for k, v in value.items() if k != "byte_payload"}
+    if not isinstance(value, Pairs):
+        return [_stripped(v, found) for v in value] if isinstance(value, list) else value
+    last = dict(value)  # of repeated names the last one counts
+    data = last.get("byte_payload")
+    binary = last.get("type") == "binary_content" and isinstance(last.get("category"), str) and last["category"] in BINARY_CATEGORIES and isinstance(data, list) and not isinstance(data, Pairs)
+    if not (binary and all(isinstance(b, Number) and _BYTE.fullmatch(b.text) for b in data)):
+        return Pairs((k, _stripped(v, found)) for k, v in value)
     name, n = "capture_fidelity_omission", 1
-    while name in out:
+    while name in last:
         n += 1
         name = f"capture_fidelity_omission_{n}"
-    out[name] = {"reason": "unsupported_binary_content", "original_bytes": len(data), "category": value["category"]}
     found.append(len(data))
-    return out
+    account = Pairs([("reason", "unsupported_binary_content"), ("original_bytes", Number(str(len(data)))), ("category", last["category"])])
+    return Pairs([*((k, _stripped(v, found)) for k, v in value if k != "byte_payload"), (name, account)])
 
 
 def strip_binary(df: DataFrame, column: str) -> DataFrame:
@@ -158,7 +161,7 @@ def strip_binary(df: DataFrame, column: str) -> DataFrame:
         for t in texts:
             found: list[int] = []
             try:
-                new = json.dumps(_stripped(json.loads(t), found), ensure_ascii=False, separators=(",", ":"))
+                new = dumps(_stripped(loads(t), found))
             except (ValueError, RecursionError):
                 new, found = t, []
             out.append((new if found else t, found))

@@ -5,7 +5,8 @@ Current tables are never edited: they are rebuilt from what was proposed and the
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,11 +144,12 @@ def log_traces(batch: DataFrame, default: str = "default", rules: RuleSet = DEFA
     return rows.select(*_trace(F.col("session_id"), F.col("agent_id"), F.col("namespace"), F.col("event_type"), F.col("content"), F.coalesce("refs", F.array().cast("array<string>")), F.col("ts")))
 
 
-def list_workstreams(workstreams: DataFrame, namespace: str, status: str = "open") -> DataFrame:
-    """Open or checked-out workstreams of a namespace with `place`, newest first."""
-    if status not in ("open", "checked_out"):
+def list_workstreams(workstreams: DataFrame, namespace: str, status: str | None = None) -> DataFrame:
+    """Live workstreams of a namespace (of one live status, or open and checked-out ones together) with `place`, newest first."""
+    if status not in (None, "open", "checked_out"):
         raise ValueError("only open and checked_out workstreams are listed")
-    rows = workstreams.filter((F.col("namespace") == namespace) & (F.col("status") == status))
+    live = F.col("status").isin("open", "checked_out") if status is None else F.col("status") == status
+    rows = workstreams.filter((F.col("namespace") == namespace) & live)
     return numbered(rows, ["namespace"], -F.col("updated_at").cast("double"), ["uuid"])
 
 
@@ -160,69 +162,90 @@ def handoff_rows(batch: DataFrame, rules: RuleSet = DEFAULT) -> DataFrame:
 
 
 WORKSTREAM = "uuid string, namespace string, title string, status string, owner_agent string, session_id string, notes string, refs string, updated_at timestamp"
-_EVENTS = {"checkout": "workstream_checkout", "check_in": "workstream_checkin", "handoff": "workstream_handoff"}
-
-
-def _fold(key: tuple, commands: list[dict], held: list[dict]) -> list[dict]:
-    """State after ordered commands on the workstreams of one namespace and title, and what became of each command."""
-    state, log = {w["uuid"]: dict(w) for w in held}, []
-    newest = lambda status: max((w for w in state.values() if w["status"] == status), key=lambda w: (w["updated_at"], w["uuid"]), default=None)
-    for c in sorted(commands, key=lambda c: c["seq"]):
-        w, error = state.get(c["uuid"]) if c["uuid"] else newest("open"), None
-        if c["action"] == "checkout":
-            if w is None and c["uuid"]:
-                error = "unknown_workstream"
-            elif w is None and newest("checked_out"):
-                error = "conflict"
-            elif w is None:
-                w = {"uuid": f"ws:{key[0]}:{key[1]}:{c['seq']}", "namespace": key[0], "title": key[1], "status": "open", "owner_agent": None, "session_id": None, "notes": None, "refs": None, "updated_at": c["ts"]}
-                state[w["uuid"]] = w
-            elif w["status"] != "open":
-                error = "conflict" if w["status"] == "checked_out" else "terminal"
-            if not error:
-                w |= {"status": "checked_out", "owner_agent": c["agent_id"], "session_id": c["session_id"], "updated_at": c["ts"]}
-        else:
-            w = state.get(c["uuid"]) if c["uuid"] else newest("checked_out")
-            target = c["status"] if c["action"] == "check_in" else "open"
-            if w is None:
-                error = "unknown_workstream"
-            elif w["status"] in ("done", "abandoned"):
-                error = "terminal"
-            elif w["status"] != "checked_out":
-                error = "not_checked_out"
-            elif c["action"] in ("check_in", "handoff") and w["owner_agent"] != c["agent_id"]:
-                error = "not_owner"
-            elif target not in ("open", "done", "abandoned"):
-                error = "unknown_status"
-            else:
-                w |= {"status": target, "owner_agent": None if target == "open" else w["owner_agent"], "notes": c["notes"] or w["notes"], "refs": c["refs"] or w["refs"], "updated_at": c["ts"]}
-        log.append({"kind": "error" if error else "trace", "seq": c["seq"], "error": error, "event": _EVENTS.get(c["action"]), **(w or {"uuid": c["uuid"]})})
-    return [{"kind": "state", **w} for w in state.values()] + log
-
-
-def apply_workstream_commands(commands: DataFrame, workstreams: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+_WORKSTREAM = f"struct<{', '.join(':'.join(x.split()) for x in WORKSTREAM.split(', '))}>"
+_OUTCOME = f"struct<seq:bigint,event:string,by_agent:string,by_session:string,created:boolean,error:string,workstream:{_WORKSTREAM}>"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that the plan holds once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _on_workstreams(a: Column, c: Column) -> Column:
+    """State and outcomes after one more command on the workstreams of a title."""
+    newest = lambda status: F.array_max(F.transform(F.filter(a["now"], lambda w: w["status"] == status), lambda w: F.struct(w["updated_at"].alias("at"), w["uuid"].alias("u"), w.alias("w"))))["w"]
+    out = c["action"] == "checkout"
+    by_uuid = F.get(F.filter(a["now"], lambda w: w["uuid"] == c["uuid"]), F.lit(0))
+    met = F.when(c["uuid"].isNotNull(), by_uuid).when(out, newest("open")).otherwise(newest("checked_out"))
+
+    def told(w: Column) -> Column:
+        target = F.when(out, "checked_out").when(c["action"] == "check_in", c["status"]).otherwise("open")
+        refused = F.when(w["status"] == "checked_out", "conflict").when(w["status"] != "open", "terminal")
+        held = (
+            F.when(w.isNull(), "unknown_workstream")
+            .when(w["status"].isin("done", "abandoned"), "terminal")
+            .when(w["status"] != "checked_out", "not_checked_out")
+            .when((c["action"] != "release") & ~w["owner_agent"].eqNullSafe(c["agent_id"]), "not_owner")
+            .when(~F.coalesce(target.isin("open", "done", "abandoned"), F.lit(False)), "unknown_status")
+        )
+        error = F.when(~F.coalesce(c["action"].isin("checkout", "check_in", "handoff", "release"), F.lit(False)), "unknown_action").when(~out, held).when(w.isNotNull(), refused).when(c["uuid"].isNotNull(), "unknown_workstream").when(newest("checked_out").isNotNull(), "conflict")
+        free = target == "open"
+        fields = {
+            "uuid": F.coalesce(w["uuid"], c["uuid"], F.concat(F.lit("ws:"), c["namespace"], F.lit(":"), c["title"], F.lit(":"), c["seq"].cast("string"))),
+            "namespace": c["namespace"],
+            "title": F.coalesce(w["title"], c["title"]),
+            "status": target,
+            "owner_agent": F.when(out, c["agent_id"]).when(~free, w["owner_agent"]),
+            "session_id": F.when(out, c["session_id"]).when(~free, w["session_id"]),
+            "notes": F.when(out, w["notes"]).otherwise(F.coalesce(c["notes"], w["notes"])),
+            "refs": F.when(out, w["refs"]).otherwise(F.coalesce(c["refs"], w["refs"])),
+            "updated_at": c["ts"],
+        }
+        event = F.when(out, "workstream_checkout").when(c["action"] == "check_in", "workstream_checkin").when(c["action"] == "handoff", "workstream_handoff")
+        after = F.struct(*(v.alias(k) for k, v in fields.items()))
+        return F.struct(c["seq"].alias("seq"), event.alias("event"), c["agent_id"].alias("by_agent"), c["session_id"].alias("by_session"), (out & w.isNull()).alias("created"), error.alias("error"), after.alias("workstream")).cast(_OUTCOME)
+
+    def moved(d: Column) -> Column:
+        others = F.filter(a["now"], lambda w: w["uuid"] != d["workstream"]["uuid"])
+        return F.struct(F.when(d["error"].isNotNull(), a["now"]).otherwise(F.array_append(others, d["workstream"])).alias("now"), F.array_append(a["done"], d).alias("done")).cast(f"struct<now:array<{_WORKSTREAM}>,done:array<{_OUTCOME}>>")
+
+    return _let(_let(met, told), moved)
+
+
+def apply_workstream_commands(commands: DataFrame, workstreams: DataFrame, rules: RuleSet = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(workstreams, accepted commands with their taxonomy event, errors) after commands (seq, action, namespace, title or uuid,
     agent_id, session_id, status, notes, refs, ts) in their order.
 
     checkout takes an open workstream, by title the newest one, and creates it if there is none and none is checked out;
     check_in by its owner opens it again or ends it; release opens it; handoff is a check-in with notes. done and abandoned
-    are final. Each namespace and title is folded in a group of its own; commands by uuid are sent to its title first.
+    are final; an open workstream has no owner and no session. Titles and notes are redacted before anything is compared or
+    kept. Each namespace and title is folded by itself, in one row; commands by uuid are sent to their title first, and those
+    that name neither a title nor a known uuid are errors. Titles without commands pass as they are.
     """
-    by = workstreams.select(F.col("uuid").alias("__u"), F.col("title").alias("__t"))
-    asked = commands.join(by, F.col("uuid") == F.col("__u"), "left").withColumn("title", F.coalesce("__t", "title", F.lit(""))).drop("__u", "__t")
-    schema = f"kind string, seq long, error string, event string, {WORKSTREAM}"
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def fold(key, c: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda f: [{k: None if v is None or v is pd.NaT or v != v else v for k, v in r.items()} for r in f.to_dict("records")]
-        return pd.DataFrame([{n: r.get(n) for n in names} for r in _fold(key, plain(c), plain(w))], columns=names)
-
-    out = asked.groupBy("namespace", "title").cogroup(workstreams.groupBy("namespace", "title")).applyInPandas(fold, schema)
     columns = [x.split()[0] for x in WORKSTREAM.split(", ")]
-    state = out.filter("kind = 'state'").select(*columns)
-    return state, out.filter("kind = 'trace' and event is not null").select("seq", "event", *columns), out.filter("kind = 'error'").select("seq", "uuid", "error")
+    held = redact.in_place(workstreams.select(*columns), ["title", "notes"], rules)
+    asked = redact.in_place(commands, ["title", "notes"], rules)
+    by = held.select(F.col("uuid").alias("__u"), F.col("title").alias("__t"), F.col("namespace").alias("__n"))
+    asked = asked.join(by, F.col("uuid") == F.col("__u"), "left").withColumns({"title": F.coalesce("__t", "title"), "namespace": F.coalesce("__n", "namespace")}).drop("__u", "__t", "__n")
+    placed = F.trim(F.coalesce("title", F.lit(""))) != ""
+    names = ("seq", "action", "namespace", "title", "uuid", "agent_id", "session_id", "status", "notes", "refs", "ts")
+    c = F.struct(F.col("seq").cast("long").alias("seq"), *(F.col(n).cast("timestamp" if n == "ts" else "string").alias(n) for n in names[1:]))
+    logs = asked.filter(placed).groupBy("namespace", "title").agg(F.array_sort(F.collect_list(c)).alias("log"))
+    key = [F.col("namespace").eqNullSafe(F.col("__n")), F.col("title") == F.col("__t")]
+    touched = held.join(logs.select(F.col("namespace").alias("__n"), F.col("title").alias("__t")), key, "left_semi")
+    rest = held.join(logs.select(F.col("namespace").alias("__n"), F.col("title").alias("__t")), key, "left_anti")
+    before = touched.groupBy(F.col("namespace").alias("__n"), F.col("title").alias("__t")).agg(F.collect_list(F.struct(*columns).cast(_WORKSTREAM)).alias("held"))
+    start = F.struct(F.coalesce("held", F.array().cast(f"array<{_WORKSTREAM}>")).alias("now"), F.array().cast(f"array<{_OUTCOME}>").alias("done"))
+    folded = staged(logs.join(before, key, "left").select(F.aggregate("log", start, _on_workstreams).alias("s")), "workstreams")
+    state = folded.select(F.inline("s.now")).select(*columns)
+    done = folded.select(F.inline("s.done"))
+    lost = asked.filter(~placed).select(F.col("seq").cast("long").alias("seq"), "uuid", F.lit("unknown_workstream").alias("error"))
+    errors = done.filter("error is not null").select("seq", F.col("workstream.uuid").alias("uuid"), "error").unionByName(lost)
+    accepted = done.filter("error is null and event is not null").select("seq", "event", "by_agent", "by_session", "created", "workstream.*")
+    return state.unionByName(rest.select(*columns)), accepted, errors
 
 
 def workstream_traces(accepted: DataFrame) -> DataFrame:
-    """A trace per accepted command (release has none)."""
-    return accepted.select(*_trace(F.col("session_id"), F.coalesce("owner_agent", F.lit("unknown")), F.col("namespace"), F.col("event"), F.to_json(F.struct("title", "status")), F.array("uuid"), F.col("updated_at")))
+    """A trace per accepted command (release has none), under the agent and session that gave it."""
+    content = F.when(F.col("event") == "workstream_checkout", F.to_json(F.struct("uuid", "title", "created"))).otherwise(F.to_json(F.struct("uuid", "title", "status")))
+    return accepted.select(*_trace(F.col("by_session"), F.coalesce("by_agent", F.lit("unknown")), F.col("namespace"), F.col("event"), content, F.array("uuid"), F.col("updated_at")))

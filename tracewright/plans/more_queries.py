@@ -333,9 +333,11 @@ def j15_log_traces(spark, sf):
     return lifecycle.log_traces(rows).select("session_id", "namespace", "event_type", "content")
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id DESC) AS INT) AS place FROM documents WHERE lang = 'en' AND doc_id % 3 = 0")
+@query("SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id DESC) AS INT) AS place FROM documents WHERE lang = 'en' AND doc_id % 3 < 2")
 def j16_list_workstreams(spark, sf):
-    rows = view(spark, sf, "documents").select("doc_id", F.col("lang").alias("namespace"), F.when(F.col("doc_id") % 3 == 0, "open").otherwise("done").alias("status"), F.col("doc_id").alias("updated_at"), F.col("doc_id").alias("uuid"))
+    """Open and checked-out workstreams together."""
+    status = F.when(F.col("doc_id") % 3 == 0, "open").when(F.col("doc_id") % 3 == 1, "checked_out").otherwise("done")
+    rows = view(spark, sf, "documents").select("doc_id", F.col("lang").alias("namespace"), status.alias("status"), F.col("doc_id").alias("updated_at"), F.col("doc_id").alias("uuid"))
     return lifecycle.list_workstreams(rows, "en").select("doc_id", "place")
 
 
@@ -345,11 +347,17 @@ def j18_handoff_rows(spark, sf):
     return lifecycle.handoff_rows(rows).select("session_id", "status", "title")
 
 
+def _workstream_log(spark, sf):
+    """A workstream a conversation, with a secret in its title and one in each note: even turns check it out, odd ones in."""
+    title = F.concat(F.col("conv_id").cast("string"), F.lit(" AKIA"), F.upper(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 16)))
+    notes = F.concat("role", F.lit(" ghp_"), F.repeat(F.lit("a"), F.lit(36)))
+    return view(spark, sf, "conversations").select(F.col("turn").alias("seq"), F.when(F.col("turn") % 2 == 0, "checkout").otherwise("check_in").alias("action"), F.lit("n").alias("namespace"), title.alias("title"), F.lit(None).cast("string").alias("uuid"), F.when(F.col("turn") % 6 == 5, "b").otherwise("a").alias("agent_id"), F.lit("s").alias("session_id"), F.when(F.col("turn") == 7, "done").otherwise("open").alias("status"), notes.alias("notes"), F.lit(None).cast("string").alias("refs"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
+
+
 @query()
 def j17_workstream_commands(spark, sf):
-    """Each conversation is a workstream: its turns check it out and in by turns."""
-    rows = view(spark, sf, "conversations").select(F.col("turn").alias("seq"), F.when(F.col("turn") % 2 == 0, "checkout").otherwise("check_in").alias("action"), F.lit("n").alias("namespace"), F.col("conv_id").cast("string").alias("title"), F.lit(None).cast("string").alias("uuid"), F.when(F.col("turn") % 6 == 5, "b").otherwise("a").alias("agent_id"), F.lit("s").alias("session_id"), F.when(F.col("turn") == 7, "done").otherwise("open").alias("status"), F.col("role").alias("notes"), F.lit(None).cast("string").alias("refs"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
-    return lifecycle.apply_workstream_commands(rows, spark.createDataFrame([], lifecycle.WORKSTREAM))[0].select("title", "status", "owner_agent", "notes")
+    """Titles and notes are stored without their secrets."""
+    return lifecycle.apply_workstream_commands(_workstream_log(spark, sf), spark.createDataFrame([], lifecycle.WORKSTREAM))[0].select("title", "status", "owner_agent", "notes")
 
 
 @query("SELECT 'observations' AS \"table\", native_id AS key, 'locator shape' AS rule FROM {observations} WHERE source_position % 3 = 1")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, redact, text
+from ..functions import ids, redact, redact_json, text
 from ..functions.rules import DEFAULT
 from ..operators import fidelity, ingest, lifecycle, normalize, provenance, quality, reads, routing, search
 from ..sources import transcripts
@@ -237,16 +237,23 @@ def c12_reject_unsafe(spark, sf):
     return ok.select("doc_id", F.lit(True).alias("accepted")).unionByName(bad.select("doc_id", F.lit(False).alias("accepted")))
 
 
-@query("""SELECT event_id, chr(123) || '"k":"' || CASE WHEN event_id % 3 = 0 THEN '[OMITTED:sensitive_field_scalar]' ELSE (props::JSON->>'k') END || '"' || chr(125) AS redacted FROM events""")
+#: An event's number under a plain or a sensitive name, as a number, a string or a truth value, in an object or deeper.
+_PROPS = [
+    ('{"k":%s}', '{"k":%s}'), ('{"api_key":%s}', '{"api_key":"[OMITTED:sensitive_field_scalar]"}'), ('{"api_key":"%s"}', '{"api_key":"[REDACTED:sensitive-field-value]"}'), ('{"k":"%s","api_key":null}', '{"k":"%s","api_key":null}'),
+    ('{"k":"password=abcdefgh%s","n":%s.50}', '{"k":"[REDACTED:sensitive-assignment]","n":%s.50}'), ('{"ok":true,"token":false}', '{"ok":true,"token":"[OMITTED:sensitive_field_scalar]"}'), ('{"a":{"token":"x%s"},"b":[1,%s]}', '{"a":{"token":"[REDACTED:sensitive-field-value]"},"b":[1,%s]}'),
+    ('{"api_key":{"x":%s}}', '{"api_key":"[OMITTED:sensitive_field_subtree]"}'), ('{"n":%s12345678901234567890.12345678901234567890}', '{"n":%s12345678901234567890.12345678901234567890}'),
+]
+
+
+@query()
 def c8_redact_fields(spark, sf):
-    rows = view(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit('"k"'), F.lit('"api_key"'))).otherwise(F.col("props")).alias("props"))
-    return redact.redact_fields(rows, "props").select("event_id", F.replace("redacted", F.lit('"api_key"'), F.lit('"k"')).alias("redacted"))
+    n = F.get_json_object("props", "$.k")
+    pick = F.element_at(F.array(*(F.lit(before) for before, _ in _PROPS)), (F.col("event_id") % len(_PROPS) + 1).cast("int"))
+    rows = view(spark, sf, "events").select("event_id", F.replace(pick, F.lit("%s"), n).alias("props"))
+    return redact_json.redact_fields(rows, "props").select("event_id", "redacted")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS \"table\", CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS rule FROM {memories} WHERE false")
-def k7_check_no_secret(spark, sf):
-    stored = redact.redact_text(view(spark, sf, "memories"), "content", decode=False).select("uuid", "redacted")
-    return quality.check_no_secret(stored, "memories", "uuid", ["redacted"])
+ORACLE_SQL["c8_redact_fields"] = f"""SELECT event_id, replace(CASE event_id % {len(_PROPS)} {' '.join(f"WHEN {k} THEN '{after}'" for k, (_, after) in enumerate(_PROPS))} END, '%s', json_extract_string(props, '$.k')) AS redacted FROM events"""
 
 
 _POLICY = {
@@ -341,7 +348,7 @@ def e6_backfill_positions(spark, sf):
     return ingest.backfill_positions(view(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", "source_position")
 
 
-@query("""WITH h AS (SELECT doc_id, sha256('memory' || chr(31) || CAST(doc_id AS VARCHAR) || chr(31) || source) AS h FROM documents)
+@query("""WITH h AS (SELECT doc_id, sha256('6:memory' || strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id || coalesce(strlen(source) || ':' || source, '-')) AS h FROM documents)
 SELECT doc_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-8' || substring(h, 14, 3) || '-' || substring('89ab', CAST((instr('0123456789abcdef', substring(h, 17, 1)) - 1) % 4 AS INT) + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS id FROM h""")
 def e2_deterministic_id(spark, sf):
     return view(spark, sf, "documents").select("doc_id", ids.deterministic_id("memory", F.col("doc_id"), F.col("source")).alias("id"))

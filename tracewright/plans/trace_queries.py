@@ -14,6 +14,7 @@ from ..functions.staging import shared_dir, staged
 from ..operators import fidelity, lifecycle, normalize, quality
 from ..sources import ledger, transcripts
 from ..streaming import imports
+from .more_queries import _workstream_log
 from .queries import _SEARCH, ORACLE_SQL, QUERIES, _outcomes, _reviewed, _rule, query
 from .views import view, with_views
 
@@ -342,12 +343,12 @@ def _pads_sql(n: int) -> str:
 
 
 _HMAC = "sha256(unhex(opad) || unhex(sha256(unhex(ipad) || encode({}))))"
-_SIGNED = "concat_ws(chr(31), CAST(conv_id AS VARCHAR), coalesce(role, ''), coalesce(text, ''))"
+_SIGNED = "strlen(CAST(conv_id AS VARCHAR)) || ':' || conv_id || coalesce(strlen(role) || ':' || role, '-') || coalesce(strlen(text) || ':' || text, '-')"
 ORACLE_SQL["e1_content_signature"] = f"SELECT conv_id, turn, {_HMAC.format(_SIGNED)} AS content_signature FROM conversations JOIN {_pads_sql(5)} ON p.binding = 'b' || (conv_id % 5)"
 
 
-@query(f"""SELECT conv_id, turn, CASE conv_id % 3 WHEN 1 THEN {_HMAC.format(f"'v1' || chr(31) || {_SIGNED}")} WHEN 2 THEN {_HMAC.format(f"'v2' || chr(31) || {_SIGNED}")} || ',' || {_HMAC.format(f"'v1' || chr(31) || {_SIGNED}")}
-ELSE {_HMAC.format(f"'v0' || chr(31) || {_SIGNED}")} END AS signatures FROM conversations JOIN {_pads_sql(2)} ON p.binding = 'b' || (conv_id % 2)""")
+@query(f"""SELECT conv_id, turn, CASE conv_id % 3 WHEN 1 THEN {_HMAC.format(f"'2:v1' || {_SIGNED}")} WHEN 2 THEN {_HMAC.format(f"'2:v2' || {_SIGNED}")} || ',' || {_HMAC.format(f"'2:v1' || {_SIGNED}")}
+ELSE {_HMAC.format(f"'2:v0' || {_SIGNED}")} END AS signatures FROM conversations JOIN {_pads_sql(2)} ON p.binding = 'b' || (conv_id % 2)""")
 def e7_version_compatible_signatures(spark, sf):
     pads = ids.hmac_pads(spark, {f"b{k}": f"key {k}".encode() for k in range(2)})
     versions = spark.createDataFrame([("v2", ["v1"]), ("v1", [])], "version string, prior_versions array<string>")
@@ -415,29 +416,30 @@ _FOLD_SQL = f"""WITH RECURSIVE c AS (SELECT conv_id, turn, role, row_number() OV
 f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS notes, false AS changed FROM conversations
 UNION ALL SELECT c.conv_id, c.n, CASE WHEN {_OUT} THEN 'checked_out' WHEN {_IN} THEN CASE WHEN turn = 7 THEN 'done' ELSE 'open' END ELSE status END,
 CASE WHEN {_OUT} THEN {_AGENT} WHEN {_IN} AND turn <> 7 THEN NULL ELSE owner END,
-CASE WHEN {_OUT} AND status = 'done' THEN NULL WHEN {_IN} THEN coalesce(role, notes) ELSE notes END, ({_OUT}) OR coalesce({_IN}, false)
+CASE WHEN {_OUT} AND status = 'done' THEN NULL WHEN {_IN} THEN coalesce(role || ' [REDACTED:github-token]', notes) ELSE notes END, ({_OUT}) OR coalesce({_IN}, false)
 FROM f JOIN c ON c.conv_id = f.conv_id AND c.n = f.n + 1),
 last AS (SELECT conv_id, max(n) AS n FROM c GROUP BY 1)"""
-ORACLE_SQL["j17_workstream_commands"] = f"""{_FOLD_SQL} SELECT CAST(f.conv_id AS VARCHAR) AS title, status, owner AS owner_agent, notes FROM f JOIN last USING (conv_id) WHERE status IS NOT NULL AND (status = 'done' AND changed OR status <> 'done' AND f.n = last.n)"""
+ORACLE_SQL["j17_workstream_commands"] = f"""{_FOLD_SQL} SELECT f.conv_id || ' [REDACTED:aws-access-key-id]' AS title, status, owner AS owner_agent, notes FROM f JOIN last USING (conv_id) WHERE status IS NOT NULL AND (status = 'done' AND changed OR status <> 'done' AND f.n = last.n)"""
 
 
-@query(f"""{_FOLD_SQL} SELECT CAST(f.conv_id AS VARCHAR) AS title, CASE WHEN turn % 2 = 0 THEN 'workstream_checkout' ELSE 'workstream_checkin' END AS event_type, status, coalesce(owner, 'unknown') AS agent_id FROM f JOIN c ON c.conv_id = f.conv_id AND c.n = f.n WHERE changed""")
+@query(f"""{_FOLD_SQL} SELECT f.conv_id || ' [REDACTED:aws-access-key-id]' AS title, CASE WHEN turn % 2 = 0 THEN 'workstream_checkout' ELSE 'workstream_checkin' END AS event_type, CASE WHEN turn % 2 = 1 THEN status END AS status, {_AGENT} AS agent_id FROM f JOIN c ON c.conv_id = f.conv_id AND c.n = f.n WHERE changed""")
 def j19_workstream_traces(spark, sf):
-    rows = view(spark, sf, "conversations").select(F.col("turn").alias("seq"), F.when(F.col("turn") % 2 == 0, "checkout").otherwise("check_in").alias("action"), F.lit("n").alias("namespace"), F.col("conv_id").cast("string").alias("title"), F.lit(None).cast("string").alias("uuid"), F.when(F.col("turn") % 6 == 5, "b").otherwise("a").alias("agent_id"), F.lit("s").alias("session_id"), F.when(F.col("turn") == 7, "done").otherwise("open").alias("status"), F.col("role").alias("notes"), F.lit(None).cast("string").alias("refs"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
-    _, accepted, _ = lifecycle.apply_workstream_commands(rows, spark.createDataFrame([], lifecycle.WORKSTREAM))
+    _, accepted, _ = lifecycle.apply_workstream_commands(_workstream_log(spark, sf), spark.createDataFrame([], lifecycle.WORKSTREAM))
     return lifecycle.workstream_traces(accepted).select(F.get_json_object("content", "$.title").alias("title"), "event_type", F.get_json_object("content", "$.status").alias("status"), "agent_id")
 
 
-_ENCODED_SQL = "CASE doc_id % 4 WHEN 0 THEN to_base64(encode('password=' || md5(CAST(doc_id AS VARCHAR)))) WHEN 1 THEN lower(hex(encode('token: ' || md5(CAST(doc_id AS VARCHAR))))) WHEN 2 THEN to_base64(encode('harmless ' || md5(CAST(doc_id AS VARCHAR)))) ELSE md5(CAST(doc_id AS VARCHAR)) END"
+_ENCODED_SQL = "CASE doc_id % 5 WHEN 4 THEN to_base64(encode('harmless padding' || chr(1) || 'token=x' || chr(2) || md5(CAST(doc_id AS VARCHAR)))) WHEN 0 THEN to_base64(encode('password=' || md5(CAST(doc_id AS VARCHAR)))) WHEN 1 THEN lower(hex(encode('token: ' || md5(CAST(doc_id AS VARCHAR))))) WHEN 2 THEN to_base64(encode('harmless ' || md5(CAST(doc_id AS VARCHAR)))) ELSE md5(CAST(doc_id AS VARCHAR)) END"
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN replace(coalesce(text, ''), '://', ' ') || ' | [REDACTED:sensitive-assignment] | ' ELSE replace(coalesce(text, ''), '://', ' ') || ' | ' || {_ENCODED_SQL} || ' | ' END AS redacted FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '{_rule('sensitive-assignment')}')")
+@query(f"SELECT doc_id, coalesce(text, '') || ' | ' || CASE WHEN doc_id % 5 IN (0, 1, 4) THEN '[REDACTED:sensitive-assignment]' ELSE {_ENCODED_SQL} END || ' | ' AS redacted FROM documents")
 def c4_decode_pass(spark, sf):
-    """Every document with a run behind it: an encoded secret in base64 or hex, an encoded harmless text, or no code at all."""
+    """Every document with a run behind it: an encoded secret in base64 (a short one between control characters too) or hex, an
+    encoded harmless text, or no code at all."""
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    run = F.when(F.col("doc_id") % 4 == 0, F.base64(F.encode(F.concat(F.lit("password="), key), "UTF-8"))).when(F.col("doc_id") % 4 == 1, F.lower(F.hex(F.encode(F.concat(F.lit("token: "), key), "UTF-8")))).when(F.col("doc_id") % 4 == 2, F.base64(F.encode(F.concat(F.lit("harmless "), key), "UTF-8"))).otherwise(key)
-    rows = view(spark, sf, "documents").filter(~F.coalesce(F.col("text"), F.lit("")).rlike(next(r.pattern for r in DEFAULT.rules if r.id == "sensitive-assignment")))
-    rows = rows.select("doc_id", F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("://"), F.lit(" ")), F.lit(" | "), run, F.lit(" | ")).alias("text"))
+    hidden = lambda *parts: F.base64(F.encode(F.concat(*parts), "UTF-8"))
+    m = F.col("doc_id") % 5
+    run = F.when(m == 0, hidden(F.lit("password="), key)).when(m == 1, F.lower(F.hex(F.encode(F.concat(F.lit("token: "), key), "UTF-8")))).when(m == 2, hidden(F.lit("harmless "), key)).when(m == 4, hidden(F.lit("harmless padding\x01token=x\x02"), key)).otherwise(key)
+    rows = view(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" | "), run, F.lit(" | ")).alias("text"))
     found = redact.decode_pass(rows, "text")
     return found.select("doc_id", redact.cut(F.col("text"), F.col("encoded")).alias("redacted"))
 
