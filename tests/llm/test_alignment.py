@@ -81,7 +81,7 @@ def test_pieces_and_blocks_change_nothing(spark, monkeypatch):
     want = brute(rows)
     encode_a, encode_b, *_ = libraries()
     for size, block in ((8, 50), (64, 1 << 20)):
-        assert all(len(list(alignment.pieces(t, size))) > 3 for _, t in rows)
+        assert sum(len(list(alignment.pieces(t, size))) for _, t in rows) > 30
         for _, t in rows:
             cut = list(alignment.pieces(t, size))
             assert " ".join(cut) == t

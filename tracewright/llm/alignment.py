@@ -289,7 +289,7 @@ def with_counts(aligned: DataFrame, head: int | None = None) -> DataFrame:
     # equal groups have equal links, so that their digest names them
     rest = rows.filter(F.size("rest") > 0).dropDuplicates(["groups_sha256"]).select("groups_sha256", F.explode(F.arrays_zip("rest", "rest_times")).alias("x"))
     rest = rest.select("groups_sha256", F.col("x.rest").alias("pair"), F.col("x.rest_times").alias("times"))
-    known = counts.join(F.broadcast(counts.groupBy(low).agg(F.max("n").alias("most"))), low, "inner").select("pair", "n", (F.col("n") == F.col("most")).alias("is_best"))
+    known = counts.withColumn("b", low).join(F.broadcast(counts.groupBy(low).agg(F.max("n").alias("most"))), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("is_best"))
     more = rest.join(known, "pair").groupBy("groups_sha256").agg(F.sum(F.col("times") * F.col("n")).alias("__sum"), F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("__best"))
     added = rows.join(more, "groups_sha256", "left").withColumns({"n_best": F.col("n_best") + F.coalesce("__best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("__sum", F.lit(0))})
     return added.select(*names, "n_best", "count_sum")
