@@ -96,18 +96,17 @@ def test_a_large_group_of_near_copies_makes_no_pairs(spark, monkeypatch):
 
 def test_collisions_estimate_similarity_and_the_prefix_holds():
     r = np.random.default_rng(0)
-    needed = minhash.matches(80)
-    assert 70 <= needed <= 80 and minhash.matches(100) == 128
+    single, pairs = minhash.matches(0.8, 128), minhash.matches(0.64, 64)
+    assert 70 <= single <= 80 and 15 <= pairs <= 22 and minhash.matches(1.0, 64) == 64
     most = []
     for _ in range(300):
         every = r.integers(0, 1 << 63, 450, dtype=np.uint64)
         a, b = np.sort(every[:425]), np.sort(every[25:])  # 400 of 450 shared: 0.89
         x, y = minhash.minima([a, b])
-        same = int((x == y).sum())
-        most.append(same)
-        assert same >= needed
-        t, u = (set(np.sort(minhash.tokens(z[None, :])[0])[: 129 - needed].tolist()) for z in (x, y))
-        assert t & u
+        most.append(int((x == y).sum()))
+        t, u = minhash.tokens(np.stack([x, y]))
+        assert most[-1] >= single and (t == u).sum() >= pairs
+        assert set(np.sort(t)[: 65 - pairs].tolist()) & set(np.sort(u)[: 65 - pairs].tolist())
     assert abs(np.mean(most) / 128 - 400 / 450) < 0.01
     sizes, sketch = np.array([425, 425, 40]), [bytes(range(128)), bytes(range(74)) + bytes(54), bytes(range(128))]
     find = partial(minhash.partners, percent=80, needed=74)

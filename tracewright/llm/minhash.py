@@ -1,12 +1,13 @@
 """Near duplicates by MinHash signatures in an inverted index of their coordinates.
 
-1. A set's signature has WIDTH coordinates, each the least value of one hash function over its shingles. Two sets agree in
-   a coordinate with the probability of their Jaccard similarity. Linked sets agree in fewer than `matches` coordinates
-   with a probability of at most MISS, which is the threshold on collisions.
+1. A set's signature has WIDTH coordinates. A coordinate's value is a pair: the least values of two hash functions over the
+   set's shingles. Two sets agree in a least value with the probability of their Jaccard similarity, in a coordinate with
+   its square. Linked sets agree in fewer coordinates (or least values) than `matches` says with a probability of at most
+   MISS, which gives the thresholds on collisions.
 2. Every pair of coordinate and value is a posting list. Sets that collide `matches` times share one of the first
    WIDTH - matches + 1 coordinates of either, in any one order of all lists: those frequent in a sample go last. Only these
    prefixes are posted and merged; the long lists behind are skipped, and looked up for candidates alone.
-3. Lists with the same least set are merged to one region. There, collisions over whole signatures (a byte a coordinate)
+3. Lists with the same least set are merged to one region. There, collisions over whole signatures (a byte a least value)
    are counted, and a set stays if it has a partner above the threshold that it meets in no region before.
 4. What stays is compared on full shingle sets, as the exact join does: links are exact, groups may be of any size, and
    pairs never leave a task.
@@ -27,7 +28,9 @@ from .common import slices, staged, tidied
 from .jaccard_join import FREQUENT, MOST, NAME_BITS, SAMPLE, filtered, linked_sets, node_names, shingle_sets, told_apart
 from .words import mix
 
-WIDTH = 128
+WIDTH = 64
+#: Least values that make up a coordinate's value.
+EACH = 2
 #: The probability with which two sets at the very threshold of similarity may fail to collide often enough.
 MISS = 1e-9
 #: Shingles whose coordinates are found together.
@@ -35,9 +38,9 @@ _TOGETHER = 1 << 17
 _FACTORS = mix(np.arange(1, 1 + (1 << 12), dtype=np.uint64)) | np.uint64(1)
 
 
-def matches(percent: int, width: int = WIDTH, miss: float = MISS) -> int:
-    """The most collisions that all but a share `miss` of the pairs with this similarity have."""
-    p, below = percent / 100, 0.0
+def matches(p: float, width: int, miss: float = MISS) -> int:
+    """The most collisions, each of probability p, that all but a share `miss` of the pairs have."""
+    below = 0.0
     for k in range(width):
         below += math.comb(width, k) * p**k * (1 - p) ** (width - k)
         if below > miss:
@@ -45,7 +48,7 @@ def matches(percent: int, width: int = WIDTH, miss: float = MISS) -> int:
     return width
 
 
-def minima(sets: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
+def minima(sets: list[np.ndarray], width: int = WIDTH * EACH) -> np.ndarray:
     """A row a set: the least values of its shingles under each of the hash functions."""
     every = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
@@ -59,7 +62,11 @@ def minima(sets: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
 
 def tokens(least: np.ndarray) -> np.ndarray:
     """Names of the pairs of coordinate and value."""
-    return mix(mix(least) + _FACTORS[: least.shape[1]])
+    parts = mix(least).reshape(len(least), -1, EACH)
+    out = _FACTORS[: parts.shape[1]] + parts[:, :, 0]
+    for k in range(1, EACH):
+        out = mix(out) + parts[:, :, k]
+    return mix(out)
 
 
 def partners(size: np.ndarray, sketch: list[bytes], barred: np.ndarray, percent: int, needed: int) -> np.ndarray:
@@ -106,7 +113,7 @@ def _signed(n: int, prefix: int, often, width: int, bits: int):
                             yield row, s
 
             for held in _together(new()):
-                least = minima([s for _, s in held], width)
+                least = minima([s for _, s in held], width * EACH)
                 named = np.sort(tokens(least), axis=1)
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, named), len(last) - 1)] == named
@@ -129,19 +136,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    needed = matches(percent, width)
+    p = percent / 100
+    needed, prefix = matches(p, width * EACH), width - matches(p**EACH, width) + 1
 
     def sampled(batches):
         for batch in slices(batches):
             for held in _together((row, s) for row, s in shingle_sets(batch.column(0), n) if len(s)):
-                yield pa.RecordBatch.from_arrays([pa.array(tokens(minima([s for _, s in held], width)).ravel().view(np.int64))], names=["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens(minima([s for _, s in held], width * EACH)).ravel().view(np.int64))], names=["token"])
 
     few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").distinct().mapInArrow(tidied(sampled), "token long")
     often = few.groupBy("token").count().filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST).toArrow()
     often = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(often.column("token")).astype(np.int64).view(np.uint64)))
 
     said = docs.select("doc_id", F.xxhash64("text").alias("said"), "text")
-    sig = said.mapInArrow(tidied(_signed(n, width - needed + 1, often, width, NAME_BITS)), f"doc_id {kind}, said long, n_shingles long, node long, other long, prefix array<long>, sketch binary")
+    sig = said.mapInArrow(tidied(_signed(n, prefix, often, width, NAME_BITS)), f"doc_id {kind}, said long, n_shingles long, node long, other long, prefix array<long>, sketch binary")
     sig = told_apart(staged(sig, "signatures"))
     posted = sig.filter("prefix is not null").select("node", F.explode("prefix").alias("token"))
     leaders = posted.groupBy("token").agg(F.min("node").alias("pivot"), F.max("node").alias("__top")).filter(F.col("pivot") != F.col("__top")).drop("__top")
