@@ -13,7 +13,7 @@ from ..functions.rules import DEFAULT
 from ..functions.staging import shared_dir, staged
 from ..operators import fidelity, lifecycle, normalize, quality
 from ..sources import ledger, transcripts
-from ..streaming import imports
+from ..streaming import imports, stateful
 from .more_queries import _workstream_log
 from .queries import _SEARCH, ORACLE_SQL, QUERIES, _outcomes, _reviewed, _rule, query
 from .views import view, with_views
@@ -475,3 +475,39 @@ def k7_check_planted_secrets(spark, sf):
     key = F.concat(F.lit(" AKIA"), F.upper(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16)), F.lit(" "))
     rows = view(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 10 == 3, key).otherwise("")).alias("text"))
     return quality.check_no_secret(rows, "documents", "doc_id", ["text"])
+
+
+#: Turns of conversations, of which every seventh lacks one, and a third of them once more, some of these changed.
+_SENT = """sent AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 = turn AS ok FROM conversations WHERE NOT (conv_id % 7 = 2 AND turn = 3)),
+again AS (SELECT *, (conv_id + turn) % 17 = 3 AS changed FROM sent WHERE turn % 3 = 0)"""
+
+
+def _imported(spark, sf) -> DataFrame:
+    """The log of a stateful import in three runs: odd turns, even ones, and the repeated ones."""
+    signature = F.sha2(F.coalesce("text", F.lit("")), 256)
+    turns = view(spark, sf, "conversations").filter("not (conv_id % 7 = 2 and turn = 3)")
+    rows = turns.select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").cast("long").alias("source_position"), F.concat(F.lit("n"), "turn").alias("locator"), signature.alias("content_signature"), F.col("role").alias("payload"), F.col("turn").cast("long").alias("ingest"), F.concat(F.lit("repo/"), "role").alias("namespace"), F.lit("origin").alias("basis"), F.lit(False).alias("prefix_changed"))
+    changed = (F.col("stream").cast("long") + F.col("source_position")) % 17 == 3
+    again = rows.filter("source_position % 3 = 0").withColumns({"ingest": F.col("ingest") + 100_000, "content_signature": F.when(changed, F.concat("content_signature", F.lit("x"))).otherwise(F.col("content_signature"))})
+    place = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
+    for k, batch in enumerate((rows.filter("source_position % 2 = 1"), rows.filter("source_position % 2 = 0"), again)):
+        batch.write.parquet(f"{place}/source/run={k}")
+        records = spark.readStream.schema(stateful.RECORD).parquet(f"{place}/source/run=*")
+        stateful.stateful_import(records, f"{place}/log", f"{place}/checkpoint").awaitTermination()
+    return stateful.import_log(spark, f"{place}/log")
+
+
+@query(f"""WITH {_SENT}, first AS (SELECT conv_id, 'repo/' || role AS namespace FROM sent WHERE turn = 0)
+SELECT CAST(conv_id AS VARCHAR) AS stream, turn AS source_position, 'n' || turn AS locator, false AS again, CASE WHEN ok THEN 'new' ELSE 'blocked_by_earlier_gap' END AS status, CASE WHEN ok THEN namespace END AS namespace FROM sent LEFT JOIN first USING (conv_id)
+UNION ALL SELECT CAST(conv_id AS VARCHAR), turn, 'n' || turn, true, CASE WHEN NOT ok THEN 'blocked_by_earlier_gap' WHEN changed THEN 'accepted_source_conflict' ELSE 'already_accepted' END, CASE WHEN ok THEN namespace END FROM again LEFT JOIN first USING (conv_id)""")
+def h1_stateful_import(spark, sf):
+    """Receipts of records that come out of order, with gaps, repeats and conflicts, judged by keyed state alone."""
+    found = stateful.latest_receipts(_imported(spark, sf))
+    return found.select("stream", "source_position", "locator", (F.col("ingest") >= 100_000).alias("again"), "status", F.when(F.col("status") != "blocked_by_earlier_gap", F.col("namespace")).alias("namespace"))
+
+
+@query(f"""WITH {_SENT}, c AS (SELECT conv_id, min(turn) AS at FROM again WHERE ok AND changed GROUP BY 1), g AS (SELECT conv_id, min(turn) AS at FROM sent WHERE NOT ok GROUP BY 1)
+SELECT CAST(coalesce(c.conv_id, g.conv_id) AS VARCHAR) AS stream, CASE WHEN c.at IS NULL THEN 'blocked_by_earlier_gap' ELSE 'accepted_source_conflict' END AS code, coalesce(c.at, g.at) AS source_position FROM c FULL JOIN g ON g.conv_id = c.conv_id""")
+def h2_stop_codes(spark, sf):
+    """Streams that stopped, why and where; those whose gaps were closed run again."""
+    return stateful.stop_codes(_imported(spark, sf)).filter("code is not null")
