@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import redact
@@ -15,15 +15,10 @@ from ..functions.ids import deterministic_id
 from ..functions.numbering import numbered
 from ..functions.rules import DEFAULT, RuleSet
 from ..functions.staging import staged
+from . import memory_log
+from .tracing import actor_name, trace_columns
 
 MEMORY = "uuid string, namespace string, type string, visibility string, status string, tier string, content string, content_hash string, source_type string, source_id string, agent_id string, session_id string, version int, supersedes string, created_at timestamp"
-TRACE = "trace_uuid string, session_id string, agent_id string, namespace string, event_type string, content string, refs array<string>, ts timestamp"
-
-
-def _trace(session: Column, agent: Column, namespace: Column, event: Column, content: Column, refs: Column, ts: Column) -> list[Column]:
-    refs = F.filter(refs, lambda r: r.isNotNull())
-    ident = deterministic_id("trace", session, event, agent, ts, F.array_join(refs, ","), content)
-    return [ident.alias("trace_uuid"), session.alias("session_id"), agent.alias("agent_id"), namespace.alias("namespace"), event.alias("event_type"), content.alias("content"), refs.alias("refs"), ts.alias("ts")]
 
 
 def _write(batch: DataFrame, memories: DataFrame, rules: RuleSet, visibility: str, status: str, event: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,7 +28,7 @@ def _write(batch: DataFrame, memories: DataFrame, rules: RuleSet, visibility: st
     uuid = deterministic_id("memory", F.col("agent_id"), F.col("session_id"), F.col("ts"), F.col("content"))
     rows = rows.select(uuid.alias("uuid"), "namespace", "type", F.lit(visibility).alias("visibility"), F.lit(status).alias("status"), F.lit("warm").alias("tier"), "content", F.sha2("content", 256).alias("content_hash"), "source_type", "source_id", "agent_id", "session_id", (F.coalesce("__v", F.lit(0)) + 1).cast("int").alias("version"), "supersedes", F.col("ts").alias("created_at"))
     content = F.to_json(F.struct("type", "version"))
-    traces = rows.select(*_trace(F.col("session_id"), F.col("agent_id"), F.col("namespace"), F.lit(event), content, F.array("uuid", "supersedes"), F.col("created_at")))
+    traces = rows.select(*trace_columns(F.col("session_id"), F.col("agent_id"), F.col("namespace"), F.lit(event), content, F.array("uuid", "supersedes"), F.col("created_at")))
     return rows, traces, redact.blocked_write_notes(rejected)
 
 
@@ -48,61 +43,22 @@ def save_notes(batch: DataFrame, memories: DataFrame, rules: RuleSet = DEFAULT)
     return _write(batch, memories, rules, "private", "approved", "memory_written")
 
 
-def chain_roots(memories: DataFrame, asked: DataFrame) -> DataFrame:
-    """uuid and root of the memories whose tree of predecessors holds any of the asked uuids.
-
-    Pointers to the predecessor are doubled until all have reached the first one, in log2 of the longest chain's length
-    rounds, each a written table. A loop of predecessors, which no tree has, is left after 64 rounds.
-    """
-    known = memories.select(F.col("uuid").alias("__known"))
-    own = memories.select("uuid", "supersedes").join(known, F.col("supersedes") == F.col("__known"), "left")
-    now = staged(own.select("uuid", F.coalesce("__known", "uuid").alias("root")), "roots")
-    for _ in range(64):
-        far = now.select(F.col("uuid").alias("__u"), F.col("root").alias("__r"))
-        then = staged(now.join(far, F.col("root") == F.col("__u")).select("uuid", F.col("__r").alias("root")), "roots")
-        moved = then.join(now.withColumnRenamed("root", "__was"), "uuid").filter("root <> __was").isEmpty()
-        now = then
-        if moved:
-            break
-    return now.join(now.join(asked.select("uuid").distinct(), "uuid", "left_semi").select("root").distinct(), "root", "left_semi")
-
-
 def apply_reviews(commands: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memories, traces, errors) after commands (seq, uuid, action, actor, reason, ts) in their order.
 
     approve and reject take a shared proposal, reject a reason; approving one supersedes its predecessor, whatever that was.
-    retire takes an approved memory, with reason and actor. A command that doesn't fit is an error and changes nothing.
-    Memories that supersede each other are folded together, as an approval changes what later commands on its predecessor
-    meet; a memory and its revisions have to fit a row.
+    retire takes an approved memory, with reason and actor. A command that doesn't fit is an error and changes nothing. The
+    columns approved_by, approved_at and retired_at are added to memories that lack them.
     """
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    kind = memories.schema["uuid"].dataType.simpleString()
-    roots = staged(chain_roots(memories, commands), "touched")
-    of = memories.select("uuid", "status", "visibility", "supersedes").join(roots, "uuid")
-    info = F.struct("status", "visibility", "supersedes")
-    held = of.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("uuid", info.alias("m")))).alias("members"))
-    asked = commands.select(F.col("seq").cast("long").alias("seq"), "uuid", "action", "actor", "reason", F.col("ts").cast("timestamp").alias("ts"))
-    logs = asked.join(roots, "uuid").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "uuid", "action", "actor", "reason", "ts"))).alias("log"))
-    entry = f"struct<seq:bigint,uuid:{kind},action:string,actor:string,reason:string,ts:timestamp,error:string>"
-    state = f"struct<now:map<{kind},string>,done:array<{entry}>>"
-
-    def step(a: Column, c: Column) -> Column:
-        status, m = a["now"][c["uuid"]], F.col("members")[c["uuid"]]
-        fits = F.when(c["action"].isin("approve", "reject"), (status == "proposed") & (m["visibility"] == "shared")).otherwise((c["action"] == "retire") & (status == "approved"))
-        error = F.when(~F.coalesce(fits, F.lit(False)), "wrong_status").when((c["action"] != "approve") & blank(c["reason"]), "reason_required").when(blank(c["actor"]), "actor_required")
-        after = F.when(c["action"] == "approve", "approved").when(c["action"] == "reject", "rejected").otherwise("retired")
-        changed = F.transform_values(a["now"], lambda k, v: F.when(k == c["uuid"], after).when((c["action"] == "approve") & (k == m["supersedes"]), "superseded").otherwise(v))
-        done = F.struct(*(c[n].alias(n) for n in ("seq", "uuid", "action", "actor", "reason", "ts")), error.alias("error"))
-        return F.struct(F.when(error.isNotNull(), a["now"]).otherwise(changed).alias("now"), F.array_append(a["done"], done).alias("done")).cast(state)
-
-    start = F.struct(F.transform_values("members", lambda _, m: m["status"]).alias("now"), F.array().cast(f"array<{entry}>").alias("done")).cast(state)
-    folded = staged(held.join(logs, "root").select(F.aggregate("log", start, step).alias("s")), "folded")
-    done = folded.select(F.explode("s.done").alias("d")).select("d.*")
-    good = done.filter("error is null").join(memories.select("uuid", "namespace", "source_type", "source_id"), "uuid")
-    missing = asked.join(memories.select("uuid"), "uuid", "left_anti").select("seq", "uuid", "action", F.lit("unknown_memory").alias("error"))
-    errors = done.filter("error is not null").select("seq", "uuid", "action", "error").unionByName(missing)
-    now = folded.select(F.explode("s.now").alias("uuid", "__status"))
-    new = memories.join(now, "uuid", "left").withColumn("status", F.coalesce("__status", "status")).select(*memories.columns)
+    kept = ["status", "approved_by", "approved_at", "retired_at"]
+    kind = memories.schema["uuid"].dataType
+    now, outcomes, errors, _ = memory_log.fold(commands, memory_log.with_columns(memories, memory_log._STATE))
+    touched = now.select(F.col("uuid").cast(kind).alias("uuid"), F.struct(*kept).alias("__m"))
+    types = {"status": "string", "approved_by": "string", "approved_at": "timestamp", "retired_at": "timestamp"}
+    old = lambda c: F.col(c) if c in memories.columns else F.lit(None).cast(types[c])
+    new = memories.join(touched, "uuid", "left").withColumns({c: F.when(F.col("__m").isNotNull(), F.col(f"__m.{c}")).otherwise(old(c)) for c in kept})
+    new = new.select(*memories.columns, *(c for c in kept if c not in memories.columns))
+    good = outcomes.filter("error is null").select("memory.uuid", "memory.namespace", "memory.source_type", "memory.source_id", "command.action", "command.actor", "command.reason", "command.ts")
     return new, review_traces(good), errors
 
 
@@ -111,37 +67,33 @@ def review_traces(decisions: DataFrame) -> DataFrame:
     retirements under `retirement:<uuid>`; people are `human:<name>` unless their name has a prefix."""
     retire = F.col("action") == "retire"
     session = F.concat(F.when(retire, "retirement:").otherwise("review:"), F.col("uuid").cast("string"))
-    actor = F.when(F.col("actor").contains(":"), F.col("actor")).otherwise(F.concat(F.lit("human:"), F.col("actor")))
+    actor = actor_name(F.col("actor"))
     event = F.when(retire, "retirement").when(F.col("action") == "approve", "approval").otherwise("rejection")
     uuid = F.col("uuid").cast("string")
     source = F.when((F.col("source_type") == "trace") & F.col("source_id").rlike("^[0-9a-fA-F-]{36}$"), F.col("source_id"))
-    return decisions.select(*_trace(session, actor, F.col("namespace"), event, F.to_json(F.struct("reason")), F.array(uuid, source, F.when(F.col("action") == "approve", uuid)), F.col("ts")))
+    return decisions.select(*trace_columns(session, actor, F.col("namespace"), event, F.to_json(F.struct("reason")), F.array(uuid, source, F.when(F.col("action") == "approve", uuid)), F.col("ts")))
 
 
 def apply_amendments(amendments: DataFrame, memories: DataFrame, rules: RuleSet = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(memories, traces, errors) after reviewers' edits (uuid, content, actor, ts) of proposals: the proposal and its
-    predecessor are superseded by a new approved row of the next version; unsafe texts are errors named by their rule."""
-    accepted, rejected = redact.reject_unsafe(amendments.withColumnRenamed("content", "__text").withColumn("content", F.col("__text")).drop("__text"), ["content"], rules)
-    old = memories.filter("status = 'proposed' and visibility = 'shared'")
-    rows = old.join(accepted.select("uuid", F.col("content").alias("__new"), "actor", "ts"), "uuid")
-    new = rows.withColumns({"__old": F.col("uuid"), "content": F.col("__new"), "content_hash": F.sha2("__new", 256), "status": F.lit("approved"), "version": (F.col("version") + 1).cast("int"), "supersedes": F.col("uuid"), "created_at": F.col("ts")})
-    new = new.withColumn("uuid", deterministic_id("amendment", F.col("__old"), F.col("__new")))
-    gone = rows.select("uuid").unionByName(rows.filter("supersedes is not null").select(F.col("supersedes").alias("uuid"))).distinct().withColumn("__gone", F.lit(True))
-    kept = memories.join(gone, "uuid", "left").withColumn("status", F.when(F.col("__gone"), "superseded").otherwise(F.col("status"))).select(*memories.columns)
-    traces = new.select(*_trace(F.concat(F.lit("review:"), "__old"), F.concat(F.lit("human:"), "actor"), F.col("namespace"), F.lit("approval"), F.to_json(F.struct(F.lit(True).alias("amended"))), F.array("__old", "uuid"), F.col("ts")))
-    missing = accepted.join(old.select("uuid"), "uuid", "left_anti").select("uuid", F.lit("wrong_status").alias("error"))
-    return kept.unionByName(new.select(*memories.columns)), traces, rejected.select("uuid", F.col("rule_id").alias("error")).unionByName(missing)
+    """(memories, traces, errors) after reviewers' edits (uuid, content, actor, ts, and optionally seq) of proposals, in order of
+    time and content unless they are numbered.
 
-
-def memory_state(proposals: DataFrame, commands: DataFrame) -> DataFrame:
-    """Current memories from all that was ever proposed and all commands; it can be rebuilt at any time."""
-    return apply_reviews(commands, proposals)[0]
+    The proposal and its predecessor are superseded by a new approved row of the next version, so that of several edits of one
+    proposal the first wins and the others are errors (wrong_status). Blank texts are errors, and so are unsafe ones, named by
+    their rule; these leave a redacted note.
+    """
+    log = amendments.withColumn("action", F.lit("amend"))
+    if "seq" not in amendments.columns:  # a proposal's edits only meet each other
+        log = log.withColumn("seq", F.row_number().over(Window.partitionBy("uuid").orderBy("ts", "content")).cast("long"))
+    state, outcomes, errors = memory_log.apply_log(log, memories, rules)
+    added = [c for c in ("approved_by", "approved_at") if c not in memories.columns]
+    return state.select(*memories.columns, *added), memory_log.log_outcome_traces(outcomes), errors.select("uuid", "error")
 
 
 def log_traces(batch: DataFrame, default: str = "default", rules: RuleSet = DEFAULT) -> DataFrame:
     """Events to append, their content redacted, in the default namespace unless they name one."""
     rows = redact.redact_text(batch, "content", rules).withColumn("content", F.col("redacted")).withColumn("namespace", F.coalesce("namespace", F.lit(default)))
-    return rows.select(*_trace(F.col("session_id"), F.col("agent_id"), F.col("namespace"), F.col("event_type"), F.col("content"), F.coalesce("refs", F.array().cast("array<string>")), F.col("ts")))
+    return rows.select(*trace_columns(F.col("session_id"), F.col("agent_id"), F.col("namespace"), F.col("event_type"), F.col("content"), F.coalesce("refs", F.array().cast("array<string>")), F.col("ts")))
 
 
 def list_workstreams(workstreams: DataFrame, namespace: str, status: str | None = None) -> DataFrame:
@@ -248,4 +200,4 @@ def apply_workstream_commands(commands: DataFrame, workstreams: DataFrame, rules
 def workstream_traces(accepted: DataFrame) -> DataFrame:
     """A trace per accepted command (release has none), under the agent and session that gave it."""
     content = F.when(F.col("event") == "workstream_checkout", F.to_json(F.struct("uuid", "title", "created"))).otherwise(F.to_json(F.struct("uuid", "title", "status")))
-    return accepted.select(*_trace(F.col("by_session"), F.coalesce("by_agent", F.lit("unknown")), F.col("namespace"), F.col("event"), content, F.array("uuid"), F.col("updated_at")))
+    return accepted.select(*trace_columns(F.col("by_session"), F.coalesce("by_agent", F.lit("unknown")), F.col("namespace"), F.col("event"), content, F.array("uuid"), F.col("updated_at")))

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import ids, redact, redact_json
 from ..functions.rules import DEFAULT
 from ..functions.staging import shared_dir, staged
-from ..operators import fidelity, lifecycle, normalize, quality
+from ..operators import fidelity, lifecycle, memory_log, normalize, quality
 from ..sources import ledger, transcripts
 from ..streaming import imports, stateful
 from .more_queries import _workstream_log
-from .queries import _SEARCH, ORACLE_SQL, QUERIES, _outcomes, _reviewed, _rule, query
+from .queries import _SEARCH, ORACLE_SQL, _outcomes, _rule, query
 from .views import view, with_views
 
 _TURNS = "SELECT conv_id AS stream, turn AS source_position, conv_id, turn, role, coalesce(text, '') AS text FROM conversations"
@@ -397,16 +397,51 @@ def j11_apply_amendments(spark, sf):
     return new.select(F.when(made, F.col("supersedes")).otherwise(F.col("uuid")).alias("of"), "status", "version", F.when(made, F.col("content")).alias("content"))
 
 
-def j14_memory_state(spark, sf):
-    """The current table from all proposals and all commands: what the reviews give."""
-    memories = _reviewed(spark, sf)
-    k = F.col("uuid").cast("long") % 3
-    commands = memories.filter(k < 2).select(F.lit(1).alias("seq"), "uuid", F.when(k == 0, "approve").otherwise("reject").alias("action"), F.lit("ann").alias("actor"), F.lit("why").alias("reason"), F.lit("2024-02-01").cast("timestamp").alias("ts"))
-    return lifecycle.memory_state(memories, commands).select("uuid", "status")
+#: What becomes of a document's memory d: `took` says that its approval or amendment supersedes d - 1, `early` its status
+#: before the memories after it, `late` after them.
+_LOG_SQL = """m AS (SELECT d.doc_id AS d, d.doc_id % 6 AS k, d.doc_id % 5 <> 0 AS shared, d.doc_id % 4 <> 0 AS follows, d.lang, d.text FROM documents AS d),
+t AS (SELECT *, shared AND k IN (0, 2, 3, 4) AS took, CASE WHEN NOT shared OR k IN (0, 3) THEN 'approved' WHEN k = 1 THEN 'rejected' WHEN k = 5 THEN 'proposed' ELSE 'superseded' END AS early FROM m),
+l AS (SELECT t.*, CASE WHEN n.took AND n.follows THEN 'superseded' ELSE t.early END AS late FROM t LEFT JOIN t AS n ON n.d = t.d + 1)"""
+
 
+@query(f"""WITH {_LOG_SQL}
+SELECT CAST(d AS VARCHAR) AS of, false AS amended, CASE WHEN k = 3 AND late = 'approved' THEN 'retired' ELSE late END AS status, CAST(1 + d % 4 AS INT) AS version,
+CASE WHEN shared AND k IN (0, 3) THEN 'human:ann' END AS approved_by, k = 3 AND late = 'approved' AS retired, md5(coalesce(text, '') || ' .') AS content FROM l
+UNION ALL SELECT CAST(d AS VARCHAR), true, CASE WHEN k = 2 THEN 'retired' ELSE 'approved' END, CAST(2 + d % 4 AS INT), 'human:ann', k = 2, md5('better ' || d) FROM l WHERE shared AND k IN (2, 4)""")
+def j14_memory_state(spark, sf):
+    """One log over all documents: each is proposed (every fifth noted), reviewed at once, and some are retired at the end, what
+    amendments made among them. The first half is folded to a snapshot, the rest onto it."""
+    docs = view(spark, sf, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("whole"))
+    d, k = F.col("doc_id"), F.col("doc_id") % 6
+    name, none = d.cast("string"), F.lit(None).cast("string")
+    amendment = ids.deterministic_id("amendment", name, (d * 10 + 2).cast("long"))
+    late = F.lit(10_000_000_000) + d * 10
+
+    def command(seq, action, **given):
+        given |= {"seq": seq, "action": F.lit(action), "ts": F.timestamp_seconds(seq)}
+        return F.struct(*(given.get(n, none).cast(t).alias(n) for n, t in (x.split() for x in memory_log.LOG.split(", "))))
+
+    ann, bob = {"actor": F.lit("ann"), "reason": F.lit("why")}, {"actor": F.lit(" "), "reason": F.lit("why")}
+    write = {"makes": name, "namespace": F.col("lang"), "type": F.lit("fact"), "content": F.concat("whole", F.lit(" .")), "source_type": F.lit("trace"), "source_id": F.lit("x"), "agent_id": F.lit("a"), "session_id": F.lit("s"), "supersedes": F.when(d % 4 != 0, (d - 1).cast("string"))}
+    better = {"uuid": name, "content": F.concat(F.lit("better "), name)} | ann
+    first = F.when(d % 5 == 0, command(d * 10, "save_note", **write)).otherwise(command(d * 10, "propose", **write))
+    own = (
+        F.when(k == 0, F.array(first, command(d * 10 + 1, "approve", uuid=name, **ann)))
+        .when(k == 1, F.array(first, command(d * 10 + 1, "reject", uuid=name, **ann)))
+        .when(k == 2, F.array(first, command(d * 10 + 2, "amend", **better), command(late, "retire", uuid=amendment, **ann)))
+        .when(k == 3, F.array(first, command(d * 10 + 1, "approve", uuid=name, **ann), command(late, "retire", uuid=name, **ann)))
+        .when(k == 4, F.array(first, command(d * 10 + 2, "amend", **better), command(d * 10 + 3, "amend", **better)))
+        .otherwise(F.array(first, command(d * 10 + 1, "approve", uuid=name, **bob)))
+    )
+    log = staged(docs.select(F.inline(own)), "memories-log")
+    free = DEFAULT._replace(rules=tuple(r for r in DEFAULT.rules if r.id == "private-key-block"))  # the texts' assignments would be refused
+    middle = log.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    kept = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    memory_log.write_snapshot(spark, kept, memory_log.memory_state(log.filter(F.col("seq") <= middle), None, free), middle)
+    state = memory_log.memory_state(log, kept, free)
+    made = (F.col("supersedes").isNotNull()) & F.col("uuid").contains("-")
+    return state.select(F.when(made, F.col("supersedes")).otherwise(F.col("uuid")).alias("of"), made.alias("amended"), "status", "version", "approved_by", F.col("retired_at").isNotNull().alias("retired"), F.md5(F.col("content").cast("binary")).alias("content"))
 
-QUERIES["j14_memory_state"] = j14_memory_state
-ORACLE_SQL["j14_memory_state"] = ORACLE_SQL["j10_apply_reviews"]
 
 #: A workstream a conversation, folded turn by turn: even turns check it out, odd ones in.
 _AGENT = "CASE WHEN turn % 6 = 5 THEN 'b' ELSE 'a' END"
