@@ -3,6 +3,7 @@ import io
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,16 @@ def test_warc_folder_lies_where_spark_looks(spark, monkeypatch):
         conf.set("fs.defaultFS", old)
 
 
+def test_a_damaged_payload_is_told(spark, tmp_path, monkeypatch):
+    plain = warc.record
+    monkeypatch.setattr(warc, "record", lambda key, url, payload, sha1, refers_to: plain(key, url, payload.replace(b"good", b"evil"), sha1, refers_to))
+    pages = [warc.record("1", "u", b"all is good", hashlib.sha1(b"all is good").digest(), None)]
+    (tmp_path / "x.warc.zst").write_bytes(warc.archive(pages))
+    read = warc._reader(str(tmp_path))
+    with pytest.raises(ValueError, match="page 1"):
+        list(read(iter([pa.RecordBatch.from_arrays([pa.array(["x.warc.zst"])], names=["archive"])])))
+
+
 def test_warc_without_pages(spark):
     folder, manifest = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_archives(manifest, folder).collect() == []

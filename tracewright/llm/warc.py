@@ -9,6 +9,7 @@ again. Any record can be read alone with the dictionary.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 import urllib.parse
 import uuid
@@ -158,7 +159,10 @@ def _reader(folder: str):
                         fields, http, payload = parse(data)
                         length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                         whole = fields["WARC-Type"] == "response"
-                        rows.append((fields["X-Page-ID"], fields["WARC-Target-URI"], fields["WARC-Type"], length, base64.b32decode(fields["WARC-Payload-Digest"].split(":")[1]).hex(), fields.get("X-Refers-To-Page-ID"), payload if whole else None))
+                        digest = base64.b32decode(fields["WARC-Payload-Digest"].split(":")[1]).hex()
+                        if whole and (len(payload), hashlib.sha1(payload).hexdigest()) != (length, digest):
+                            raise ValueError(f"the payload of page {fields['X-Page-ID']} in {name} isn't what its record says")
+                        rows.append((fields["X-Page-ID"], fields["WARC-Target-URI"], fields["WARC-Type"], length, digest, fields.get("X-Refers-To-Page-ID"), payload if whole else None))
                         size += len(data)
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -196,7 +200,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """page_key, url, record_type, payload_bytes, payload_digest (hex SHA-1 of the full payload), refers_to_key and payload
-    (null for a revisit) of every record. Archives are dealt evenly to as many tasks as their stored bytes ask for. An empty
+    (null for a revisit) of every record. A response's length and digest are taken from the payload that was read; one that differs
+    from what its record says is a ValueError. Archives are dealt evenly to as many tasks as their stored bytes ask for. An empty
     manifest gives no rows."""
     spark = manifest.sparkSession
     n, size = manifest.agg(F.count("*"), F.coalesce(F.sum("stored_bytes"), F.lit(0))).first()
