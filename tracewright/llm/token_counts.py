@@ -71,7 +71,7 @@ def _spans(path: str, overlap: int):
                 low, high = len(text[:a].encode()), len(text[:b].encode())
                 n = sum(low <= x < high for x in starts) if end < length else sum(low <= x for x in starts)
                 out.append((key, chunk, begin + a, begin + b, n))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "chunk", "start", "end", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(zip(*out, strict=True))], names=["key", "chunk", "start", "end", "n"])
 
     return run
 
@@ -89,10 +89,10 @@ def _slices(chunk: int, overlap: int):
                     out.append((key, k, begin, start, start + chunk, len(text), text[begin : start + chunk + overlap]))
                     held += len(out[-1][-1])
                     if held >= HANDED:
-                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:6]), pa.array([x[6] for x in out], pa.string())], names=names)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(list(zip(*out, strict=True))[:6])), pa.array([x[6] for x in out], pa.string())], names=names)
                         out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*out, strict=True))[:6]), pa.array([x[6] for x in out], pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(list(zip(*out, strict=True))[:6])), pa.array([x[6] for x in out], pa.string())], names=names)
 
     return run
 
@@ -102,8 +102,8 @@ def _chunked(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     done = None
     todo = staged(long.distinct(), "huge")
     while True:
-        rows = todo.mapInArrow(tidied(_slices(chunk, overlap)), "key long, chunk long, from long, nominal long, end long, length long, text string")
-        spans = rows.repartition("key", "chunk").mapInArrow(tidied(_spans(path, overlap)), "key long, chunk long, start long, end long, n long")
+        rows = todo.mapInArrow(tidied(_slices(chunk, overlap)), "key string, chunk long, from long, nominal long, end long, length long, text string")
+        spans = rows.repartition("key", "chunk").mapInArrow(tidied(_spans(path, overlap)), "key string, chunk long, start long, end long, n long")
         whole = (F.count("*") == F.count("n")) & (F.sum(F.col("end") - F.col("start")) == F.max("end"))
         found = staged(spans.groupBy("key").agg(F.when(whole, F.sum("n")).alias("n_tokens")), "spliced")
         good = found.filter("n_tokens is not null")
@@ -135,7 +135,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", limit: in
     short = append_columns(docs.filter(~F.coalesce(huge, F.lit(False))).withColumn("n_bytes", size), text, [T.StructField("n_tokens", T.LongType())], whole)
     if not provable(model_file):
         return short.withColumn("over_limit", F.col("n_tokens") > limit)
-    long = docs.filter(huge).withColumn("n_bytes", size).withColumn("__key", F.xxhash64(F.col(text)))
+    long = docs.filter(huge).withColumn("n_bytes", size).withColumn("__key", F.sha2(F.encode(F.col(text), "UTF-8"), 256))
     counts = _chunked(long.select(F.col("__key").alias("key"), F.col(text).alias("text")), model_file, chunk, overlap)
     long = long.join(counts.withColumnRenamed("key", "__key"), "__key").select(*docs.columns, "n_bytes", "n_tokens")
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
