@@ -58,7 +58,7 @@ def test_a_damaged_payload_is_told(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "record", lambda key, url, payload, sha1, refers_to: plain(key, url, payload.replace(b"good", b"evil"), sha1, refers_to))
     pages = [warc.record("1", "u", b"all is good", hashlib.sha1(b"all is good").digest(), None)]
     (tmp_path / "x.warc.zst").write_bytes(warc.archive(pages))
-    read = warc._reader(str(tmp_path))
+    read = warc._reader(f"file://{tmp_path}")
     with pytest.raises(ValueError, match="page 1"):
         list(read(iter([pa.RecordBatch.from_arrays([pa.array(["x.warc.zst"])], names=["archive"])])))
 

@@ -1,13 +1,24 @@
-"""Words for retrieval: the simple configuration (lower case, letters and digits) and an English one."""
+"""Words for retrieval: the simple configuration (lower case; letters, marks and digits of all scripts) and an English one."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = "[a-z0-9à-öø-ÿ]+"
-#: Frequent English words that the English configuration leaves out.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
+from .porter2 import stem
+
+#: Letters, the marks that belong to them, and digits; Java's and RE2's dialects read it alike.
+WORD = r"[\pL\pM\pN]+"
+#: The words that the English configuration leaves out.
+STOP_WORDS = tuple(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below "
+    "to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
+)
 
 
 def lexemes(text: Column) -> Column:
@@ -15,23 +26,28 @@ def lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def stem(word: Column) -> Column:
-    """A light English stemmer as one expression: plural, past and progressive endings, and a final y or e."""
-    w = F.regexp_replace(word, "(ss|us)$", "$1$1")
-    w = F.regexp_replace(w, "(sses)$", "ss")
-    w = F.regexp_replace(w, "ies$", "i")
-    w = F.when(w.rlike("(ss|us)(ss|us)$"), F.substring(w, F.lit(1), F.char_length(w) - 2)).otherwise(F.regexp_replace(w, "s$", ""))
-    w = F.regexp_replace(w, "(?<=[aeiouy].{0,20}[a-z])(ing|ed|ly)$", "")
-    w = F.regexp_replace(w, "([bdfgmnprt])\\1$", "$1")
-    return F.regexp_replace(F.regexp_replace(w, "(?<=..)y$", "i"), "(?<=..)e$", "")
+def english(rows: DataFrame, column: str = "lexeme") -> DataFrame:
+    """rows without stop words, the others stemmed. Each different word of an Arrow batch is stemmed once, and nothing is
+    shuffled: a vocabulary to be joined back would move every posting once more."""
+    rows = rows.filter(~F.col(column).isin(*STOP_WORDS))
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            words = pc.dictionary_encode(batch.column(at))
+            if len(known) > 1 << 20:
+                known.clear()
+            stems = pa.array([known.get(w) or known.setdefault(w, stem(w)) for w in words.dictionary.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([stems.take(words.indices) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def tokenize(df: DataFrame, text: str, config: str = "simple", keep: tuple[str, ...] = ("uuid",)) -> DataFrame:
     """keep columns, lexeme and pos (from 0). `english` leaves stop words out, keeping the places of the others, and stems."""
     rows = df.select(*keep, F.posexplode(lexemes(F.col(text))).alias("pos", "lexeme"))
-    if config == "simple":
-        return rows
-    return rows.filter(~F.col("lexeme").isin(*STOP_WORDS)).withColumn("lexeme", stem(F.col("lexeme")))
+    return rows if config == "simple" else english(rows)
 
 
 def preview(text: Column, n: int | Column) -> Column:

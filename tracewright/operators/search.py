@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
-from ..functions.text import STOP_WORDS, lexemes, preview, stem, tokenize
+from ..functions.text import english, lexemes, preview, tokenize
 
 #: What holds without a configuration row, and the constant of reciprocal-rank fusion.
 DEFAULTS = {"recency_half_life_h": 720.0, "max_results": 10, "preview_chars": 200, "include_proposed": False}
@@ -32,11 +32,11 @@ def authorize(requests: DataFrame, grants: DataFrame, default: str = "default")
 def effective_config(requests: DataFrame, config: DataFrame) -> DataFrame:
     """requests with the most specific row of config (agent and namespace, agent, namespace, any; `*` is any) for their agent
     and their first namespace, or the defaults."""
-    rows = config.withColumnsRenamed({"agent_id": "__a", "namespace": "__n", **{c: f"__{c}" for c in DEFAULTS}}).drop("lanes")
-    first = F.get("namespaces", F.lit(0))
-    fits = (F.col("__a").isin("*") | (F.col("__a") == F.col("agent_id"))) & (F.col("__n").isin("*") | (F.col("__n") == first))
-    specific = F.when(F.col("__a") == "*", 2).otherwise(0) + F.when(F.col("__n") == "*", 1).otherwise(0)
-    best = requests.select("query_id", "agent_id", "namespaces").join(rows, fits).groupBy("query_id").agg(F.min_by(F.struct(*(F.col(f"__{c}").alias(c) for c in DEFAULTS)), specific).alias("__c"))
+    # each request asks under four keys, the most specific first, so that one equality join answers it
+    rows = config.select(F.col("agent_id").alias("__a"), F.col("namespace").alias("__n"), F.struct(*DEFAULTS).alias("__c"))
+    first, any_ = F.get("namespaces", F.lit(0)), F.lit("*")
+    keys = [F.struct(a.alias("__a"), n.alias("__n"), F.lit(k).alias("__k")) for k, (a, n) in enumerate(((F.col("agent_id"), first), (F.col("agent_id"), any_), (any_, first), (any_, any_)))]
+    best = requests.select("query_id", F.inline(F.array(*keys))).join(rows, ["__a", "__n"]).groupBy("query_id").agg(F.min_by("__c", "__k").alias("__c"))
     return requests.join(best, "query_id", "left").withColumns({c: F.coalesce(F.col(f"__c.{c}"), F.lit(v)) for c, v in DEFAULTS.items()}).drop("__c")
 
 
@@ -79,14 +79,14 @@ def parse_websearch(queries: DataFrame, config: str = "simple") -> DataFrame:
     words = lexemes(F.col("token"))
     rows = tokens.select("query_id", "grp", "alt", "negated", F.posexplode(words).alias("phrase_pos", "lexeme"))
     if config != "simple":
-        rows = rows.filter(~F.col("lexeme").isin(*STOP_WORDS)).withColumn("lexeme", stem(F.col("lexeme")))
+        rows = english(rows)
     return rows.withColumn("phrase_len", F.count("*").over(Window.partitionBy("query_id", "alt")))
 
 
-def fts_match(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, namespace, uuid, frequency (occurrences of wanted alternatives) and places (array of (pos, grp)) of the
+def fts_match(terms: DataFrame, index: DataFrame, spaces: DataFrame | None = None) -> DataFrame:
+    """With spaces (query_id, namespace), only postings of a query's own namespaces are met. query_id, namespace, uuid, frequency (occurrences of wanted alternatives) and places (array of (pos, grp)) of the
     documents that satisfy each query; a query of negations alone matches nothing."""
-    hits = index.join(terms, "lexeme").withColumn("pos", F.explode("positions"))
+    hits = (index.join(terms, "lexeme") if spaces is None else index.join(terms.join(spaces, "query_id"), ["namespace", "lexeme"])).withColumn("pos", F.explode("positions"))
     alts = hits.groupBy("query_id", "namespace", "uuid", "grp", "alt", "negated", "phrase_len", (F.col("pos") - F.col("phrase_pos")).alias("at")).agg(F.countDistinct("phrase_pos").alias("n")).filter("n = phrase_len")
     found = alts.groupBy("query_id", "namespace", "uuid").agg(
         F.count_if("negated").alias("__bad"),
@@ -125,8 +125,13 @@ def fts_lane(requests: DataFrame, memories: DataFrame, index: DataFrame, config:
     terms: what parse_websearch makes of the requests, if that is at hand."""
     asked = requests.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
     terms = parse_websearch(asked.select("query_id", "query"), config) if terms is None else terms.join(asked.select("query_id"), "query_id", "left_semi")
-    scored = fts_rank(fts_match(terms, index), rank).select("query_id", "uuid", "score")
-    return _top(scored.join(visible(memories, asked.select("query_id", "agent_id", "namespaces", *(["types"] if "types" in asked.columns else []), "include_proposed", "lane_rows")), ["query_id", "uuid"]), asked)
+    spaces = asked.select("query_id", F.explode(F.array_distinct("namespaces")).alias("namespace"))
+    scored = fts_rank(fts_match(terms, index, spaces), rank).select("query_id", "uuid", "score")
+    # what was found is looked at, not all that may be seen
+    slim = memories.select("uuid", F.col("namespace").alias("__n"), F.col("type").alias("__t"), "visibility", "status", F.col("agent_id").alias("owner"), "created_at")
+    who = asked.select("query_id", "agent_id", "namespaces", (F.col("types") if "types" in asked.columns else F.lit(None).cast("array<string>")).alias("__types"), "include_proposed", "lane_rows")
+    seen = scored.join(slim, "uuid").join(who, "query_id").filter(_seen("", F.col("agent_id"), F.col("include_proposed")) & F.array_contains("namespaces", F.col("__n")))
+    return _top(seen.filter((F.coalesce(F.size("__types"), F.lit(0)) <= 0) | F.array_contains("__types", F.col("__t"))), asked)
 
 
 def recency(created: Column, as_of: float, half_life_h: Column) -> Column:
@@ -134,24 +139,45 @@ def recency(created: Column, as_of: float, half_life_h: Column) -> Column:
     return F.exp(F.lit(-math.log(2)) * ((F.lit(float(as_of)) - created.cast("double")) / 3600.0) / half_life_h)
 
 
+def recency_lists(memories: DataFrame, depth: int, by_type: bool = True) -> DataFrame:
+    """namespace, list (`shared`, `proposed` or `own`), owner (of own ones), type (null: of all types), uuid, created_at: the
+    newest `depth` memories of each list that a request can be given whole. A memory is in one list, and once more by its
+    type; tasks cut their rows to the depth before any are shuffled."""
+    kind = F.when((F.col("visibility") == "shared") & (F.col("status") == "approved"), "shared").when((F.col("visibility") == "shared") & (F.col("status") == "proposed"), "proposed").when((F.col("visibility") == "private") & (F.col("status") == "approved"), "own")
+    rows = memories.withColumn("list", kind).filter("list is not null").select("namespace", "list", F.when(F.col("list") == "own", F.col("agent_id")).alias("owner"), F.col("type").cast("string").alias("type"), "uuid", "created_at")
+    every = F.array(F.struct(F.lit(False).alias("__typed"), F.lit(None).cast("string").alias("type")), *([F.struct(F.lit(True).alias("__typed"), F.col("type").alias("type"))] if by_type else []))
+    rows = rows.withColumn("__to", F.explode(every)).drop("type").select("*", "__to.*").drop("__to").filter("not __typed or type is not null").filter("list <> 'own' or owner is not null")
+    order = Window.partitionBy("namespace", "list", "owner", "type").orderBy(F.desc("created_at"), "uuid")
+    return rows.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= int(depth)).drop("__place", "__typed")
+
+
 def recency_lane(requests: DataFrame, memories: DataFrame, as_of: float) -> DataFrame:
-    """query_id, uuid, rank, score by age. A rank depends on who asks where, not on the query, so each combination of agent,
-    namespaces, types and proposed is ranked once."""
-    scope = ["agent_id", "namespaces", *(["types"] if "types" in requests.columns else []), "include_proposed"]
-    scopes = requests.groupBy(*scope).agg(F.max("lane_rows").alias("lane_rows"))
-    scopes = scopes.withColumn("query_id", F.xxhash64(*scope))
-    seen = visible(memories, scopes).withColumn("score", F.col("created_at").cast("double"))
-    ranked = _top(seen, scopes).join(memories.select("uuid", "created_at"), "uuid").withColumnRenamed("query_id", "__scope").drop("score")
-    rows = requests.withColumn("__scope", F.xxhash64(*scope)).join(ranked, "__scope").filter(F.col("rank") <= F.col("lane_rows"))
+    """query_id, uuid, rank, score by age: a merge of the few lists that a request may see (see recency_lists), each cut to the
+    deepest lane. A rank depends on who asks where, not on the query, so each combination of agent, namespaces, types and
+    proposed is merged once; what is merged grows with lists and depth, not with memories."""
+    typed = "types" in requests.columns
+    scope = ["agent_id", "namespaces", *(["types"] if typed else []), "include_proposed"]
+    named = F.sha2(F.to_json(F.struct(*scope)), 256)  # a hash of the columns alone would run neighbouring arrays together
+    scopes = requests.withColumn("__scope", named).groupBy("__scope").agg(F.max("lane_rows").alias("lane_rows"), *(F.first(c).alias(c) for c in scope))
+    scopes = staged(scopes.withColumnRenamed("__scope", "query_id"), "scopes")
+    lists = recency_lists(memories, scopes.agg(F.max("lane_rows")).first()[0] or 0, typed)
+    none = F.lit(None).cast("string")
+    kinds = F.array(F.struct(F.lit("shared").alias("list"), none.alias("owner")), F.struct(F.lit("own").alias("list"), F.col("agent_id").alias("owner")), F.when(F.col("include_proposed"), F.struct(F.lit("proposed").alias("list"), none.alias("owner"))))
+    of = F.when(F.coalesce(F.size("types"), F.lit(0)) > 0, F.array_distinct("types")).otherwise(F.array(none)) if typed else F.array(none)
+    asked = scopes.select("query_id", "lane_rows", F.explode(F.array_distinct("namespaces")).alias("__n"), kinds.alias("__kinds"), of.alias("__of")).withColumn("__kind", F.explode(F.filter("__kinds", lambda k: k.isNotNull()))).withColumn("__type", F.explode("__of"))
+    same = [F.col("namespace") == F.col("__n"), F.col("list") == F.col("__kind.list"), F.col("owner").eqNullSafe(F.col("__kind.owner")), F.col("type").eqNullSafe(F.col("__type"))]
+    seen = asked.join(lists, same).select("query_id", "lane_rows", "uuid", "created_at", F.col("created_at").cast("double").alias("score"))
+    ranked = _top(seen, scopes, "created_at").withColumnRenamed("query_id", "__scope").drop("score")
+    rows = requests.withColumn("__scope", named).join(ranked, "__scope").filter(F.col("rank") <= F.col("lane_rows"))
     return rows.select("query_id", "uuid", "rank", recency(F.col("created_at"), as_of, F.col("recency_half_life_h").cast("double")).alias("score"))
 
 
-def _top(scored: DataFrame, requests: DataFrame) -> DataFrame:
+def _top(scored: DataFrame, requests: DataFrame, *keep: str) -> DataFrame:
     """The best lane_rows of each request. The largest of these is a literal bound, by which tasks cut their own rows before
     any are shuffled."""
     most = requests.agg(F.max("lane_rows")).first()[0] or 0
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), "uuid")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= int(most)).filter(F.col("rank") <= F.col("lane_rows")).select("query_id", "uuid", "rank", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= int(most)).filter(F.col("rank") <= F.col("lane_rows")).select("query_id", "uuid", "rank", "score", *keep)
 
 
 def rrf_fuse(lanes: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:

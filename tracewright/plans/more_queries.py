@@ -232,9 +232,20 @@ def i3_effective_config(spark, sf):
     return found.select("agent_id", F.get("namespaces", F.lit(0)).alias("namespace"), "recency_half_life_h", "max_results", "preview_chars", "include_proposed")
 
 
-@query(f"SELECT item_id, w AS lexeme, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{text.WORD}')) AS w FROM benchmark) GROUP BY 1, 2")
+#: Words of other scripts, which stand behind every item.
+_SCRIPTS = "Łódź Ñandú СЛОВО слово Ελληνικά 日本語 हिन्दी x_1"
+
+
+@query(f"SELECT item_id, w AS lexeme, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '') || ' {_SCRIPTS}'), '{text.WORD}')) AS w FROM benchmark) GROUP BY 1, 2")
 def i4_tokenize(spark, sf):
-    return text.tokenize(view(spark, sf, "benchmark"), "text", keep=("item_id",)).groupBy("item_id", "lexeme").agg(F.count("*").alias("n"))
+    rows = view(spark, sf, "benchmark").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(f" {_SCRIPTS}")))
+    return text.tokenize(rows, "text", keep=("item_id",)).groupBy("item_id", "lexeme").agg(F.count("*").alias("n"))
+
+
+@query()
+def i4_tokenize_english(spark, sf):
+    """Stems of every document's words that are no stop words, and how often each occurs."""
+    return text.tokenize(view(spark, sf, "documents"), "text", "english", ("doc_id",)).groupBy("lexeme").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
 @query(f"SELECT q.item_id, count(*) AS n_lexemes FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{text.WORD}')) AS w FROM benchmark) AS q GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, redact, redact_json, text
@@ -79,6 +79,28 @@ def i12_search(spark, sf):
     return found.select("query_id", "place", "uuid", F.round("fused_score", 12).alias("fused_score"), "preview", "status", "source_id")
 
 
+#: A request for every benchmark item: its first two words, in a language by its number.
+_ITEMS = f"""items AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS n FROM benchmark),
+requests AS (SELECT n AS query_id, concat('agent', CAST(n % 7 AS STRING)) AS agent_id, CASE n % 4 WHEN 0 THEN ['en'] WHEN 1 THEN ['fr', 'en'] WHEN 2 THEN ['de'] ELSE ['es', 'de', 'fr'] END AS namespaces,
+regexp_extract_all(lower(coalesce(text, '')), '{text.WORD}')[1:2] AS want FROM items)"""
+_ITEM_SEARCH = _SEARCH.replace(f"WITH requests AS (SELECT *, {_SETTINGS} FROM (VALUES {_VALUES}) AS r(query_id, agent_id, namespaces, query, want, bar)),", f"WITH {_ITEMS.replace('requests AS', 'asked AS')}, requests AS (SELECT *, []::VARCHAR[] AS bar, {_SETTINGS} FROM asked),")
+_ITEM_SEARCH = _ITEM_SEARCH.replace("CAST(len([x for x in w if list_contains(want, x)]) AS DOUBLE) AS score", "CAST(list_sum([len([x for x in w if x = y]) for y in want]) AS DOUBLE) AS score")
+
+
+def _item_requests(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.row_number().over(Window.orderBy("item_id"))
+    space = F.when(F.col("query_id") % 4 == 0, F.array(F.lit("en"))).when(F.col("query_id") % 4 == 1, F.array(F.lit("fr"), F.lit("en"))).when(F.col("query_id") % 4 == 2, F.array(F.lit("de"))).otherwise(F.array(F.lit("es"), F.lit("de"), F.lit("fr")))
+    words = F.slice(text.lexemes(F.col("text")), 1, 2)
+    return view(spark, sf, "benchmark").withColumn("query_id", n).select("query_id", F.concat(F.lit("agent"), (F.col("query_id") % 7).cast("string")).alias("agent_id"), space.alias("namespaces"), F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " ").alias("query"))
+
+
+@query(_ITEM_SEARCH)
+def i12_search_of_items(spark, sf):
+    """A request for every benchmark item, over all memories."""
+    found = search.search(_item_requests(spark, sf), view(spark, sf, "memories"), _config(spark), AS_OF, rank="frequency")
+    return found.select("query_id", "place", "uuid", F.round("fused_score", 12).alias("fused_score"), "preview", "status", "source_id")
+
+
 @query()
 def i8_search_by_cover_density(spark, sf):
     found = search.search(_requests(spark), view(spark, sf, "memories"), _config(spark), AS_OF)
