@@ -271,3 +271,34 @@ def test_rule_files(spark, tmp_path):
         (tmp_path / "b.yaml").write_text(bad)
         with pytest.raises(ValueError):
             ledger.load_rules(str(tmp_path / "b.yaml"))
+
+
+def test_appends_read_only_buckets_that_may_hold_their_keys(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda a, b: spark.range(a, b).select(F.col("id").alias("stream"), (F.col("id") % 3).alias("n"), F.lit("payload").alias("payload"))
+    ledger.append_ledger(rows(0, 500), path, ["stream", "n"], buckets=16)
+    assert ledger.may_hold(rows(10_000, 10_004), path, ["stream", "n"], buckets=16) in ([], *[[k] for k in range(16)])
+    known = rows(7, 8)
+    only = ledger.may_hold(known, path, ["stream", "n"], buckets=16)
+    assert len(only) == 1
+    held = ledger.read_ledger(spark, path, known.schema, only).select("stream", "n")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket_no" in plan.split("PartitionFilters: [")[1].split("]")[0] and "payload" not in plan.split("ReadSchema")[1].split("\n")[0]
+    before = len(held.inputFiles())
+    ledger.append_ledger(rows(490, 2000), path, ["stream", "n"], buckets=16)
+    ledger.append_ledger(rows(0, 2000), path, ["stream", "n"], buckets=16)
+    got = ledger.read_ledger(spark, path, known.schema)
+    assert got.count() == got.select("stream").distinct().count() == 2000
+    assert len(ledger.read_ledger(spark, path, known.schema, only).inputFiles()) <= 2 * before + 1
+    odd = spark.createDataFrame([(None, 1, "x"), (None, 1, "y"), (5000, None, "z")], "stream long, n long, payload string")
+    for _ in range(2):
+        ledger.append_ledger(odd, path, ["stream", "n"], buckets=16)
+    assert ledger.read_ledger(spark, path, known.schema).filter("stream is null or n is null").count() == 2
+
+
+def test_a_batch_that_runs_again_keeps_its_receipts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, p, f"l{p}", "g", "x", p) for p in (0, 1, 3)], imports.RECORD)
+    for _ in range(2):
+        imports.import_batch(rows, str(tmp_path / "ledger"), str(tmp_path / "retry"), str(tmp_path / "receipts"), 0)
+    assert sorted((r.source_position, r.status) for r in spark.read.parquet(str(tmp_path / "receipts" / "0")).collect()) == [(0, "new"), (1, "new"), (3, "blocked_by_earlier_gap")]
+    assert ledger.read_ledger(spark, str(tmp_path / "ledger"), imports.RECORD).count() == 2

@@ -2,7 +2,7 @@
 
 Signatures of accepted records stay in the ledger, not in operator state: each micro-batch is judged against the ledger's
 rows of its own streams by the batch job, so that a replayed batch converges. Rows that wait for a gap go to a retry table
-and join the next batch.
+and join the next batch. An import that keeps its state itself is in stateful.py.
 """
 
 from __future__ import annotations
@@ -16,24 +16,33 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import redact
 from ..functions.rules import DEFAULT, RuleSet
 from ..operators import fidelity, ingest
-from ..sources.ledger import read_ledger
+from ..functions.staging import staged
+from ..sources.ledger import _exists, add_rows, may_hold, read_ledger
 
 RECORD = "stream long, source_position long, locator string, content_signature string, payload string, ingest long"
 
 
 def import_batch(batch: DataFrame, ledger: str, retry: str, receipts: str, batch_id: int) -> None:
     """One micro-batch: rows that wait and those of the batch are judged together; new ones are appended to the ledger, blocked
-    ones become the next retry table, and all are receipted. A batch that runs again finds its own rows accepted."""
+    ones become the next retry table, and all are receipted.
+
+    Of the ledger, only what judges is read (no payloads), of the buckets of the batch's streams, and of these only the ones in
+    which filters know any of the streams. A batch that runs again keeps the receipts of its first run, if that came so far.
+    """
     spark = batch.sparkSession
     waiting = read_ledger(spark, f"{retry}/{batch_id - 1}", RECORD)
-    held = read_ledger(spark, ledger, RECORD)
-    rows = batch.select(*waiting.columns).unionByName(waiting)
-    mine = held.join(rows.select("stream").distinct(), "stream", "left_semi")
-    judged = ingest.import_receipts(rows, mine)
-    judged.write.mode("overwrite").parquet(f"{receipts}/{batch_id}")
-    judged = spark.read.schema(judged.schema).parquet(f"{receipts}/{batch_id}")
+    rows = staged(batch.select(*waiting.columns).unionByName(waiting), "arrived")
+    only = may_hold(rows, ledger, ["stream"])
+    place = f"{receipts}/{batch_id}"
+    if not _exists(spark, f"{place}/_SUCCESS"):
+        held = read_ledger(spark, ledger, RECORD, only).select("stream", "source_position", "locator", "content_signature")
+        mine = held.join(rows.select("stream").distinct(), "stream", "left_semi")
+        ingest.import_receipts(rows, mine).write.mode("overwrite").parquet(place)
+    judged = read_ledger(spark, place, f"{RECORD}, status string")
     judged.filter(F.col("status") == ingest.BLOCKED).drop("status").write.mode("overwrite").parquet(f"{retry}/{batch_id}")
-    judged.filter(F.col("status") == ingest.NEW).drop("status").write.mode("append").parquet(ledger)
+    new = judged.filter(F.col("status") == ingest.NEW).drop("status")
+    held = read_ledger(spark, ledger, RECORD, only).select("stream", "locator")
+    add_rows(staged(new.join(held, ["stream", "locator"], "left_anti"), "accepted"), ledger, ["stream"])
 
 
 def stream_import(records: DataFrame, ledger: str, work: str, **trigger) -> StreamingQuery:
