@@ -12,7 +12,7 @@ from ..functions import ids, redact, redact_json
 from ..functions.rules import DEFAULT
 from ..functions.staging import shared_dir, staged
 from ..operators import fidelity, lifecycle, memory_log, normalize, quality
-from ..sources import ledger, transcripts
+from ..sources import ledger, tails, transcripts
 from ..streaming import imports, stateful
 from .more_queries import _workstream_log
 from .queries import _SEARCH, ORACLE_SQL, _outcomes, _rule, query
@@ -546,3 +546,27 @@ SELECT CAST(coalesce(c.conv_id, g.conv_id) AS VARCHAR) AS stream, CASE WHEN c.at
 def h2_stop_codes(spark, sf):
     """Streams that stopped, why and where; those whose gaps were closed run again."""
     return stateful.stop_codes(_imported(spark, sf)).filter("code is not null")
+
+
+@query(f"""WITH {_FILES_SQL} SELECT grp, CAST(source_position AS BIGINT) AS source_position, CAST(byte_offset AS BIGINT) AS byte_offset, sha256(line || chr(10)) AS record_sha256, CAST(NULL AS VARCHAR) AS code FROM placed WHERE conv_id >= 40 AND grp <> 3
+UNION ALL SELECT DISTINCT grp, NULL, NULL, NULL, 'verified_prefix_changed' FROM placed WHERE grp = 3 AND conv_id < 40""")
+def h4_verified_tail(spark, sf):
+    """Files that were verified up to conversation 40; one of them was edited since, to the same length."""
+    path = _files(spark, sf)
+    lines = transcripts.locate_records(transcripts.read_transcripts(spark, path, "*.txt"))
+    seen = staged(lines.filter(F.get_json_object("value", "$.c").cast("long") < 40).select("file", "source_position", "byte_offset", "byte_length", "is_terminated"), "seen")
+    none = spark.createDataFrame([], tails.MARKS), spark.createDataFrame([], tails.DIGESTS)
+    marks, digests = (staged(x, "checkpoint") for x in tails.next_checkpoint(seen, *none, 4096))
+    edited = F.when((_group() == 3) & (F.col("block_no") == 0), F.sha2(F.lit("what stood there before"), 256)).otherwise(F.col("sha256"))
+    records, stops = tails.verified_tail(spark, path, marks, digests.withColumn("sha256", edited), "*.txt", 4096, 65536)
+    none = F.lit(None)
+    return records.select(_group().alias("grp"), "source_position", "byte_offset", "record_sha256", none.cast("string").alias("code")).unionByName(stops.select(_group().alias("grp"), none.cast("long").alias("source_position"), none.cast("long").alias("byte_offset"), none.cast("string").alias("record_sha256"), "code"))
+
+
+@query(f"WITH {_FILES_SQL} SELECT grp, CAST(byte_offset AS BIGINT) AS byte_offset, CAST(strlen(line) + 1 AS BIGINT) AS byte_length, sha256(line || chr(10)) AS record_sha256, line AS value FROM placed")
+def a8_stream_tails(spark, sf):
+    """Records of growing files by a streaming source whose partitions are byte ranges."""
+    out = f"{shared_dir(spark)}/tails-{uuid.uuid4().hex}"
+    stream = tails.stream_tails(spark, _files(spark, sf), "*.txt", 65536).filter("fault is null").select(_group().alias("grp"), "byte_offset", "byte_length", "record_sha256", "value")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
