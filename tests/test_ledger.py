@@ -302,3 +302,51 @@ def test_a_batch_that_runs_again_keeps_its_receipts(spark, tmp_path):
         imports.import_batch(rows, str(tmp_path / "ledger"), str(tmp_path / "retry"), str(tmp_path / "receipts"), 0)
     assert sorted((r.source_position, r.status) for r in spark.read.parquet(str(tmp_path / "receipts" / "0")).collect()) == [(0, "new"), (1, "new"), (3, "blocked_by_earlier_gap")]
     assert ledger.read_ledger(spark, str(tmp_path / "ledger"), imports.RECORD).count() == 2
+
+
+def test_large_streams_are_counted_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "_RANGE", 8)
+    r = random.Random(2)
+    streams = {0: range(300), 1: [p for p in range(40) if p != 16], 2: [p for p in range(40) if p != 17], 3: range(16), 4: range(1, 9), 5: [0], 6: [*range(8), *range(24, 32)]}
+    rows = [(s, p) for s, ps in streams.items() for p in [*ps, *ps]]
+    r.shuffle(rows)
+    got = {x.stream: x.checkpoint for x in ingest.contiguous_checkpoint(spark.createDataFrame(rows, "stream long, source_position long")).collect()}
+    assert got == {0: 299, 1: 15, 2: 16, 3: 15, 4: -1, 5: 0, 6: 7}
+    held = spark.createDataFrame([(0, p, f"l{p}", "g", "x", p) for p in (0, 1, 3)], imports.RECORD)
+    batch = spark.createDataFrame([(0, p, f"l{p}", "g", "x", p) for p in (2, 4, 5)] + [(1, p, f"l{p}", "g", "x", p) for p in (*range(30), 31)], imports.RECORD)
+    status = {(x.stream, x.source_position): x.status for x in ingest.import_receipts(batch, held).collect()}
+    assert [k for k, v in sorted(status.items()) if v == ingest.BLOCKED] == [(0, 4), (0, 5), (1, 31)]
+    named = ingest.backfill_positions(spark.createDataFrame([(1, "b", 2.0), (1, "a", 2.0), (1, "c", None), (2, "x", 1.0)], "s int, n string, t double"), ["s"], ["t", "n"])
+    assert {(x.s, x.n): x.source_position for x in named.collect()} == {(1, "c"): 0, (1, "a"): 1, (1, "b"): 2, (2, "x"): 0}
+
+
+def test_text_of_any_depth(spark):
+    r = random.Random(6)
+
+    def value(depth):
+        k = r.random()
+        if depth == 0 or k < 0.2:
+            return r.choice(["s", " padded ", "", 'q"[{', 7, 1.5, True, {}, [], {"other": "x"}, {"text": 5}])
+        if k < 0.6:
+            return [value(depth - 1) for _ in range(r.randrange(4))]
+        return {"content": value(depth - 1)} if k < 0.9 else {"text": r.choice(["t", " t ", " ", 3]), "content": value(depth - 1)}
+
+    def flat(v):
+        if isinstance(v, str):
+            return v
+        if isinstance(v, list):
+            return "\n".join(flat(x) for x in v)
+        if isinstance(v, dict):
+            if isinstance(v.get("text"), str) and v["text"].strip(" "):
+                return v["text"].strip(" ")
+            return flat(v["content"]) if "content" in v else json.dumps(v, separators=(",", ":"))
+        return json.dumps(v)
+
+    deep = "end"
+    for i in range(120):
+        deep = [deep, str(i)] if i % 3 else {"content": deep}
+    values = [value(r.randrange(9)) for _ in range(150)] + [deep]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(-1, None)], "i int, j string")
+    got = {x.i: x.t for x in df.select("i", normalize.flatten_text(F.try_parse_json("j")).alias("t")).collect()}
+    assert got.pop(-1) is None
+    assert [got[i] for i in range(len(values))] == [flat(v) for v in values]

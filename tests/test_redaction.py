@@ -3,7 +3,7 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.functions import redact, redact_json
+from tracewright.functions import redact, redact_json, scan
 from tracewright.functions.rules import DEFAULT, validated
 from tracewright.operators import fidelity
 
@@ -153,3 +153,17 @@ def test_outcome_checks(spark):
     assert fidelity.health_fidelity(df.limit(0)).first().health == "healthy"
     sizes = spark.createDataFrame([(None,), (-1,), (1 << 20,), ((1 << 20) + 1,), ((128 << 20) + 1,)], "n long")
     assert [r[0] for r in sizes.select(fidelity.size_band(F.col("n"))).collect()] == ["unknown", "unknown", "up_to_1_mib", "over_1_mib_through_64_mib", "over_128_mib"]
+
+
+def test_many_literals_by_an_automaton(spark, monkeypatch):
+    literals = [f"value {k:05d}" for k in range(150)] + ["value 00001 and more", "naïve-secret", "and more"]
+    rules = validated("v", [r._asdict() for r in DEFAULT.rules], literals)
+    texts = ["a value 00001 and more of value 00149value 00002", "and morevalue 00001", "clean", None, "naïve-secret ghp_" + A36, base64.b64encode(b"hidden value 00033 here").decode(), ""]
+    many = redacted(spark, texts, rules)
+    monkeypatch.setattr(scan, "MANY_LITERALS", 1000)
+    few = redacted(spark, texts, rules)
+    assert [(r.redacted, r.scan) for r in many] == [(r.redacted, r.scan) for r in few]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    spans = redact.literal_spans(df, "t", rules)
+    assert [r.literal_spans for r in spans.collect()] == [r.s for r in df.select(F.coalesce(redact.literal_matches(F.col("t"), rules), F.array()).alias("s")).collect()]
+    assert len(spans._jdf.queryExecution().toString()) < 20_000

@@ -61,7 +61,8 @@ def rule_matches(text: Column, rules: RuleSet = DEFAULT) -> Column:
 
 
 def literal_matches(text: Column, rules: RuleSet) -> Column:
-    """Matches of operator-given values, longest first, in the order of the text."""
+    """Matches of operator-given values, longest first, in the order of the text, as a column: the plan holds every value. For
+    many values use literal_spans."""
     if not rules.literals:
         return _empty()
     pattern = "|".join(f"\\Q{x}\\E" if "\\E" not in x else re.escape(x) for x in rules.literals)
@@ -71,6 +72,14 @@ def literal_matches(text: Column, rules: RuleSet) -> Column:
     return F.when(hit, _as_spans(places(text, pattern), LITERAL_ID, "configured_credential", LITERAL_PRIORITY)).otherwise(_empty())
 
 
+def literal_spans(df: DataFrame, text: str, rules: RuleSet, budgets: Budgets = Budgets()) -> DataFrame:
+    """df with `literal_spans`, what literal_matches finds, for any number of values: one pass of an automaton over the texts,
+    and a plan of one size. A text that passes a budget has null spans."""
+    found = scanned(df, [text], rules._replace(rules=()), False, budgets)
+    f = F.col("__found_0")
+    return found.withColumn("literal_spans", F.when(f.isNull() | f["failure"].isNull(), F.coalesce(f["spans"], _empty()))).drop("__found_0")
+
+
 _SPANS = pa.list_(pa.struct([("rule_id", pa.string()), ("category", pa.string()), ("priority", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 _FOUND = pa.struct([("redacted", pa.string()), ("spans", _SPANS), ("omission", pa.string()), ("failure", pa.string()), ("skipped_runs", pa.int32())])
 FOUND = f"struct<redacted:string,spans:array<{SPAN}>,omission:string,failure:string,skipped_runs:int>"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .exact_json import Pairs, dumps, loads
 from .redact import prefilter
 from .rules import DEFAULT, RuleSet
-from .scan import ENCODED, Budgets, Exhausted, Scanner, without_spans
+from .scan import ENCODED, MANY_LITERALS, Budgets, Exhausted, Scanner, without_spans
 
 LEAF_LIMIT = 64 << 20
 
@@ -71,6 +71,8 @@ def _may(text: Column, of, rules: RuleSet) -> Column:
     may = F.lit(False)
     for r in of:
         may |= prefilter(text, r)
+    if len(rules.literals) > MANY_LITERALS:  # an automaton tells, not the plan
+        return text.isNotNull()
     for x in rules.literals:
         may |= text.contains(x)
     for p in ENCODED.values():

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +37,10 @@ class Budgets(NamedTuple):
     decoded_bytes: int = 16 << 20
 
 
+#: Literals beyond which they are looked for by an automaton instead of a pattern.
+MANY_LITERALS = 100
+
+
 class Exhausted(Exception):
     """A text passed a budget."""
 
@@ -65,8 +70,54 @@ def _widened(pattern: str) -> str:
     return "".join(out)
 
 
+class _Place(NamedTuple):
+    at: int
+    to: int
+
+    def start(self) -> int:
+        return self.at
+
+    def end(self) -> int:
+        return self.to
+
+
+class Literals:
+    """Any number of literals as one Aho-Corasick automaton, asked like a compiled pattern that tries the longest first."""
+
+    def __init__(self, literals: tuple[str, ...]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for x in literals:
+            self.automaton.add_word(x, len(x))
+        self.automaton.make_automaton()
+
+    def search(self, text: str) -> _Place | None:
+        return next((_Place(end + 1 - n, end + 1) for end, n in self.automaton.iter(text)), None)
+
+    def finditer(self, text: str) -> Iterator[_Place]:
+        longest: dict[int, int] = {}
+        for end, n in self.automaton.iter(text):
+            longest[end + 1 - n] = max(n, longest.get(end + 1 - n, 0))
+        at = 0
+        for start in sorted(longest):
+            if start >= at:
+                at = start + longest[start]
+                yield _Place(start, at)
+
+
+class _Either:
+    """Whether one of two patterns is found."""
+
+    def __init__(self, one, other):
+        self.one, self.other = one, other
+
+    def search(self, text: str):
+        return self.one.search(text) or self.other.search(text)
+
+
 def _gates(rules: RuleSet) -> str:
-    parts = [re.escape(x) for x in rules.literals]
+    parts = [re.escape(x) for x in rules.literals] if len(rules.literals) <= MANY_LITERALS else []
     for r in rules.text_rules():
         widened = _scoped(_widened(r.pattern))
         try:
@@ -82,9 +133,13 @@ class Scanner:
 
     def __init__(self, rules: RuleSet, decode: bool = True, budgets: Budgets = Budgets()):
         self.known = [(r.id, r.category, r.priority, re.compile(r.pattern)) for r in rules.text_rules()]
+        self.literals = Literals(rules.literals) if len(rules.literals) > MANY_LITERALS else None
         if rules.literals:
-            self.known.insert(0, (LITERAL_ID, "configured_credential", LITERAL_PRIORITY, re.compile("|".join(map(re.escape, rules.literals)))))
-        self.any = re.compile("|".join([*map(re.escape, rules.literals), *(_scoped(r.pattern) for r in rules.text_rules())]) or r"(?!)")
+            self.known.insert(0, (LITERAL_ID, "configured_credential", LITERAL_PRIORITY, self.literals or re.compile("|".join(map(re.escape, rules.literals)))))
+        few = [] if self.literals else map(re.escape, rules.literals)
+        self.any = re.compile("|".join([*few, *(_scoped(r.pattern) for r in rules.text_rules())]) or r"(?!)")
+        if self.literals:
+            self.any = _Either(self.literals, self.any)
         self.runs = [(kind, re.compile(p)) for kind, p in ENCODED.items()] if decode else []
         self.budgets = budgets
         self.gate = _gates(rules) or None
@@ -93,6 +148,8 @@ class Scanner:
     def may(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Which texts a rule may match, and which hold an encoded run."""
         found = [pc.fill_null(pc.match_substring_regex(col, g), False).to_numpy(zero_copy_only=False) if g else np.zeros(len(col), bool) for g in (self.gate, self.run_gate)]
+        if self.literals:
+            found[0] |= np.fromiter((t is not None and self.literals.search(t) is not None for t in col.to_pylist()), bool, len(col))
         return found[0], found[1]
 
     def decoded(self, kind: str, run: str) -> list[str]:

@@ -130,7 +130,7 @@ def stored_omission(payload: Column, adapter: Column, adapter_version: Column, v
     return F.when(known, F.struct(reason.alias("reason"), size.alias("original_bytes")))
 
 
-_BYTE = re.compile("25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]")
+_BYTE = re.compile(r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\Z")
 
 
 def _stripped(value, found: list):
@@ -139,7 +139,7 @@ def _stripped(value, found: list):
     last = dict(value)  # of repeated names the last one counts
     data = last.get("byte_payload")
     binary = last.get("type") == "binary_content" and isinstance(last.get("category"), str) and last["category"] in BINARY_CATEGORIES and isinstance(data, list) and not isinstance(data, Pairs)
-    if not (binary and all(isinstance(b, Number) and _BYTE.fullmatch(b.text) for b in data)):
+    if not (binary and all(isinstance(b, Number) and _BYTE.match(b.text) for b in data)):
         return Pairs((k, _stripped(v, found)) for k, v in value)
     name, n = "capture_fidelity_omission", 1
     while name in last:

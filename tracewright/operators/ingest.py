@@ -8,21 +8,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import deterministic_id, session_id
+from ..functions.numbering import numbered
 
 NEW, ACCEPTED, CONFLICT, BLOCKED = "new", "already_accepted", "accepted_source_conflict", "blocked_by_earlier_gap"
 
 
+#: Positions that are counted together before a stream's ranges are put in order.
+_RANGE = 1 << 16
+
+
 def contiguous_checkpoint(observations: DataFrame) -> DataFrame:
-    """stream, checkpoint: the last position before a stream's first gap; -1 if position 0 is missing."""
-    order = Window.partitionBy("stream").orderBy("source_position")
-    rows = observations.select("stream", "source_position").distinct().withColumn("__n", F.row_number().over(order) - 1)
-    return rows.groupBy("stream").agg(F.coalesce(F.max(F.when(F.col("source_position") == F.col("__n"), F.col("source_position"))), F.lit(-1).cast("long")).alias("checkpoint"))
+    """stream, checkpoint: the last position before a stream's first gap; -1 if position 0 is missing.
+
+    Positions are counted by range; only a stream's counts are ordered, and the positions of its first range that isn't full.
+    """
+    rows = observations.filter("source_position >= 0").select("stream", "source_position").distinct().withColumn("__range", F.floor(F.col("source_position") / _RANGE))
+    sizes = rows.groupBy("stream", "__range").count()
+    order = Window.partitionBy("stream").orderBy("__range")
+    full = ((F.col("__range") == F.row_number().over(order) - 1) & (F.col("count") == _RANGE)).cast("int")
+    sizes = sizes.withColumn("__full", full).withColumn("__lead", F.min("__full").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lead = sizes.groupBy("stream").agg(F.sum("__lead").alias("__open"))
+    within = Window.partitionBy("stream").orderBy("source_position")
+    last = rows.join(lead, "stream").filter(F.col("__range") == F.col("__open")).withColumn("__n", F.col("__open") * _RANGE + F.row_number().over(within) - 1)
+    last = last.groupBy("stream").agg(F.max(F.when(F.col("source_position") == F.col("__n"), F.col("source_position"))).alias("__last"))
+    every = observations.select("stream").distinct().join(lead, "stream", "left").join(last, "stream", "left")
+    return every.select("stream", F.coalesce("__last", F.coalesce("__open", F.lit(0)) * _RANGE - 1).cast("long").alias("checkpoint"))
 
 
 def backfill_positions(df: DataFrame, by: list[str], order: list[str], name: str = "source_position") -> DataFrame:
-    """df with positions from 0 in each stream, in the given order."""
+    """df with positions from 0 in each stream, in the given order. If the first of these is a number or a time, large streams
+    are numbered in ranges of it."""
+    if isinstance(df.schema[order[0]].dataType, T.NumericType | T.TimestampType | T.DateType):
+        first = F.col(order[0]).cast("timestamp" if isinstance(df.schema[order[0]].dataType, T.DateType) else df.schema[order[0]].dataType).cast("double")
+        return numbered(df, by, first, order, "__place").withColumn(name, (F.col("__place") - 1).cast("long")).drop("__place")
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
 
 
@@ -53,10 +74,12 @@ def import_receipts(batch: DataFrame, observations: DataFrame) -> DataFrame:
     # of the rest, one record competes for each position
     place = Window.partitionBy("stream", "source_position", F.col("__judged").isNull()).orderBy("ingest", "locator")
     rows = rows.withColumn("__judged", F.when(F.col("__judged").isNull() & (F.row_number().over(place) > 1), CONFLICT).otherwise(F.col("__judged")))
-    marks = contiguous_checkpoint(observations)
-    open_ = Window.partitionBy("stream", F.col("__judged").isNull()).orderBy("source_position")
-    rows = rows.join(marks, "stream", "left").withColumn("__next", F.coalesce("checkpoint", F.lit(-1)) + F.row_number().over(open_))
-    status = F.coalesce("__judged", F.when(F.col("source_position") == F.col("__next"), NEW).otherwise(BLOCKED))
+    # what follows on the checkpoint without a gap, counted from there
+    marks = contiguous_checkpoint(observations).withColumnRenamed("checkpoint", "__mark")
+    rows = rows.join(marks, "stream", "left").withColumn("__from", F.col("source_position") - F.coalesce("__mark", F.lit(-1)) - 1)
+    reach = contiguous_checkpoint(rows.filter("__judged is null").select("stream", F.col("__from").alias("source_position"))).withColumnRenamed("checkpoint", "__reach")
+    rows = rows.join(reach, "stream", "left")
+    status = F.coalesce("__judged", F.when((F.col("__from") >= 0) & (F.col("__from") <= F.col("__reach")), NEW).otherwise(BLOCKED))
     # a copy of a record that is blocked or in conflict itself wasn't accepted
     rows = rows.withColumn("status", status)
     lead = F.first("status").over(first)

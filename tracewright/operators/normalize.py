@@ -70,16 +70,33 @@ def tool_outcome(v: Column) -> Column:
     return F.coalesce(F.when(given.isin(*OUTCOMES), given), by_status, F.when(success, "succeeded").when(~success, "failed"), F.lit("unknown"))
 
 
-def flatten_text(v: Column, depth: int = 4) -> Column:
-    """Text of a string, of an array joined by newlines, of {text} or {content}, one in the other; what lies deeper than
-    `depth` of these is its JSON."""
-    kind = shape(v)
-    if not depth:
-        return F.when(kind == "STRING", get(v, "$")).otherwise(F.coalesce(string_at(v, "$.text"), string_at(v, "$.content"), F.to_json(v)))
-    content = get(v, "$.content", "variant")
-    inner = F.coalesce(string_at(v, "$.text"), F.when(content.isNotNull(), flatten_text(content, depth - 1)), F.to_json(v))
-    parts = F.transform(get(v, "$", "array<variant>"), lambda x: flatten_text(x, depth - 1))
-    return F.when(kind == "STRING", get(v, "$")).when(kind == "ARRAY", F.array_join(parts, "\n")).when(kind == "OBJECT", inner).otherwise(F.to_json(v))
+def _nesting(json: Column) -> Column:
+    """How deep the brackets of a JSON text are nested."""
+    marks = F.regexp_extract_all(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', ""), F.lit(r"[\[\]{}]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda a: a["most"])
+
+
+def flatten_text(v: Column) -> Column:
+    """Text of a string, of an array joined by newlines, of {text} or {content}, one in the other to any depth; JSON of all
+    else. What isn't text yet is opened in place, as often as the value is deep."""
+    nothing = F.try_parse_json(F.lit(None).cast("string"))
+    item = lambda text, rest: F.struct(text.cast("string").alias("text"), rest.alias("rest"))
+
+    def opened(x: Column) -> Column:
+        r = x["rest"]
+        kind, content, parts = shape(r), get(r, "$.content", "variant"), get(r, "$", "array<variant>")
+        leaf = F.when(kind == "STRING", get(r, "$")).when(kind == "OBJECT", F.coalesce(string_at(r, "$.text"), F.when(content.isNull(), F.to_json(r)))).when(kind != "ARRAY", F.to_json(r)).when(F.size(parts) == 0, "")
+        return F.when(r.isNull(), F.array(x)).when(leaf.isNotNull(), F.array(item(leaf, nothing))).when(kind == "OBJECT", F.array(item(F.lit(None), content))).otherwise(F.transform(parts, lambda y: item(F.lit(None), y)))
+
+    rounds = F.sequence(F.lit(0), _nesting(F.to_json(v)))
+    found = F.aggregate(rounds, F.array(item(F.lit(None), v)), lambda a, _: F.flatten(F.transform(a, opened)))
+    return F.when(shape(v) == "STRING", get(v, "$")).when(v.isNotNull(), F.array_join(F.transform(found, lambda x: x["text"]), "\n"))
 
 
 def _event(key, order, kind: str, actor: Column | None, payload: Column, edges: Column | None = None) -> Column:

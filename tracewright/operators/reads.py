@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 SESSION_EDGES = ("parent_session", "spawned_by", "forked_from")
 
 
@@ -16,17 +18,18 @@ def event_envelopes(observations: DataFrame, events: DataFrame, relationships: D
 
 
 def replay_stream(rows: DataFrame, streams: DataFrame | None = None, order: tuple[str, ...] = ("source_position", "part_order")) -> DataFrame:
-    """Rows of one or many streams with `ordinal` (from 1) in the order of their positions; streams: stream, or all."""
+    """Rows of one or many streams with `ordinal` (from 1) in the order of their positions (a number first); streams: stream, or
+    all. Large streams are numbered in ranges."""
     if streams is not None:
         rows = rows.join(streams.select("stream").distinct(), "stream", "left_semi")
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("stream").orderBy(*order)))
+    return numbered(rows, ["stream"], F.col(order[0]).cast("double"), list(order), "ordinal")
 
 
 def replay_session(traces: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Traces of one or many sessions with `ordinal` in the order of time and id."""
+    """Traces of one or many sessions with `ordinal` in the order of time and id; large sessions are numbered in ranges."""
     if sessions is not None:
         traces = traces.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
-    return traces.withColumn("ordinal", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "trace_uuid")))
+    return numbered(traces, ["session_id"], F.col("ts").cast("timestamp").cast("double"), ["ts", "trace_uuid"], "ordinal")
 
 
 def _candidates(streams: DataFrame) -> DataFrame:

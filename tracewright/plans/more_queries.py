@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import redact, redact_json, text
@@ -62,6 +64,16 @@ def c5_literal_matches(spark, sf):
     return redact.redact_text(rows, "text", rules, decode=False).select("doc_id", "redacted")
 
 
+@query("SELECT doc_id, text || ' ' || CASE WHEN (doc_id * 97) % 100000 < 50000 THEN '[REDACTED:operator-literal]' ELSE md5(CAST((doc_id * 97) % 100000 AS VARCHAR)) END || ' end' AS redacted, CAST(((doc_id * 97) % 100000 < 50000)::INT AS INT) AS n FROM documents WHERE text IS NOT NULL")
+def c5_many_literals(spark, sf):
+    """50,000 literals in one pass; about half of the documents end with one of them."""
+    rules = DEFAULT._replace(rules=(), literals=tuple(hashlib.md5(str(k).encode()).hexdigest() for k in range(50_000)))
+    number = (F.col("doc_id") * 97 % 100_000).cast("string").cast("binary")
+    rows = view(spark, sf, "documents").filter("text is not null").select("doc_id", F.concat("text", F.lit(" "), F.md5(number), F.lit(" end")).alias("text"))
+    found = redact.literal_spans(rows, "text", rules)
+    return found.select("doc_id", redact.cut(F.col("text"), F.col("literal_spans")).alias("redacted"), F.size("literal_spans").alias("n"))
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN chr(123) || '"api_key":"[OMITTED:sensitive_field_subtree]"' || chr(125) WHEN 1 THEN chr(123) || '"a":[' || chr(123) || '"token":"[REDACTED:sensitive-field-value]"' || chr(125) || ',1]' || chr(125)
 WHEN 2 THEN chr(123) || '"note":"see [REDACTED:aws-access-key-id]"' || chr(125) ELSE chr(123) || '"k":1' || chr(125) END AS redacted FROM events""")
 def c7_redact_json(spark, sf):

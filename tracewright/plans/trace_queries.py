@@ -191,7 +191,7 @@ def b18_malformed_to_opaque(spark, sf):
 def b19_flatten_text(spark, sf):
     rows = _turns(spark, sf).withColumn("own", F.concat(F.lit("x"), F.trim("text")))
     m = F.col("turn") % 5
-    deep = _record('{"content":[{"content":[{"text":', _quoted("own"), '}]},["y"]]}')
+    deep = _record('{"content":[' * 24, '{"content":[{"content":[{"text":', _quoted("own"), '}]},["y"]]}', "]}" * 24)
     value = F.when(m == 0, _quoted("text")).when(m == 1, _record('["a",', _quoted("text"), ',{"text":"b"}]')).when(m == 2, _record('{"text":', _quoted("own"), "}")).when(m == 3, _record('{"content":', _quoted("own"), "}")).otherwise(deep)
     return rows.withColumn("v", F.parse_json(value)).select(*_KEY, normalize.flatten_text(F.col("v")).alias("flat"))
 
