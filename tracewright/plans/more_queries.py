@@ -46,15 +46,15 @@ def c2_prefilter(spark, sf):
     return view(spark, sf, "documents").select("doc_id", (redact.prefilter(F.col("text"), rule) & F.col("text").rlike(rule.pattern)).alias("found"))
 
 
-@query("""WITH s AS (SELECT event_id, unnest(range(1, 5)) AS k FROM events), spans AS (SELECT event_id, CAST((event_id * k * 7) % 40 AS INT) AS a, CAST((event_id * k * 7) % 40 + 3 + k AS INT) AS b FROM s),
+@query("""WITH s AS (SELECT event_id, unnest(range(1, 5)) AS k FROM events), spans AS (SELECT event_id, CAST((event_id * k * 7) % 40 AS INT) AS a, CAST((event_id * k * 7) % 40 + 3 + k AS INT) AS b, k FROM s),
 marks AS (SELECT *, max(b) OVER (PARTITION BY event_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
 runs AS (SELECT *, sum(CASE WHEN reach IS NULL OR a >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM marks)
-SELECT event_id, min(a) AS first_char, max(b) AS last_char FROM runs GROUP BY event_id, g""")
+SELECT event_id, min(a) AS first_char, max(b) AS last_char, 'r' || max(k) AS rule_id FROM runs GROUP BY event_id, g""")
 def c3_merge_spans(spark, sf):
     at = lambda k: ((F.col("event_id") * k * 7) % 40).cast("int")
     spans = F.array(*(F.struct(F.lit(f"r{k}").alias("rule_id"), F.lit("c").alias("category"), F.lit(k).alias("priority"), at(k).alias("start"), (at(k) + 3 + k).alias("end")) for k in range(1, 5)))
     rows = view(spark, sf, "events").select("event_id", F.explode(redact.merge_spans(spans)).alias("s"))
-    return rows.select("event_id", F.col("s.start").alias("first_char"), F.col("s.end").alias("last_char"))
+    return rows.select("event_id", F.col("s.start").alias("first_char"), F.col("s.end").alias("last_char"), F.col("s.rule_id").alias("rule_id"))
 
 
 @query("SELECT doc_id, replace(text, 'thonnerinthe', '[REDACTED:operator-literal]') AS redacted FROM (SELECT doc_id, replace(text, ' the ', ' thonnerinthe ') AS text FROM documents)")
@@ -128,10 +128,15 @@ def d5_harness_norm(spark, sf):
     return rows.groupBy("k", fidelity.harness_norm(F.when(F.col("k") == 0, " CODEX cli").when(F.col("k") == 1, "Claude Code").otherwise("else")).alias("harness")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'harness' AS rule, lang AS harness, 'captured' AS class, 'complete' AS reason, count(*) AS count FROM documents GROUP BY lang")
+#: An outcome for each of the rules, by a document's number; the last one is sound but for its count of none.
+_VOCABULARY = "SELECT CASE WHEN k = 0 THEN lang ELSE 'codex' END AS harness, CASE WHEN k = 2 THEN 'odd' ELSE 'captured' END AS class, CASE WHEN k = 3 THEN 'matcher_timeout' ELSE 'complete' END AS reason, CASE WHEN k = 1 THEN 'huge' WHEN k = 4 THEN 'up_to_1_mib' ELSE 'unknown' END AS size_band, k FROM (SELECT lang, doc_id % 6 AS k FROM documents)"
+
+
+@query(f"SELECT rule, harness, class, reason, CASE WHEN rule = 'count' THEN 0 ELSE n END AS count FROM (SELECT CASE k WHEN 0 THEN 'harness' WHEN 1 THEN 'size_band' WHEN 2 THEN 'class' WHEN 3 THEN 'reason' WHEN 4 THEN 'count' END AS rule, harness, class, reason, count(*) AS n FROM ({_VOCABULARY}) GROUP BY ALL) WHERE rule IS NOT NULL")
 def d9_closed_vocab_check(spark, sf):
-    rows = view(spark, sf, "documents").select(F.col("lang").alias("harness"), F.lit("captured").alias("class"), F.lit("complete").alias("reason"), F.lit("unknown").alias("size_band"))
-    return fidelity.closed_vocab_check(fidelity.summarize_outcomes(rows)).select("rule", "harness", "class", "reason", "count")
+    rows = spark.sql(_VOCABULARY.replace("documents", "{documents}"), documents=view(spark, sf, "documents"))
+    none = F.when(F.col("size_band") == "up_to_1_mib", 0).otherwise(F.col("count")).cast("long")
+    return fidelity.closed_vocab_check(fidelity.summarize_outcomes(rows.drop("k")).withColumn("count", none)).select("rule", "harness", "class", "reason", "count")
 
 
 def _observed(spark, sf):
@@ -260,10 +265,18 @@ def i4_tokenize_english(spark, sf):
     return text.tokenize(view(spark, sf, "documents"), "text", "english", ("doc_id",)).groupBy("lexeme").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
-@query(f"SELECT q.item_id, count(*) AS n_lexemes FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{text.WORD}')) AS w FROM benchmark) AS q GROUP BY 1")
+_PARSED = f"SELECT item_id, regexp_extract_all(lower(text), '{text.WORD}') AS w FROM benchmark"
+
+
+@query(f"""WITH q AS ({_PARSED}) SELECT item_id, 1 AS grp, 0 AS alt, false AS negated, w[i] AS lexeme, CAST(i - 1 AS INT) AS phrase_pos, 2 AS phrase_len FROM (SELECT *, unnest([1, 2]) AS i FROM q)
+UNION ALL SELECT item_id, 2, 1, false, w[3], 0, 1 FROM q UNION ALL SELECT item_id, 2, 3, false, w[4], 0, 1 FROM q UNION ALL SELECT item_id, 3, 4, true, w[5], 0, 1 FROM q""")
 def i6_parse_websearch(spark, sf):
-    queries = view(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), "text", F.lit('"')).alias("query"))
-    return search.parse_websearch(queries).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_lexemes"))
+    """A phrase, two alternatives and a negation, of every item's first five words."""
+    w = lambda k: F.get(text.lexemes(F.col("text")), F.lit(k))
+    asked = F.concat(F.lit('"'), w(0), F.lit(" "), w(1), F.lit('" "'), w(2), F.lit('" or "'), w(3), F.lit('" -"'), w(4), F.lit('"'))
+    queries = view(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("query"))
+    found = search.parse_websearch(queries)
+    return found.select(F.col("query_id").alias("item_id"), F.col("grp").cast("int").alias("grp"), "alt", "negated", "lexeme", "phrase_pos", F.col("phrase_len").cast("int").alias("phrase_len"))
 
 
 _WORDS = f"words AS (SELECT m.uuid, m.namespace, regexp_extract_all(lower(coalesce(m.content, '')), '{text.WORD}') AS w FROM {{memories}} AS m)"
@@ -301,17 +314,24 @@ def i13_preview(spark, sf):
     return view(spark, sf, "documents").select("doc_id", text.preview(F.col("text"), 40).alias("preview"))
 
 
-@query("SELECT session_id, 'memory_consumed' AS event_type, CAST(ref AS VARCHAR) AS item FROM {traces} WHERE event_type = 'memory_consumed'")
+@query("SELECT session_id, CASE WHEN event_type IN ('memory_consumed', 'trace_consumed') THEN event_type ELSE 'tool_call' END AS event_type, CAST(ref AS VARCHAR) AS item FROM {traces}")
 def i15_access_log(spark, sf):
-    asked = view(spark, sf, "traces").filter("event_type = 'memory_consumed'")
-    return search.access_log(asked, "memory").select("session_id", "event_type", F.get("refs", F.lit(0)).alias("item"))
+    """All accesses: memories, traces and, of all else, searches."""
+    traces = view(spark, sf, "traces")
+    kinds = {"memory": F.col("event_type") == "memory_consumed", "trace": F.col("event_type") == "trace_consumed", "search": ~F.col("event_type").isin("memory_consumed", "trace_consumed")}
+    logs = [search.access_log(traces.filter(some), kind).select("session_id", "event_type", F.get("refs", F.lit(0)).alias("item")) for kind, some in kinds.items()]
+    return logs[0].unionByName(logs[1]).unionByName(logs[2])
 
 
-@query("SELECT trace_uuid, namespace, event_type FROM {traces} WHERE namespace IN ('en', 'fr')")
+@query("""SELECT trace_uuid, namespace, event_type, CAST(NULL AS VARCHAR) AS error FROM {traces} WHERE namespace IN ('en', 'fr')
+UNION ALL SELECT trace_uuid, NULL, NULL, 'not_found' FROM {traces} WHERE NOT coalesce(namespace IN ('en', 'fr'), false) UNION ALL SELECT -trace_uuid - 1, NULL, NULL, 'not_found' FROM {traces}""")
 def i16_lookup_traces(spark, sf):
+    """Every trace is asked for, and as many that don't exist."""
     traces = view(spark, sf, "traces")
-    asked = traces.select(F.col("trace_uuid").alias("request_id"), "trace_uuid", F.array(F.lit("en"), F.lit("fr")).alias("namespaces"))
-    return search.lookup_traces(asked, traces)[0].select("trace_uuid", "namespace", "event_type")
+    asked = traces.select(F.array(F.lit("en"), F.lit("fr")).alias("namespaces"), F.explode(F.array("trace_uuid", -F.col("trace_uuid") - 1)).alias("trace_uuid")).withColumn("request_id", F.col("trace_uuid"))
+    found, errors = search.lookup_traces(asked, traces)
+    none = F.lit(None).cast("string")
+    return found.select("trace_uuid", "namespace", "event_type", none.alias("error")).unionByName(errors.select("trace_uuid", none.alias("namespace"), none.alias("event_type"), "error"))
 
 
 @query("SELECT m.uuid, m.status, CAST(s.uuid AS VARCHAR) AS superseded_by FROM {memories} AS m LEFT JOIN {memories} AS s ON s.supersedes = m.uuid")

@@ -15,7 +15,7 @@ from ..operators import fidelity, lifecycle, memory_log, normalize, quality
 from ..sources import ledger, tails, transcripts
 from ..streaming import imports, stateful
 from .more_queries import _workstream_log
-from .queries import _SEARCH, ORACLE_SQL, _outcomes, _rule, query
+from .queries import _PLANTED_SQL, _SEARCH, ORACLE_SQL, _outcomes, _rule, planted, query
 from .views import view, with_views
 
 _TURNS = "SELECT conv_id AS stream, turn AS source_position, conv_id, turn, role, coalesce(text, '') AS text FROM conversations"
@@ -363,11 +363,12 @@ def _as_stream(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-@query(f"SELECT doc_id, regexp_replace(text, '{_rule('sensitive-assignment')}', '[REDACTED:sensitive-assignment]', 'g') AS redacted FROM documents")
+#: Without encoded runs: the documents' own texts hold none that hides a secret, and the planted ones are found as they are.
+@query(_PLANTED_SQL)
 def h5_stream_redact(spark, sf):
+    """All rules on a stream of the texts of c6."""
     out = f"{shared_dir(spark)}/redacted-{uuid.uuid4().hex}"
-    only = DEFAULT._replace(rules=tuple(r for r in DEFAULT.rules if r.id == "sensitive-assignment"))
-    stream = imports.stream_redact(_as_stream(view(spark, sf, "documents").select("doc_id", "text")), "text", only).select("doc_id", "redacted")
+    stream = imports.stream_redact(_as_stream(planted(spark, sf)), "text").select("doc_id", "redacted")
     stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
