@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text
 from tracewright.functions.porter2 import stem
 from tracewright.operators import search
+from tracewright.sources import index_store
 
 MEMORY = "uuid long, namespace string, type string, visibility string, status string, agent_id string, created_at long, content string"
 
@@ -75,3 +76,35 @@ def test_words_of_all_scripts(spark):
     assert sorted(r.lexeme for r in text.tokenize(df.filter("uuid = 1"), "t").collect()) == sorted(["łódź", "слово", "ελληνικά", "日本語", "हिन्दी", "x", "1", "straße"])
     got = sorted((r.pos, r.lexeme) for r in text.tokenize(df.filter("uuid > 1"), "t", "english").collect())
     assert got == [(1, "runner"), (2, "weren"), (4, "run"), (6, "knead")]
+
+
+def test_a_stored_index_equals_one_made_anew(spark, tmp_path):
+    path = str(tmp_path / "index")
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    doc = lambda i: (i, r.choice("xyz"), " ".join(r.choice(words) for _ in range(r.randrange(1, 12))))
+    table = lambda docs: spark.createDataFrame(docs, "uuid long, namespace string, content string")
+    rows = lambda df: sorted((p.namespace, p.lexeme, str(p.uuid), tuple(p.positions)) for p in df.collect())
+    alive = {}
+    for step in range(3):
+        fresh = [doc(i) for i in range(step * 10, step * 10 + 14)]  # some of which are there already, in another text
+        index_store.delete_documents(table(fresh), path)
+        index_store.append_segment(search.build_index(table(fresh)), path)
+        alive |= {d[0]: d for d in fresh}
+    gone = [doc(i) for i in (3, 12, 99)]
+    index_store.delete_documents(table(gone), path)
+    for d in gone:
+        alive.pop(d[0], None)
+    want = rows(search.build_index(table(list(alive.values()))))
+    assert rows(index_store.open_index(spark, path)) == want
+    before = index_store.segments(spark, path)
+    index_store.compact(spark, path)
+    assert rows(index_store.open_index(spark, path)) == want and len(before[1]) == 3 and len(index_store.segments(spark, path)[1]) == 1
+    terms = spark.createDataFrame([(1, "w3"), (1, "w5")], "query_id int, lexeme string")
+    spaces = spark.createDataFrame([(1, "x")], "query_id int, namespace string")
+    some = index_store.open_index(spark, path, terms, spaces)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "bucket_no" in plan.split("PartitionFilters: [")[1].split("]")[0] and "segment" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    met = some.join(terms.join(spaces, "query_id"), ["namespace", "lexeme"])
+    assert rows(met) == [x for x in want if x[0] == "x" and x[1] in ("w3", "w5")]
+    assert rows(index_store.open_index(spark, str(tmp_path / "none"))) == []

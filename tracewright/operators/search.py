@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import staged
 from ..functions.text import english, lexemes, preview, tokenize
+from ..sources.index_store import open_index
 
 #: What holds without a configuration row, and the constant of reciprocal-rank fusion.
 DEFAULTS = {"recency_half_life_h": 720.0, "max_results": 10, "preview_chars": 200, "include_proposed": False}
@@ -189,11 +190,12 @@ def rrf_fuse(lanes: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     return union.groupBy("query_id", "uuid").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("fused_score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("lane", F.struct("rank", "score"))))).alias("lanes"))
 
 
-def search(requests: DataFrame, memories: DataFrame, config: DataFrame, as_of: float, index: DataFrame | None = None, text_config: str = "simple", rank: str = "density") -> DataFrame:
+def search(requests: DataFrame, memories: DataFrame, config: DataFrame, as_of: float, index: DataFrame | str | None = None, text_config: str = "simple", rank: str = "density") -> DataFrame:
     """query_id, place, uuid, fused_score, lanes, preview and the memory's columns, best first.
 
     A blank query is ranked by recency alone; unknown lane names are ignored, no lane means all. At most max_rows and the
-    configuration's max_results come back; lanes are five times as deep. as_of is in seconds.
+    configuration's max_results come back; lanes are five times as deep. as_of is in seconds. index: postings of build_index, the
+    folder of a stored index (sources.index_store), of which the queries' buckets are read, or none, to index what is asked for.
     """
     asked = effective_config(requests, config)
     limit = F.least(F.coalesce(F.col("max_rows"), F.col("max_results")), F.col("max_results")) if "max_rows" in asked.columns else F.col("max_results")
@@ -206,6 +208,9 @@ def search(requests: DataFrame, memories: DataFrame, config: DataFrame, as_of: f
         by = {x: asked.filter(F.array_contains("lanes", x) | (F.lit(x == "recency") & (F.trim(F.coalesce("query", F.lit(""))) == ""))).drop("lanes") for x in LANES}
     else:
         by = dict.fromkeys(LANES, asked)
+    if isinstance(index, str):
+        kind = memories.schema["uuid"].dataType
+        index = open_index(memories.sparkSession, index, terms, asked.select("query_id", F.explode(F.array_distinct("namespaces")).alias("namespace"))).withColumn("uuid", F.col("uuid").cast(kind))
     if index is None:
         named = asked.select(F.explode("namespaces").alias("namespace")).distinct()
         index = build_index(memories.join(named, "namespace", "left_semi"), text_config, terms)

@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ids, redact, redact_json
+from ..functions import ids, redact, redact_json, text
 from ..functions.rules import DEFAULT
 from ..functions.staging import shared_dir, staged
-from ..operators import fidelity, lifecycle, memory_log, normalize, quality
-from ..sources import ledger, tails, transcripts
+from ..operators import fidelity, lifecycle, memory_log, normalize, quality, search
+from ..sources import index_store, ledger, tails, transcripts
 from ..streaming import imports, stateful
 from .more_queries import _workstream_log
-from .queries import _PLANTED_SQL, _SEARCH, ORACLE_SQL, _outcomes, _rule, planted, query
+from .queries import _ITEM_SEARCH, _PLANTED_SQL, _SEARCH, AS_OF, ORACLE_SQL, _config, _item_requests, _outcomes, _rule, planted, query
 from .views import view, with_views
 
 _TURNS = "SELECT conv_id AS stream, turn AS source_position, conv_id, turn, role, coalesce(text, '') AS text FROM conversations"
@@ -571,3 +571,32 @@ def a8_stream_tails(spark, sf):
     stream = tails.stream_tails(spark, _files(spark, sf), "*.txt", 65536).filter("fault is null").select(_group().alias("grp"), "byte_offset", "byte_length", "record_sha256", "value")
     stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
+
+
+def _stored(spark, sf) -> str:
+    """A stored index of the memories: three segments, deletions between them, some of which come anew, then all compacted."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    memories = view(spark, sf, "memories")
+    part = lambda some: search.build_index(memories.filter(some))
+    index_store.append_segment(part("uuid % 3 = 0"), path)
+    index_store.append_segment(part("uuid % 3 = 1"), path)
+    index_store.delete_documents(memories.filter("uuid % 10 < 3").select("uuid"), path)
+    index_store.append_segment(part("uuid % 3 = 2 or uuid % 10 < 3"), path)
+    return path
+
+
+@query(f"""SELECT namespace, w AS lexeme, count(*) AS n_memories, CAST(sum(n) AS BIGINT) AS n_places FROM
+(SELECT namespace, uuid, w, count(*) AS n FROM (SELECT namespace, uuid, unnest(regexp_extract_all(lower(coalesce(content, '')), '{text.WORD}')) AS w FROM {{memories}} WHERE uuid % 10 <> 7) GROUP BY ALL) GROUP BY ALL""")
+def i5_stored_index(spark, sf):
+    """What lives of a stored index after appends, deletions and a compaction."""
+    path = _stored(spark, sf)
+    index_store.delete_documents(view(spark, sf, "memories").filter("uuid % 10 = 7").select("uuid"), path)
+    index_store.compact(spark, path)
+    return index_store.open_index(spark, path).groupBy("namespace", "lexeme").agg(F.count("*").alias("n_memories"), F.sum(F.size("positions")).alias("n_places"))
+
+
+@query(_ITEM_SEARCH)
+def i12_search_stored_index(spark, sf):
+    """The requests of i12_search_of_items against a stored index, of which their buckets are read."""
+    found = search.search(_item_requests(spark, sf), view(spark, sf, "memories"), _config(spark), AS_OF, _stored(spark, sf), rank="frequency")
+    return found.select("query_id", "place", "uuid", F.round("fused_score", 12).alias("fused_score"), "preview", "status", "source_id")
