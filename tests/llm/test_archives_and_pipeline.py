@@ -63,6 +63,15 @@ def test_a_damaged_payload_is_told(spark, tmp_path, monkeypatch):
         list(read(iter([pa.RecordBatch.from_arrays([pa.array(["x.warc.zst"])], names=["archive"])])))
 
 
+def test_files_begin_with_their_dictionary_and_hold_a_frame_a_record(tmp_path):
+    pages = [(str(i), "u", f"page {i} " * 90, hashlib.sha1((f"page {i} " * 90).encode()).hexdigest(), None) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*pages)], names=["id", "url", "html", "sha1", "last"])
+    made = [b.to_pylist()[0] for b in warc._writer(f"file://{tmp_path}")(iter([batch]))]
+    data = (tmp_path / made[0]["archive"]).read_bytes()
+    assert len(data) == made[0]["stored_bytes"] and data[:4] == warc.SKIPPABLE.to_bytes(4, "little")
+    assert len(list(warc.read_archive(io.BytesIO(data)))) == made[0]["n_records"] == 40
+
+
 def test_warc_without_pages(spark):
     folder, manifest = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_archives(manifest, folder).collect() == []

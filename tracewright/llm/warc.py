@@ -128,7 +128,7 @@ def _writer(folder: str):
             store, root = _store(folder)
             name = f"{uuid.uuid4().hex}.warc.zst"
             data = archive(held)
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:  # the name alone would have it compressed again
                 out.write(data)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([size], pa.int64()), pa.array([len(data)], pa.int64())], names=["archive", "n_records", "raw_bytes", "stored_bytes"])
 
@@ -154,7 +154,7 @@ def _reader(folder: str):
             for name in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 size = 0
-                with store.open_input_stream(f"{root}/{name}") as stream:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for data in read_archive(stream):
                         fields, http, payload = parse(data)
                         length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
