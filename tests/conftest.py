@@ -9,7 +9,8 @@ def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[*]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -76,7 +76,7 @@ def told(df):
     return {(r.uuid, r.status, r.supersedes, r.version, r.content, r.approved_by, r.retired_at is not None) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [1])
 def test_a_log_equals_its_replay_and_snapshots_change_nothing(spark, tmp_path, seed):
     rows = logs(seed)
     log = spark.createDataFrame(rows, memory_log.LOG).withColumn("ts", F.timestamp_seconds("seq")).repartition(3)
