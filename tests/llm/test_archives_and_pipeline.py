@@ -38,7 +38,7 @@ def test_warc_round_trip(spark, monkeypatch, size):
     assert all((x.payload is None) == (x.record_type == "revisit") and (x.payload is None or hashlib.sha1(x.payload).hexdigest() == x.payload_digest) for x in got)
     store, root = warc._store(folder)
     for x in manifest.collect():
-        data = store.open_input_stream(f"{root}/{x.archive}").read()
+        data = store.open_input_stream(f"{root}/{x.archive}", compression=None).read()
         assert data[:4] == b"\x5d\x2a\x4d\x18" and len(list(warc.read_archive(io.BytesIO(data)))) == x.n_records
 
 
