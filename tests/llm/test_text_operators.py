@@ -90,6 +90,63 @@ def test_decontamination_of_repetitive_texts(spark):
         assert (r.n_words, r.n_hit, r["items"]) == brute_hits(d, items)
 
 
+def covering(spans):
+    """Of (start, length): from left to right those that reach furthest, none within another."""
+    left = sorted(set(spans), key=lambda x: (x[0], -x[1]))
+    keep, end = [], -1
+    for a, n in left:
+        if a + n > end:
+            keep.append((a, n))
+            end = a + n
+    out, i = [], 0
+    while i < len(keep):
+        out.append(keep[i])
+        reach = [j for j in range(i + 1, len(keep)) if keep[j][0] <= sum(keep[i])]
+        i = reach[-1] if reach else i + 1
+    return set(out)
+
+
+def brute_matches(doc, item):
+    """(start, length) in the document and in the item of what matches have to cover."""
+    d, x = words(doc), words(item)
+    width = min(13, len(x))
+    common = lambda a, b: next((k for k in range(min(len(d) - a, len(x) - b)) if d[a + k] != x[b + k]), min(len(d) - a, len(x) - b))
+    met = [(a, b, n) for a in range(len(d)) for b in range(len(x)) if (n := common(a, b)) >= width > 0]
+    best = lambda k: {p: max(m[2] for m in met if m[k] == p) for p in {m[k] for m in met}}.items()
+    return covering(best(0)), covering(best(1)) if len(x) >= 13 else set()
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 60])
+def test_longest_matches_equal_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    r = random.Random(pairs)
+    text = lambda n, of="abcdefgh": [r.choice(of) + str(r.randrange(9)) for _ in range(n)]
+    passage, other = text(40), text(25)
+    items = [passage, passage[:30] + text(4) + passage[20:], other, passage + passage + other, ["la"] * 30, passage[5:18], passage[3:9], text(3) + passage[10:24] + text(3), passage, []]
+    docs = [
+        text(5) + passage + text(5) + passage + text(3),
+        passage[:13] + passage[:14] + passage[1:],
+        ["la"] * 100 + passage,
+        passage[:12] + other + passage[12:] + other[:13],
+        other + other + passage[15:] + passage[:15],
+        passage[3:9] + ["x"] + passage[3:9] + passage[3:9],
+        *(sum((r.choice([passage, other, ["la"] * 20])[(a := r.randrange(12)) : a + r.randrange(30)] for _ in range(6)), []) for _ in range(20)),
+    ]
+    items, docs = [" ".join(x) for x in items], [" ".join(x) for x in docs]
+    found = decontaminate._match(pa.array(docs), decontaminate.Windows([str(k) for k in range(len(items))], items, 13), [])["matches"].to_pylist()
+    for doc, rows in zip(docs, found):
+        for k, item in enumerate(items):
+            of = [m for m in rows if m["item_id"] == str(k)]
+            in_doc, in_item = brute_matches(doc, item)
+            at_doc, at_item = ({(m[c], m["n_words"]) for m in of} for c in ("doc_word", "item_word"))
+            assert in_doc <= at_doc and in_item <= at_item
+            for m in of:
+                a, b, n = m["doc_word"], m["item_word"], m["n_words"]
+                d, x = words(doc), words(item)
+                assert d[a : a + n] == x[b : b + n] and ((a, n) in in_doc or (b, n) in in_item)
+    assert {m["doc_word"] for m in found[0] if m["item_id"] == "0"} == {5, 50}
+
+
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 

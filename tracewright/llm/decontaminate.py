@@ -4,7 +4,8 @@ Each task builds a suffix array over a shard of a few MB of its documents' words
 by bisection, by its first `width` words; the documents never move. Only suffixes that begin like some test window (its
 first words, at most four) are put into the array: no other can match one. An occurrence is an interval of the array, and
 each document word lies in at most one interval of each window length, so repetitive texts cost no more than others.
-Matches at consecutive places are merged into the longest verbatim matches.
+Where windows occur, whole suffixes of documents and items are ranked together, and neighbours in that array give the longest
+verbatim matches and all their places (longest.py).
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, aside, staged
+from .longest import Suffixes, cover, neighbours
 from .words import ALNUM, mix, word_shards
 
 #: Words of test items that one pass over the documents holds; more items mean more passes, written to the shared folder.
 BLOCK_WORDS = 2_000_000
-#: Pairs of a document and an item's window that are expanded together.
+#: Places of pairs of a document and an item with common windows that are compared together.
 PAIRS = 1 << 20
 MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.IntegerType()), T.StructField("doc_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", MATCH)]
@@ -30,7 +32,7 @@ _ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32())
 
 
 class Windows:
-    """The different windows of a block of test items, sorted for bisection, and where each first stands in each item."""
+    """The different windows of a block of test items, sorted for bisection, and all their places in each item."""
 
     def __init__(self, ids: list[str], texts: list[str], width: int):
         self.width, self.ids = width, ids
@@ -55,9 +57,11 @@ class Windows:
         order = np.lexsort((at, item, which))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(which[order]) != 0) | (np.diff(item[order]) != 0)
+        self.at = at[order].astype(np.int32)
+        self.places = np.append(np.flatnonzero(new), len(order))
         order = order[new]
-        self.item, self.at = item[order].astype(np.int32), at[order].astype(np.int32)
-        self.holds = np.searchsorted(which[order], np.arange(len(self.keys) + 1))
+        self.item, self.window = item[order].astype(np.int32), which[order].astype(np.int32)
+        self.holds = np.searchsorted(self.window, np.arange(len(self.keys) + 1))
         self.starts = {p: np.unique(_start(codes[:, :p])[np.minimum(self.size, 4) == p]) for p in (1, 2, 3, 4)}
         self.maybe = _bits(self.vocabulary)
 
@@ -119,49 +123,96 @@ def search(codes: np.ndarray, off: np.ndarray, w: Windows) -> tuple[np.ndarray,
     return window, at[np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
 
 
-def _longest(doc: np.ndarray, item: np.ndarray, item_word: np.ndarray, word: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """Occurrences of windows merged along their diagonals into longest matches, sorted by document."""
-    order = np.lexsort((word, word - item_word, item, doc))
-    doc, item, item_word, word, size = (x[order] for x in (doc, item, item_word, word, size))
-    new = np.ones(len(doc), bool)
-    if len(doc) > 1:
-        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(word - item_word) != 0) | (np.diff(word) != 1)
-    first = np.flatnonzero(new)
-    end = np.append(first[1:], len(doc)) - 1
-    return [doc[first], item[first], item_word[first], word[first], word[end] + size[end] - word[first]]
+def _ranges(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first, first + 1, .. of each of several ranges, and the range that each is of."""
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n), which
 
 
-def _met(w: Windows, off: np.ndarray, window: np.ndarray, place: np.ndarray):
-    """(document, item, the item's word, the document's word, length) of windows and the items that hold them, a slice of
-    documents at a time; a window that repeats within a text or an item stands at its first place."""
+def longest(w: Windows, off: np.ndarray, window: np.ndarray, place: np.ndarray):
+    """(document, item, the item's word, the document's word, length) of the longest matches, sorted, of some documents and items
+    at a time. All occurrences of windows in a shard are given, as search finds them."""
     doc = np.searchsorted(off, place, "right") - 1
     order = np.lexsort((place, window, doc))
     doc, window, place = doc[order], window[order], place[order]
     new = np.ones(len(doc), bool)
     new[1:] = (np.diff(doc) != 0) | (np.diff(window) != 0)
-    doc, window, place = doc[new], window[new], place[new]
-    n = w.holds[window + 1] - w.holds[window]
-    total = np.cumsum(n)
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(doc)))
+    doc, window = doc[first], window[first]
+    low, high = w.holds[window], w.holds[window + 1]
+    total = np.cumsum(n * (high - low) + w.places[high] - w.places[low])
     i = 0
     while i < len(doc):
         j = int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right"))
         j = int(np.searchsorted(doc, doc[min(max(j, i + 1), len(doc)) - 1], "right"))  # whole documents
-        m = n[i:j]
-        row = np.repeat(np.arange(i, j), m)
-        held = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(w.holds[window[i:j]], m)
-        yield doc[row], w.item[held].astype(np.int64), w.at[held].astype(np.int64), place[row] - off[doc[row]], w.size[window[row]]
+        held, group = _ranges(low[i:j], (high - low)[i:j])
+        group += i
+        # documents with more go through their items in several parts
+        parts = 1 + (int(total[j - 1]) - (int(total[i - 1]) if i else 0)) // PAIRS
+        for k in range(parts):
+            some = w.item[held] % parts == k
+            if some.any():
+                yield _matched(w, off, doc[group[some]], held[some], first[group[some]], n[group[some]], place)
         i = j
 
 
+def _matched(w: Windows, off: np.ndarray, doc: np.ndarray, held: np.ndarray, first: np.ndarray, n: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """longest, of rows of a document, an item's window (held) and its places in the document (n, from `first` on)."""
+    pair = doc * len(w.ids) + w.item[held]
+    whole = w.size[w.window[held]] == w.width
+    out = []
+    if len(short := np.flatnonzero(~whole)):  # items that are one shorter window
+        at, of = _ranges(first[short], n[short])
+        row = short[of]
+        size = w.size[w.window[held[row]]].astype(np.int64)
+        kept = cover(pair[row], place[at], size)
+        out.append((pair[row[kept]], np.zeros(len(kept), np.int64), place[at[kept]], size[kept]))
+    if whole.any():
+        pair, held, first, n = pair[whole], held[whole], first[whole], n[whole]
+        at, row = _ranges(first, n)
+        used, entry = np.unique(held, return_inverse=True)
+        item_at, of = _ranges(w.places[used], np.diff(w.places)[used])
+        text = w.item[used][of].astype(np.int64)
+        order = np.lexsort((w.at[item_at], text))
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        here, one = np.unique(place[at], return_index=True)
+        owner = np.searchsorted(off, here, "right") - 1
+        suffixes = Suffixes(
+            np.concatenate([owner, len(off) + text[order]]),
+            np.concatenate([here, w.at[item_at][order]]),
+            np.concatenate([w.window[held[row[one]]], w.window[used][of][order]]),
+        )
+        mine, of_row = _ranges(np.searchsorted(of, entry), np.diff(w.places)[held])
+        pairs = np.concatenate([pair[row], pair[of_row]])
+        is_item = np.arange(len(pairs)) >= len(row)
+        suffix = np.concatenate([np.searchsorted(here, place[at]), len(here) + where[mine]])
+        partner, size = neighbours(pairs, suffix, is_item, suffixes)
+        size += w.width - 1
+        begin = np.concatenate([here, w.at[item_at][order]])
+        for side in (False, True):
+            rows = np.flatnonzero(is_item == side)
+            rows = rows[cover(pairs[rows], begin[suffix[rows]], size[rows])]
+            own, other = begin[suffix[rows]], begin[partner[rows]]
+            out.append((pairs[rows], own if side else other, other if side else own, size[rows]))
+    pair, item_word, word, size = (np.concatenate(x) for x in zip(*out, strict=True))
+    found = np.unique(np.stack([pair, word, item_word, size], 1), axis=0)
+    doc, item = found[:, 0] // len(w.ids), found[:, 0] % len(w.ids)
+    return [doc, item, found[:, 2], found[:, 1] - off[doc], found[:, 3]]
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 13, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, n_hit (words inside an occurrence of a window), items (sorted ids of the test items with such
-    windows) and matches (longest verbatim matches: item, its word, the document's word, length).
+    windows) and matches (longest verbatim matches of at least a window: item, its word, the document's word, length).
 
     Words are runs of a-z, 0-9 and all non-ASCII characters after lower-casing A-Z. A window is `width` consecutive words
     of an item; a shorter item is one window; an item without words has none. A null or empty text has no words and no
     hits. Repeated documents and items are each treated alone; without items nothing is hit. n_hit and items know every
-    occurrence; matches join each window's first place in the document to its first place in the item. Columns of docs with
-    these four names are replaced, all others pass. Items are dealt by hash to blocks of about BLOCK_WORDS words, which reach
+    occurrence. matches hold, for each item, those that cover all the document's words which its windows hit, and those that
+    cover all the item's words which the document holds: each is the longest at its place in the document or in the item, so
+    that a passage that repeats in either is reported at each place; of places that overlap (a text that repeats itself
+    throughout) those that reach furthest are. Columns of docs with these four names are replaced, all others pass. Items are dealt by hash to blocks of about BLOCK_WORDS words, which reach
     the driver and the tasks one after the other, a pass over the documents each.
     """
     sc = docs.sparkSession.sparkContext
@@ -210,8 +261,8 @@ def _match(col: pa.Array, w: Windows, earlier: list[list]) -> dict[str, pa.Array
             for a, b in zip(first[hit[first]].tolist(), last[hit[first]].tolist(), strict=True):
                 d = int(owner[a])
                 spans[i + d] += [a - int(off[d]), b - int(off[d])]
-        for met in _met(w, off, window, place):
-            for d, item, iw, dw, n in zip(*(x.tolist() for x in _longest(*met)), strict=True):
+        for met in longest(w, off, window, place):
+            for d, item, iw, dw, n in zip(*(x.tolist() for x in met), strict=True):
                 matches[i + d].append({"item_id": w.ids[item], "item_word": iw, "doc_word": dw, "n_words": n})
     for d, found in enumerate(matches):
         items[d] = {m["item_id"] for m in found}
