@@ -9,23 +9,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.staging import shared_dir
+
 #: A join side is broadcast up to this many rows of a few numbers each; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    sc = spark.sparkContext
-    if not (folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared")
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and losing an executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
