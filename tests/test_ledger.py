@@ -90,6 +90,11 @@ def test_remotes_and_policies(spark):
     fixed, faults = routing.canonical_policy(spark.createDataFrame(policy, kind), spark.createDataFrame([("n1",)], "name string"))
     assert fixed.first().directory_routes[1].directory == "/a/b"
     assert {r.rule for r in faults.collect()} == {"repeated remote", "directory isn't absolute", "pattern isn't owner/name", "reserved target", "unknown target"}
+    twice = [("b", k, [], [("h/x/y", t)], [("/a", t), ("/b", t)]) for k, t in ((2, "n1"), (3, "n3"), (3, "n3"), (4, None))] + [("b", 5, None, None, None)]
+    names = spark.createDataFrame([("n1",), ("n1",), (None,)], "name string")
+    assert sorted(tuple(r) for r in routing.canonical_policy(spark.createDataFrame(twice, kind), names)[1].collect()) == [(3, "b", "unknown target"), (3, "b", "unknown target"), (4, "b", "unknown target")]
+    none = routing.canonical_policy(spark.createDataFrame(twice[:1], kind), names.limit(0))[1]
+    assert [r.rule for r in none.collect()] == ["unknown target"]
 
 
 def test_search_language_and_cover_density(spark):

@@ -97,7 +97,6 @@ def canonical_policy(policies: DataFrame, namespaces: DataFrame) -> tuple[DataFr
     remotes = F.transform("remote_overrides", lambda o: F.struct(F.coalesce(normalize_remote(o["remote"]), F.lower(F.trim(o["remote"]))).alias("remote"), F.trim(o["target"]).alias("target")))
     folders = F.transform("directory_routes", lambda r: F.struct(normalize_directory(r["directory"]).alias("directory"), F.trim(r["target"]).alias("target")))
     out = policies.withColumns({"allowed_repository_patterns": low, "remote_overrides": remotes, "directory_routes": folders})
-    known = F.broadcast(namespaces.agg(F.collect_set("name").alias("__known")))
     targets = F.concat(F.transform("remote_overrides", lambda o: o["target"]), F.transform("directory_routes", lambda r: r["target"]))
     keys = lambda c, k: F.transform(c, lambda x: x[k])
     twice = lambda c, k: F.size(F.array_distinct(keys(c, k))) < F.size(c)
@@ -108,10 +107,12 @@ def canonical_policy(policies: DataFrame, namespaces: DataFrame) -> tuple[DataFr
         F.when(F.exists("remote_overrides", lambda o: ~o["remote"].rlike("^[^/]+/[^/]+/[^/]+$")), "remote isn't host/owner/name"),
         F.when(F.exists("allowed_repository_patterns", lambda p: ~p.rlike("^[^/]+/[^/]+$")), "pattern isn't owner/name"),
         F.when(F.exists(targets, lambda t: t.rlike(RESERVED)), "reserved target"),
-        F.when(F.size(F.array_except(targets, "__known")) > 0, "unknown target"),
     )
-    checked = out.join(known).withColumn("rule", F.explode(F.filter(faults, lambda x: x.isNotNull())))
-    return out, checked.select("policy_version", "binding", "rule")
+    found = out.select("policy_version", "binding", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("rule"))
+    # each target asks for its namespace by name; a row with several unknown ones is named once
+    asked = out.withColumn("__row", F.monotonically_increasing_id()).select("__row", "policy_version", "binding", F.explode(targets).alias("name"))
+    unknown = asked.join(namespaces.select("name"), "name", "left_anti").groupBy("__row", "policy_version", "binding").agg(F.lit("unknown target").alias("rule"))
+    return out, found.unionByName(unknown.drop("__row"))
 
 
 def latest_policy(policies: DataFrame) -> DataFrame:
