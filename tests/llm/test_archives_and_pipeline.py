@@ -42,6 +42,18 @@ def test_warc_round_trip(spark, monkeypatch, size):
         assert data[:4] == b"\x5d\x2a\x4d\x18" and len(list(warc.read_archive(io.BytesIO(data)))) == x.n_records
 
 
+def test_a_page_larger_than_an_archive(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 16)
+    r = random.Random(1)
+    huge = "".join(r.choice("abcdefgh é<>") for _ in range(1 << 20))
+    pages = [(1, "u", huge), (2, "u", "small"), (3, "u", huge), (4, "u", huge[:-1]), (5, "u", "small" * 300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    folder, manifest = warc.write_archives(df)
+    got = {x.page_key: x for x in warc.read_archives(manifest, folder).collect()}
+    assert {k: x.payload_digest for k, x in got.items()} == {str(k): hashlib.sha1(h.encode()).hexdigest() for k, _, h in pages}
+    assert {k: x.record_type for k, x in got.items() if x.record_type == "revisit"} == {"1": "revisit"} and got["1"].refers_to_key == "3"
+
+
 def test_warc_folder_lies_where_spark_looks(spark, monkeypatch):
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     assert warc._located(spark, "/a/b") == "file:///a/b" and warc._located(spark, "s3a://x/y") == "s3a://x/y"
@@ -118,6 +130,15 @@ def test_chat_of_long_and_tied_conversations_equals_its_sql(spark):
     assert [r.conv_id for r in got] == [1, 3, 5]
 
 
+def test_chat_with_a_turn_of_many_megabytes(spark):
+    long = "é word " * 1_000_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "ok"), (2, 0, "user", long), (3, 0, "user", long + "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.render(df).select("conv_id", F.length("rendered").alias("n")).orderBy("conv_id").collect()
+    turn = len("<|user|>\n<|end|>\n")
+    assert [tuple(r) for r in got] == [(1, len(long) + turn + len("<|assistant|>\nok<|end|>\n")), (3, len(long) + 1 + turn)]
+
+
 def test_pipeline_equals_its_stages_done_plainly(spark):
     from test_jaccard_join import brute
     from test_text_operators import brute_hits, words

@@ -72,6 +72,16 @@ def test_frequent_shingles_and_repeated_rows(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_long_texts_of_different_shingles(spark, monkeypatch):
+    """Texts of 20,000 different words, near copies of them at the threshold and beyond, joined with and without a broadcast."""
+    base = [f"w{k}" for k in range(20_000)]
+    changed = lambda n: [f"x{k}" if k % 5 == 0 and k < n else w for k, w in enumerate(base)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, changed(2800), changed(2900), base[:15_003], base[:15_002], base[10_000:], base[::-1], base + base[:30]])]
+    for size in (16 << 20, 0):
+        monkeypatch.setattr(jaccard_join, "WANTED_BYTES", size)
+        assert run(spark, rows) == brute(rows)
+
+
 def test_repeated_rows_of_large_regions(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEAF", 7)
     r = random.Random(6)

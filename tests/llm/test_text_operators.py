@@ -514,6 +514,11 @@ def test_license_scan_equals_its_sql(spark):
     want = con.sql(queries.ORACLE_SQL["op4_license_scan"] + " ORDER BY doc_id")
     got = license_scan.scan(frame(spark, texts).select("doc_id", "text")).orderBy("doc_id").collect()
     assert [tuple(r[c] for c in want.columns) for r in got] == want.fetchall()
+    # repeated rows are each reported, with what each says alone
+    key = lambda r: tuple(str(r[c]) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"))
+    once = license_scan.scan(frame(spark, texts)).collect()
+    twice = license_scan.scan(frame(spark, texts + texts, [*range(len(texts))] * 2)).collect()
+    assert sorted(map(key, twice)) == sorted(map(key, once + once))
 
 
 def test_license_without_its_rarest_words_is_found(spark):

@@ -38,8 +38,8 @@ SAMPLE, FREQUENT, MOST = 32, 4, 1 << 17
 _COLUMNS, _BAND = 2048, 256
 #: Bits of the hash that names a set; sets that share a name are told apart by another hash of 64 bits.
 NAME_BITS = 64
-#: Sets whose names and pivots are broadcast to where the texts are; more are joined by a shuffle.
-WANTED_ROWS = 200_000
+#: Bytes of names and pivots of sets that are broadcast to where the texts are; more are joined by a shuffle.
+WANTED_BYTES = 16 << 20
 
 
 def shingle_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -396,7 +396,9 @@ def linked_sets(docs: DataFrame, sig: DataFrame, member: DataFrame, n: int, perc
     eps = 1 - percent / 100
     classes = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     needed = staged(member.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots")).join(classes, "node").select("rep", "node", "weight", "pivots"), "needed")
-    wanted = F.broadcast(needed) if (n_needed := needed.count()) <= WANTED_ROWS else needed
+    width = 32 + 8 * F.size("pivots") + F.coalesce(F.octet_length(F.col("rep").cast("string")), F.lit(0))
+    n_needed, n_bytes = needed.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    wanted = F.broadcast(needed) if n_bytes <= WANTED_BYTES else needed
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("rep", "node", "weight", "pivots", "text")
     sets = staged(texts.mapInArrow(tidied(_sets(n, NAME_BITS)), "node long, weight long, pivots array<long>, shingles array<long>"), "sets")
     if sets.count() > n_needed:  # rows that repeat an id and its text
