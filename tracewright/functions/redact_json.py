@@ -1,13 +1,15 @@
 """Secrets in nested JSON, whose depth built-in expressions can't follow: the one redaction that rewrites rows in Python.
 
-Only rows that a literal of a rule, a sensitive name or an encoded run can concern are parsed.
+Only rows that a literal of a rule, a sensitive name or an encoded run can concern are parsed, each different text of an Arrow
+batch once. Of their strings, one pass of the scanner's gates over all of a batch says which are looked at one by one.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +19,79 @@ from .rules import DEFAULT, RuleSet
 from .scan import ENCODED, MANY_LITERALS, Budgets, Exhausted, Scanner, without_spans
 
 LEAF_LIMIT = 64 << 20
+#: Halves of surrogate pairs, which JSON can spell and UTF-8 can't.
+_HALVES = re.compile("[\ud800-\udfff]")
+_SCAN = "status:string,rule_ids:array<string>,categories:array<string>,redaction_count:int"
 
 
-class _Scan:
-    """One document's scan; its budget of matches holds for the whole document."""
+def _strings(v, out: list[str]) -> None:
+    if isinstance(v, str):
+        out.append(v)
+    elif isinstance(v, Pairs):
+        for k, x in v:
+            out.append(k)
+            _strings(x, out)
+    elif isinstance(v, list):
+        for x in v:
+            _strings(x, out)
+
+
+class _Batch:
+    """What the strings of a batch's documents hold, each different one told once."""
 
     def __init__(self, rules: RuleSet, scanner: Scanner):
         self.scanner = scanner
-        self.fields = [(r.id, r.category, r.priority, re.compile(r.pattern)) for r in rules.field_rules()]
+        self.rules = [(r.id, r.category, r.priority, re.compile(r.pattern)) for r in rules.field_rules()]
+        self.names: dict[str | None, tuple | None] = {None: None}
+        self.known: dict[str, list[tuple]] = {}
+        self.gates: dict[str, tuple[bool, bool]] = {}
+
+    def take(self, texts: list[str]) -> list:
+        """The texts' values; None stands for a text that isn't JSON."""
+        self.names, self.known, self.gates = {None: None}, {}, {}
+        out, strings = [], []
+        for t in texts:
+            try:
+                v = (loads(t),)
+                _strings(v[0], strings)
+            except (ValueError, RecursionError):
+                v = None
+                strings.append(t)
+            out.append(v)
+        strings = list(dict.fromkeys(strings))
+        try:
+            col = pa.array(strings, pa.large_string())
+        except UnicodeEncodeError:  # half a surrogate pair is no UTF-8, and looked at in any case
+            strings = [s for s in strings if not _HALVES.search(s)]
+            col = pa.array(strings, pa.large_string())
+        self.gates = dict(zip(strings, zip(*(x.tolist() for x in self.scanner.may(col)), strict=True), strict=True))
+        return out
+
+    def spans(self, text: str) -> list[tuple]:
+        matched, encoded = self.gates.get(text, (True, True))
+        if not matched and not encoded:
+            return []
+        if text not in self.known:
+            self.known[text] = self.scanner.spans(text, matched, encoded)[0]
+        return self.known[text]
+
+    def field(self, name: str | None) -> tuple | None:
+        if name not in self.names:
+            self.names[name] = next(((i, c, p) for i, c, p, rx in self.rules if rx.search(name)), None)
+        return self.names[name]
+
+
+class _Scan:
+    """One document's scan; its budget of matches holds for the whole document."""
+
+    def __init__(self, batch: _Batch):
+        self.scanner, self.batch = batch.scanner, batch
         self.found: list[tuple[str, str]] = []
         self.omitted: list[str] = []
 
     def spans(self, text: str) -> list[tuple]:
         """Merged spans: (start, end, -priority, -length, rule, category)."""
-        spans = self.scanner.spans(text)[0]
+        spans = self.batch.spans(text)
         if len(spans) + len(self.found) > self.scanner.budgets.matches:
             raise Exhausted
         return spans
@@ -44,7 +105,7 @@ class _Scan:
         return without_spans(text, spans)
 
     def value(self, v, name: str | None = None):
-        field = next(((i, c, p) for i, c, p, rx in self.fields if name is not None and rx.search(name)), None)
+        field = self.batch.field(name)
         if field and v is not None:
             if isinstance(v, str):
                 if any(-s[2] > field[2] for s in self.spans(v)):
@@ -89,67 +150,41 @@ def redact_json(df: DataFrame, column: str, rules: RuleSet = DEFAULT, budgets: B
     text; null stays null. Numbers, repeated names and all else stay as they are spelt. A document that passes a budget fails as in
     redact_text.
     """
-    may = _may(F.col(column), rules.rules, rules) | F.col(column).contains("\\") | (F.octet_length(column) > LEAF_LIMIT)
+    may = F.coalesce(_may(F.col(column), rules.rules, rules) | F.col(column).contains("\\") | (F.octet_length(column) > LEAF_LIMIT), F.lit(False))
 
-    @F.pandas_udf("struct<redacted:string,scan:struct<status:string,rule_ids:array<string>,categories:array<string>,redaction_count:int>>")
-    def scan(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(f"struct<redacted:string,{_SCAN}>")
+    def scan(texts: pa.Array) -> pa.Array:
+        coded = pc.dictionary_encode(texts)
+        whole = coded.dictionary.to_pylist()
+        batch = _Batch(rules, Scanner(rules, True, budgets))
         out = []
-        scanner = Scanner(rules, True, budgets)
-        for t in texts:
-            s = _Scan(rules, scanner)
+        for t, v in zip(whole, batch.take(whole), strict=True):
+            s = _Scan(batch)
             try:
                 try:
-                    new = dumps(s.value(loads(t)))
+                    new = _HALVES.sub(lambda m: f"\\u{ord(m[0]):04x}", dumps(s.value(v[0]))) if v else s.string(t)
                 except (ValueError, RecursionError):
-                    s = _Scan(rules, scanner)
+                    s = _Scan(batch)
                     new = s.string(t)
             except Exhausted:
-                out.append((None, {"status": "failed", "rule_ids": ["failure:scan_budget_exhausted"], "categories": [], "redaction_count": 0}))
+                out.append((None, "failed", ["failure:scan_budget_exhausted"], [], 0))
                 continue
             ids = sorted({i for i, _ in s.found} | {f"omission:{o}" for o in s.omitted})
-            out.append((new if ids else t, {"status": "omitted" if s.omitted else "redacted" if s.found else "clean", "rule_ids": ids, "categories": sorted({c for _, c in s.found}), "redaction_count": len(s.found)}))
-        return pd.DataFrame(out, columns=["redacted", "scan"])
+            out.append((new if ids else t, "omitted" if s.omitted else "redacted" if s.found else "clean", ids, sorted({c for _, c in s.found}), len(s.found)))
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32())
+        columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+        at = coded.indices
+        return pa.StructArray.from_arrays([c.take(at) for c in columns], names=["redacted", "status", "rule_ids", "categories", "redaction_count"])
 
     empty = F.array().cast("array<string>")
     clean = F.struct(F.lit("clean").alias("status"), empty.alias("rule_ids"), empty.alias("categories"), F.lit(0).alias("redaction_count"))
-    rest = df.filter(~F.coalesce(may, F.lit(False))).withColumns({"redacted": F.col(column), "scan": clean})
-    hit = df.filter(may).withColumn("__s", scan(column)).withColumns({"redacted": F.col("__s.redacted"), "scan": F.col("__s.scan")}).drop("__s")
-    return rest.unionByName(hit)
+    # one pass: what no rule can concern reaches the scan as null
+    rows = df.withColumn("__may", may).withColumn("__s", scan(F.when(F.col("__may"), F.col(column))))
+    told = F.struct(*(F.col(f"__s.{n}").alias(n) for n in ("status", "rule_ids", "categories", "redaction_count")))
+    return rows.withColumns({"redacted": F.when(F.col("__may"), F.col("__s.redacted")).otherwise(F.col(column)), "scan": F.when(F.col("__may"), told).otherwise(clean)}).drop("__s", "__may")
 
 
 def redact_fields(df: DataFrame, props: str, rules: RuleSet = DEFAULT, budgets: Budgets = Budgets()) -> DataFrame:
-    """df with `redacted`, as redact_json gives it, for a column of mostly flat JSON objects.
-
-    Flat objects in which only names are at fault are rewritten by built-in functions: under a sensitive name strings become
-    markers and numbers and truth values are omitted, all else stays as it is spelt. Objects that are nested or repeat a name,
-    texts that aren't JSON, and those whose strings a text rule or an encoded run can concern go through redact_json.
-    """
-    text = F.col(props)
-    found = F.try_parse_json(text)
-    kinds = F.transform_values(F.col("__kinds"), lambda _, v: F.schema_of_variant(v))
-    rows = df.withColumns({"__kinds": F.when(F.schema_of_variant(found).startswith("OBJECT<"), F.expr(f"try_cast(try_parse_json(`{props}`) AS map<string,variant>)")), "__values": F.from_json(text, "map<string,string>")})
-    rows = rows.withColumn("__kinds", kinds)
-    nested = F.exists(F.map_values("__kinds"), lambda k: k.startswith("OBJECT") | k.startswith("ARRAY"))
-    fault = F.exists(F.map_values("__values"), lambda v: _may(v, rules.text_rules(), rules)) | F.exists(F.map_keys("__values"), lambda k: _may(k, [], rules) | F.coalesce(k.rlike("|".join(f"(?:{r.pattern})" for r in rules.text_rules()) or "(?!)"), F.lit(False)))
-    lost = F.exists(F.map_entries("__values"), lambda e: (e["value"].isNull() & (F.element_at("__kinds", e["key"]) != "VOID")) | (e["value"].startswith('"') & (F.element_at("__kinds", e["key"]) != "STRING")))  # numbers that no type holds
-    flat = F.coalesce(~nested & ~fault & ~lost & (F.size("__kinds") == F.size("__values")), F.lit(False)) & ~text.contains("\\") & (F.octet_length(text) <= LEAF_LIMIT)
-    rows = rows.withColumn("__flat", F.coalesce(flat, F.lit(False)))
-    quoted = lambda x: F.substring(F.to_json(F.array(x)), F.lit(2), F.char_length(F.to_json(F.array(x))) - 2)
-
-    def marker(name: Column, kind: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for r in reversed(rules.field_rules()):
-            out = F.when(name.rlike(r.pattern), F.when(kind == "STRING", f"[REDACTED:{r.id}]").when(kind != "VOID", "[OMITTED:sensitive_field_scalar]")).otherwise(out)
-        return out
-
-    def member(name: Column, value: Column) -> Column:
-        kind = F.element_at("__kinds", name)
-        plain = F.when(kind == "STRING", quoted(value)).otherwise(F.coalesce(value, F.lit("null")))
-        mark = marker(name, kind)
-        return F.concat(quoted(name), F.lit(":"), F.when(mark.isNotNull(), quoted(mark)).otherwise(plain))
-
-    hit = F.exists(F.map_entries("__values"), lambda e: marker(e["key"], F.element_at("__kinds", e["key"])).isNotNull())
-    new = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("__values"), lambda e: member(e["key"], e["value"])), ","), F.lit("}"))
+    """df with `redacted`, as redact_json gives it, for a column of mostly flat JSON objects."""
     columns = [c for c in df.columns if c.lower() != "redacted"]
-    rest = rows.filter("__flat").withColumn("redacted", F.when(hit, new).otherwise(text)).select(*columns, "redacted")
-    return rest.unionByName(redact_json(rows.filter("not __flat").select(*columns), props, rules, budgets).select(*columns, "redacted"))
+    return redact_json(df, props, rules, budgets).select(*columns, "redacted")
