@@ -126,3 +126,40 @@ def test_changed_prefixes_and_conflicts_stop_streams(spark, tmp_path):
     found = run(spark, [first, second, third], str(tmp_path), True)
     held(found, replay([first, second, third], True))
     assert found[2]["a"] == (stateful.PREFIX_CHANGED, None) and found[2]["b"] == (None, None) and found[2]["c"] == (ingest.CONFLICT, 0)
+
+
+def test_waiting_records_of_one_batch_are_written_once():
+    """Every record asked the state twice or more, and each wait rewrote what waited before."""
+    from tracewright.streaming import stateful
+
+    class State(dict):
+        calls = 0
+
+        def get(self):
+            State.calls += 1
+            return dict.get(self, ())
+
+        def update(self, v):
+            State.calls += 1
+            self[()] = v
+
+        def getValue(self, k):
+            State.calls += 1
+            return dict.get(self, k)
+
+        def updateValue(self, k, v):
+            State.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            State.calls += 1
+            del self[k]
+
+    state = stateful.ImportState()
+    state.head, state.held, state.waiting = State(), State(), State()
+    row = lambda p: {"stream": "s", "source_position": p, "locator": f"n{p}", "content_signature": "x", "payload": None, "ingest": p, "namespace": "a", "basis": "b", "prefix_changed": False}
+    ran = lambda *at: [(r.kind, r.status) for f in state.handleInputRows(("s",), iter([stateful.pd.DataFrame([row(p) for p in at])]), None) for r in f.itertuples()]
+    assert ran(1, 3) == [("receipt", "blocked_by_earlier_gap")] * 2 + [("stop", "blocked_by_earlier_gap")]
+    assert set(state.waiting) == {(1,), (3,)} and State.calls == 4
+    assert ran(0, 2) == [("new", "new")] * 4 + [("stop", None)]
+    assert not state.waiting and set(state.held) == {("n0",), ("n1",), ("n2",), ("n3",)}

@@ -26,6 +26,8 @@ RECORD = "stream string, source_position long, locator string, content_signature
 ROW = "kind string, stream string, source_position long, locator string, content_signature string, payload string, ingest long, namespace string, basis string, status string"
 PREFIX_CHANGED = "verified_prefix_changed"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
+#: Rows that a stream's judgement gathers before they leave.
+_LEAVE = 10_000
 _FIELDS = ("source_position", "locator", "content_signature", "payload", "ingest", "namespace", "basis")
 
 
@@ -41,40 +43,54 @@ class ImportState(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "position long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """A call of the state is a round trip to the JVM: what a batch itself holds is not asked for, and waiting records are
+        written once, those that still wait after it."""
         self.key = key[0]
-        checkpoint, *rest = self.head.get() if self.head.exists() else (-1, None, None, None, None, 0)
+        head = self.head.get()
+        checkpoint, *rest = head if head is not None else (-1, None, None, None, None, 0)
         self.checkpoint, (self.namespace, self.basis, self.code, self.at, moves) = int(checkpoint), rest
         before, self.new_waiting = (self.code, self.at), {}
+        self.none_held, self.fresh = self.checkpoint < 0, {}
+        self.stored = set() if head is None else {int(k[0]) for k in self.waiting.keys()}
+        self.late: dict[int, list[dict]] = {}
+        self.out: list[dict] = []
         for frame in rows:
-            self.out: list[dict] = []
-            clean = frame.astype(object).where(frame.notna(), None)
-            for r in sorted(clean.to_dict("records"), key=lambda r: (r["source_position"] or 0, r["ingest"] or 0, r["locator"] or "")):
+            columns = {c: [None if v is None or v is pd.NA or v != v else v for v in frame[c].tolist()] for c in (*_FIELDS, "prefix_changed")}
+            for r in sorted((dict(zip(columns, x, strict=True)) for x in zip(*columns.values(), strict=True)), key=lambda r: (r["source_position"] or 0, r["ingest"] or 0, r["locator"] or "")):
                 if r["prefix_changed"]:
                     self.code, self.at = PREFIX_CHANGED, None
                 else:
                     self.judge({f: int(r[f]) if f in ("source_position", "ingest") and r[f] is not None else r[f] for f in _FIELDS})
-            if self.out:
-                yield pd.DataFrame(self.out, columns=_NAMES, dtype=object)
-        self.out = []
+            if len(self.out) >= _LEAVE:
+                yield self.left()
         for r in self.new_waiting.values():  # what still waits after all of this batch
             self.receipt(r, BLOCKED)
+        for at, found in self.late.items():
+            self.waiting.updateValue((at,), (json.dumps(found),))
         if self.code in (None, BLOCKED):
-            first = min((k[0] for k in self.waiting.keys()), default=None)
+            first = min((*self.stored, *self.late), default=None)
             self.code, self.at = (BLOCKED if first is not None else None), first
         if (self.code, self.at) != before:
             moves += 1
             self.out.append({"kind": "stop", "stream": self.key, "source_position": self.at, "ingest": moves, "status": self.code})
         self.head.update((self.checkpoint, self.namespace, self.basis, self.code, None if self.at is None else int(self.at), int(moves)))
         if self.out:
-            yield pd.DataFrame(self.out, columns=_NAMES, dtype=object)
+            yield self.left()
+
+    def left(self) -> pd.DataFrame:
+        out, self.out = self.out, []
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in _NAMES})
 
     def stopped(self) -> bool:
         return self.code == PREFIX_CHANGED or self.halt_on_conflict and self.code == CONFLICT
 
     def judge(self, r: dict) -> None:
-        held = self.held.getValue((r["locator"],)) if self.held.containsKey((r["locator"],)) else None
+        held = self.fresh.get(r["locator"])
+        if held is None and not self.none_held:
+            found = self.held.getValue((r["locator"],))
+            held = None if found is None else found[0]
         if held is not None:
-            same = held[0] == (r["content_signature"] or "")
+            same = held == (r["content_signature"] or "")
             return self.receipt(r, ACCEPTED) if same else self.conflict(r)
         if r["source_position"] <= self.checkpoint:
             return self.conflict(r)
@@ -83,28 +99,36 @@ class ImportState(StatefulProcessor):
         if r["source_position"] > self.checkpoint + 1:
             return self.wait(r)
         self.checkpoint = r["source_position"]
+        self.fresh[r["locator"]] = r["content_signature"] or ""
         self.held.updateValue((r["locator"],), (r["content_signature"] or "",))
         basis = "established"
         if self.namespace is None:
             self.namespace, self.basis = r["namespace"], r["basis"]
             basis = r["basis"]
         self.receipt(r | {"namespace": self.namespace, "basis": basis}, NEW)
-        while not self.stopped() and self.waiting.containsKey((self.checkpoint + 1,)):
+        while not self.stopped() and (self.checkpoint + 1 in self.stored or self.checkpoint + 1 in self.late):
             at = self.checkpoint + 1
-            found = json.loads(self.waiting.getValue((at,))[0])
-            self.waiting.removeKey((at,))
-            for x in found:
+            for x in self.waiting_at(at, True):
                 self.new_waiting.pop((x["source_position"], x["locator"], x["ingest"]), None)
                 self.judge(x)
             if self.checkpoint < at:
                 break
 
+    def waiting_at(self, at: int, remove: bool) -> list[dict]:
+        """What waits at a position, in order; removed from the state, if that is what holds it and it is to go."""
+        if at in self.late:
+            rows = self.late.pop(at) if remove else self.late[at]
+        else:
+            rows = json.loads(self.waiting.getValue((at,))[0]) if at in self.stored else []
+        if remove and at in self.stored:
+            self.stored.discard(at)
+            self.waiting.removeKey((at,))
+        return rows
+
     def wait(self, r: dict) -> None:
-        at = (r["source_position"],)
-        rows = json.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
-        rows = sorted([*rows, r], key=lambda x: (x["ingest"] or 0, x["locator"] or ""))
-        self.waiting.updateValue(at, (json.dumps(rows),))
-        self.new_waiting[r["source_position"], r["locator"], r["ingest"]] = r
+        at = r["source_position"]
+        self.late[at] = sorted([*self.waiting_at(at, False), r], key=lambda x: (x["ingest"] or 0, x["locator"] or ""))
+        self.new_waiting[at, r["locator"], r["ingest"]] = r
 
     def conflict(self, r: dict) -> None:
         if self.code != PREFIX_CHANGED:
