@@ -117,8 +117,9 @@ def _step(a: Column, c: Column) -> Column:
 
 
 def fold(log: DataFrame, memories: DataFrame, rules: RuleSet = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(memories that commands touch or make, without content; outcomes; errors; texts of what was made: uuid, content) of
-    apply_log. memories are those of STATE; content isn't read."""
+    """(memories that commands touch or make, without content; outcomes; errors; what was made, with content) of apply_log.
+    memories are those of STATE; content isn't read. The row of what made a memory is told by the fold, so that texts are
+    shuffled once."""
     asked = with_columns(log, _LOG)
     asked = asked.withColumn("makes", F.when(F.col("action").isin(*MAKING), F.coalesce("makes", made_name(*(F.col(n) for n in ("action", "uuid", "seq", "agent_id", "session_id", "ts", "content"))))))
     if "content" in {c.lower() for c in log.columns}:
@@ -143,14 +144,15 @@ def fold(log: DataFrame, memories: DataFrame, rules: RuleSet = DEFAULT) -> tuple
     held = memories.select(*(n for n, _ in _SMALL)).join(groups, F.col("uuid") == F.col("node")).groupBy("grp").agg(F.collect_list(F.struct(*(n for n, _ in _SMALL)).cast(_MEMBER)).alias("held"))
     start = F.struct(F.coalesce("held", F.array().cast(f"array<{_MEMBER}>")).alias("now"), F.array().cast(f"array<{_DONE}>").alias("done")).cast(_FOLD)
     folded = staged(logs.join(held, "grp", "left").select(F.aggregate("log", start, _step).alias("s")), "folded")
-    outcomes = folded.select(F.inline("s.done"))
+    done = folded.select(F.inline("s.done"))
     blocked = asked.filter("fault is not null").select(F.col("row").alias("__row"), "redacted")
-    outcomes = outcomes.join(blocked, F.col("command.row") == F.col("__row"), "left").select("command", "error", "memory", "redacted")
+    outcomes = done.join(blocked, F.col("command.row") == F.col("__row"), "left").select("command", "error", "memory", "redacted")
     lost = asked.filter(key.isNull()).select("seq", "uuid", "action", F.lit("unknown_memory").alias("error"))
     errors = outcomes.filter("error is not null").select("command.seq", "command.uuid", "command.action", "error").unionByName(lost)
-    good = outcomes.filter("error is null").select(F.col("command.row").alias("row"))
-    texts = asked.filter("makes is not null").join(good, "row", "left_semi").select(F.col("makes").alias("uuid"), "content")
-    return folded.select(F.inline("s.now")), outcomes, errors, texts
+    now = folded.select(F.inline("s.now"))
+    made = done.filter("error is null and command.makes is not null").select(F.col("command.makes").alias("uuid"), F.col("command.row").alias("row"))
+    fresh = now.join(made, "uuid").join(asked.filter("makes is not null").select("row", "content"), "row").drop("row")
+    return now, outcomes, errors, fresh
 
 
 def apply_log(log: DataFrame, memories: DataFrame, rules: RuleSet = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -167,10 +169,10 @@ def apply_log(log: DataFrame, memories: DataFrame, rules: RuleSet = DEFAULT) ->
     a row, without their content.
     """
     own = with_columns(memories, _STATE)
-    now, outcomes, errors, texts = fold(log, own, rules)
+    now, outcomes, errors, fresh = fold(log, own, rules)
     small = [n for n, _ in _SMALL if n != "uuid"]
     kept = own.join(now.select("uuid", F.struct(*small).alias("__m")), "uuid", "left").withColumns({n: F.when(F.col("__m").isNotNull(), F.col(f"__m.{n}")).otherwise(F.col(n)) for n in small}).select(*(n for n, _ in _STATE))
-    fresh = now.join(texts, "uuid").withColumn("content_hash", F.sha2("content", 256)).select(*(n for n, _ in _STATE))
+    fresh = fresh.withColumn("content_hash", F.sha2("content", 256)).select(*(n for n, _ in _STATE))
     state = kept.unionByName(fresh)
     if extra := [c for c in memories.columns if c.lower() not in {n for n, _ in _STATE}]:
         state = state.join(memories.select(F.col("uuid").cast("string").alias("uuid"), *extra), "uuid", "left")
@@ -202,7 +204,7 @@ def write_snapshot(spark: SparkSession, path: str, memories: DataFrame, seq: int
 def memory_state(log: DataFrame, snapshots: str | None = None, rules: RuleSet = DEFAULT) -> DataFrame:
     """Current memories from the log alone, or from the newest snapshot and the commands behind it."""
     spark = log.sparkSession
-    held, start = spark.createDataFrame([], STATE), None
+    held, start = with_columns(spark.range(1).filter(F.lit(False)), _STATE), None
     if snapshots:
         kept = spark.read.schema(f"{STATE}, seq long").parquet(snapshots)
         start = kept.agg(F.max("seq")).first()[0]
