@@ -99,3 +99,37 @@ def test_query_counts_trigrams(spark):
     want = {i: x for i, _, x in brute_any(given, 3)}
     for r in queries.op8_lm_scoring(spark, folder).collect():
         assert (r.score is None) == (want[r.doc_id] is None) and (r.score is None or abs(r.score - want[r.doc_id]) < 1e-9)
+
+
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sum(sc.statusStore().executorList(False).apply(k).totalShuffleWrite() for k in range(sc.statusStore().executorList(False).size()))
+
+
+def test_n_grams_cross_the_network_once_a_block(spark):
+    """Before, each n-gram of each document did, twice: some twenty times the text."""
+    r = random.Random(9)
+    given = [(i, " ".join(f"w{int(r.paretovariate(0.4)) % 3000}" for _ in range(300)), "x") for i in range(400)]
+    df = spark.createDataFrame(given, SCHEMA).coalesce(1)
+    before = shuffled(spark)
+    backoff_lm.score(df).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 5 * sum(len(t) for _, t, _ in given)
+
+
+def test_many_blocks_and_ranges_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "BLOCK", 900)
+    monkeypatch.setattr(backoff_lm, "RANGE", 700)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    given = rows(4)
+    try:
+        out = backoff_lm.score(spark.createDataFrame([(*r, "x") for r in given], SCHEMA).coalesce(3))
+        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    key = lambda t: (t[0], t[1], round(t[2], 9) if t[2] is not None else None)
+    assert sorted((key(tuple(r)) for r in got), key=str) == sorted(map(key, brute_any(given, 3)), key=str)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert moved and not any("texts#" in x for x in moved)
